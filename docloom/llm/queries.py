@@ -9,9 +9,15 @@ from pyspark.sql import functions as F
 
 from docloom.llm.base import table
 from docloom.llm.length_histogram import length_histogram, token_lengths
+from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_store import stored_documents
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(table(spark, sf_dir, "documents"))
 
@@ -20,5 +26,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"))).withColumn("quantile", F.round("quantile", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op9_token_store, op10_length_histogram)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op7_simhash, op9_token_store, op10_length_histogram)}
 ORACLES: dict[str, str] = {}
