@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
 #: Entries that a worker keeps of encoded words; beyond it, the memo starts anew. Bounds memory, not results.
-MEMO_WORDS = 1_000_000
+MEMO_WORDS = 900_000
 #: Longer words are encoded but not kept.
 MEMO_CHARS = 64
+#: Texts are encoded in groups of about so many characters.
+GROUP_CHARS = 1_000_000
 #: After letters, one of these at the end of a part is a pre-token of its own.
 ENDS = ".,!?;:"
 
@@ -25,64 +28,95 @@ class Encoder:
 
     The pre-tokenizer of byte-level BPE never joins what stands on both sides of a single blank or newline between two
     non-blank characters. A text is parted there, and the ids of each part are looked up or, if new, encoded by the
-    library once per batch, many parts in one call. Texts with other white space around a blank or newline are
-    encoded whole. The ids are those of the library for the whole text; strings of special tokens count as text.
+    library, thousands of parts in one call. Texts with other white space around a blank or newline are encoded whole.
+    The ids are those of the library for the whole text; strings of special tokens count as text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes | None] = {}
-        newline = self._whole(["\n"])[0]
         self.ends = dict(zip(ENDS, self._whole(list(ENDS)), strict=True))
+        newline = self._whole(["\n"])[0]
         self.newline = int(np.frombuffer(newline, "<u4")[0]) if len(newline) == 4 else None
+        self.model = self.tokenizer.model
+        self.byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, parts: set[str]) -> None:
         """Puts the ids of each part in the memo; None marks a part that can't be encoded on its own."""
-        memo, plain, ended = self.memo, [], []
-        for part in parts:
-            if part.strip(" ") != part or part.isspace() or not part or part[-1].isspace() or (part[0] != "\n" and part[0].isspace()) or part[1:2].isspace():
-                memo[part] = None
-            elif part[-1] in ENDS and part[:-1].isalpha():
-                ended.append(part)
-            else:
-                plain.append(part)
-        plain += {p[:-1] for p in ended if p[:-1] not in memo}.difference(plain)
-        step = 2000
-        joined = ["".join([p if p[0] == "\n" else f"\n {p}" for p in plain[i : i + step]]) for i in range(0, len(plain), step)]
-        for i, encoded in enumerate(self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+        memo, ends = self.memo, self.ends
+        ended = [p for p in parts if p[-1:] in ends and p[:-1].isalpha()]
+        rest = parts.difference(ended)
+        words = [p for p in rest if p.isalpha()]
+        rest.difference_update(words)
+        words += [p for p in {p[:-1] for p in ended}.difference(words) if p not in memo]
+        tokenize = self.model.tokenize
+        for word in words:  # one pre-token each: straight to the model, after the byte-level spelling
+            spelt = f"\u0120{word}" if word.isascii() else self.byte_level.pre_tokenize_str(f" {word}")[0][0]
+            memo[word] = array("I", [t.id for t in tokenize(spelt)]).tobytes()
+        self._encode_parts([p for p in rest if p[:1] != "\n"], "\n ")
+        self._encode_parts([p[1:] for p in rest if p[:1] == "\n"], "\n")
+        memo.update([(p, memo[p[:-1]] + ends[p[-1]]) for p in ended])
+
+    def _encode_parts(self, parts: list[str], before: str) -> None:
+        """Encodes parts, each with ``before`` in front; the newline is not kept for those after a blank."""
+        step, kept, memo = 2000, before == "\n", self.memo
+        key = "\n" if kept else ""
+        groups, joined = [], []
+        for i in range(0, len(parts), step):
+            group = parts[i : i + step]
+            text = before + before.join(group)
+            if text.split() != group:  # a part with white space inside or at an end, or an empty one
+                memo.update([(key + p, None) for p in group if not p or p[0].isspace() or p[-1].isspace()])
+                group = [p for p in group if p and not p[0].isspace() and not p[-1].isspace()]
+                text = before + before.join(group) if group else ""
+            groups.append(group)
+            joined.append(text)
+        for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, dtype="<u4")
-            starts = (4 * np.flatnonzero(ids == self.newline)).tolist()
+            at = 4 * np.flatnonzero(ids == self.newline)
             data = ids.tobytes()
-            for part, a, b in zip(plain[i * step : (i + 1) * step], starts, [*starts[1:], len(data)], strict=True):
-                memo[part] = data[a if part[0] == "\n" else a + 4 : b]
-        for part in ended:
-            memo[part] = memo[part[:-1]] + self.ends[part[-1]]
+            if len(at) != len(group):
+                raise ValueError("parts were not kept apart")
+            first = at.tolist() if kept else (at + 4).tolist()
+            last = [*at[1:].tolist(), len(data)]
+            memo.update([(key + p, data[a:b]) for p, a, b in zip(group, first, last, strict=True)])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text; null counts as empty."""
         if self.newline is None:
             return self._whole([t or "" for t in texts])
+        out: list[bytes] = []
+        begin = size = 0
+        for i, t in enumerate(texts):  # a bounded number of words at a time
+            size += len(t or "")
+            if size >= GROUP_CHARS:
+                out += self._encode_group(texts[begin : i + 1])
+                begin, size = i + 1, 0
+        return out + self._encode_group(texts[begin:])
+
+    def _encode_group(self, texts: list[str | None]) -> list[bytes]:
         parted = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        new = set().union(*parted)
-        if len(self.memo) + len(new) > MEMO_WORDS and len(self.memo) + len(new - self.memo.keys()) > MEMO_WORDS:
+        new = set().union(*parted).difference(self.memo)
+        if len(self.memo) + len(new) > MEMO_WORDS:
             self.memo.clear()
-        new -= self.memo.keys()
+            new = set().union(*parted)
         self._learn(new)
+        found = self.memo.__getitem__
         out: list[bytes | None] = []
         for parts in parted:
             try:
-                out.append(b"".join(map(self.memo.__getitem__, parts))[4:])
+                out.append(b"".join(map(found, parts))[4:])
             except TypeError:  # a part that is None
                 out.append(None)
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._whole([texts[i] for i in rest]), strict=True):
+        whole = [i for i, x in enumerate(out) if x is None]
+        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
             out[i] = ids
         for part in [p for p in new if len(p) > MEMO_CHARS]:
             del self.memo[part]
