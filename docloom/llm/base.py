@@ -31,12 +31,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def is_small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
+    return df.limit(most + 1).count() <= most
+
+
 def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast if it holds at most ``most`` rows; otherwise as it is, for a shuffled join.
 
     ``df`` should be cheap to count: checkpointed or derived from a small table.
     """
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
 def ascii_lower(text: Column) -> Column:
