@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,16 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed
+from docloom.llm.base import checkpointed, small_or_shuffled
 from docloom.llm.tokens import default_tokenizer, encoder
 
-#: The dictionary is trained on so many documents, those with the smallest hash of their id, of at most SAMPLE_CHARS
+#: The dictionary is trained on about so many documents, spread by the hash of their id, of at most SAMPLE_CHARS
 #: characters each. It decides how well documents compress, never what is stored.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 20_000, 64 << 10, 1
 #: A block of the data file closes after so many documents or compressed bytes.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
-#: Target for the characters of one shard.
-SHARD_CHARS = 64 << 20
+#: Documents of one shard at most, on average.
+SHARD_DOCS = 20_000
 
 BLOCKS = (
     "shard long, block long, first_id long, last_id long, n_docs long, n_tokens long, dictionary string, width int, "
@@ -37,8 +36,9 @@ def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample; empty if the sample is too small for one."""
     import zstandard
 
-    chosen = docs.where(f"length(text) <= {SAMPLE_CHARS}").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
-    texts = [r[0] for r in docs.join(F.broadcast(chosen), "doc_id", "left_semi").where(f"length(text) <= {SAMPLE_CHARS}").select("text").orderBy(F.xxhash64("text")).limit(SAMPLE_DOCS).collect()]
+    step = max(1, docs.count() // SAMPLE_DOCS)
+    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(f"length(text) <= {SAMPLE_CHARS}").select("text").limit(SAMPLE_DOCS)
+    texts = sorted(r[0] for r in texts.collect())
     samples = [_packed(ids, width) for ids in encoder(path).encode(texts) if ids]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
@@ -66,8 +66,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     dictionary = train_dictionary(docs, path, width)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, data binary").write.parquet(f"{out}/dictionary")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), chars // SHARD_CHARS + 1)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD_DOCS + 1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -127,7 +126,8 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
     heads = spark.read.parquet(f"{out}/blocks").select("shard", "block", "n_tokens")
     within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("shard", "block", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before"))
-    starts = heads.join(spark.read.parquet(f"{out}/shards").select("shard", F.col("start").alias("base")), "shard").select("shard", "block", (F.col("base") + F.col("before")).alias("start"))
+    starts = checkpointed(heads.join(spark.read.parquet(f"{out}/shards").select("shard", F.col("start").alias("base")), "shard").select("shard", "block", (F.col("base") + F.col("before")).alias("start")))
+    blocks = blocks.join(small_or_shuffled(starts), ["shard", "block"])
 
     def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -136,21 +136,20 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
         for batch in batches:
             for row in batch.to_pylist():
                 data, ends = row["data"], [*row["offsets"][1:], len(row["data"])]
-                at = np.concatenate([[0], np.cumsum(row["counts"])[:-1]]).astype(int).tolist()
+                at = (row["start"] + np.concatenate([[0], np.cumsum(row["counts"])[:-1]])).astype(int).tolist()
                 out = [
                     (i, s, n, openers[row["dictionary"]].decompress(data[a:b]))
                     for i, s, n, a, b in zip(row["ids"], at, row["counts"], row["offsets"], ends, strict=True)
                     if wanted is None or i in wanted
                 ]
                 kept = [x[3] if row["width"] == 4 else np.frombuffer(x[3], "<u2").astype("<u4").tobytes() for x in out]
-                k = len(out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["shard"]] * k, pa.int64()), pa.array([row["block"]] * k, pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(kept, pa.binary())],
-                    ["shard", "block", "doc_id", "within", "n_tokens", "ids"],
+                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(kept, pa.binary())],
+                    ["doc_id", "start", "n_tokens", "ids"],
                 )
 
-    read = blocks.select("shard", "block", "dictionary", "width", "ids", "counts", "offsets", "data").mapInArrow(frames, "shard long, block long, doc_id long, within long, n_tokens long, ids binary")
-    return read.join(starts, ["shard", "block"]).select("doc_id", (F.col("start") + F.col("within")).alias("start"), "n_tokens", "ids")
+    read = blocks.select("start", "dictionary", "width", "ids", "counts", "offsets", "data")
+    return read.mapInArrow(frames, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
