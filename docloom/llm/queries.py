@@ -10,13 +10,19 @@ from pyspark.sql import functions as F
 from docloom.llm.base import table
 from docloom.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from docloom.llm.decontaminate import contamination
+from docloom.llm.language_id import language_id
 from docloom.llm.length_histogram import length_histogram, token_lengths
 from docloom.llm.line_quality import ORACLE as LINE_QUALITY_SQL
 from docloom.llm.line_quality import line_quality
+from docloom.llm.packing import pack
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_store import stored_documents
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op3_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents")).drop("_id", "_hash")
 
@@ -25,6 +31,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("_id", "_hash")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,5 +48,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"))).withColumn("quantile", F.round("quantile", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_line_quality, op4_decontamination, op7_simhash, op9_token_store, op10_length_histogram)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op7_simhash, op9_token_store, op10_length_histogram)}
 ORACLES: dict[str, str] = {"op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}

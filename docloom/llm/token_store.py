@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, small_or_shuffled
+from docloom.llm.base import checkpoint_folder, checkpointed, small_or_shuffled
 from docloom.llm.tokens import default_tokenizer, encoder
 
 #: The dictionary is trained on about so many documents, spread by the hash of their id, of at most SAMPLE_CHARS
@@ -155,7 +155,6 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
 def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
     """Writes a store below the session's checkpoint folder, reads it back and returns (doc_id, start, n_tokens, ids_crc32)."""
     spark = docs.sparkSession
-    checkpointed(spark.range(0))  # sets a folder where none is
-    out = f"{spark.sparkContext.getCheckpointDir()}/token_store_{uuid.uuid4().hex}"
+    out = f"{checkpoint_folder(spark)}/token_store_{uuid.uuid4().hex}"
     write_token_store(docs, out, tokenizer, end_id)
     return read_token_store(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
