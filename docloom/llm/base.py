@@ -58,6 +58,13 @@ def words_of(text: Column, separators: str = NON_WORD) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), separators), lambda w: w != "")
 
 
+def count_words(text: Column, separators: str = NON_WORD) -> Column:
+    """How many words ``words_of`` would give; only the first and last part of a split can be empty."""
+    parts = F.split(F.coalesce(text, F.lit("")), separators)
+    empty_last = F.when(F.size(parts) > 1, (F.element_at(parts, -1) == "").cast("int")).otherwise(0)
+    return (F.size(parts) - (F.get(parts, F.lit(0)) == "").cast("int") - empty_last).cast("long")
+
+
 def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     """Two columns that tell rows apart: the id and a hash of the text. Equal rows share a key and so a result."""
     return [F.col(doc_id).alias("_id"), F.xxhash64(F.col(text)).alias("_hash")]

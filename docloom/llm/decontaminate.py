@@ -7,10 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import BROADCAST_ROWS, ascii_lower, checkpointed, is_small, on_key, row_key, small_or_shuffled, words_of
+from docloom.llm.base import BROADCAST_ROWS, ascii_lower, checkpointed, count_words, is_small, on_key, row_key, small_or_shuffled, words_of
 
-#: The same words before lower-casing.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What parts words before lower-casing.
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _grams(words: Column, k: int) -> Column:
@@ -86,7 +86,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         for n in lengths
     ]
     key = ["_id", "_hash"]
-    counted = docs.select(*row_key(), "doc_id", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
+    counted = docs.select(*row_key(), "doc_id", count_words(F.col("text"), SEPARATORS).alias("n_words"))
     nothing = F.sha2(F.lit(""), 256)
     if not found:
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))

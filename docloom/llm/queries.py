@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm.base import table
+from docloom.llm.chat import ORACLE as CHAT_SQL
+from docloom.llm.chat import rendered
 from docloom.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from docloom.llm.decontaminate import contamination
 from docloom.llm.language_id import language_id
@@ -17,6 +19,12 @@ from docloom.llm.line_quality import line_quality
 from docloom.llm.packing import pack
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_store import stored_documents
+from docloom.llm.url_filter import ORACLE as URL_SQL
+from docloom.llm.url_filter import RULES, url_verdicts
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_verdicts(table(spark, sf_dir, "pages"), RULES)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +48,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rendered(table(spark, sf_dir, "conversations"))
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_documents(table(spark, sf_dir, "documents"))
 
@@ -48,5 +60,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"))).withColumn("quantile", F.round("quantile", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op7_simhash, op9_token_store, op10_length_histogram)}
-ORACLES: dict[str, str] = {"op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op7_simhash, op8_chat, op9_token_store, op10_length_histogram)}
+ORACLES: dict[str, str] = {"op1_url_filter": URL_SQL, "op8_chat": CHAT_SQL, "op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}
