@@ -14,6 +14,8 @@ from docloom.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from docloom.llm.decontaminate import contamination
 from docloom.llm.language_id import language_id
 from docloom.llm.length_histogram import length_histogram, token_lengths
+from docloom.llm.license_scan import license_scan
+from docloom.llm.license_scan import oracle as license_sql
 from docloom.llm.line_quality import ORACLE as LINE_QUALITY_SQL
 from docloom.llm.line_quality import line_quality
 from docloom.llm.packing import pack
@@ -43,6 +45,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,5 +66,5 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"))).withColumn("quantile", F.round("quantile", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op7_simhash, op8_chat, op9_token_store, op10_length_histogram)}
-ORACLES: dict[str, str] = {"op1_url_filter": URL_SQL, "op8_chat": CHAT_SQL, "op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op6_license_scan, op7_simhash, op8_chat, op9_token_store, op10_length_histogram)}
+ORACLES: dict[str, str] = {"op6_license_scan": license_sql(), "op1_url_filter": URL_SQL, "op8_chat": CHAT_SQL, "op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}
