@@ -50,37 +50,42 @@ def node_of(url: Column) -> Column:
 
 def _attribute(tag: Column, name: str) -> Column:
     """The value of an attribute of a tag, in double, single or no quotes; empty if there is none."""
-    parts = [F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{p}", 1) for p in (r'"([^"]*)"', r"'([^']*)'", r"""([^\s"'>]+)""")]
-    return F.when(parts[0] != "", parts[0]).when(parts[1] != "", parts[1]).otherwise(parts[2])
-
-
-def _resolved(target: Column, base: Column) -> Column:
-    """``target`` as an absolute url, seen from the page ``base``; null if it leads nowhere."""
-    t = F.trim(F.replace(target, F.lit("&amp;"), F.lit("&")))
-    scheme = F.regexp_extract(base, r"(?s)^((?:(?!://).)*):", 1)
-    site = F.regexp_extract(base, r"(?s)^((?:(?!://).)*://[^/?#]*)", 1)
-    folder = F.regexp_extract(base, r"(?s)^((?:(?!://).)*://[^/?#]*(?:/[^?#]*/|/)?)", 1)
-    folder = F.when(folder.endswith("/"), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
-        F.when(t == "", F.lit(None))
-        .when(t.rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), t)
-        .when(t.startswith("//"), F.concat(scheme, F.lit(":"), t))
-        .when(t.startswith("/"), F.concat(site, t))
-        .when(t.rlike(r"(?i)^(?:[a-z][a-z0-9+.\-]*:|#|\?)"), F.lit(None))
-        .otherwise(F.concat(folder, t))
+    quoted = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.regexp_replace(quoted, r"""^["']|["']$""", "")
+
+
+def _resolved(links: DataFrame) -> DataFrame:
+    """(url, target) with targets made absolute, seen from the page ``url``; those that lead nowhere are left out."""
+    d = links.select(
+        "url",
+        F.trim(F.replace("target", F.lit("&amp;"), F.lit("&"))).alias("t"),
+        F.regexp_extract("url", r"(?s)^((?:(?!://).)*):", 1).alias("scheme"),
+        F.regexp_extract("url", r"(?s)^((?:(?!://).)*://[^/?#]*)", 1).alias("site"),
+        F.regexp_replace(F.regexp_extract("url", r"(?s)^((?:(?!://).)*://[^/?#]*(?:/[^?#]*/|/)?)", 1), "/$", "").alias("folder"),
     )
+    target = (
+        F.when(F.col("t").rlike(r"(?i)^[a-z][a-z0-9+.\-]*://"), F.col("t"))
+        .when(F.col("t").startswith("//"), F.concat("scheme", F.lit(":"), "t"))
+        .when(F.col("t").startswith("/"), F.concat("site", "t"))
+        .when(F.col("t").rlike(r"(?i)^(?:$|[a-z][a-z0-9+.\-]*:|#|\?)"), F.lit(None))
+        .otherwise(F.concat("folder", F.lit("/"), "t"))
+    )
+    return d.select("url", target.alias("target")).where("target IS NOT NULL")
 
 
 def alias_edges(pages: DataFrame) -> DataFrame:
     """(src, dst): nodes joined by a page's canonical link or by its refresh to another url."""
     html = F.coalesce("html", F.lit(""))
     # most pages have neither: a plain search decides before any pattern runs
-    marked = pages.where(F.col("url").isNotNull()).select("url", html.alias("h"), F.lower(html).alias("l")).where(F.col("l").contains("canonical") | F.col("l").contains("http-equiv"))
+    lower = F.lower(html)
+    marked = pages.where(F.col("url").isNotNull()).where(lower.contains("canonical") | lower.contains("http-equiv")).select("url", html.alias("h"))
     tags = marked.select("url", F.explode_outer(F.regexp_extract_all("h", F.lit(r"(?is)(<(?:link|meta)\s[^>]*>)"), 1)).alias("tag")).where("tag IS NOT NULL")
-    canonical = F.when(F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical"), _attribute(F.col("tag"), "href"))
-    refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh", F.regexp_extract(_attribute(F.col("tag"), "content"), r"""(?is)url\s*=\s*['"]?([^'"\s;]+)""", 1))
-    edges = tags.select("url", F.coalesce(canonical, refresh).alias("target")).where("target IS NOT NULL")
-    return edges.select(node_of(F.col("url")).alias("src"), node_of(_resolved(F.col("target"), F.col("url"))).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
+    tags = tags.select("url", *[_attribute(F.col("tag"), a).alias(f"a{i}") for i, a in enumerate(("rel", "href", "http-equiv", "content"))])
+    canonical = F.when(F.lower("a0").rlike(r"(^|\s)canonical(\s|$)"), F.col("a1"))
+    refresh = F.when(F.lower("a2") == "refresh", F.regexp_extract("a3", r"""(?is)url\s*=\s*['"]?([^'"\s;]+)""", 1))
+    links = tags.select("url", F.coalesce(canonical, refresh).alias("target")).where("target != ''")
+    links = checkpointed(links)  # what follows looks at each url and target many times
+    return _resolved(links).select(node_of(F.col("url")).alias("src"), node_of(F.col("target")).alias("dst")).where("src IS NOT NULL AND dst IS NOT NULL")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
