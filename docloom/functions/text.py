@@ -176,7 +176,7 @@ def document_type(text: Column) -> Column:
 
 def legal_references(text: Column) -> Column:
     """Groups of all matches, joined, distinct, sorted, at most ten."""
-    named = F.zip_with(F.regexp_extract_all(text, F.lit(LEGAL_REFERENCES[0]), 1), F.regexp_extract_all(text, F.lit(LEGAL_REFERENCES[0]), 2), F.concat)
+    named = F.zip_with(F.regexp_extract_all(text, F.lit(LEGAL_REFERENCES[0]), 1), F.regexp_extract_all(text, F.lit(LEGAL_REFERENCES[0]), 2), lambda a, b: F.concat(a, b))
     rest = [F.regexp_extract_all(text, F.lit(p), 1) for p in LEGAL_REFERENCES[1:]]
     return F.slice(F.array_sort(F.array_distinct(F.concat(named, *rest))), 1, 10)
 
@@ -205,7 +205,7 @@ def _dates(text: Column, pattern: str) -> Column:
     groups = 3 if pattern.count("(\\d{1,2})") == 2 else 2
     parts = [F.regexp_extract_all(text, F.lit(pattern), i + 1) for i in range(groups)]
     zipped = F.arrays_zip(*[p.alias(f"g{i}") for i, p in enumerate(parts)])
-    return F.transform(zipped, lambda z: F.concat_ws("-", z["0"], *[F.lpad(z[str(i)], 2, "0") for i in range(1, groups)]))
+    return F.transform(zipped, lambda z: F.concat_ws("-", z["g0"], *[F.lpad(z[f"g{i}"], 2, "0") for i in range(1, groups)]))
 
 
 def timeline_dates(text: Column) -> Column:

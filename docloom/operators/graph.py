@@ -82,11 +82,13 @@ def components(edges: DataFrame) -> DataFrame:
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """(node, community): every node takes the label with the largest weight around it, the least among equals.
 
-    Even and odd nodes (by a hash) take turns, which keeps pairs from swapping labels for ever. A deterministic
+    Its own label counts as much as its heaviest edge, and even and odd nodes (by a hash) take turns, which keeps
+    neighbours from swapping labels for ever. A deterministic
     stand-in for seeded Louvain that only groups and joins; nodes without edges keep to themselves.
     """
     w = edges.select("src", "dst", "weight").where("src != dst")
-    e = _cut(w.union(w.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight")))
+    e = w.union(w.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
+    e = _cut(e.unionByName(e.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")))
     labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for r in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("votes"))

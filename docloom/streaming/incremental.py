@@ -28,14 +28,19 @@ def compile_incrementally(spark: SparkSession, source: str, schema, step: Callab
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _watermarked(events: DataFrame, late: str) -> DataFrame:
+    """A stream with a watermark, which needs a timestamp with a zone; a table as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def windowed_counts(events: DataFrame, size: str = "1 day", late: str = "1 hour") -> DataFrame:
     """(start, event_type, n, total) by event time; on a stream, rows later than the watermark are left out."""
-    d = events.withWatermark("ts", late) if events.isStreaming else events
+    d = _watermarked(events, late)
     g = d.groupBy(F.window("ts", size).alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return g.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """(user_id, start, n): runs of a user's events without a longer pause."""
-    d = events.withWatermark("ts", late) if events.isStreaming else events
+    d = _watermarked(events, late)
     return d.groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), "n")
