@@ -40,7 +40,11 @@ SHARE, LEAST_VOTES = 0.6, 2
 
 
 def _occurrences(docs: DataFrame, phrases: list[list[str]], vocabulary: list[str]) -> DataFrame:
-    """_id, _hash, pos, w (a licence word, else null), phrases (numbers of those that begin at pos)."""
+    """_id, _hash, pos, w (a licence word, else null), phrases (numbers of those that begin at pos).
+
+    Up to here only generated code runs on the rows that still hold a text's words: phrases are bits of integers, so
+    that no row with all words is ever copied.
+    """
     d = docs.select(*row_key(), words_of(ascii_lower(F.col("text"))).alias("words"))
     d = d.select("_id", "_hash", "words", F.posexplode_outer("words").alias("pos", "w"))
     wanted = sorted({*vocabulary, *(p[0] for p in phrases)})
@@ -48,9 +52,15 @@ def _occurrences(docs: DataFrame, phrases: list[list[str]], vocabulary: list[str
     def begins(p: list[str]) -> Column:
         return reduce(Column.__and__, [F.get("words", F.col("pos") + i) == w for i, w in enumerate(p) if i], F.col("w") == p[0])
 
-    found = F.array_compact(F.array(*[F.when(begins(p), F.lit(i)) for i, p in enumerate(phrases)]))
-    d = d.where(F.col("w").isin(wanted)).select("_id", "_hash", "pos", F.when(F.col("w").isin(vocabulary), F.col("w")).alias("w"), found.alias("phrases"))
-    return d.where(F.col("w").isNotNull() | (F.size("phrases") > 0)).distinct()
+    bits = []
+    for at in range(0, len(phrases), 60):
+        own = [F.when(F.coalesce(begins(p), F.lit(False)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, p in enumerate(phrases[at : at + 60])]
+        bits.append(reduce(Column.__add__, own).alias(f"bits{len(bits)}"))
+    names = [f"bits{i}" for i in range(len(bits))]
+    d = d.where(F.col("w").isin(wanted)).select("_id", "_hash", "pos", F.when(F.col("w").isin(vocabulary), F.col("w")).alias("w"), *bits)
+    d = d.where(F.col("w").isNotNull() | reduce(Column.__or__, [F.col(n) != 0 for n in names])).distinct()
+    numbers = F.filter(F.sequence(F.lit(0), F.lit(len(phrases) - 1)), lambda i: reduce(Column.__or__, [F.coalesce(F.call_function("shiftright", F.col(n), i - 60 * k).bitwiseAND(F.lit(1)) == 1, F.lit(False)) & i.between(60 * k, 60 * k + 59) for k, n in enumerate(names)]))
+    return d.select("_id", "_hash", "pos", "w", F.when(reduce(Column.__or__, [F.col(n) != 0 for n in names]), numbers).otherwise(F.array().cast("array<int>")).alias("phrases"))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None = None, rare_words: int = RARE_WORDS) -> DataFrame:
