@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,22 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
+def text_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, after the session's Arrow batches are bounded to 1000 rows: rows here are whole texts."""
+    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= most:
+        conf.set(name, str(most))
+    return docs
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches in smaller pieces, so that a task holds few texts as Python objects at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; whole ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
@@ -73,3 +91,17 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
 def on_key(left: DataFrame, right: DataFrame):
     """Null-safe equality on the columns of ``row_key``."""
     return left["_id"].eqNullSafe(right["_id"]) & (left["_hash"] == right["_hash"])
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, ...) whose key is not in ``gone`` (columns of ``row_key``); columns as they came.
+
+    Names used on the way differ from all of the documents' own.
+    """
+    mark = "_key"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    keyed = docs.withColumns({f"{mark}id": F.col("doc_id"), f"{mark}hash": F.xxhash64("text")})
+    gone = small_or_shuffled(checkpointed(gone.select(F.col("_id").alias(f"{mark}gone_id"), F.col("_hash").alias(f"{mark}gone_hash")).distinct()))
+    same = F.col(f"{mark}id").eqNullSafe(F.col(f"{mark}gone_id")) & (F.col(f"{mark}hash") == F.col(f"{mark}gone_hash"))
+    return keyed.join(gone, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

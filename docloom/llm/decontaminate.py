@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import BROADCAST_ROWS, ascii_lower, checkpointed, count_words, is_small, on_key, row_key, small_or_shuffled, words_of
+from docloom.llm.base import BROADCAST_ROWS, ascii_lower, checkpointed, count_words, is_small, row_key, small_or_shuffled, without, words_of
 
 #: What parts words before lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -53,8 +53,9 @@ def _matches(docs: DataFrame, runs: DataFrame, items: DataFrame, length: int, k:
     if is_small(prints, most_broadcast):
         found = kept.join(F.broadcast(prints), "gram")
     else:  # shuffle narrow rows, then open only the texts that were hit
-        places = kept.select(*key, "pos", "gram").join(prints, "gram").groupBy(*key).agg(F.collect_set("pos").alias("places"))
-        found = docs.join(places, on_key(docs, places)).select(docs["_id"], docs["_hash"], "words", F.explode("places").alias("pos"))
+        places = kept.select(*key, "pos", "gram").join(prints, "gram").groupBy(F.col("_id").alias("p_id"), F.col("_hash").alias("p_hash")).agg(F.collect_set("pos").alias("places"))
+        same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_hash") == F.col("p_hash"))
+        found = docs.join(places, same).select(*key, "words", F.explode("places").alias("pos"))
     at = _windows(found, key, length, length - k)
     return at.join(runs, "run").select(*key, "s", F.lit(length).alias("length"), "wid")
 
@@ -89,7 +90,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     counted = docs.select(*row_key(), "doc_id", count_words(F.col("text"), SEPARATORS).alias("n_words"))
     nothing = F.sha2(F.lit(""), 256)
     if not found:
-        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"))
+        return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"), "_id", "_hash")
     hits = checkpointed(reduce(DataFrame.union, found).distinct())
     end = F.col("s") + F.col("length")
     before = F.max(end).over(Window.partitionBy(*key).orderBy("s", "length").rowsBetween(Window.unboundedPreceding, -1))
@@ -97,28 +98,23 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     covered = hits.select(*key, "s", "length").distinct().select(*key, fresh.alias("fresh")).groupBy(*key).agg(F.sum("fresh").alias("n_hit"))
     named = hits.select(*key, "wid").distinct().join(small_or_shuffled(of_items, most_broadcast), "wid").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy(*key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
-    same = covered["_id"].eqNullSafe(named["_id"]) & (covered["_hash"] == named["_hash"])
-    marks = covered.join(named, same).select(covered["_id"], covered["_hash"], "n_hit", "n_items", "items_sha256")
-    return counted.join(marks, on_key(counted, marks), "left").select(
+    named = named.withColumnsRenamed({"_id": "m_id", "_hash": "m_hash"})
+    marks = covered.join(named, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash"))).select("m_id", "m_hash", "n_hit", "n_items", "items_sha256")
+    return counted.join(marks, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash")), "left").select(
         "doc_id",
         "n_words",
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"),
         F.coalesce("items_sha256", nothing).alias("items_sha256"),
         F.coalesce(F.col("n_hit") > 0, F.lit(False)).alias("contaminated"),
-        counted["_id"],
-        counted["_hash"],
+        "_id",
+        "_hash",
     )
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5) -> DataFrame:
     """The rows of ``docs`` that hold no run of any item, all columns as they came."""
-    gone = contamination(docs, items, window, k).where("contaminated")
-    if "_id" not in gone.columns:
-        return docs
-    gone = small_or_shuffled(checkpointed(gone.select("_id", "_hash").distinct()))
-    keyed = docs.select("*", *row_key())
-    return keyed.join(gone, on_key(keyed, gone), "left_anti").select(*docs.columns)
+    return without(docs, contamination(docs, items, window, k).where("contaminated"))
 
 
 #: DuckDB SQL of the registered query.

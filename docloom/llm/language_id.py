@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, small_or_shuffled
+from docloom.llm.base import checkpointed, slices, small_or_shuffled, text_batches
 
 #: Symbols of a gram: the one predicted and up to three before it within the same word.
 ORDER = 4
@@ -22,7 +22,7 @@ CALIBRATE = 5
 #: Symbols that a model reckons with beyond those it has seen.
 ALPHABET = 1 << 16
 #: Symbols that a task scores at a time.
-GROUP = 1 << 20
+GROUP = 1 << 18
 #: A text is rejected if its best model needs so many bits a symbol more than nearly all calibrating documents did, plus
 #: SHORT bits shared out over the symbols, or if its score is below LEAST_SCORE.
 SLACK, SHORT, LEAST_SCORE = 1.0, 24.0, 0.5
@@ -147,6 +147,8 @@ class Model:
 def kneser_ney(counts: pd.DataFrame) -> Model:
     """A model from columns lang, s0 (last symbol), s1, ..., n: how often each full gram was seen."""
     model = Model(langs=sorted(counts["lang"].unique()))
+    if not model.langs:
+        return model
     names = [f"s{i}" for i in range(ORDER)]
     steps: list[dict[int, tuple]] = []
     for lang in model.langs:
@@ -203,6 +205,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     sample takes no part in counting: it sets how sharply differences between languages count, and how many bits a
     symbol a text may need before it is rejected.
     """
+    labelled = text_batches(labelled)
     rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
     sizes = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("docs")))
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003))
@@ -212,7 +215,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     fields = [("lang", pa.string()), *((f"s{i}", pa.int64()) for i in range(ORDER)), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own: dict[str, list[np.ndarray]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own.setdefault(lang, []).append(symbols(text))
@@ -231,7 +234,7 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
         return model
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             bits, n = model.cross_entropy(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits.tolist(), pa.list_(pa.float64())), pa.array(n)], ["lang", "bits", "n"])
 
@@ -262,12 +265,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = model.judge(batch.column(1).to_pylist())
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "bits", "rejected"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -283,8 +286,8 @@ def identified(docs: DataFrame) -> DataFrame:
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = model.judge(batch.column(names.index("text")).to_pylist())
             yield batch.filter(pa.array([not f[3] for f in found], pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return text_batches(docs).mapInArrow(keep, schema)

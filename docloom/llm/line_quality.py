@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import BLANK, checkpointed, on_key, row_key, small_or_shuffled, words_of
+from docloom.llm.base import BLANK, checkpointed, on_key, row_key, small_or_shuffled, without, words_of
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Base rules: fewer words, or a larger share of words in repeated three-word windows, fail.
@@ -106,7 +106,7 @@ def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DO
     gone = gone.groupBy("_id", "_hash", "host").agg(F.sum("words").alias("gone"))
     # one text under one id on two hosts: the host that leaves least decides
     gone = gone.groupBy("_id", "_hash").agg(F.max("gone").alias("gone")).alias("g")
-    d = base_rules(docs)
+    d = checkpointed(base_rules(docs))  # else a caller's filter would be computed inside the loops over words
     d = d.join(gone, on_key(d, gone), "left").select(d["*"], F.coalesce("gone", F.lit(0)).alias("gone"))
     left = F.col("n_words") - F.col("gone")
     kept = ~F.col("base_failed") & ~((F.col("gone") > 0) & (left < least_left * F.col("n_words")))
@@ -115,10 +115,7 @@ def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DO
 
 def without_rejects(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that ``line_quality`` keeps, all columns as they came."""
-    verdicts = line_quality(docs, **limits)
-    gone = small_or_shuffled(checkpointed(verdicts.where(~F.col("kept")).select("_id", "_hash").distinct()))
-    keyed = docs.select("*", *row_key())
-    return keyed.join(gone, on_key(keyed, gone), "left_anti").select(*docs.columns)
+    return without(docs, line_quality(docs, **limits).where(~F.col("kept")))
 
 
 #: DuckDB SQL of the registered query.
