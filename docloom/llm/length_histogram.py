@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed
+from docloom.llm.base import checkpointed, slices, text_batches
 from docloom.llm.tokens import default_tokenizer, encoder
 
 #: Lengths that share one block of the two-level sums.
@@ -20,11 +20,11 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_tokens: int
     path = tokenizer or default_tokenizer()
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             lengths = [len(ids) // 4 + end_tokens for ids in encoder(path).encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
-    return docs.select("text").mapInArrow(count, "n_tokens long")
+    return text_batches(docs).select("text").mapInArrow(count, "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:

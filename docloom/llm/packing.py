@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed
-from docloom.llm.tokens import default_tokenizer, encoder
+from docloom.llm.base import checkpointed, slices, text_batches
+from docloom.llm.tokens import MEMO_WORDS, default_tokenizer, encoder
 
 WINDOW, END_ID = 2048, 1
 #: Lengths are binned in steps of so many ids; a combination has at most DEPTH pieces.
@@ -50,7 +50,8 @@ def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
         active[j] = True
         while True:
             z = np.zeros_like(x)
-            z[active] = np.linalg.lstsq(a[:, active], b, rcond=None)[0]
+            own = a[:, active]
+            z[active] = np.linalg.solve(own.T @ own + 1e-9 * np.eye(own.shape[1]), own.T @ b)
             low = active & (z <= 0)
             if not low.any():
                 x = z
@@ -101,15 +102,15 @@ def joined_crc(crcs: list[tuple[int, int]]) -> int:
     return total
 
 
-def encoded_pieces(docs: DataFrame, path: str, window: int, end_id: int) -> DataFrame:
+def encoded_pieces(docs: DataFrame, path: str, window: int, end_id: int, memo_words: int = MEMO_WORDS) -> DataFrame:
     """A row for each document: doc_id, doc_tokens, CRC-32 of each full window, length and CRC-32 of the rest, and the
     CRC-32 of the rest's segments as unsigned 32-bit integers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             counts, full, rests, rest_crcs, segments = [], [], [], [], []
-            for ids in encoder(path).encode(batch.column(1).to_pylist()):
+            for ids in encoder(path, memo_words).encode(batch.column(1).to_pylist()):
                 ids += end
                 n = len(ids) // 4
                 cut = n // window * window * 4
@@ -124,12 +125,12 @@ def encoded_pieces(docs: DataFrame, path: str, window: int, end_id: int) -> Data
                 ["doc_id", "doc_tokens", "full", "rest", "rest_crc", "segments"],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, rest long, rest_crc long, segments binary")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, rest long, rest_crc long, segments binary")
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Parts of rests that end where a sequence does, with their checksums."""
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for r in batch.to_pylist():
             crcs = np.frombuffer(r["segments"], "<u4").tolist()
@@ -144,7 +145,7 @@ def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.int64()) for i in range(len(names))], names)
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, end_id: int = END_ID, memo_words: int = MEMO_WORDS) -> DataFrame:
     """Pieces of all documents, each with its place: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A document is the ids of its whole text (null: none) and ``end_id``. Full windows are sequences of their own. What
@@ -154,13 +155,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     belongs to. Pieces that the rounded solution leaves over are packed greedily end to end and cut at window
     borders, so only the last sequence has more than rounding for padding.
 
+    ``memo_words`` bounds what a worker keeps of encoded words; fewer take less memory and more time.
+
     Ranks and running sums come from counts for each partition of a checkpoint, whose partitions do not change, and
     from windows within a partition, so no bin or sequence is gathered. Repeated rows are packed as often as they come;
     null ids stay null; no rows give no pieces.
     """
     path = tokenizer or default_tokenizer()
     bins, slots = window // QUANTUM, window // SEGMENT
-    base = checkpointed(encoded_pieces(docs, path, window, end_id)).select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"))
+    base = checkpointed(encoded_pieces(docs, path, window, end_id, memo_words)).select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"))
     rests = base.where("rest > 0").withColumn("bin", F.ceil(F.col("rest") / QUANTUM))
     sizes = checkpointed(rests.groupBy("pid", "bin").agg(F.count("*").alias("n")))
     histogram = {r["bin"]: r["n"] for r in sizes.groupBy("bin").agg(F.sum("n").alias("n")).collect()}

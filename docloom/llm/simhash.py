@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, small_or_shuffled
+from docloom.llm.base import checkpointed, slices, small_or_shuffled, text_batches
 from docloom.llm.components import connected_components
 
 BITS = 64
@@ -45,11 +45,11 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -157,7 +157,7 @@ def fingerprints_with_text(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """(text, fp) for every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["text", "fp"])
 

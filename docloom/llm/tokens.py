@@ -7,7 +7,7 @@ from array import array
 
 import numpy as np
 
-#: Entries that a worker keeps of encoded words; beyond it, the memo starts anew. Bounds memory, not results.
+#: Entries that a worker keeps of encoded words; beyond it, those met once are forgotten. Bounds memory, not results.
 MEMO_WORDS = 900_000
 #: Longer words are encoded but not kept.
 MEMO_CHARS = 64
@@ -32,13 +32,15 @@ class Encoder:
     The ids are those of the library for the whole text; strings of special tokens count as text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_words: int = MEMO_WORDS):
+        self.memo_words = memo_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memo: dict[str, bytes | None] = {}
+        self.again: set[str] = set()
         self.ends = dict(zip(ENDS, self._whole(list(ENDS)), strict=True))
         newline = self._whole(["\n"])[0]
         self.newline = int(np.frombuffer(newline, "<u4")[0]) if len(newline) == 4 else None
@@ -75,9 +77,10 @@ class Encoder:
             if text.split() != group:  # a part with white space inside or at an end, or an empty one
                 memo.update([(key + p, None) for p in group if not p or p[0].isspace() or p[-1].isspace()])
                 group = [p for p in group if p and not p[0].isspace() and not p[-1].isspace()]
-                text = before + before.join(group) if group else ""
-            groups.append(group)
-            joined.append(text)
+                text = before + before.join(group)
+            if group:
+                groups.append(group)
+                joined.append(text)
         for group, encoded in zip(groups, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(encoded.ids, dtype="<u4")
             at = 4 * np.flatnonzero(ids == self.newline)
@@ -103,10 +106,16 @@ class Encoder:
 
     def _encode_group(self, texts: list[str | None]) -> list[bytes]:
         parted = [f"\n{t}".replace("\n", " \n").split(" ")[1:] if t else [] for t in texts]
-        new = set().union(*parted).difference(self.memo)
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo.clear()
-            new = set().union(*parted)
+        held = set().union(*parted)
+        new = held.difference(self.memo)
+        if len(self.memo) + len(new) > self.memo_words:
+            kept = self.again | (held - new)
+            if len(kept) + len(new) > self.memo_words:
+                kept = held - new
+            self.memo = {p: self.memo[p] for p in kept}
+            self.again = set()
+        else:
+            self.again |= held - new
         self._learn(new)
         found = self.memo.__getitem__
         out: list[bytes | None] = []
@@ -123,11 +132,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a tokenizer file, kept between batches."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, memo_words: int = MEMO_WORDS) -> Encoder:
+    """The worker's encoder for a tokenizer file, kept between batches; ``memo_words`` bounds its memory."""
+    key = (path, memo_words)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, memo_words)
+    return _encoders[key]
