@@ -72,6 +72,19 @@ COMPARABLE_ATTRIBUTES = "age gender sex name id_number amount date time location
 TABLE_TOTALS = "统计 排名 最多 最少 占比 分组 排行".split()
 COMPLEX_WORDS = "证据 分析 责任 法律 判决 犯罪 案件 关键 核心 矛盾 疑点 争议 定性 定罪 量刑 依据 充分 链条".split()
 MEDIUM_WORDS = "关系 关联 如何 为什么 原因 经过 摘要 概述 过程 情况 背景 影响 演变 发展 联系 区别".split()
+#: Question types, tried in this order; a question of the first kind is complex if it asks for totals.
+TABLE_WORDS = "表格 表里 表中的 数据表 Excel excel 统计表".split()
+TOTAL_WORDS = "统计 排名 最多 最少 平均 占比 总计 分组 排行 TOP top 求和 数量 多少个 几种 各类".split()
+QUESTION_TYPES = [
+    ("comparative", "对比 比较 矛盾 不一致 差异 不同".split()),
+    ("evidential", "证据 证明 证据链 物证 书证".split()),
+    ("analytical", "为什么 动机 原因 目的 起因 缘由".split()),
+    ("temporal", "什么时候 时间 时间线 先后 经过 日程".split()),
+    ("relational", "关系 关联 联系 之间".split()),
+]
+CHAPTER = r"^(?:第[一二三四五六七八九十百千万\d]+\s*[章节回卷集篇幕]|#\s*第.+$|(?i:Chapter)\s+\d+|卷[一二三四五六七八九十百千万\d]+)"
+VOLUME = r"^(?:第[一二三四五六七八九十百千万\d]+\s*卷|卷[一二三四五六七八九十百千万\d]+$)"
+
 SIMPLE_WORDS = "是谁 叫什么 什么时候 在哪 时间 地点 名字 什么人 哪个 几位 多少 何时 哪里 姓名".split()
 # -------------------------------------------------------------------------------------------------------------------
 
@@ -286,3 +299,33 @@ def ngram_words(text: Column) -> Column:
 
 def _cut(segment: Column, n: int):
     return lambda i: F.substring(segment, i * n + 1, F.lit(n))
+
+
+def question_type(query: Column) -> Column:
+    out = F.when(contains_any(query, TABLE_WORDS + TOTAL_WORDS), "tabular")
+    for kind, words in QUESTION_TYPES:
+        out = out.when(contains_any(query, words), kind)
+    return out.otherwise("factual")
+
+
+def start_level(kind: Column, complexity: Column) -> Column:
+    """The layer that a search begins with."""
+    return F.when(kind == "tabular", "L1").when(complexity == "simple", "L0").when(kind == "evidential", "L2").otherwise("L1")
+
+
+def heading(text: Column, pattern: str = CHAPTER) -> Column:
+    """The first line that begins a chapter or volume; null if there is none."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
+    return F.get(F.filter(lines, lambda x: x.rlike(pattern)), F.lit(0))
+
+
+def json_object(text: Column) -> Column:
+    """The JSON text of a model's answer: a fenced block, else what stands from the first to the last brace; else null."""
+    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", 1)
+    braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
+    return F.when(fenced != "", fenced).when(braced != "", braced)
+
+
+def word_pairs(text: Column) -> Column:
+    """Lower-cased words of two characters or more."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.length(w) >= 2)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import last_tokens
+from docloom.functions.text import heading, last_tokens
 
 LEAST, MOST, OVERLAP = 500, 1000, 100
 _WIDE = re.compile("[\u2e81-\U0010ffff]+")
@@ -133,3 +133,19 @@ def strip_header(text: Column) -> Column:
 
 def with_header(chunk_id: Column, doc_id: Column, n: Column, body: Column) -> Column:
     return F.concat(F.lit("# "), chunk_id, F.lit("\n**Doc:** "), doc_id, F.lit("\n**Token Count:** "), n.cast("string"), F.lit("\n---\n"), body)
+
+
+def chapters(chunks: DataFrame, doc: str, order: str, text: str, pattern: str | None = None, chars: int = 2048, size: int = 100) -> DataFrame:
+    """(doc, name, first, last): chapters begin at chunks with a heading near the top and end before the next one.
+
+    Documents without a heading get ranges of ``size`` chunks.
+    """
+    found = heading(F.substring(text, 1, chars), pattern) if pattern else heading(F.substring(text, 1, chars))
+    d = chunks.select(doc, F.col(order).alias("at"), found.alias("name"))
+    ends = d.groupBy(doc).agg(F.max("at").alias("end"), F.min("at").alias("begin"), F.count("name").alias("named"))
+    w = Window.partitionBy(doc).orderBy("at")
+    named = d.where("name IS NOT NULL").withColumn("next", F.lead("at").over(w)).join(ends.select(doc, "end"), doc)
+    named = named.select(doc, "name", F.col("at").alias("first"), F.coalesce(F.col("next") - 1, F.col("end")).alias("last"))
+    plain = ends.where("named = 0").select(doc, "end", F.explode(F.sequence("begin", "end", F.lit(size))).alias("first"))
+    last = F.least(F.col("first") + size - 1, F.col("end"))
+    return named.unionByName(plain.select(doc, F.concat(F.lit("#"), "first", F.lit(" - #"), last).alias("name"), "first", last.alias("last")))

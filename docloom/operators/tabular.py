@@ -153,7 +153,7 @@ def table_question(rows: DataFrame, query: str, columns: list[str]) -> DataFrame
 def markdown_rows(texts: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line_no, cells): rows of Markdown tables in texts, rules and headers' dashes left out."""
     d = texts.select(key, F.posexplode_outer(F.split(text, "\n")).alias("line_no", "line")).where(F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(r"^[\s|:\-]+$"))
-    return d.select(key, "line_no", F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim).alias("cells"))
+    return d.select(key, "line_no", F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
 
 
 def formatted_cell(value: Column) -> Column:

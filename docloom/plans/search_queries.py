@@ -245,3 +245,14 @@ def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.operators.conversation import claim_check as check
 
     return check("License, reserved.", table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@register(rf"""
+WITH {LINES}, h AS (SELECT doc_id, line_no, CASE WHEN regexp_matches(trim(line), '^All rights') THEN trim(line) END AS name FROM lines),
+e AS (SELECT doc_id, max(line_no) AS "end", min(line_no) AS b, count(name) AS k FROM h GROUP BY doc_id),
+n AS (SELECT h.doc_id, name, line_no AS "first", coalesce(lead(line_no) OVER (PARTITION BY h.doc_id ORDER BY line_no) - 1, e."end") AS "last" FROM h JOIN e USING (doc_id) WHERE name IS NOT NULL),
+p AS (SELECT doc_id, "end", unnest(range(b, "end" + 1, 10)) AS "first" FROM e WHERE k = 0)
+SELECT doc_id, name, CAST("first" AS INT) AS "first", CAST("last" AS INT) AS "last" FROM n
+UNION ALL SELECT doc_id, '#' || "first" || ' - #' || least("first" + 9, "end"), CAST("first" AS INT), CAST(least("first" + 9, "end") AS INT) FROM p""")
+def chapter_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.chapters(_line_chunks(spark, sf_dir), "doc_id", "line_no", "line", "^All rights", size=10)

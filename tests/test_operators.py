@@ -82,3 +82,8 @@ def test_front_matter_and_health(spark):
 def test_csv_and_plain_text():
     assert files.csv_rows("a,b\n金额,2\n".encode("gbk")) == [["a", "b"], ["金额", "2"]]
     assert files.plain_text(("这是一个测试文档的内容文字" + "\nx").encode("gbk")) == "这是一个测试文档的内容文字"
+
+
+def test_markdown_rows(spark):
+    d = spark.createDataFrame([(1, "text\n| a | b |\n|---|---|\n| 1 |  x y |\nend")], "k long, t string")
+    assert [r.cells for r in tabular.markdown_rows(d, "k", "t").collect()] == [["a", "b"], ["1", "x y"]]

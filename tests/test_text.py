@@ -99,3 +99,13 @@ def test_chunks():
 def test_overlap(spark):
     assert one(spark, chunking.overlap_length(F.col("a"), F.col("b")), a="xx 0123456789", b="0123456789 yy") == 10
     assert one(spark, chunking.overlap_length(F.col("a"), F.col("b")), a="abc", b="abc") == 0
+
+
+def test_questions_and_headings(spark):
+    for q, want in {"表格里有几个": "tabular", "两份笔录矛盾": "comparative", "他们的关系": "relational", "谁": "factual"}.items():
+        assert one(spark, T.question_type(F.col("t")), t=q) == want
+    assert one(spark, T.start_level(F.lit("evidential"), F.lit("medium")), t="") == "L2"
+    assert one(spark, T.heading(F.col("t")), t="序\n 第一章 开端\n第二章") == "第一章 开端"
+    assert one(spark, T.heading(F.col("t")), t="chapter 3") == "chapter 3" and one(spark, T.heading(F.col("t")), t="no") is None
+    assert one(spark, T.json_object(F.col("t")), t='so: ```json\n{"a": 1}\n``` ok') == '{"a": 1}'
+    assert one(spark, T.json_object(F.col("t")), t='x {"a": {"b": 1}} y') == '{"a": {"b": 1}}' and one(spark, T.json_object(F.col("t")), t="none") is None
