@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpoint_folder, checkpointed, small_or_shuffled
+from docloom.llm.base import checkpoint_folder, checkpointed, slices, small_or_shuffled, text_batches
 from docloom.llm.tokens import default_tokenizer, encoder
 
 #: The dictionary is trained on about so many documents, spread by the hash of their id, of at most SAMPLE_CHARS
@@ -61,7 +62,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 65_536 else 4
     dictionary = train_dictionary(docs, path, width)
     digest = hashlib.sha256(dictionary).hexdigest()
@@ -89,7 +90,7 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
             return pa.RecordBatch.from_pylist([row], schema)
 
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             for doc_id, shard, ids in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), encoder(path).encode(batch.column(1).to_pylist()), strict=True):
                 frame = compress(_packed(ids + end, width))
                 state["shard"] = shard
@@ -111,9 +112,11 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     return out
 
 
-def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None = None) -> DataFrame:
+def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None = None, digest: bool = False) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of the stored documents, or of some: ids as little-endian unsigned 32-bit bytes.
 
+    With ``digest``, ids_crc32 comes instead of the ids, which then stay in the worker.
+
     ``start`` counts the ids of all documents before. With ``doc_ids``, blocks that can't hold them are skipped by
     their statistics and only the frames asked for are opened.
     """
@@ -123,6 +126,7 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
         blocks = blocks.where((F.col("last_id") >= lo) & (F.col("first_id") <= hi))
     dictionaries = {r["hash"]: bytes(r["data"]) for r in spark.read.parquet(f"{out}/dictionary").collect()}
     wanted = None if doc_ids is None else set(doc_ids)
+    names = ("long", "ids_crc32") if digest else ("binary", "ids")
     heads = spark.read.parquet(f"{out}/blocks").select("shard", "block", "n_tokens")
     within = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select("shard", "block", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("before"))
@@ -133,7 +137,7 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
         import zstandard
 
         openers = {h: zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(d) if d else None) for h, d in dictionaries.items()}
-        for batch in batches:
+        for batch in slices(batches, 8):
             for row in batch.to_pylist():
                 data, ends = row["data"], [*row["offsets"][1:], len(row["data"])]
                 at = (row["start"] + np.concatenate([[0], np.cumsum(row["counts"])[:-1]])).astype(int).tolist()
@@ -143,13 +147,11 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
                     if wanted is None or i in wanted
                 ]
                 kept = [x[3] if row["width"] == 4 else np.frombuffer(x[3], "<u2").astype("<u4").tobytes() for x in out]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array(kept, pa.binary())],
-                    ["doc_id", "start", "n_tokens", "ids"],
-                )
+                last = pa.array(map(zlib.crc32, kept), pa.int64()) if digest else pa.array(kept, pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array([x[i] for x in out], pa.int64()) for i in range(3)), last], ["doc_id", "start", "n_tokens", names[-1]])
 
     read = blocks.select("start", "dictionary", "width", "ids", "counts", "offsets", "data")
-    return read.mapInArrow(frames, "doc_id long, start long, n_tokens long, ids binary")
+    return read.mapInArrow(frames, f"doc_id long, start long, n_tokens long, {names[-1]} {names[0]}")
 
 
 def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
@@ -157,4 +159,4 @@ def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int
     spark = docs.sparkSession
     out = f"{checkpoint_folder(spark)}/token_store_{uuid.uuid4().hex}"
     write_token_store(docs, out, tokenizer, end_id)
-    return read_token_store(spark, out).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read_token_store(spark, out, digest=True)
