@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Written to the checkpoint folder; a temporary one where the session has none."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
@@ -30,13 +30,13 @@ def event_graph(relations: DataFrame) -> DataFrame:
 
 def within(edges: DataFrame, sources: DataFrame, depth: int) -> DataFrame:
     """(node, distance): all nodes at most ``depth`` steps from any source; each step joins the newly reached only."""
-    e = _cut(both_ways(edges))
+    e = checkpointed(both_ways(edges))
     front = sources.select(F.col("node")).distinct()
-    seen = _cut(front.withColumn("distance", F.lit(0)))
+    seen = checkpointed(front.withColumn("distance", F.lit(0)))
     front = seen
     for d in range(1, depth + 1):
         found = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
-        front = _cut(found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
+        front = checkpointed(found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -48,7 +48,7 @@ def shortest_path(edges: DataFrame, start: str | int, end: str | int, most: int
 
     One path a reached node is kept at each step, so the frontier grows with nodes, not with paths.
     """
-    e = _cut(both_ways(edges))
+    e = checkpointed(both_ways(edges))
     spark = edges.sparkSession
     kind = dict(e.dtypes)["src"]
     front = spark.createDataFrame([(start,)], f"node {kind}").withColumn("path", F.array("node"))
@@ -57,7 +57,7 @@ def shortest_path(edges: DataFrame, start: str | int, end: str | int, most: int
         if not front.where(F.col("node") == end).isEmpty():
             break
         step = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node"), F.array_append("path", F.col("dst")).alias("path"))
-        front = _cut(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
+        front = checkpointed(step.groupBy("node").agg(F.min("path").alias("path")).join(seen.select("node"), "node", "left_anti"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -66,13 +66,13 @@ def shortest_path(edges: DataFrame, start: str | int, end: str | int, most: int
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least label passed on and jumped over until nothing changes."""
-    e = _cut(both_ways(edges))
-    labels = _cut(e.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "node"))
+    e = checkpointed(both_ways(edges))
+    labels = checkpointed(e.groupBy("src").agg(F.least(F.min("dst"), F.col("src")).alias("component")).withColumnRenamed("src", "node"))
     while True:
         near = e.join(labels, e["dst"] == labels["node"]).groupBy("src").agg(F.min("component").alias("m"))
         new = labels.join(near, labels["node"] == near["src"]).select("node", F.least("component", "m").alias("component"))
         jump = new.select(F.col("node").alias("n2"), F.col("component").alias("c2"))
-        new = _cut(new.join(jump, new["component"] == jump["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
+        new = checkpointed(new.join(jump, new["component"] == jump["n2"], "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component")))
         changed = new.join(labels.select("node", F.col("component").alias("old")), "node").where("component != old").isEmpty()
         if changed:
             return new
@@ -88,13 +88,13 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """
     w = edges.select("src", "dst", "weight").where("src != dst")
     e = w.union(w.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
-    e = _cut(e.unionByName(e.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")))
-    labels = _cut(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    e = checkpointed(e.unionByName(e.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")))
+    labels = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
     for r in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("votes"))
         best = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("votes"), F.col("community"))).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
-        new = _cut(labels.join(best, labels["node"] == best["src"], "left").select("node", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")))
+        new = checkpointed(labels.join(best, labels["node"] == best["src"], "left").select("node", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")))
         if r % 2 and new.join(labels.select("node", F.col("community").alias("old")), "node").where("community != old").isEmpty():
             return new
         labels = new
@@ -122,7 +122,7 @@ def affinity(edges: DataFrame) -> DataFrame:
     Co-occurrence gives min(.3 + .1 w, .8); the sum of 1 / ln(degree) over common neighbours gives min(a / 5, .6);
     the larger counts.
     """
-    e = _cut(both_ways(edges))
+    e = checkpointed(both_ways(edges))
     degree = e.groupBy("src").agg(F.count("*").alias("degree")).where("degree > 1").withColumnRenamed("src", "via")
     spokes = e.select(F.col("src").alias("via"), "dst").join(degree, "via")
     other = spokes.select("via", F.col("dst").alias("dst2"))
@@ -147,7 +147,7 @@ def tree(nodes: DataFrame, root_is: Column, most: int = 10) -> DataFrame:
     for d in range(1, most + 1):
         up = level.select(F.col("id").alias("up"), F.col("path").alias("up_path"))
         level = nodes.join(up, nodes["parent_id"] == F.col("up")).select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("up_path", F.lit("/"), "title").alias("path"))
-        level = _cut(level)
+        level = checkpointed(level)
         if level.isEmpty():
             break
         out = out.unionByName(level)

@@ -28,15 +28,22 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
 
 
 def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
-    """(query, key, score) of the k nearest rows for each query (columns ``query``, ``embedding``).
+    """(query, key, score, position) of the k nearest rows for each query (columns ``query``, ``embedding``).
 
-    Queries are read in blocks of a fixed size; each task multiplies its batch of vectors by a block and keeps k rows a
-    query, so what leaves a task is bounded by queries times k, and ranks come from those.
+    Queries are taken in blocks of about a fixed size by a hash, and only one block is on the driver at a time. Each task
+    multiplies its batch of vectors by the block and keeps k rows a query, so what leaves a batch is bounded by queries
+    times k; a block's result is checkpointed before the next one is read.
     """
-    rows = queries.select("query", "embedding").orderBy("query").collect()
+    from docloom.operators.fusion import top_of_each
+    from docloom.operators.graph import checkpointed
+
+    blocks = max(1, -(-queries.count() // block))
+    numbered = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
     out = None
-    for i in range(0, len(rows), block):
-        part = rows[i : i + block]
+    for i in range(blocks):
+        part = numbered.where(F.col("block") == i).orderBy("query").collect()
+        if not part:
+            continue
         names = [r["query"] for r in part]
         q = np.array([r["embedding"] for r in part], np.float64)
         q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
@@ -54,10 +61,13 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(top), pa.int64()), pa.array(ids[top], pa.int64()), pa.array(s[top, j])], ["query", key, "score"])
 
         found = vectors.select(F.col(key).cast("long").alias(key), embedding).mapInArrow(best, f"query long, {key} long, score double")
+        found = top_of_each(found, ["query"], [F.desc(F.round("score", 9)), F.col(key)], k)
+        found = checkpointed(found) if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
-    from docloom.operators.fusion import top_of_each
-
-    return top_of_each(out, ["query"], [F.desc(F.round("score", 9)), F.col(key)], k)
+    if out is None:
+        kind = f"query long, {key} long, score double, position int"
+        return vectors.sparkSession.createDataFrame([], kind)
+    return out
 
 
 def hash_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:

@@ -87,3 +87,15 @@ def test_csv_and_plain_text():
 def test_markdown_rows(spark):
     d = spark.createDataFrame([(1, "text\n| a | b |\n|---|---|\n| 1 |  x y |\nend")], "k long, t string")
     assert [r.cells for r in tabular.markdown_rows(d, "k", "t").collect()] == [["a", "b"], ["1", "x y"]]
+
+
+def test_nearest_in_blocks(spark):
+    import numpy as np
+
+    v = np.random.default_rng(0).normal(size=(60, 8))
+    d = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    got = vectors.nearest_to_many(d, d.where("vec_id % 5 = 0").withColumnRenamed("vec_id", "query"), 3, block=4).collect()
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(q, int(i), p) for q in range(0, 60, 5) for p, i in enumerate(np.argsort(-(u @ u[q]))[:3], 1)}
+    assert {(r.query, r.vec_id, r.position) for r in got} == want
+    assert vectors.nearest_to_many(d, d.limit(0).withColumnRenamed("vec_id", "query"), 3).count() == 0
