@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import COMPARABLE_ATTRIBUTES, contains_any, entity_type, normalise_name, normalise_value, relation_type
-
-MERGED = "kb_id string, name string, type string, aliases array<string>, mention_count long, source_chunks array<string>"
+from docloom.operators.graph import checkpointed
+from docloom.operators.linking import name_pairs
 
 
 def merge_exact(mentions: DataFrame) -> DataFrame:
@@ -27,9 +27,12 @@ def merge_greedy(mentions: DataFrame) -> DataFrame:
     """Mentions (kb_id, seq, name, type, chunks) folded in order into entities.
 
     A mention joins the first entity whose name is equal to its own, or contains it, or is contained; else it is a new
-    one. An entity's type is upgraded from unknown, and the first three chunks of each mention are kept. The result
-    depends on the order and is not transitive, so each kb is folded whole; equal names are counted first, so what
-    a fold reads is one row for each different name of its kb, not for each mention.
+    one. An entity's type is upgraded from unknown, and the first three chunks of each mention are kept.
+
+    A name is an entity if no entity before it is related to it, and joins the first that is. Related pairs of different names come from an
+    equi-join on substrings. In each round, names without an undecided related name before them become entities, and
+    names related to those are decided with them; rounds grow with the longest chain of names that hang on one another,
+    and no knowledge base is gathered in a task. Equal names are counted first.
     """
     d = mentions.withColumn("name", normalise_name(F.col("name"))).where("name != ''").withColumn("type", entity_type(F.col("type")))
     names = d.groupBy("kb_id", "name").agg(
@@ -38,23 +41,38 @@ def merge_greedy(mentions: DataFrame) -> DataFrame:
         F.min_by("type", F.struct(F.col("type") == "unknown", F.col("seq"))).alias("type"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.slice("chunks", 1, 3).alias("c")))), lambda x: x["c"])).alias("chunks"),
     )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[dict] = []
-        for r in pdf.sort_values("seq").itertuples(index=False):
-            own = next((e for e in found if r.name == e["name"] or r.name in e["name"] or e["name"] in r.name), None)
-            if own is None:
-                found.append({"kb_id": r.kb_id, "name": r.name, "type": r.type, "aliases": [], "mention_count": int(r.n), "source_chunks": list(r.chunks)})
-                continue
-            if r.name != own["name"] and r.name not in own["aliases"]:
-                own["aliases"].append(r.name)
-            if own["type"] == "unknown":
-                own["type"] = r.type
-            own["mention_count"] += int(r.n)
-            own["source_chunks"] += list(r.chunks)
-        return pd.DataFrame(found, columns=["kb_id", "name", "type", "aliases", "mention_count", "source_chunks"])
-
-    return names.groupBy("kb_id").applyInPandas(fold, MERGED)
+    names = checkpointed(names.withColumn("id", F.monotonically_increasing_id()))
+    own = names.select(F.col("kb_id").alias("k"), F.col("name").alias("w"), "id", F.struct("seq", "name").alias("at"))
+    pairs = name_pairs(names, "kb_id", "name")
+    for end in ("long", "short"):
+        side = own.select("k", "w", F.struct("at", "id").alias(f"{end}_at"))
+        pairs = pairs.join(side, F.col("kb_id").eqNullSafe(F.col("k")) & (F.col(end) == F.col("w"))).drop("k", "w")
+    before, after = F.least("long_at", "short_at"), F.greatest("long_at", "short_at")
+    related = checkpointed(pairs.select(after["id"].alias("later"), before["id"].alias("earlier"), before["at"].alias("at")))
+
+    members, open_pairs = None, related.select("later", "earlier")
+    while not open_pairs.isEmpty():
+        first = open_pairs.select("earlier").distinct().join(open_pairs.select(F.col("later").alias("earlier")), "earlier", "left_anti")
+        joined = checkpointed(open_pairs.join(first, "earlier", "left_semi").select("later").distinct())
+        members = joined if members is None else members.unionByName(joined)
+        open_pairs = open_pairs.join(joined, "later", "left_anti")
+        open_pairs = checkpointed(open_pairs.join(joined.withColumnRenamed("later", "earlier"), "earlier", "left_anti"))
+    if members is None:
+        placed = names.withColumn("entity", F.col("id"))
+    else:
+        leads = related.join(members, "later", "left_semi").join(members.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+        leads = leads.groupBy("later").agg(F.min_by("earlier", "at").alias("lead"))
+        placed = names.join(leads, F.col("id") == F.col("later"), "left").withColumn("entity", F.coalesce("lead", "id"))
+    rows = placed.groupBy("kb_id", "entity").agg(F.sort_array(F.collect_list(F.struct("seq", "name", "type", "n", "chunks"))).alias("m"))
+    known = F.filter("m", lambda x: x["type"] != "unknown")
+    return rows.select(
+        "kb_id",
+        F.get("m", F.lit(0))["name"].alias("name"),
+        F.coalesce(F.get(known, F.lit(0))["type"], F.lit("unknown")).alias("type"),
+        F.slice(F.col("m.name"), F.lit(2), F.size("m")).alias("aliases"),
+        F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("mention_count"),
+        F.flatten("m.chunks").alias("source_chunks"),
+    )
 
 
 def endpoint_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
@@ -90,6 +108,31 @@ def contradictions(mentions: DataFrame) -> DataFrame:
     return g.withColumn("confidence", F.least(F.lit(1.0), F.round(0.5 + 0.1 * F.col("n_values"), 9)))
 
 
+def relations_of(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(name, other, predicate, direction): relations (subject, predicate, object) of entities (name) at either end."""
+    out = relations.select(F.col("subject").alias("name"), F.col("object").alias("other"), "predicate", F.lit("out").alias("direction"))
+    back = relations.select(F.col("object").alias("name"), F.col("subject").alias("other"), "predicate", F.lit("in").alias("direction"))
+    return out.unionByName(back).join(entities.select("name").distinct(), "name", "left_semi")
+
+
+def shared_documents(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(src, dst, shared, overlap) of pairs of names: documents that mention both, and their share of the smaller set."""
+    m = mentions.select("name", "doc").distinct()
+    sizes = m.groupBy("name").agg(F.count("*").alias("n"))
+    pairs = pairs.select("src", "dst").distinct()
+    one = pairs.join(m.select(F.col("name").alias("src"), "doc"), "src")
+    both = one.join(m.select(F.col("name").alias("dst"), "doc"), ["dst", "doc"]).groupBy("src", "dst").agg(F.count("*").alias("shared"))
+    for end in ("src", "dst"):
+        both = both.join(sizes.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), end)
+    return both.select("src", "dst", "shared", (F.col("shared") / F.least("n_src", "n_dst")).alias("overlap"))
+
+
+def top_entities(entities: DataFrame, n: int = 10) -> DataFrame:
+    """The n entities (name, importance, confidence label) of most importance, then confidence."""
+    level = F.when(F.col("confidence") == "EXTRACTED", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)
+    return entities.orderBy(F.desc("importance"), F.desc(level), "name").limit(n)
+
+
 def isolated(entities: DataFrame, relations: DataFrame) -> DataFrame:
     ends = relations.select(F.col("subject").alias("name")).union(relations.select("object")).distinct()
     return entities.join(ends, "name", "left_anti")

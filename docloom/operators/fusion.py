@@ -106,3 +106,30 @@ def two_stage(entity_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     """Keyword hits (doc_id, seq) ordered by what entity hits (doc_id, score) give their documents, then as they came."""
     boost = entity_hits.groupBy("doc_id").agg(F.sum("score").alias("boost"))
     return keyword_hits.join(boost, "doc_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("position", F.row_number().over(Window.orderBy(F.desc("boost"), "seq")))
+
+
+def hybrid(keyword: DataFrame, vector: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, rrf_score, similarity, keyword_rank, confidence): the k best of two ranked lists fused.
+
+    ``keyword`` (key, rank) and ``vector`` (key, rank, score) hold 2 k rows each. A keyword hit counts as found by a
+    keyword strength of 1 / rank.
+    """
+    fused = fuse([keyword, vector], key)
+    d = fused.join(vector.select(key, F.col("score").alias("similarity")), key, "left").join(keyword.select(key, F.col("rank").alias("keyword_rank")), key, "left")
+    label = confidence(F.coalesce("similarity", F.lit(0.0)), F.coalesce(1 / F.col("keyword_rank"), F.lit(0.0)))
+    return d.withColumn("confidence", label).orderBy(F.desc(F.round("rrf_score", 12)), key).limit(k)
+
+
+def united(hits: list[DataFrame], key: str, order: str) -> DataFrame:
+    """Hits (key, order, ...) of a query and of its rewritten forms: each key once, from the first form that found it."""
+    parts = [h.withColumn("variant", F.lit(i)) for i, h in enumerate(hits)]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    first = Window.partitionBy(key).orderBy("variant", order)
+    return both.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: list[str]) -> DataFrame:
+    """Distinct keys of ``rows`` that are not among ``seen``."""
+    return rows.select(*key).distinct().join(seen.select(*key).distinct(), key, "left_anti")

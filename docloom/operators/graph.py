@@ -155,6 +155,30 @@ def tree(nodes: DataFrame, root_is: Column, most: int = 10) -> DataFrame:
     return out.join(parents, "id", "left").select("id", "parent_id", "title", "depth", "path", F.col("has_child").isNull().alias("is_leaf"))
 
 
+def descendants(edges: DataFrame, roots: DataFrame, depth: int) -> DataFrame:
+    """(node, distance): what edges (src, dst), followed forwards, reach from the roots (node) in ``depth`` steps or fewer."""
+    e = checkpointed(edges.select("src", "dst").where("src != dst").distinct())
+    seen = front = checkpointed(roots.select("node").distinct().withColumn("distance", F.lit(0)))
+    for d in range(1, depth + 1):
+        found = front.join(e, front["node"] == e["src"]).select(F.col("dst").alias("node")).distinct()
+        front = checkpointed(found.join(seen.select("node"), "node", "left_anti").withColumn("distance", F.lit(d)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def boosted(rows: DataFrame, key: str, score: str, held: DataFrame, affinities: DataFrame, asked: list) -> DataFrame:
+    """``rows`` with ``boosted_score``: score x (1 + 0.3 x the largest affinity of an entity it holds to an asked one).
+
+    ``held`` (key, entity) says which entities a row holds; ``affinities`` (src, dst, affinity) each pair once.
+    """
+    near = affinities.select("src", "dst", "affinity").union(affinities.select("dst", "src", "affinity")).where(F.col("src").isin(asked))
+    best = held.join(near.groupBy(F.col("dst").alias("entity")).agg(F.max("affinity").alias("a")), "entity").groupBy(F.col(key).alias("_k")).agg(F.max("a").alias("_a"))
+    d = rows.join(best, F.col(key) == F.col("_k"), "left").drop("_k")
+    return d.withColumn("boosted_score", F.col(score) * (1 + 0.3 * F.coalesce("_a", F.lit(0.0)))).drop("_a")
+
+
 def ranked_concepts(entities: DataFrame, edges: DataFrame, top: int = 50) -> DataFrame:
     """(name, mentions, connections, score, rank): score is mentions plus twice the connections."""
     ends = edges.select(F.col("src").alias("name")).union(edges.select("dst")).groupBy("name").agg(F.count("*").alias("connections"))

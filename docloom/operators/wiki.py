@@ -69,3 +69,14 @@ def entity_pages(entities: DataFrame, relations: DataFrame, events: DataFrame, m
 
 def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
+
+
+def lookup(pages: DataFrame, asked: DataFrame) -> DataFrame:
+    """(asked, id, found_by): pages (id, title, catalog_path) by id, else by title, else by path; the least id of several."""
+    a = asked.select("asked").distinct()
+    tries = [("id", 0), ("title", 1), ("catalog_path", 2)]
+    found = None
+    for column, place in tries:
+        own = a.join(pages.select(F.col("id"), F.col(column).cast("string").alias("asked")), "asked").select("asked", "id", F.lit(place).alias("place"), F.lit(column).alias("found_by"))
+        found = own if found is None else found.unionByName(own)
+    return found.groupBy("asked").agg(F.min(F.struct("place", "id", "found_by")).alias("b")).select("asked", F.col("b.id").alias("id"), F.col("b.found_by").alias("found_by"))
