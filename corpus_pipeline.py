@@ -1,7 +1,7 @@
 """From raw documents to packed sequences: five stages, each over all that the one before it kept.
 
-Every stage but the last takes documents and returns those that stay, with the columns they came with. Part of the
-subpackage ``docloom.llm``.
+Every stage but the last takes documents and returns those that stay, with the columns they came with; the quality rules
+take boilerplate lines out of their texts. Part of the subpackage ``docloom.llm``.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from docloom.llm.base import checkpoint_folder, table
 from docloom.llm.decontaminate import decontaminated
 from docloom.llm.language_id import identified
-from docloom.llm.line_quality import without_rejects
+from docloom.llm.line_quality import cleaned
 from docloom.llm.packing import pack
 from docloom.llm.simhash import one_of_each
 
@@ -23,7 +23,7 @@ def recognise_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return without_rejects(docs)
+    return cleaned(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,9 +70,11 @@ def _text_number(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame, host: str) -> DataFrame:
-    """Key, host, text number and ``lines``: hash of each normalised line that has a word, and its words."""
-    plain = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    hashed = F.transform(plain, lambda x: F.struct(F.xxhash64(F.trim(F.regexp_replace(F.lower(x), BLANK, " "))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words")))
+    """Key, host, text number and ``lines``: hash of each normalised line and its words; null for lines without a word."""
+    hashed = F.transform(
+        F.split(F.coalesce("text", F.lit("")), "\n"),
+        lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(F.trim(F.regexp_replace(F.lower(x), BLANK, " "))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))),
+    )
     return docs.select(*row_key(), F.coalesce(F.col(host), F.lit("\0")).alias("host"), _text_number(F.col("text")).alias("number"), hashed.alias("lines"))
 
 
@@ -82,28 +84,25 @@ def boilerplate(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOC
     Distinct documents are distinct texts: copies count once. The owner is the text with the smallest number.
     """
     d = _lines(docs, host)
-    pairs = d.select("host", "number", F.explode_outer(F.array_distinct(F.col("lines.line"))).alias("line")).distinct()
+    pairs = d.select("host", "number", F.explode(F.array_distinct(F.col("lines.line"))).alias("line")).where("line IS NOT NULL").distinct()
     lines = pairs.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("number").alias("owner")).where(F.col("n") > line_docs)
     hosts = docs.select(F.coalesce(F.col(host), F.lit("\0")).alias("host"), _text_number(F.col("text")).alias("number")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
     return lines.join(small_or_shuffled(checkpointed(hosts)), "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line", "owner")
 
 
-def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
-    """One row per row of ``docs``: the base counts, base_failed, left_words, kept.
+def _gone_lines(docs: DataFrame, host: str, line_docs: int, line_share: float) -> DataFrame:
+    """_id, _hash, host, ``at`` (places of the row's boilerplate lines in order, from 0) and ``gone`` (their words).
 
-    Boilerplate lines are removed from every document but the one that owns them on its host, so that what they say is
-    not lost; ``left_words`` are the words that stay. ``kept`` is false if a base rule failed or if boilerplate was
-    removed and less than ``least_left`` of the words is left.
-
-    Null texts count as empty and so fail; rows with a null host form a host of their own; repeated rows get the same
-    result each; ties need no order. Line counts are grouped with map-side sums; a host or line that a third of the
-    rows share is never gathered.
+    Rows without boilerplate have none; a row's places are no more than its lines.
     """
     common = small_or_shuffled(checkpointed(boilerplate(docs, host, line_docs, line_share)))
-    lines = _lines(docs, host).select("_id", "_hash", "host", "number", F.posexplode_outer("lines").alias("at", "l"))
+    lines = _lines(docs, host).select("_id", "_hash", "host", "number", F.posexplode("lines").alias("at", "l")).where("l IS NOT NULL")
     lines = lines.select("_id", "_hash", "host", "number", "at", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
     gone = lines.join(common, ["host", "line"]).where("number != owner").select("_id", "_hash", "host", "at", "words").distinct()
-    gone = gone.groupBy("_id", "_hash", "host").agg(F.sum("words").alias("gone"))
+    return gone.groupBy("_id", "_hash", "host").agg(F.sort_array(F.collect_list("at")).alias("at"), F.sum("words").alias("gone"))
+
+
+def _verdicts(docs: DataFrame, gone: DataFrame, least_left: float) -> DataFrame:
     # one text under one id on two hosts: the host that leaves least decides
     gone = gone.groupBy("_id", "_hash").agg(F.max("gone").alias("gone")).alias("g")
     d = checkpointed(base_rules(docs))  # else a caller's filter would be computed inside the loops over words
@@ -113,11 +112,57 @@ def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DO
     return d.select("_id", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("left_words"), kept.alias("kept"))
 
 
+def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """One row per row of ``docs``: the base counts, base_failed, left_words, kept.
+
+    Boilerplate lines are removed from every document but the one that owns them on its host, so that what they say is
+    not lost; ``left_words`` are the words that stay. ``kept`` is false if a base rule failed or if boilerplate was
+    removed and less than ``least_left`` of the words is left.
+
+    Null texts count as empty and so fail; rows with a null host form a host of their own; repeated rows get the same
+    result each; ties need no order. Line counts are grouped with map-side sums; a host or line that a third of the
+    rows share is never gathered.
+    """
+    return _verdicts(docs, _gone_lines(docs, host, line_docs, line_share), least_left)
+
+
 def without_rejects(docs: DataFrame, **limits) -> DataFrame:
     """The rows of ``docs`` that ``line_quality`` keeps, all columns as they came."""
     return without(docs, line_quality(docs, **limits).where(~F.col("kept")))
 
 
+def _without_places(text: Column, at: Column) -> Column:
+    """``text`` without the lines at the places ``at`` (sorted); the slices between them, so that the work is linear."""
+    lines = F.split(text, "\n")
+
+    def between(i: Column) -> Column:
+        start = F.coalesce(F.get(at, i - 1), F.lit(-1)) + 1
+        return F.slice(lines, start + 1, F.coalesce(F.get(at, i), F.size(lines)) - start)
+
+    return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), between)), "\n")
+
+
+def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The rows of ``docs`` that ``line_quality`` keeps, each text without its boilerplate lines; columns as they came.
+
+    All other lines stay as they are and in order, and the owner of a line keeps it on its host. ``n_chars``, where there
+    is such a column, is the new text's length in rows whose text changes.
+    """
+    mark = "_key"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    gone = checkpointed(_gone_lines(docs, host, line_docs, line_share))
+    kept = without(docs, _verdicts(docs, gone, least_left).where(~F.col("kept")))
+    keyed = kept.withColumns({f"{mark}id": F.col("doc_id"), f"{mark}hash": F.xxhash64("text"), f"{mark}host": F.coalesce(F.col(host), F.lit("\0"))})
+    places = small_or_shuffled(gone.select(*[F.col(c).alias(f"{mark}{n}") for c, n in (("_id", "gone_id"), ("_hash", "gone_hash"), ("host", "gone_host"), ("at", "at"))]))
+    same = F.col(f"{mark}id").eqNullSafe(F.col(f"{mark}gone_id")) & (F.col(f"{mark}hash") == F.col(f"{mark}gone_hash")) & (F.col(f"{mark}host") == F.col(f"{mark}gone_host"))
+    at = F.col(f"{mark}at")
+    d = keyed.join(places, same, "left").withColumn("text", F.when(at.isNotNull(), _without_places(F.col("text"), at)).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        d = d.withColumn("n_chars", F.when(at.isNotNull(), F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return d.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 #: DuckDB SQL of the registered query.
 ORACLE = r"""
 WITH d AS (

@@ -273,6 +273,30 @@ def test_boilerplate(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - gone
 
 
+def test_boilerplate_lines_leave_the_text(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(9999)}" for _ in range(n))
+    head, foot = " ".join(f"link{i}" for i in range(70)), "Terms of  Use"
+    bodies = {i: f"{prose(40)}\n\n \n  {prose(40)}\r" for i in range(60)}
+    texts = {i: f"{head}\n{b}\n{head.upper()}\nterms of use \n" for i, b in bodies.items()} | {99: f"{foot}\n{prose(80)}"}
+    rows = [(i, t, "big", len(t)) for i, t in texts.items()] + [(0, texts[0], "small", len(texts[0]))]
+    rows += [(200 + i, f"{head}\n{prose(2)}", "big", 1) for i in range(5)]  # hardly more than boilerplate: goes
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = p.apply_quality_rules(spark, docs, SMALL)
+    assert got.schema == docs.schema
+    owners, seen = 0, {(r.doc_id, r.source): r for r in got.collect()}
+    assert len(seen) >= 62 and seen[0, "small"].text == texts[0]
+    for i, b in bodies.items():
+        r = seen[i, "big"]
+        owners += head in r.text
+        assert r.n_chars == len(r.text) and b in r.text
+        assert r.text == f"{b}\n" or head in r.text or "terms of use" in r.text
+    assert owners <= 1 and sum("terms of use" in r.text.lower() for (_, s), r in seen.items() if s == "big") == 1
+    assert {k for k, r in seen.items() if k[0] >= 200} == {k for k, r in seen.items() if k[0] >= 200 and head in r.text}
+
+
 def test_quality_on_odd_tables(odd, empty):
     assert line_quality.line_quality(empty).count() == 0
     kept = line_quality.without_rejects(odd)
