@@ -33,7 +33,7 @@ TEMPLATES = [
 ]
 #: Words of templates that are too common to be licence words.
 COMMON = set("a and any are as at by for in is it no of on or that the this to with you may use".split())
-#: A file is looked up by so many of its licence words, those found in fewest documents.
+#: A template is looked up by so many of its words that a file holds, those found in fewest documents.
 RARE_WORDS = 8
 #: A template counts if so large a share of the words looked up stands where it has them, and at least two do.
 SHARE, LEAST_VOTES = 0.6, 2
@@ -67,13 +67,13 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
     """One row per row of ``docs``: n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Base phrases are counted wherever their words stand in a row. The index holds the place of each licence word in
-    each template. Of a file's licence words, those that the fewest documents hold are looked up (document frequencies
-    are counted over all documents; equal ones go by the word); each occurrence votes for the template and the shift
-    between the two places, and a shift with enough votes is accepted if the template's mandatory phrase stands at its
+    each template. Of the words that a file shares with a template, those that the fewest documents hold are looked up
+    (document frequencies are counted over all documents; equal ones go by the word), for each template apart, so that no
+    notice crowds out another; each occurrence votes for the template and the shift between the two places, and a shift with enough votes is accepted if the template's mandatory phrase stands at its
     shifted place. ``score`` is the largest share of words that agreed, 0 without a template.
 
     Null and empty texts have no words and no labels; repeated rows get the same result each. Templates are a list in
-    the program, so index and vocabulary are bounded by it; a file's rows in a window are bounded by the vocabulary.
+    the program, so index and vocabulary are bounded by it; the rows of a file and template in a window are bounded by the template's words.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
@@ -92,12 +92,15 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | None =
 
     words = seen.where("w IS NOT NULL").select(*key, "w").distinct()
     frequency = checkpointed(words.groupBy("w").agg(F.count("*").alias("files")))
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("files", "w"))
-    rare = words.join(F.broadcast(frequency), "w").withColumn("rank", rank).where(F.col("rank") <= rare_words).select(*[F.col(k).alias(f"r{k}") for k in key], F.col("w").alias("rw"))
+    shared = F.broadcast(postings.select("w", "template").distinct())
+    rank = F.row_number().over(Window.partitionBy(*key, "template").orderBy("files", "w"))
+    rare = words.join(F.broadcast(frequency), "w").join(shared, "w").withColumn("rank", rank).where(F.col("rank") <= rare_words)
+    rare = rare.select(*[F.col(k).alias(f"r{k}") for k in key], F.col("w").alias("rw"), F.col("template").alias("r_template"))
     same = F.col("_id").eqNullSafe(F.col("r_id")) & (F.col("_hash") == F.col("r_hash"))
-    looked = seen.where("w IS NOT NULL").select(*key, "pos", "w").join(rare, same & (F.col("w") == F.col("rw")), "left_semi").join(postings, "w")
+    asked = same & (F.col("w") == F.col("rw")) & (F.col("template") == F.col("r_template"))
+    looked = seen.where("w IS NOT NULL").select(*key, "pos", "w").join(postings, "w").join(rare, asked, "left_semi")
     votes = looked.groupBy(*key, "template", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("votes"))
-    possible = rare.join(postings, F.col("rw") == F.col("w")).groupBy(F.col("r_id"), F.col("r_hash"), F.col("template").alias("r_template")).agg(F.count("*").alias("possible"))
+    possible = rare.join(postings, (F.col("rw") == F.col("w")) & (F.col("r_template") == F.col("template"))).groupBy("r_id", "r_hash", "r_template").agg(F.count("*").alias("possible"))
     voted = votes.where(F.col("votes") >= LEAST_VOTES).join(possible, same & (F.col("template") == F.col("r_template"))).drop("r_id", "r_hash", "r_template")
     voted = voted.where(F.col("votes") >= SHARE * F.col("possible")).join(keys, "template").withColumn("key_pos", F.col("shift") + F.col("key_at"))
     at = begun.select(*[F.col(k).alias(f"r{k}") for k in key], F.col("pos").alias("r_pos"), F.col("phrase").alias("r_phrase"))

@@ -408,6 +408,14 @@ def test_licences(spark):
     assert (got[6].n_words, got[6].n_base, got[6].first_word, got[6].labels) == (0, 0, None, "")
 
 
+def test_many_notices_in_one_text(spark):
+    notices = [license_scan.TEMPLATES[i][1] for i in (13, 1, 8, 12, 7)]
+    rows = [(1, ". ".join(notices)), (2, "\n".join(f"{body} x{i}" for i, (_, body, _) in enumerate(license_scan.TEMPLATES)))]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].labels == "apache,cc-by,cc-by-sa,gpl,mit" and got[1].score == 1.0
+    assert set(got[2].labels.split(",")) == {label for label, *_ in license_scan.TEMPLATES}
+
+
 # ---- 7
 
 
