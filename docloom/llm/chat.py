@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed
+from docloom.llm.base import checkpointed, small_or_shuffled
 
 #: Turns in one step of the two-level prefix hashes, and in one rendered part.
 BLOCK = 64
@@ -60,9 +60,10 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
 
 
 def rendered(conversations: DataFrame, opening: str = "<|im_start|>", closing: str = "<|im_end|>") -> DataFrame:
-    """conv_id, part, n_turns, copies, text: each maximal conversation in ChatML, a row for every 64 places.
+    """conv_id, part, n_turns, copies, text: each maximal conversation in ChatML, a row for every 64 places, or several
+    of 64 turns each where more turns share them (equal or missing turn numbers).
 
-    Parts bound a row's size whatever the length of a conversation; their texts end to end, in order, are the whole.
+    Turns are numbered by range partitions and offsets, so that turns of one place never meet in one task. Parts bound a row's size whatever the length of a conversation; their texts end to end, in order, are the whole.
     The markers that stand in a message are broken by a blank after ``<``, so no message can forge a turn. A null role
     is written as ``user``, a null text as empty.
     """
@@ -74,11 +75,23 @@ def rendered(conversations: DataFrame, opening: str = "<|im_start|>", closing: s
 
     turns = placed_turns(conversations)
     kept = checkpointed(maximal_conversations(conversations)).withColumnRenamed("conv_id", "_c")
-    turns = turns.join(kept, F.col("conv_id").eqNullSafe(F.col("_c")))
+    order = ["conv_id", "place", "role", "text"]
+    turns = turns.join(small_or_shuffled(kept), F.col("conv_id").eqNullSafe(F.col("_c"))).withColumn("block", F.floor(F.col("place") / BLOCK))
+    turns = turns.select(*order, "block", "n_turns", "copies").repartitionByRange(*order).sortWithinPartitions(*order)
+    turns = checkpointed(turns.withColumn("at", F.monotonically_increasing_id())).withColumn("run", F.shiftright("at", 33))  # the partition's number
+    runs = turns.groupBy("conv_id", "block", "run").agg(F.min("at").alias("start"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("conv_id", "block").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = checkpointed(runs.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))))
+    blocks = runs.groupBy(F.col("conv_id").alias("_c"), F.col("block").alias("_b")).agg(F.ceil(F.sum("n") / BLOCK).alias("parts"))
+    above = Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("first", F.coalesce(F.sum("parts").over(above), F.lit(0)))
+    runs = runs.join(blocks, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")))
+    runs = small_or_shuffled(checkpointed(runs.select("_c", "_b", F.col("run").alias("_r"), (F.col("before") - F.col("start")).alias("shift"), "first")))
+    placed = turns.join(runs, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")) & (F.col("run") == F.col("_r")))
+    placed = placed.withColumn("part", (F.col("first") + F.floor((F.col("at") + F.col("shift")) / BLOCK)).cast("long"))
     line = F.concat(F.lit(opening), safe(F.coalesce("role", F.lit("user"))), F.lit("\n"), safe(F.coalesce("text", F.lit(""))), F.lit(closing + "\n"))
-    parts = turns.groupBy("conv_id", F.floor(F.col("place") / BLOCK).alias("block"), "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("place", "role", "text", line.alias("line")))).alias("lines"))
-    part = F.row_number().over(Window.partitionBy("conv_id").orderBy("block")) - 1
-    return parts.select("conv_id", part.cast("long").alias("part"), "n_turns", "copies", F.array_join("lines.line", "").alias("text"))
+    parts = placed.groupBy("conv_id", "part", "n_turns", "copies").agg(F.sort_array(F.collect_list(F.struct("at", line.alias("line")))).alias("lines"))
+    return parts.select("conv_id", "part", "n_turns", "copies", F.array_join("lines.line", "").alias("text"))
 
 
 #: DuckDB SQL of the registered query.

@@ -499,6 +499,21 @@ def test_chat(spark):
     assert chat.rendered(d.limit(0)).count() == 0
 
 
+def test_chat_with_many_turns_at_one_place(spark):
+    texts = [f"t{i:05}" for i in range(3000)]
+    rows = [(None, None, "user", t) for t in texts] + [(1, 7, "user", t) for t in texts[:1000]] + [(1, 8 + i, "user", f"later {i}") for i in range(100)]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(7)
+    got = defaultdict(dict)
+    for r in chat.rendered(d).collect():
+        assert r.text.count("<|im_start|>") <= chat.BLOCK and r.part not in got[r.conv_id]
+        got[r.conv_id][r.part] = r.text
+    want = {None: texts, 1: texts[:1000] + [f"later {i}" for i in range(100)]}
+    for c, parts in got.items():
+        assert sorted(parts) == list(range(len(parts)))
+        assert "".join(parts[i] for i in range(len(parts))) == "".join(f"<|im_start|>user\n{t}<|im_end|>\n" for t in want[c])
+    assert set(got) == {None, 1} and len(got[None]) == 47
+
+
 # ---- pipeline
 
 
