@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,13 +26,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own where the session names none (tests)."""
+    """The folder that driver and executors share. Where the session names none, a temporary one on a local master (tests);
+    elsewhere an error, as executors could not share such a folder."""
     context = spark.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp())
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of our own below the checkpoint folder, once nothing reads it any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the session's checkpoint folder, its lineage cut."""
     checkpoint_folder(df.sparkSession)
@@ -50,13 +62,23 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if is_small(df, most) else df
 
 
-def text_batches(docs: DataFrame) -> DataFrame:
-    """``docs``, after the session's Arrow batches are bounded to 1000 rows: rows here are whole texts."""
-    name, most = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(name, "10000")) <= most:
-        conf.set(name, str(most))
-    return docs
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside: rows here are whole texts. The caller's setting comes back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def arrow_mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow``, run at once in small batches and checkpointed, so that no text is mapped twice."""
+    with small_batches(df.sparkSession):
+        return checkpointed(df.mapInArrow(run, schema))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:

@@ -8,14 +8,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, slices, small_or_shuffled, text_batches
+from docloom.llm.base import arrow_mapped, checkpointed, row_key, slices, small_batches, small_or_shuffled, without
 
 #: Symbols of a gram: the one predicted and up to three before it within the same word.
 ORDER = 4
-#: About so many labelled documents a language are learned from, chosen by the hash of their id: the bounded sample.
+#: At most so many different labelled documents a language are learned from, those with the smallest hashes: the bounded sample.
 SAMPLE_DOCS = 2000
 #: Of the sample, one in so many calibrates instead.
 CALIBRATE = 5
@@ -198,6 +198,22 @@ def kneser_ney(counts: pd.DataFrame) -> Model:
     return model
 
 
+def sampled(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(lang, draw, text): the different labelled texts with the smallest draws, ``sample_docs`` a language at most.
+
+    One narrow scan counts the rows of each language, a second one keeps the rows whose hash is below the share wanted
+    (and a fifth more), so that only about so many texts are shuffled and written. Repeated rows share a hash and count
+    once, however many there are.
+    """
+    rows = labelled.where("lang IS NOT NULL")
+    sizes = checkpointed(rows.groupBy(F.col("lang").alias("_lang")).agg(F.count("*").alias("_docs")))
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "lang", "text"), 11) / float(1 << 53)
+    near = rows.select("lang", draw.alias("draw"), "text").where("text IS NOT NULL").join(small_or_shuffled(sizes), F.col("lang") == F.col("_lang"))
+    near = near.where(F.col("draw") * F.col("_docs") < 1.2 * sample_docs + 50).groupBy("lang", "draw").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return checkpointed(near.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("lang", "draw", "text"))
+
+
 def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """A model from rows (doc_id, text, lang); rows without text or lang are left out, and so are others' columns.
 
@@ -205,13 +221,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     sample takes no part in counting: it sets how sharply differences between languages count, and how many bits a
     symbol a text may need before it is rejected.
     """
-    labelled = text_batches(labelled)
-    rows = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang")
-    sizes = checkpointed(rows.groupBy("lang").agg(F.count("*").alias("docs")))
-    draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003))
-    chosen = rows.join(small_or_shuffled(sizes), "lang").where(draw * F.col("docs") < F.lit(1_000_003 * sample_docs)).select("doc_id").distinct()
-    texts = labelled.where("text IS NOT NULL AND lang IS NOT NULL").select("doc_id", "lang", "text").join(small_or_shuffled(checkpointed(chosen)), "doc_id", "left_semi")
-    aside = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1_000_003)) % CALIBRATE == 0
+    texts = sampled(labelled, sample_docs)
+    aside = F.pmod(F.floor(F.col("draw") * float(1 << 53)), F.lit(CALIBRATE)) == 0
     fields = [("lang", pa.string()), *((f"s{i}", pa.int64()) for i in range(ORDER)), ("n", pa.int64())]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +240,8 @@ def learn(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
 
     names = ["lang", *(f"s{i}" for i in range(ORDER))]
     counts = texts.where(~aside).select("lang", "text").mapInArrow(count, ", ".join(f"{n} {'string' if n == 'lang' else 'long'}" for n in [*names, "n"]))
-    model = kneser_ney(counts.groupBy(*names).agg(F.sum("n").alias("n")).orderBy(*names).toPandas())
+    with small_batches(labelled.sparkSession):
+        model = kneser_ney(counts.groupBy(*names).agg(F.sum("n").alias("n")).orderBy(*names).toPandas())
     if not model.langs:
         return model
 
@@ -258,7 +270,8 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, text's language ``lang_pred``, ``score`` (0 to 1), ``bits`` a symbol and ``rejected``, a row for each row.
+    """doc_id, text's language ``lang_pred``, ``score`` (0 to 1), ``bits`` a symbol, ``rejected`` and ``_hash`` (of the
+    text), a row for each row; checkpointed.
 
     ``und`` with score 0, rejected, if a text is null or has no letter. Equal cross-entropies take the first language
     in sorted order. Other texts always get a learned language; ``rejected`` says that no model fits them.
@@ -268,9 +281,10 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             found = model.judge(batch.column(1).to_pylist())
             columns = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "lang_pred", "score", "bits", "rejected"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, batch.column(2)], ["doc_id", "lang_pred", "score", "bits", "rejected", "_hash"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double, bits double, rejected boolean")
+    key, digest = row_key()
+    return arrow_mapped(docs.select(key.cast("long").alias("doc_id"), "text", digest), run, "doc_id long, lang_pred string, score double, bits double, rejected boolean, _hash long")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -281,13 +295,5 @@ def language_id(docs: DataFrame) -> DataFrame:
 
 def identified(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which a learned language was recognised, all columns as they came."""
-    model = learn(docs.where(~held_out()))
-    names = docs.columns
-    schema = docs.schema
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            found = model.judge(batch.column(names.index("text")).to_pylist())
-            yield batch.filter(pa.array([not f[3] for f in found], pa.bool_()))
-
-    return text_batches(docs).mapInArrow(keep, schema)
+    found = identify(docs, learn(docs.where(~held_out())))
+    return without(docs, found.where("rejected").select(F.col("doc_id").alias("_id"), "_hash"))

@@ -8,11 +8,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, slices, text_batches
+from docloom.llm.base import checkpointed, slices, small_batches
 from docloom.llm.tokens import default_tokenizer, encoder
 
 #: Lengths that share one block of the two-level sums.
-BLOCK = 1024
+BLOCK = 128
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_tokens: int = 0) -> DataFrame:
@@ -24,7 +24,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_tokens: int
             lengths = [len(ids) // 4 + end_tokens for ids in encoder(path).encode(batch.column(0).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(lengths, pa.int64())], ["n_tokens"])
 
-    return text_batches(docs).select("text").mapInArrow(count, "n_tokens long")
+    return docs.select("text").mapInArrow(count, "n_tokens long")
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -35,10 +35,12 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     cut off); quantile (share of documents no longer than L). A quantile q is the smallest length with quantile >= q;
     between two lengths a < L < b, the truncated total is ``tokens_to(a) + L * docs_over(a)``.
 
-    Texts are encoded once, as the histogram is checkpointed. Only the histogram is ordered, in two levels: sums of blocks of lengths, then sums within a block, so that no task
-    sees more than a block's lengths or one row per block. Null lengths are left out; no rows give an empty result.
+    Texts are encoded once, as the histogram is checkpointed. Only the histogram is ordered, in two levels: sums of blocks
+    of lengths, then sums within a block, so that no task sees more than a block's lengths or one row per block. Null
+    lengths are left out; no rows give an empty result.
     """
-    hist = checkpointed(lengths.where("n_tokens IS NOT NULL").groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")))
+    with small_batches(lengths.sparkSession):
+        hist = checkpointed(lengths.where("n_tokens IS NOT NULL").groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n_docs")))
     hist = hist.withColumn("block", F.floor(F.col("length") / BLOCK)).withColumn("tokens", F.col("length") * F.col("n_docs"))
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

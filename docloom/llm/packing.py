@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, slices, text_batches
+from docloom.llm.base import arrow_mapped, checkpointed, slices, small_or_shuffled
 from docloom.llm.tokens import MEMO_WORDS, default_tokenizer, encoder
 
 WINDOW, END_ID = 2048, 1
@@ -37,7 +38,10 @@ def combinations_filling(bins: int, depth: int = DEPTH) -> list[tuple[int, ...]]
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 2000) -> np.ndarray:
-    """x >= 0 with least ||a x - b||, by the active-set method of Lawson and Hanson."""
+    """x >= 0 with least ||a x - b||, by the active-set method of Lawson and Hanson.
+
+    Warns if it has not come to an end after so many rounds; what it returns is then still not negative, but not the least.
+    """
     x, active = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
     gain = a.T @ b
     tolerance = 1e-9 * max(1.0, float(np.abs(gain).max(initial=0)))
@@ -104,7 +108,7 @@ def joined_crc(crcs: list[tuple[int, int]]) -> int:
 
 def encoded_pieces(docs: DataFrame, path: str, window: int, end_id: int, memo_words: int = MEMO_WORDS) -> DataFrame:
     """A row for each document: doc_id, doc_tokens, CRC-32 of each full window, length and CRC-32 of the rest, and the
-    CRC-32 of the rest's segments as unsigned 32-bit integers."""
+    CRC-32 of the rest's segments as unsigned 32-bit integers; checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], "<u4").tobytes()
@@ -125,7 +129,7 @@ def encoded_pieces(docs: DataFrame, path: str, window: int, end_id: int, memo_wo
                 ["doc_id", "doc_tokens", "full", "rest", "rest_crc", "segments"],
             )
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, doc_tokens long, full array<long>, rest long, rest_crc long, segments binary")
+    return arrow_mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, doc_tokens long, full array<long>, rest long, rest_crc long, segments binary")
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,7 +167,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     """
     path = tokenizer or default_tokenizer()
     bins, slots = window // QUANTUM, window // SEGMENT
-    base = checkpointed(encoded_pieces(docs, path, window, end_id, memo_words)).select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"))
+    base = encoded_pieces(docs, path, window, end_id, memo_words).select("*", F.spark_partition_id().alias("pid"), F.monotonically_increasing_id().alias("rid"))
     rests = base.where("rest > 0").withColumn("bin", F.ceil(F.col("rest") / QUANTUM))
     sizes = checkpointed(rests.groupBy("pid", "bin").agg(F.count("*").alias("n")))
     histogram = {r["bin"]: r["n"] for r in sizes.groupBy("bin").agg(F.sum("n").alias("n")).collect()}
@@ -175,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     at = wholes.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = Window.partitionBy("pid").orderBy("rid").rowsBetween(Window.unboundedPreceding, -1)
     full = base.where(F.size("full") > 0).select("pid", "rid", "doc_id", "doc_tokens", "full").withColumn("up_to", F.coalesce(F.sum(F.size("full")).over(inside), F.lit(0)))
-    full = full.join(F.broadcast(at), "pid").select("doc_id", "doc_tokens", (F.col("first") + F.col("up_to")).alias("first"), F.posexplode("full").alias("i", "ids_crc32"))
+    full = full.join(small_or_shuffled(checkpointed(at)), "pid").select("doc_id", "doc_tokens", (F.col("first") + F.col("up_to")).alias("first"), F.posexplode("full").alias("i", "ids_crc32"))
     full = full.select("doc_id", (F.col("i").cast("long") * window).alias("start"), F.lit(window).cast("long").alias("length"), "ids_crc32", "doc_tokens", (F.col("first") + F.col("i")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     total_full = wholes.agg(F.sum("n")).first()[0] or 0
 
@@ -183,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     earlier = Window.partitionBy("bin").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("pid", "bin", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("earlier"))
     rank = F.row_number().over(Window.partitionBy("pid", "bin").orderBy("rid")) - 1
-    ranked = rests.drop("full").withColumn("own", rank).join(offsets, ["pid", "bin"]).withColumn("rank", F.col("own") + F.col("earlier"))
+    ranked = rests.drop("full").withColumn("own", rank).join(small_or_shuffled(checkpointed(offsets)), ["pid", "bin"]).withColumn("rank", F.col("own") + F.col("earlier"))
     used: dict[int, int] = {}
     intervals, sequence = [], 0
     for combination, n in chosen:
@@ -209,7 +213,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     over = checkpointed(over.select("pid", "rid", "doc_id", "doc_tokens", "rest", "segments", "steps"))
     steps = over.groupBy("pid").agg(F.sum("steps").alias("n"))
     first = steps.select("pid", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
-    over = over.withColumn("up_to", F.coalesce(F.sum("steps").over(inside), F.lit(0))).join(F.broadcast(first), "pid")
+    over = over.withColumn("up_to", F.coalesce(F.sum("steps").over(inside), F.lit(0))).join(small_or_shuffled(checkpointed(first)), "pid")
     over = over.select("rid", "doc_id", "doc_tokens", "rest", "segments", begin.alias("begin"), (F.col("earlier") + F.col("up_to")).alias("first"), F.lit(slots).alias("slots"))
     cut = over.mapInArrow(_cut_pieces, "rid long, doc_id long, doc_tokens long, start long, length long, ids_crc32 long, sequence long, slot long")
     cut = cut.select("rid", "doc_id", "doc_tokens", "start", "length", "ids_crc32", (F.lit(total_full + sequence) + F.col("sequence")).alias("sequence_id"), "slot")

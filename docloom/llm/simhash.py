@@ -11,12 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpointed, slices, small_or_shuffled, text_batches
+from docloom.llm.base import arrow_mapped, checkpointed, row_key, slices, small_or_shuffled, without
 from docloom.llm.components import connected_components
 
 BITS = 64
 #: A table bucket with more fingerprints than this is linked through midpoints instead of by comparing its members.
-DENSE_BUCKET = 512
+DENSE_BUCKET = 2048
+#: Writing, moving and reading a row of the join costs about as much as so many comparisons of two fingerprints.
+ROW_COST = 50
 
 
 def fingerprint(text: str | None, shingle: int = 4) -> int:
@@ -42,14 +44,15 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp) for every row; fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, hash, fp) for every row: a hash of the text and the fingerprint's 64 bits, as signed longs; checkpointed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "hash", "fp"])
 
-    return text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    key, digest = row_key()
+    return arrow_mapped(docs.select(key.cast("long").alias("doc_id"), digest.alias("hash"), "text"), run, "doc_id long, hash long, fp long")
 
 
 def _ball(width: int, radius: int) -> list[int]:
@@ -66,15 +69,17 @@ def segments(n: int, radius: int) -> list[tuple[int, int, int]]:
     """(offset, width, ball radius) of each segment, for n fingerprints.
 
     Two fingerprints within ``radius`` bits are within the ball radius t_i in at least one segment whenever the t_i + 1
-    sum to radius + 1. Few wide segments mean many probes, many narrow ones many members in a bucket; the number with
-    the least expected probes and comparisons for n is taken. Every choice finds the same links.
+    sum to radius + 1. Few wide segments mean many probes, many narrow ones many members in a bucket. The number with
+    the least expected cost for n is taken: rows that enter the join, at ROW_COST each, and comparisons. At that choice
+    nearly every value of a segment is held, so a filter of held values would drop few probes. Every choice finds the
+    same links.
     """
     best = None
     for m in range(2 if radius else 1, radius + 2):
         widths = [BITS // m + (i < BITS % m) for i in range(m)]
         balls = [(radius + 1) // m + (i >= m - (radius + 1) % m) - 1 for i in range(m)]
         probes = [sum(comb(w, r) for r in range(t + 1)) for w, t in zip(widths, balls, strict=True)]
-        cost = sum(p * (1 + n / 2**w) for p, w in zip(probes, widths, strict=True))
+        cost = sum(ROW_COST * (p + 1) + p * n / 2**w for p, w in zip(probes, widths, strict=True))
         if best is None or cost < best[0]:
             best = (cost, [(sum(widths[:i]), w, t) for i, (w, t) in enumerate(zip(widths, balls, strict=True))])
     return best[1]
@@ -115,6 +120,16 @@ def fingerprint_links(distinct: DataFrame, radius: int = 4, dense_bucket: int =
     return links.distinct()
 
 
+def _grouped(fps: DataFrame, radius: int, dense_bucket: int) -> DataFrame:
+    """(fp, least): every fingerprint and the smallest row of its group, a struct (unnamed, doc_id, hash); null ids last."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "hash")
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min(row).alias("least")))
+    parts = checkpointed(connected_components(fingerprint_links(nodes.select("fp"), radius, dense_bucket)).withColumnRenamed("node", "fp"))
+    firsts = parts.join(nodes, "fp").groupBy("component").agg(F.min("least").alias("first"))
+    linked = parts.join(firsts, "component").select("fp", "first")
+    return checkpointed(nodes.join(linked, "fp", "left").select("fp", F.coalesce("first", "least").alias("least")))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, dense_bucket: int = DENSE_BUCKET) -> DataFrame:
     """(doc_id, fp, component_id): every row's fingerprint and the smallest doc_id that links reach from it.
 
@@ -122,43 +137,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, dense_bu
     texts have fingerprint zero and link like any other; repeated rows are repeated in the result. A null doc_id is never
     the smallest: its row gets the smallest other id of its group, or null if there is none.
     """
-    fps = checkpointed(fingerprints(docs, shingle))
-    nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    parts = checkpointed(connected_components(fingerprint_links(nodes.select("fp"), radius, dense_bucket)).withColumnRenamed("node", "fp"))
-    ids = parts.join(nodes, "fp").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    linked = parts.join(ids, "component").select("fp", "component_id")
-    named = nodes.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "least_id").alias("component_id"))
-    return fps.join(small_or_shuffled(checkpointed(named)), "fp").select("doc_id", "fp", "component_id")
+    fps = fingerprints(docs, shingle)
+    groups = _grouped(fps, radius, dense_bucket)
+    return fps.join(small_or_shuffled(groups), "fp").select("doc_id", "fp", F.col("least.doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its group, each id once; all columns as they came.
+def one_of_each(docs: DataFrame, shingle: int = 4, radius: int = 4, dense_bucket: int = DENSE_BUCKET) -> DataFrame:
+    """One row of ``docs`` from each group of near-duplicates, all columns as they came.
 
-    Of rows with a null doc_id one stays for each fingerprint whose group has no other id.
+    Rows are told apart by doc_id and text, so different texts under one id are judged each for itself. A group keeps its
+    row with the smallest doc_id (null last), among those the one with the smallest hash of its text; of rows that are
+    equal in both, any one stays.
     """
-    found = checkpointed(near_duplicates(docs, shingle, radius))
-    gone = found.where("doc_id IS NOT NULL AND doc_id != component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(small_or_shuffled(checkpointed(gone)), "doc_id", "left_anti")
-    again = checkpointed(found.where("doc_id IS NOT NULL AND doc_id = component_id").groupBy("doc_id").count().where(F.col("count") > 1).select("doc_id"))
-    if not again.isEmpty():
-        again = small_or_shuffled(again)
-        kept = kept.join(again, "doc_id", "left_anti").unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    if not found.where("doc_id IS NULL AND component_id IS NULL").isEmpty():
-        lone = found.where("doc_id IS NULL AND component_id IS NULL").select("fp").distinct()
-        unnamed = docs.where("doc_id IS NULL")
-        texts = unnamed.groupBy("text").agg(F.count("*").alias("n")).select(F.lit(None).cast("long").alias("doc_id"), "text")
-        first = fingerprints_with_text(texts, shingle).join(lone, "fp").groupBy("fp").agg(F.min("text").alias("text"))
-        rows = unnamed.alias("d").join(first.select("text").alias("f"), F.col("d.text").eqNullSafe(F.col("f.text")), "left_semi")
-        kept = kept.unionByName(rows.dropDuplicates(["text"]))
-    return kept.select(*docs.columns)
-
-
-def fingerprints_with_text(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(text, fp) for every row of ``docs``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(0).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["text", "fp"])
-
-    return docs.select("text").mapInArrow(run, "text string, fp long")
+    fps = fingerprints(docs, shingle)
+    found = fps.join(small_or_shuffled(_grouped(fps, radius, dense_bucket)), "fp")
+    first = F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("hash") == F.col("least.hash"))
+    kept = without(docs, found.where(~first).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash")))
+    again = found.where(first).groupBy("doc_id", "hash").count().where(F.col("count") > 1)
+    again = checkpointed(again.select("doc_id", "hash"))
+    if again.isEmpty():
+        return kept
+    mark = "_row"
+    while any(c.lower().startswith(mark) for c in docs.columns):
+        mark += "_"
+    again = small_or_shuffled(again.select(F.col("doc_id").alias(f"{mark}a"), F.col("hash").alias(f"{mark}b")))
+    keyed = kept.withColumns({f"{mark}id": F.col("doc_id").cast("long"), f"{mark}hash": F.xxhash64("text")})
+    same = F.col(f"{mark}id").eqNullSafe(F.col(f"{mark}a")) & (F.col(f"{mark}hash") == F.col(f"{mark}b"))
+    twice = keyed.join(again, same, "left_semi").dropDuplicates([f"{mark}id", f"{mark}hash"])
+    return keyed.join(again, same, "left_anti").unionByName(twice).select(*[F.col(f"`{c}`") for c in docs.columns])

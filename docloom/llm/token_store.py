@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.base import checkpoint_folder, checkpointed, slices, small_or_shuffled, text_batches
+from docloom.llm.base import checkpoint_folder, checkpointed, removed, slices, small_batches, small_or_shuffled
 from docloom.llm.tokens import default_tokenizer, encoder
 
-#: The dictionary is trained on about so many documents, spread by the hash of their id, of at most SAMPLE_CHARS
-#: characters each. It decides how well documents compress, never what is stored.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES, LEVEL = 1000, 20_000, 64 << 10, 1
+#: The dictionary is trained on at most so many documents, those with the smallest hashes, and the first ids of each. It
+#: decides how well documents compress, never what is stored.
+SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES, LEVEL = 1000, 4096, 64 << 10, 1
 #: A block of the data file closes after so many documents or compressed bytes.
 BLOCK_DOCS, BLOCK_BYTES = 512, 1 << 20
 #: Documents of one shard at most, on average.
@@ -33,14 +33,19 @@ def _packed(ids: bytes, width: int) -> bytes:
     return ids if width == 4 else np.frombuffer(ids, "<u4").astype("<u2").tobytes()
 
 
-def train_dictionary(docs: DataFrame, path: str, width: int) -> bytes:
+def train_dictionary(docs: DataFrame, path: str, width: int, n_docs: int) -> bytes:
     """A zstandard dictionary from the serialized ids of a bounded sample; empty if the sample is too small for one."""
     import zstandard
 
-    step = max(1, docs.count() // SAMPLE_DOCS)
-    texts = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0).where(f"length(text) <= {SAMPLE_CHARS}").select("text").limit(SAMPLE_DOCS)
-    texts = sorted(r[0] for r in texts.collect())
-    samples = [_packed(ids, width) for ids in encoder(path).encode(texts) if ids]
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids = [x[: 4 * SAMPLE_IDS] for x in encoder(path).encode(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["draw", "ids"])
+
+    draw = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    near = docs.select(draw.alias("draw"), "text").where(F.col("draw") <= 2 * SAMPLE_DOCS / max(1, n_docs))
+    rows = near.mapInArrow(encode, "draw double, ids binary").distinct().orderBy("draw").limit(SAMPLE_DOCS).collect()
+    samples = [_packed(bytes(r["ids"]), width) for r in rows if r["ids"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -58,16 +63,18 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
     keeps statistics of, and opens its frame alone.
 
     Null text is written as the end id alone; null ids come first; equal ids follow one another, ordered by their
-    text's hash. Every write goes through Spark's committer, so a lost executor's blocks are written again.
+    text's hash; rows equal in both are spread over shards by their place in the input. Every write goes through Spark's
+    committer, so a lost executor's blocks are written again.
     """
     path = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    docs = text_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     width = 2 if encoder(path).tokenizer.get_vocab_size() <= 65_536 else 4
-    dictionary = train_dictionary(docs, path, width)
+    n_docs = docs.count()
+    dictionary = train_dictionary(docs, path, width, n_docs)
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "hash string, data binary").write.parquet(f"{out}/dictionary")
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.count() // SHARD_DOCS + 1)
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_docs // SHARD_DOCS + 1)
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -103,9 +110,12 @@ def write_token_store(docs: DataFrame, out: str, tokenizer: str | None = None, e
         if state["ids"]:
             yield close()
 
-    ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("place")]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = ordered.repartitionByRange(shards, *order).sortWithinPartitions(*order)
     ordered = ordered.select("doc_id", "text", F.spark_partition_id().cast("long").alias("shard"))
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
+    with small_batches(spark):
+        ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{out}/blocks")
     totals = spark.read.parquet(f"{out}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row per shard of about 64 MB
     totals.select("shard", "n_tokens", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("start")).write.parquet(f"{out}/shards")
@@ -155,8 +165,15 @@ def read_token_store(spark: SparkSession, out: str, doc_ids: list[int] | None =
 
 
 def stored_documents(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0) -> DataFrame:
-    """Writes a store below the session's checkpoint folder, reads it back and returns (doc_id, start, n_tokens, ids_crc32)."""
+    """Writes a store below the session's checkpoint folder, reads it back and returns (doc_id, start, n_tokens, ids_crc32).
+
+    The store is removed once it has been read.
+    """
     spark = docs.sparkSession
     out = f"{checkpoint_folder(spark)}/token_store_{uuid.uuid4().hex}"
-    write_token_store(docs, out, tokenizer, end_id)
-    return read_token_store(spark, out, digest=True)
+    try:
+        write_token_store(docs, out, tokenizer, end_id)
+        with small_batches(spark, 32):  # rows are blocks
+            return checkpointed(read_token_store(spark, out, digest=True))
+    finally:
+        removed(spark, out)

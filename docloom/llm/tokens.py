@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from array import array
 
 import numpy as np
@@ -29,7 +30,9 @@ class Encoder:
     The pre-tokenizer of byte-level BPE never joins what stands on both sides of a single blank or newline between two
     non-blank characters. A text is parted there, and the ids of each part are looked up or, if new, encoded by the
     library, thousands of parts in one call. Texts with other white space around a blank or newline are encoded whole.
-    The ids are those of the library for the whole text; strings of special tokens count as text.
+    The ids are those of the library for the whole text with ``add_special_tokens=False``: strings of added tokens that
+    stand in a text give those tokens' ids, as the library finds them before anything else, and what stands between
+    them is encoded like a text of its own.
     """
 
     def __init__(self, path: str, memo_words: int = MEMO_WORDS):
@@ -38,7 +41,12 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder()
+        strings = sorted({t.content for t in added.values()}, key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, strings))) if strings else None
+        # plain ones alone: others also look at what stands beside them
+        self.added_ids = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items() if not (t.lstrip or t.rstrip or t.single_word or t.normalized)}
+        self.added_plain = len(self.added_ids) == len(strings)
         self.memo: dict[str, bytes | None] = {}
         self.again: set[str] = set()
         self.ends = dict(zip(ENDS, self._whole(list(ENDS)), strict=True))
@@ -95,6 +103,27 @@ class Encoder:
         """Ids of each text; null counts as empty."""
         if self.newline is None:
             return self._whole([t or "" for t in texts])
+        if self.added:
+            special = [i for i, t in enumerate(texts) if t and self.added.search(t)]
+            if special:
+                texts = list(texts)
+                found = [self._with_added(texts[i]) for i in special]
+                for i in special:
+                    texts[i] = ""
+                out = self._in_groups(texts)
+                for i, ids in zip(special, found, strict=True):
+                    out[i] = ids
+                return out
+        return self._in_groups(texts)
+
+    def _with_added(self, text: str) -> bytes:
+        if not self.added_plain:
+            return self._whole([text])[0]
+        between = self._in_groups(self.added.split(text))
+        tokens = [self.added_ids[t] for t in self.added.findall(text)]
+        return b"".join(x for pair in zip(between, [*tokens, b""], strict=True) for x in pair)
+
+    def _in_groups(self, texts: list[str | None]) -> list[bytes]:
         out: list[bytes] = []
         begin = size = 0
         for i, t in enumerate(texts):  # a bounded number of words at a time
