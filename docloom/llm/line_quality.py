@@ -10,109 +10,126 @@ from docloom.llm.base import BLANK, checkpointed, on_key, row_key, small_or_shuf
 WORD = r"[^\x20\x09-\x0D]+"
 #: Base rules: fewer words, or a larger share of words in repeated three-word windows, fail.
 LEAST_WORDS, MOST_REPEATED = 50, 0.5
-#: A line is boilerplate on a host if more distinct documents of it have the line than the larger of these two limits.
-LINE_DOCS, LINE_SHARE = 20, 0.01
+#: A line is boilerplate on a host if more distinct documents of it than this have the line, however large the host is.
+LINE_DOCS = 20
 #: A document is depleted if less than this share of its words is left.
 LEAST_LEFT = 0.1
+#: Bits of a window's hash that are given up; tests raise it, so that hashes collide.
+SPARE = 0
 
 
 def _repeated_words(words: Column, n: Column) -> tuple:
-    """Three steps (packed windows, positions, count) to how many words lie in a three-word window found twice or more.
+    """Four steps (packed windows, those met again, positions, count) to how many words lie in a three-word window found
+    twice or more.
 
     Window hashes are packed with their positions into longs, so that sorting brings equal windows together: the
-    position takes as many low bits as it needs, the hash the rest.
+    position takes as many low bits as it needs, the hash the rest. Neighbours of equal hash are then compared word by
+    word. Where two differ, the windows themselves are sorted instead, so the count is exact.
     """
-    bits = F.length(F.bin(n)).cast("int")
+    bits = (F.length(F.bin(n)) + SPARE).cast("int")
 
     def window(i: Column) -> Column:
         return F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), bits).bitwiseOR(i.cast("long"))
 
+    def head(x: Column) -> Column:
+        return F.call_function("shiftrightunsigned", x, bits)
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1).cast("int")
+
     packed = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), window))
 
-    def positions(s: Column) -> Column:
-        def head(x: Column) -> Column:
-            return F.call_function("shiftrightunsigned", x, bits)
+    def again(s: Column) -> Column:
+        return F.filter(s, lambda x, i: F.coalesce(head(x) == head(F.get(s, i - 1)), F.lit(False)) | F.coalesce(head(x) == head(F.get(s, i + 1)), F.lit(False)))
 
-        twice = F.filter(s, lambda x, i: F.coalesce(head(x) == head(F.get(s, i - 1)), F.lit(False)) | F.coalesce(head(x) == head(F.get(s, i + 1)), F.lit(False)))
-        return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
+    def positions(t: Column) -> Column:
+        def unlike(i: Column) -> Column:
+            a, b = F.get(t, i - 1), F.get(t, i)
+            differ = [F.get(words, place(a) + k) != F.get(words, place(b) + k) for k in range(3)]
+            return (head(a) == head(b)) & (differ[0] | differ[1] | differ[2])
+
+        collided = F.when(F.size(t) > 1, F.exists(F.sequence(F.lit(1), F.size(t) - 1), unlike)).otherwise(F.lit(False))
+        whole = F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("s"), i.alias("i"))))
+        twice = F.filter(whole, lambda x, i: F.coalesce(x["s"] == F.get(whole, i - 1)["s"], F.lit(False)) | F.coalesce(x["s"] == F.get(whole, i + 1)["s"], F.lit(False)))
+        return F.sort_array(F.when(collided, F.transform(twice, lambda x: x["i"])).otherwise(F.transform(t, place)))
 
     def covered(p: Column) -> Column:
         return F.aggregate(F.transform(p, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return packed, positions, covered
+    return packed, again, positions, covered
+
+
+def _text_number(text: Column) -> Column:
+    """60 bits of the text's MD5, which tell distinct documents apart and order them."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
 
+def profiles(docs: DataFrame, host: str = "source") -> DataFrame:
+    """A row for each row of ``docs``, made in one scan and checkpointed; null texts count as empty.
 
-def base_rules(docs: DataFrame) -> DataFrame:
-    """Key, doc_id, the five counts of whole texts and base_failed; null texts count as empty."""
-    d = docs.select(*row_key(), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("t")).withColumn("w", words_of(F.col("t"), BLANK)).withColumn("n", F.size("w"))
-    packed, positions, covered = _repeated_words(F.col("w"), F.col("n"))
-    lines = F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    Key, doc_id, ``host`` (null: one of its own), ``number`` of the text, the five counts of whole texts, ``base_failed``,
+    and of each line ``lines``, the hash of its normalised form (null for a line without a word), and ``line_words``.
+    """
+    has_word = r"[^\x20\x09-\x0D]"
+    d = docs.select(*row_key(), F.col("doc_id"), F.coalesce(F.col(host), F.lit("\0")).alias("host"), F.coalesce("text", F.lit("")).alias("t"))
+    d = d.withColumn("w", words_of(F.col("t"), BLANK)).withColumn("n", F.size("w")).withColumn("own", F.split("t", "\n"))
+    packed, again, positions, covered = _repeated_words(F.col("w"), F.col("n"))
+    hashed = F.transform("own", lambda x: F.when(x.rlike(has_word), F.xxhash64(F.trim(F.regexp_replace(F.lower(x), BLANK, " ")))))
+    worded = F.filter("own", lambda x: x.rlike(has_word))
     d = d.select(
         "_id",
         "_hash",
         "doc_id",
+        "host",
+        _text_number(F.col("t")).alias("number"),
         F.col("n").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        lines.alias("lines"),
+        worded.alias("worded"),
+        hashed.alias("lines"),
+        F.transform("own", lambda x: F.regexp_count(x, F.lit(WORD))).alias("line_words"),
+        "w",
         "n",
         F.when(F.col("n") >= 3, packed).otherwise(F.array().cast("array<long>")).alias("packed"),
     )
-    d = d.withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")).withColumn("at", positions(F.col("packed")))
-    d = d.withColumn("n_repeat_words", covered(F.col("at")))
+    d = d.withColumn("n_dup_lines", (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long")).withColumn("twice", again(F.col("packed")))
+    d = d.withColumn("at", positions(F.col("twice"))).withColumn("n_repeat_words", covered(F.col("at")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > int(100 * MOST_REPEATED) * F.col("n_words"))
-    return d.select("_id", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"))
-
-
-def _text_number(text: Column) -> Column:
-    """60 bits of the text's MD5, which tell distinct documents apart and order them."""
-    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit(""))), 1, 15), 16, 10).cast("long")
-
-
-def _lines(docs: DataFrame, host: str) -> DataFrame:
-    """Key, host, text number and ``lines``: hash of each normalised line and its words; null for lines without a word."""
-    hashed = F.transform(
-        F.split(F.coalesce("text", F.lit("")), "\n"),
-        lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.struct(F.xxhash64(F.trim(F.regexp_replace(F.lower(x), BLANK, " "))).alias("line"), F.regexp_count(x, F.lit(WORD)).alias("words"))),
-    )
-    return docs.select(*row_key(), F.coalesce(F.col(host), F.lit("\0")).alias("host"), _text_number(F.col("text")).alias("number"), hashed.alias("lines"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return checkpointed(d.select("_id", "_hash", "doc_id", "host", "number", *counts, failed.alias("base_failed"), "lines", "line_words"))
 
 
-def boilerplate(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line, owner): lines in more distinct documents of a host than the limits allow, and the document that keeps them.
+def boilerplate(profiled: DataFrame, line_docs: int = LINE_DOCS) -> DataFrame:
+    """(host, line, owner): lines in more distinct documents of a host than the limit allows, and the document that keeps them.
 
     Distinct documents are distinct texts: copies count once. The owner is the text with the smallest number.
     """
-    d = _lines(docs, host)
-    pairs = d.select("host", "number", F.explode(F.array_distinct(F.col("lines.line"))).alias("line")).where("line IS NOT NULL").distinct()
-    lines = pairs.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("number").alias("owner")).where(F.col("n") > line_docs)
-    hosts = docs.select(F.coalesce(F.col(host), F.lit("\0")).alias("host"), _text_number(F.col("text")).alias("number")).distinct().groupBy("host").agg(F.count("*").alias("docs"))
-    return lines.join(small_or_shuffled(checkpointed(hosts)), "host").where(F.col("n") > line_share * F.col("docs")).select("host", "line", "owner")
+    pairs = profiled.select("host", "number", F.explode(F.array_distinct("lines")).alias("line")).where("line IS NOT NULL").distinct()
+    return pairs.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("number").alias("owner")).where(F.col("n") > line_docs).select("host", "line", "owner")
 
 
-def _gone_lines(docs: DataFrame, host: str, line_docs: int, line_share: float) -> DataFrame:
+def _gone_lines(profiled: DataFrame, line_docs: int) -> DataFrame:
     """_id, _hash, host, ``at`` (places of the row's boilerplate lines in order, from 0) and ``gone`` (their words).
 
     Rows without boilerplate have none; a row's places are no more than its lines.
     """
-    common = small_or_shuffled(checkpointed(boilerplate(docs, host, line_docs, line_share)))
-    lines = _lines(docs, host).select("_id", "_hash", "host", "number", F.posexplode("lines").alias("at", "l")).where("l IS NOT NULL")
-    lines = lines.select("_id", "_hash", "host", "number", "at", F.col("l.line").alias("line"), F.col("l.words").alias("words"))
+    common = small_or_shuffled(checkpointed(boilerplate(profiled, line_docs)))
+    lines = profiled.select("_id", "_hash", "host", "number", "line_words", F.posexplode("lines").alias("at", "line")).where("line IS NOT NULL")
+    lines = lines.select("_id", "_hash", "host", "number", "at", "line", F.get("line_words", F.col("at")).alias("words"))
     gone = lines.join(common, ["host", "line"]).where("number != owner").select("_id", "_hash", "host", "at", "words").distinct()
     return gone.groupBy("_id", "_hash", "host").agg(F.sort_array(F.collect_list("at")).alias("at"), F.sum("words").alias("gone"))
 
 
-def _verdicts(docs: DataFrame, gone: DataFrame, least_left: float) -> DataFrame:
+def _verdicts(profiled: DataFrame, gone: DataFrame, least_left: float) -> DataFrame:
     # one text under one id on two hosts: the host that leaves least decides
     gone = gone.groupBy("_id", "_hash").agg(F.max("gone").alias("gone")).alias("g")
-    d = checkpointed(base_rules(docs))  # else a caller's filter would be computed inside the loops over words
-    d = d.join(gone, on_key(d, gone), "left").select(d["*"], F.coalesce("gone", F.lit(0)).alias("gone"))
+    d = profiled.join(gone, on_key(profiled, gone), "left").select(profiled["*"], F.coalesce("gone", F.lit(0)).alias("gone"))
     left = F.col("n_words") - F.col("gone")
     kept = ~F.col("base_failed") & ~((F.col("gone") > 0) & (left < least_left * F.col("n_words")))
     return d.select("_id", "_hash", "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", left.alias("left_words"), kept.alias("kept"))
 
 
-def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """One row per row of ``docs``: the base counts, base_failed, left_words, kept.
 
     Boilerplate lines are removed from every document but the one that owns them on its host, so that what they say is
@@ -120,10 +137,11 @@ def line_quality(docs: DataFrame, host: str = "source", line_docs: int = LINE_DO
     removed and less than ``least_left`` of the words is left.
 
     Null texts count as empty and so fail; rows with a null host form a host of their own; repeated rows get the same
-    result each; ties need no order. Line counts are grouped with map-side sums; a host or line that a third of the
-    rows share is never gathered.
+    result each; ties need no order. Texts are read once. Line counts are grouped with map-side sums; a host or line that
+    a third of the rows share is never gathered.
     """
-    return _verdicts(docs, _gone_lines(docs, host, line_docs, line_share), least_left)
+    profiled = profiles(docs, host)
+    return _verdicts(profiled, _gone_lines(profiled, line_docs), least_left)
 
 
 def without_rejects(docs: DataFrame, **limits) -> DataFrame:
@@ -142,7 +160,7 @@ def _without_places(text: Column, at: Column) -> Column:
     return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(at)), between)), "\n")
 
 
-def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, least_left: float = LEAST_LEFT) -> DataFrame:
+def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, least_left: float = LEAST_LEFT) -> DataFrame:
     """The rows of ``docs`` that ``line_quality`` keeps, each text without its boilerplate lines; columns as they came.
 
     All other lines stay as they are and in order, and the owner of a line keeps it on its host. ``n_chars``, where there
@@ -151,8 +169,9 @@ def cleaned(docs: DataFrame, host: str = "source", line_docs: int = LINE_DOCS, l
     mark = "_key"
     while any(c.lower().startswith(mark) for c in docs.columns):
         mark += "_"
-    gone = checkpointed(_gone_lines(docs, host, line_docs, line_share))
-    kept = without(docs, _verdicts(docs, gone, least_left).where(~F.col("kept")))
+    profiled = profiles(docs, host)
+    gone = checkpointed(_gone_lines(profiled, line_docs))
+    kept = without(docs, _verdicts(profiled, gone, least_left).where(~F.col("kept")))
     keyed = kept.withColumns({f"{mark}id": F.col("doc_id"), f"{mark}hash": F.xxhash64("text"), f"{mark}host": F.coalesce(F.col(host), F.lit("\0"))})
     places = small_or_shuffled(gone.select(*[F.col(c).alias(f"{mark}{n}") for c, n in (("_id", "gone_id"), ("_hash", "gone_hash"), ("host", "gone_host"), ("at", "at"))]))
     same = F.col(f"{mark}id").eqNullSafe(F.col(f"{mark}gone_id")) & (F.col(f"{mark}hash") == F.col(f"{mark}gone_hash")) & (F.col(f"{mark}host") == F.col(f"{mark}gone_host"))
@@ -176,9 +195,8 @@ ln AS (SELECT rid, host, md5(t) AS id, unnest(string_split(t, chr(10))) AS l FRO
 lw AS (SELECT rid, host, id, l, trim(regexp_replace(lower(l), '[\x20\x09-\x0D]+', ' ', 'g')) AS nl,
               len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS words FROM ln WHERE regexp_matches(l, '[^\x20\x09-\x0D]')),
 dup AS (SELECT rid, count(*) - count(DISTINCT l) AS n FROM lw GROUP BY rid),
-hosts AS (SELECT host, count(DISTINCT md5(t)) AS docs FROM d GROUP BY host),
 freq AS (SELECT host, nl, count(DISTINCT id) AS n, min(substr(id, 1, 15)) AS owner FROM lw GROUP BY host, nl),
-common AS (SELECT f.host, f.nl, f.owner FROM freq f JOIN hosts h USING (host) WHERE f.n > 20 AND f.n > 0.01 * h.docs),
+common AS (SELECT host, nl, owner FROM freq WHERE n > 20),
 gone AS (SELECT rid, sum(words) AS n FROM lw JOIN common c USING (host, nl) WHERE substr(id, 1, 15) <> c.owner GROUP BY rid),
 f AS (SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
              len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines,

@@ -283,6 +283,29 @@ def test_boilerplate(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(got) - gone
 
 
+def test_boilerplate_on_a_host_far_larger_than_the_limit(spark):
+    rows = [(i, f"own words of {i} " * 20 + "\nthe very same line", "big") for i in range(25)]
+    rows += [(100 + i, f"nothing shared {i} " * 20, "big") for i in range(4000)]
+    got = line_quality.line_quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id < 100").collect()
+    assert sum(r.left_words == r.n_words - 4 for r in got) == 24 and sum(r.left_words == r.n_words for r in got) == 1
+
+
+def repeated(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    return len({i + k for i in range(len(w) - 2) if n[tuple(w[i : i + 3])] > 1 for k in range(3)})
+
+
+@pytest.mark.parametrize("spare", [0, 50])
+def test_repeated_words_are_exact(spark, monkeypatch, spare):
+    monkeypatch.setattr(line_quality, "SPARE", spare)  # at 50, hashes of a few bits collide all the time
+    rng = random.Random(23)
+    texts = [" ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(0, 200))) for _ in range(60)] + ["a b c a b c", "x", ""]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_repeat_words for r in line_quality.profiles(docs).collect()}
+    assert [got[i] for i in range(len(texts))] == [repeated(t) for t in texts]
+
+
 def test_boilerplate_lines_leave_the_text(spark):
     import corpus_pipeline as p
 
