@@ -19,6 +19,18 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<long>"))
 
 
+def _is_kept(gram: Column, span: int) -> Column:
+    """Whether ``gram``, the one at ``pos`` of ``grams``, is least in some window of ``span`` neighbours."""
+    n = F.size("grams")
+    least = []
+    for back in range(span):
+        start = F.col("pos") - back
+        around = [F.get("grams", start + j) for j in range(span)]
+        smallest = F.least(*around) if span > 1 else around[0]
+        least.append((start >= 0) & (start + span <= n) & (smallest == gram))
+    return reduce(Column.__or__, least)
+
+
 def _winnowed(df: DataFrame, keep: list[str], k: int, span: int) -> DataFrame:
     """``keep``, pos, gram: the k-grams that are least in some window of ``span`` neighbouring k-grams.
 
@@ -26,38 +38,70 @@ def _winnowed(df: DataFrame, keep: list[str], k: int, span: int) -> DataFrame:
     k-gram that is kept in both at the same place.
     """
     d = df.withColumn("grams", _grams(F.col("words"), k)).select(*keep, "words", "grams", F.posexplode_outer("grams").alias("pos", "gram"))  # outer: no filter that computes the grams twice
-    n = F.size("grams")
-    least = []
-    for back in range(span):
-        start = F.col("pos") - back
-        around = [F.get("grams", start + j) for j in range(span)]
-        smallest = F.least(*around) if span > 1 else around[0]
-        least.append((start >= 0) & (start + span <= n) & (smallest == F.col("gram")))
-    return d.where(F.col("pos").isNotNull() & reduce(Column.__or__, least)).select(*keep, "words", "pos", "gram")
+    return d.where(F.col("pos").isNotNull() & _is_kept(F.col("gram"), span)).select(*keep, "words", "pos", "gram")
 
 
-def _windows(df: DataFrame, keep: list[str], length: int, around: int) -> DataFrame:
-    """``keep``, s, run: the ``length``-word runs that start at most ``around`` words before ``pos``, up to it."""
+def _long_runs(df: DataFrame, keep: list[str], length: int, around: int) -> DataFrame:
+    """``keep``, s, length, run: the ``length``-word runs that start at most ``around`` words before ``pos``, up to it."""
     low = F.greatest(F.lit(0), F.col("pos") - around)
     high = F.least(F.col("pos"), F.size("words") - length)
     starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
     d = df.select(*keep, "words", F.explode_outer(starts).alias("s")).where("s IS NOT NULL")
-    return d.select(*keep, "s", F.array_join(F.slice("words", F.col("s") + 1, F.lit(length)), " ").alias("run"))
+    return d.select(*keep, "s", F.lit(length).alias("length"), F.array_join(F.slice("words", F.col("s") + 1, F.lit(length)), " ").alias("run"))
+
+
+def _short_runs(df: DataFrame, keep: list[str]) -> DataFrame:
+    """``keep``, s, length, run: the runs from ``pos`` on of each of the row's ``lengths``."""
+    d = df.select(*keep, "words", F.col("pos").alias("s"), F.explode_outer("lengths").alias("length")).where(F.col("s") + F.col("length") <= F.size("words"))
+    return d.select(*keep, "s", "length", F.array_join(F.slice("words", F.col("s") + 1, F.col("length")), " ").alias("run"))
 
 
-def _matches(docs: DataFrame, runs: DataFrame, items: DataFrame, length: int, k: int, most_broadcast: int) -> DataFrame:
-    """_id, _hash, s, length, wid: where documents hold the ``length``-word runs (run, wid) of the items."""
-    span, key = length - k + 1, ["_id", "_hash"]
-    prints = checkpointed(_winnowed(items, [], k, span).select("gram").distinct())
-    kept = _winnowed(docs, key, k, span)
-    if is_small(prints, most_broadcast):
-        found = kept.join(F.broadcast(prints), "gram")
-    else:  # shuffle narrow rows, then open only the texts that were hit
-        places = kept.select(*key, "pos", "gram").join(prints, "gram").groupBy(F.col("_id").alias("p_id"), F.col("_hash").alias("p_hash")).agg(F.collect_set("pos").alias("places"))
-        same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_hash") == F.col("p_hash"))
-        found = docs.join(places, same).select(*key, "words", F.explode("places").alias("pos"))
-    at = _windows(found, key, length, length - k)
-    return at.join(runs, "run").select(*key, "s", F.lit(length).alias("length"), "wid")
+def _reopened(docs: DataFrame, places: DataFrame, values: list[str]) -> DataFrame:
+    """The rows of ``docs`` (key, words) once for each of their ``places`` (key, then ``values``)."""
+    own = places.groupBy(F.col("_id").alias("p_id"), F.col("_hash").alias("p_hash")).agg(F.collect_set(F.struct(*values)).alias("places"))
+    same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_hash") == F.col("p_hash"))
+    d = docs.join(own, same).select("_id", "_hash", "words", F.explode("places").alias("p"))
+    return d.select("_id", "_hash", "words", *[F.col(f"p.{v}").alias(v) for v in values])
+
+
+def _matches(docs: DataFrame, items: DataFrame, runs: DataFrame, window: int, k: int, most_broadcast: int) -> DataFrame:
+    """_id, _hash, s, length, wid: where documents hold runs of the items.
+
+    Documents are taken apart once. A place counts if its k-gram was kept and is one of the items', or if its word begins
+    an item of fewer than ``window`` words; only there are runs put together and looked up.
+    """
+    key = ["_id", "_hash"]
+    span = window - k + 1
+    prints = checkpointed(_winnowed(items.where(F.col("length") == window), [], k, span).select("gram").distinct())
+    short = runs.where(F.col("length") < window)
+    begins = checkpointed(short.groupBy(F.substring_index("run", " ", 1).alias("first")).agg(F.collect_set("length").alias("lengths")))
+    looked = small_or_shuffled(runs.select("run", "length", "wid"), most_broadcast)
+    found = []
+    if begins.isEmpty():
+        kept = _winnowed(docs, key, k, span)
+        if is_small(prints, most_broadcast):
+            hit = kept.join(F.broadcast(prints), "gram")
+        else:  # shuffle narrow rows, then open only the texts that were hit
+            hit = _reopened(docs, kept.select(*key, "pos", "gram").join(prints, "gram"), ["pos"])
+        found.append(_long_runs(hit, key, window, window - k))
+    else:
+        d = docs.withColumn("grams", _grams(F.col("words"), k)).select(*key, "words", "grams", F.posexplode_outer("words").alias("pos", "w"))
+        d = d.withColumn("gram", F.when(_is_kept(F.get("grams", F.col("pos")), span), F.get("grams", F.col("pos"))))
+        if is_small(prints, most_broadcast) and is_small(begins, most_broadcast):
+            d = d.join(F.broadcast(prints.withColumn("printed", F.lit(True))), "gram", "left").join(F.broadcast(begins), F.col("w") == F.col("first"), "left")
+            d = d.where(F.col("printed") | F.col("first").isNotNull())
+            d = d.select(*key, "words", "pos", F.explode(F.array(F.struct("printed", F.lit(None).cast("array<int>").alias("lengths")), F.struct(F.lit(None).cast("boolean").alias("printed"), "lengths"))).alias("x"))
+            starts = F.when(F.col("x.printed"), F.sequence(F.greatest(F.lit(0), F.col("pos") - (window - k)), F.col("pos")))
+            ends = F.coalesce(F.col("x.lengths"), F.array(F.lit(window)))
+            d = d.select(*key, "words", F.explode(F.when(F.col("x.printed") | F.col("x.lengths").isNotNull(), F.coalesce(starts, F.array("pos")))).alias("s"), ends.alias("lengths"))
+            d = d.select(*key, "words", "s", F.explode("lengths").alias("length")).where(F.col("s") + F.col("length") <= F.size("words"))
+            found.append(d.select(*key, "s", "length", F.array_join(F.slice("words", F.col("s") + 1, F.col("length")), " ").alias("run")))
+        else:
+            places = d.select(*key, "pos", "w", "gram")
+            long = _reopened(docs, places.where("gram IS NOT NULL").join(prints, "gram"), ["pos"])
+            at = _reopened(docs, places.join(begins, F.col("w") == F.col("first")), ["pos", "lengths"])
+            found += [_long_runs(long, key, window, window - k), _short_runs(at, key)]
+    return reduce(DataFrame.union, found).join(looked, ["run", "length"]).select(*key, "s", "length", "wid")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
@@ -65,33 +109,29 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
 
     Fingerprints of both sides are the winnowed k-grams, chosen so that every shared run of ``window`` words has one in
     common. A shared fingerprint is extended to each run of ``window`` words around it, and the run itself is looked up
-    among the items' runs, so every hit is exact. Items of fewer words are one run of their own length: there the
-    k-gram is the whole run. Items with a null id or without words are left out; null texts have no words; repeated rows
-    get the same result each.
+    among the items' runs, so every hit is exact. Items of fewer words are one run of their own length, looked up where
+    its first word stands, in the same pass. Words of an item with a null id are hit like any others; as it has no id, it
+    is counted neither in n_items nor in the hash. Items without words never match; null texts have no words; repeated
+    rows get the same result each.
 
     Fingerprints and runs are distinct before they meet the documents, so a passage that many documents or items share
     never forms pairs: a document meets each of its runs once, and the items of a run join by the run's number.
     """
-    items = items.where("item_id IS NOT NULL").select("item_id", words_of(ascii_lower(F.col("text"))).alias("words")).where(F.size("words") > 0)
+    items = items.select("item_id", words_of(ascii_lower(F.col("text"))).alias("words")).where(F.size("words") > 0)
     items = checkpointed(items.select("item_id", "words", F.least(F.size("words"), F.lit(window)).alias("length")))
     parts = items.select("item_id", "length", "words", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("length"))).alias("s"))
     parts = parts.select("item_id", "length", F.array_join(F.expr("slice(words, s + 1, length)"), " ").alias("run")).distinct()
     runs = checkpointed(parts.groupBy("length", "run").agg(F.count("*").alias("n")).select("length", "run"))
     runs = checkpointed(runs.withColumn("wid", F.monotonically_increasing_id()))
-    of_items = checkpointed(parts.join(runs, ["length", "run"]).select("wid", "item_id").distinct())
-    lengths = sorted(r[0] for r in items.select("length").distinct().collect())  # at most ``window`` numbers
+    of_items = checkpointed(parts.where("item_id IS NOT NULL").join(runs, ["length", "run"]).select("wid", "item_id").distinct())
 
     tokenised = docs.select(*row_key(), words_of(ascii_lower(F.col("text"))).alias("words"))
-    found = [
-        _matches(tokenised, small_or_shuffled(runs.where(F.col("length") == n).select("run", "wid"), most_broadcast), items.where(F.col("length") == n), n, k if n == window else n, most_broadcast)
-        for n in lengths
-    ]
     key = ["_id", "_hash"]
     counted = docs.select(*row_key(), "doc_id", count_words(F.col("text"), SEPARATORS).alias("n_words"))
     nothing = F.sha2(F.lit(""), 256)
-    if not found:
+    if runs.isEmpty():
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"), "_id", "_hash")
-    hits = checkpointed(reduce(DataFrame.union, found).distinct())
+    hits = checkpointed(_matches(tokenised, items, runs, window, k, most_broadcast).distinct())
     end = F.col("s") + F.col("length")
     before = F.max(end).over(Window.partitionBy(*key).orderBy("s", "length").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("s"), F.coalesce(before, F.lit(0))))
@@ -99,7 +139,8 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     named = hits.select(*key, "wid").distinct().join(small_or_shuffled(of_items, most_broadcast), "wid").select(*key, F.col("item_id").cast("string").alias("item")).distinct()
     named = named.groupBy(*key).agg(F.count("*").alias("n_items"), F.sha2(F.array_join(F.sort_array(F.collect_list("item")), ","), 256).alias("items_sha256"))
     named = named.withColumnsRenamed({"_id": "m_id", "_hash": "m_hash"})
-    marks = covered.join(named, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash"))).select("m_id", "m_hash", "n_hit", "n_items", "items_sha256")
+    covered = covered.withColumnsRenamed({"_id": "c_id", "_hash": "c_hash"})
+    marks = covered.join(named, F.col("c_id").eqNullSafe(F.col("m_id")) & (F.col("c_hash") == F.col("m_hash")), "left").select(F.col("c_id").alias("m_id"), F.col("c_hash").alias("m_hash"), "n_hit", "n_items", "items_sha256")
     return counted.join(marks, F.col("_id").eqNullSafe(F.col("m_id")) & (F.col("_hash") == F.col("m_hash")), "left").select(
         "doc_id",
         "n_words",
@@ -132,7 +173,7 @@ dr AS (SELECT rid, n, i, array_to_string(w[i:i + n - 1], ' ') AS run
 h AS (SELECT rid, i, dr.n AS n, item_id FROM dr JOIN runs USING (n, run)),
 cov AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS p FROM h) GROUP BY rid),
 it AS (SELECT rid, count(*) AS n_items, sha256(string_agg(s, ',' ORDER BY s)) AS sha
-       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h) GROUP BY rid)
+       FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS s FROM h WHERE item_id IS NOT NULL) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
        CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, coalesce(sha, sha256('')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AS contaminated

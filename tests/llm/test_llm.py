@@ -70,7 +70,7 @@ def agrees_on(spark):
 
     def check(query, sql, docs, folder) -> None:
         docs.coalesce(2).write.parquet(f"{folder}/documents.parquet")
-        spark.createDataFrame([(0, "x1 naïve stone"), (1, "all rights"), (2, None), (3, ""), (None, "the stone"), (4, "common line number 1 of the site common line number 2 of the"), (4, "word"), (5, "word")], "item_id long, text string").where("item_id IS NOT NULL").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
+        spark.createDataFrame([(0, "x1 naïve stone"), (1, "all rights"), (2, None), (3, ""), (None, "the stone"), (4, "common line number 1 of the site common line number 2 of the"), (4, "word"), (5, "word")], "item_id long, text string").coalesce(1).write.parquet(f"{folder}/benchmark.parquet")
         con = duckdb.connect()
         for t in ("documents", "benchmark"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
@@ -351,7 +351,7 @@ def brute_hits(text, items, window=10):
         for i in range(len(w) - n + 1):
             if n and tuple(w[i : i + n]) in runs:
                 hit |= set(range(i, i + n))
-                ids.add(str(item))
+                ids |= set() if item is None else {str(item)}
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
 
 
@@ -359,8 +359,8 @@ def brute_hits(text, items, window=10):
 def test_decontamination(spark, odd, most):
     rng = random.Random(11)
     some = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 3) for _ in range(n))
-    items = [(i, some(rng.randrange(1, 40))) for i in range(30)] + [(30, "one"), (31, ""), (32, None), (33, "One two Three"), (3, "another text of item three with more than ten words in it now")]
-    rows = []
+    items = [(i, some(rng.randrange(1, 40))) for i in range(30)] + [(30, "one"), (31, ""), (32, None), (33, "One two Three"), (3, "another text of item three with more than ten words in it now"), (None, some(12)), (None, "two words")]
+    rows = [(100, "two words and " + items[-2][1]), (101, items[-2][1])]
     for i in range(60):
         t = some(rng.randrange(0, 80))
         if i % 3 == 0:
@@ -371,6 +371,9 @@ def test_decontamination(spark, odd, most):
     rows += [(60, None), (61, ""), (62, "one"), (62, "one"), (None, "one two three")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     table = spark.createDataFrame(items, "item_id long, text string")
+    longs = [(i, t) for i, t in items if len((t or "").split()) >= 10]  # without short items
+    got = decontaminate.contamination(docs, spark.createDataFrame(longs, table.schema), most_broadcast=most).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == Counter((i, *brute_hits(t, longs)) for i, t in rows)
     got = decontaminate.contamination(docs, table, most_broadcast=most).collect()
     assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == Counter((i, *brute_hits(t, items)) for i, t in rows)
 
