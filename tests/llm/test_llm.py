@@ -48,6 +48,7 @@ def odd(spark):
         (None, None, None, None),
         (7, "All rights reserved. CC BY cc  by; General Public License\nLicensed under CC BY-NC 4.0.\nReleased under the MIT License.", "en", "a"),
         (7, "the same id again with another text", "en", "a"),
+        (11, license_scan.TEMPLATES[22][1] + " and I love the MIT license.", "en", "a"),
         (8, "ABC def\x0bghi\x1cjkl mno ÀÉ <|endoftext|> 🙂", "fr", "a"),
         (9, "123 456 !!!", "fr", "a"),
         (10, "\n".join(f"common line number {i % 3} of the site" for i in range(30)), "en", "a"),
@@ -489,27 +490,45 @@ def test_language_id(spark, odd, empty):
 # ---- 6
 
 
+def notice(label, at=0):
+    return [body for x, body, _ in license_scan.TEMPLATES if x == label][at]
+
+
 def test_licences(spark):
+    mit, bsd = notice("mit").split(), notice("bsd").split()
+    mit_edited = mit[:6] + ["fee"] + mit[7:20] + ["hereby", "new"] + mit[22:50] + mit[51:]  # words replaced and left out
     rows = [
         (1, "Licensed under CC BY-NC 4.0."),
-        (2, "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+        (2, "Foo (c) 2020. " + " ".join(mit).upper() + ". THE SOFTWARE IS PROVIDED"),
         (3, "granted permission hereby free charge person software copy"),  # the words in another order
         (4, "Released under the MIT License.\n" * 3),
         (5, "all rights reserved all rights reserved"),
         (6, None),
+        (7, "He once read the MIT license over lunch"),
+        (8, "I love the Mozilla Public License"),
+        (9, "x " * 50 + " ".join(mit_edited)),
+        (10, " ".join(bsd[:40])),  # half of the longer notice, all of the shorter
+        (11, " ".join(bsd[:9])),
+        (12, "permission is hereby granted free of charge to any person obtaining a copy of this software"),  # the phrase is not there
+        (13, "Released under MIT license"),
     ]
-    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
     assert got[1].base_labels == "cc-by" and got[1].labels == "cc-by,cc-by-nc" and got[1].score == 1.0
-    assert got[2].labels == "mit" and got[3].labels == "" and got[4].labels == "mit"
+    assert [got[i].labels for i in (2, 3, 4, 7, 8, 9, 10, 11, 12, 13)] == ["mit", "", "mit", "", "", "mit", "bsd", "", "", "mit"]
+    assert got[2].score == got[4].score == 1.0 and 0.9 < got[9].score < 1 and got[7].score == 0
     assert (got[5].n_base, got[5].first_word, got[5].last_word, got[5].labels, got[5].score) == (2, 0, 3, "reserved", 0.0)
     assert (got[6].n_words, got[6].n_base, got[6].first_word, got[6].labels) == (0, 0, None, "")
+    own = spark.createDataFrame([("love", "i love the mozilla", "love"), ("never", "some words", "not in it")], "label string, body string, phrase string")
+    assert {r.doc_id for r in license_scan.license_scan(docs, own).where("labels = 'love'").collect()} == {8}
+    assert license_scan.license_scan(docs, own.limit(0)).where("labels != base_labels").count() == 0
 
 
 def test_many_notices_in_one_text(spark):
-    notices = [license_scan.TEMPLATES[i][1] for i in (13, 1, 8, 12, 7)]
+    notices = [notice("mit"), notice("apache", 1), notice("gpl"), notice("cc-by-sa"), notice("isc")]
     rows = [(1, ". ".join(notices)), (2, "\n".join(f"{body} x{i}" for i, (_, body, _) in enumerate(license_scan.TEMPLATES)))]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1].labels == "apache,cc-by,cc-by-sa,gpl,mit" and got[1].score == 1.0
+    assert got[1].labels == "apache,cc-by,cc-by-sa,gpl,isc,mit" and got[1].score == 1.0
     assert set(got[2].labels.split(",")) == {label for label, *_ in license_scan.TEMPLATES}
 
 
