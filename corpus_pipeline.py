@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docloom.llm.base import checkpoint_folder, table
+from docloom.llm.base import checkpoint_folder, removed, table
 from docloom.llm.decontaminate import decontaminated
 from docloom.llm.language_id import identified
 from docloom.llm.line_quality import cleaned
@@ -51,12 +51,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each keeps is written as Parquet below the checkpoint folder and read again."""
+    """All stages over ``documents``; what each keeps is written as Parquet below the checkpoint folder and read again.
+
+    A stage's folder is removed once the next stage has done with it: the last one holds what it needs in checkpoints.
+    """
     folder = f"{checkpoint_folder(spark)}/pipeline_{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs.write.parquet(f"{folder}/{i}_{name}")
-            docs = spark.read.parquet(f"{folder}/{i}_{name}")
+    try:
+        for i, (name, stage) in enumerate(STAGES):
+            docs = stage(spark, docs, sf_dir)
+            if i + 1 < len(STAGES):
+                docs.write.parquet(f"{folder}/{i}_{name}")
+                docs = spark.read.parquet(f"{folder}/{i}_{name}")
+            if i:
+                removed(spark, f"{folder}/{i - 1}_{STAGES[i - 1][0]}")
+    finally:
+        removed(spark, folder)
     return docs
