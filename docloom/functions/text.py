@@ -53,39 +53,152 @@ TIMELINE_DATES = [
 #: Relative dates: pattern and days a unit; tried in this order.
 RELATIVE_DATES = [(r"(\d+)\s*天\s*[后前]", 1), (r"(\d+)\s*[个]?\s*月\s*[后前]", 30), (r"(\d+)\s*[个]?\s*[周年]\s*[后前]", 365)]
 
+#: Spellings of entity types and the standard type that each stands for.
 ENTITY_TYPES = {
-    "person": "人物 人 嫌疑人 证人 被告人 被害人 受害者 个人 犯罪嫌疑人 罪犯 当事人 person people",
-    "organization": "组织 机构 公司 单位 公安机关 检察院 法院 派出所 分局 政府 企业 部门 organization org company",
-    "location": "地点 位置 地址 地 省 市 location place address",
-    "event": "事件 案件 活动 event incident",
-    "object": "物品 object",
-    "evidence": "证据 evidence",
-    "document": "文件 document",
-    "concept": "概念 concept",
+    "人物": "person",
+    "人": "person",
+    "嫌疑人": "person",
+    "证人": "person",
+    "被告人": "person",
+    "被害人": "person",
+    "受害者": "person",
+    "个人": "person",
+    "犯罪嫌疑人": "person",
+    "罪犯": "person",
+    "当事人": "person",
+    "组织": "organization",
+    "机构": "organization",
+    "公司": "organization",
+    "单位": "organization",
+    "公安机关": "organization",
+    "检察院": "organization",
+    "法院": "organization",
+    "派出所": "organization",
+    "分局": "organization",
+    "政府": "organization",
+    "企业": "organization",
+    "部门": "organization",
+    "地点": "location",
+    "位置": "location",
+    "地址": "location",
+    "地": "location",
+    "省": "location",
+    "市": "location",
+    "事件": "event",
+    "案件": "event",
+    "活动": "event",
+    "物品": "object",
+    "证据": "evidence",
+    "文件": "document",
+    "概念": "concept",
+    "person": "person",
+    "people": "person",
+    "organization": "organization",
+    "org": "organization",
+    "company": "organization",
+    "location": "location",
+    "place": "location",
+    "address": "location",
+    "event": "event",
+    "incident": "event",
+    "object": "object",
+    "evidence": "evidence",
+    "document": "document",
+    "concept": "concept",
 }
-ORGANIZATION_MARKS = "公安局 法院 检察院 派出所 分局 支队 总队 政府 委员会 公司 集团 银行 医院 学校 大队 中队 看守所 监狱".split()
-PLACE_MARKS = "省 市 区 县 镇 乡 村 路 街 巷 号 小区 广场".split()
-STREET_MARKS = "路 街 巷 号 小区 广场".split()
+ORGANIZATION_MARKS = ["公安局", "法院", "检察院", "派出所", "分局", "支队", "总队", "政府", "委员会", "公司", "集团", "银行", "医院", "学校", "大队", "中队", "看守所", "监狱"]
+PLACE_MARKS = ["省", "市", "区", "县", "镇", "乡", "村", "路", "街", "巷", "号", "小区", "广场"]
+STREET_MARKS = ["路", "街", "巷", "号", "小区", "广场"]
 
-COMPARABLE_ATTRIBUTES = "age gender sex name id_number amount date time location address role title position status result conclusion verdict".split()
+COMPARABLE_ATTRIBUTES = ["age", "gender", "sex", "name", "id_number", "amount", "date", "time", "location", "address", "role", "title", "position", "status", "result", "conclusion", "verdict"]
 
-TABLE_TOTALS = "统计 排名 最多 最少 占比 分组 排行".split()
-COMPLEX_WORDS = "证据 分析 责任 法律 判决 犯罪 案件 关键 核心 矛盾 疑点 争议 定性 定罪 量刑 依据 充分 链条".split()
-MEDIUM_WORDS = "关系 关联 如何 为什么 原因 经过 摘要 概述 过程 情况 背景 影响 演变 发展 联系 区别".split()
+TABLE_TOTALS = ["统计", "排名", "最多", "最少", "占比", "分组", "排行"]
+COMPLEX_WORDS = ["证据", "分析", "责任", "法律", "判决", "犯罪", "案件", "关键", "核心", "矛盾", "疑点", "争议", "定性", "定罪", "量刑", "依据", "充分", "链条"]
+MEDIUM_WORDS = ["关系", "关联", "如何", "为什么", "原因", "经过", "摘要", "概述", "过程", "情况", "背景", "影响", "演变", "发展", "联系", "区别"]
 #: Question types, tried in this order; a question of the first kind is complex if it asks for totals.
-TABLE_WORDS = "表格 表里 表中的 数据表 Excel excel 统计表".split()
-TOTAL_WORDS = "统计 排名 最多 最少 平均 占比 总计 分组 排行 TOP top 求和 数量 多少个 几种 各类".split()
+TABLE_WORDS = ["表格", "表里", "表中的", "数据表", "Excel", "excel", "统计表"]
+TOTAL_WORDS = ["统计", "排名", "最多", "最少", "平均", "占比", "总计", "分组", "排行", "TOP", "top", "求和", "数量", "多少个", "几种", "各类"]
 QUESTION_TYPES = [
-    ("comparative", "对比 比较 矛盾 不一致 差异 不同".split()),
-    ("evidential", "证据 证明 证据链 物证 书证".split()),
-    ("analytical", "为什么 动机 原因 目的 起因 缘由".split()),
-    ("temporal", "什么时候 时间 时间线 先后 经过 日程".split()),
-    ("relational", "关系 关联 联系 之间".split()),
+    ("comparative", ["对比", "比较", "矛盾", "不一致", "差异", "不同"]),
+    ("evidential", ["证据", "证明", "证据链", "物证", "书证"]),
+    ("analytical", ["为什么", "动机", "原因", "目的", "起因", "缘由"]),
+    ("temporal", ["什么时候", "时间", "时间线", "先后", "经过", "日程"]),
+    ("relational", ["关系", "关联", "联系", "之间"]),
 ]
-CHAPTER = r"^(?:第[一二三四五六七八九十百千万\d]+\s*[章节回卷集篇幕]|#\s*第.+$|(?i:Chapter)\s+\d+|卷[一二三四五六七八九十百千万\d]+)"
-VOLUME = r"^(?:第[一二三四五六七八九十百千万\d]+\s*卷|卷[一二三四五六七八九十百千万\d]+$)"
+#: Lines that begin a chapter.
+CHAPTER_LINES = [
+    r"^第[一二三四五六七八九十百千万\d]+\s*[章节回卷集篇幕]",
+    r"^#\s*第.+$",
+    r"^(?i:Chapter)\s+\d+",
+    r"^卷[一二三四五六七八九十百千万\d]+",
+]
+#: Lines that begin a volume.
+VOLUME_LINES = [
+    r"^第[一二三四五六七八九十百千万\d]+\s*卷",
+    r"^卷[一二三四五六七八九十百千万\d]+$",
+]
+#: Further words of a question that make it complex or of medium complexity, where its type does not decide.
+INTENT_COMPLEX = ["综合", "全面", "所有", "全部", "完整", "深度", "详细分析", "为什么", "动机", "原因", "证据链", "矛盾"]
+INTENT_MEDIUM = ["关系", "关联", "对比", "经过", "时间线"]
+#: Words that are no names in questions.
+QUESTION_STOPWORDS = ["什么", "怎么", "为什么", "如何", "哪里", "那个", "这个", "哪些", "怎样", "多少", "几个", "是否", "能否", "可以"]
+CONJUNCTIONS = ["和", "与", "同", "及", "、"]
+CONJUNCT_STOPWORDS = ["案件", "证据", "关系", "问题", "动机", "原因"]
+TIME_EXPRESSION = r"\d{4}年|\d{1,2}月\d{1,2}日|\d{1,2}[月日]|\d{4}[/-]\d{1,2}"
+
+#: Characters and words that full-text words leave out.
+SEARCH_PARTICLES = "的了是在和与或就着过们这那个一不也有会被从到把给向让"
+SEARCH_STOPWORDS = [
+    "什么", "怎么", "为什么", "如何", "哪里", "哪个", "这个", "那些",
+    "怎样", "多少", "几个", "是否", "能否", "可以", "还是", "一个",
+    "一些", "起来", "出来", "下去", "过来", "回来",
+    "关于", "对于", "根据", "按照", "通过", "需要", "已经",
+    "应该", "可能", "没有", "不是", "或者", "而且", "因为", "所以",
+]
+
+#: Characters and words that entity candidates leave out.
+GRAMMAR_PARTICLES = "的了是在和与或就着过们这那"
+CANDIDATE_STOPWORDS = [
+    "的是", "了的", "是在", "在了", "可以和", "和与", "或者是",
+    "一个", "一些", "一切", "一起", "一定", "一般",
+    "因为", "因此", "所以", "然而", "但是", "不过",
+    "如果", "如果的", "假如", "假设",
+    "这种", "这些", "那些", "哪个", "哪些",
+    "进行", "进行着", "进行了",
+    "由于", "关于", "对于", "来说",
+    "而且", "或者", "否则", "除了",
+    "正在", "已经", "将会", "将要",
+    "他的", "她的", "它的", "他们的",
+    "我们", "你们", "他们", "她们",
+    "什么", "怎么", "为什么", "如何",
+    "可以", "可能", "能够", "应该",
+    "这个", "那个", "这里", "那里",
+    "之后", "之前", "同时", "然后",
+    "以及", "及其", "还是",
+]
+
+#: What marks a stored chunk's header in a text, and actions that make an event's title, each tried in this order.
+TITLE_ARTIFACTS = ["**Is Overlap:**", "Token Count:**", "---", "```"]
+TITLE_PATTERNS = [
+    r"(对[^，。；\n]+(?:进行|作出|实施|依法))",
+    r"([^，。；\n]*(?:拘留|逮捕|立案|判决|起诉|通知|认定|查明|核实|调取|冻结|扣押|询问|讯问|侦查|鉴定|批准|决定)[^，。；\n]*)",
+    r"([^，。；\n]*?(?:公安局|检察院|法院|分局|派出所|鉴定中心)[^，。；\n]*?(?:对|将|依法|决定)[^，。；\n]*)",
+]
+
+#: Parts of the keys under which JSON results keep names, relations and documents.
+NAME_KEYS = ["name", "entity", "person", "title", "label"]
+NAME_LIST_KEYS = ["entities", "names", "persons", "mentioned"]
+RELATION_KEYS = ["relation", "role", "type", "connection", "predicate"]
+DOCUMENT_KEYS = ["doc_id", "document_id", "source", "doc"]
+
+#: Where a question about a graph names its entities, each tried in this order.
+GRAPH_NAME_PATTERNS = [r"[\"']([^\"']+)[\"']", r"(?:实体|人物|组织|地点|公司)[\"\s:]*([^\s，。]+)", r"([^\s，。]+)(?:的|之)(?:关系|关联)"]
+GRAPH_PAIR_PATTERNS = [r"([^\s，。]+)(?:和|与|跟|同)([^\s，。]+)", r"([^\s，。]+)(?:到|至|->)([^\s，。]+)"]
+#: The line of an abstract that lists its entities, and entries that name none.
+ABSTRACT_ENTITIES = r"关键实体[：:]\s*(.+)"
+ABSTRACT_NONE = ["无", "暂无", "未提及"]
 
-SIMPLE_WORDS = "是谁 叫什么 什么时候 在哪 时间 地点 名字 什么人 哪个 几位 多少 何时 哪里 姓名".split()
+SIMPLE_WORDS = ["是谁", "叫什么", "什么时候", "在哪", "时间", "地点", "名字", "什么人", "哪个", "几位", "多少", "何时", "哪里", "姓名"]
 # -------------------------------------------------------------------------------------------------------------------
 
 
@@ -153,8 +266,8 @@ def normalise_value(value: Column) -> Column:
 def entity_type(raw: Column) -> Column:
     """One of the standard types; an unknown spelling is lower-cased, null or empty is unknown."""
     known = F.when(F.coalesce(raw, F.lit("")) == "", "unknown").when(F.lower(raw) == "unknown", "unknown")
-    for kind, names in ENTITY_TYPES.items():
-        known = known.when(raw.isin(names.split()), kind)
+    for kind in dict.fromkeys(ENTITY_TYPES.values()):
+        known = known.when(raw.isin([name for name, k in ENTITY_TYPES.items() if k == kind]), kind)
     return known.otherwise(F.lower(raw))
 
 
@@ -287,14 +400,122 @@ def budgeted(text: Column, limit: int = 8000) -> Column:
 
 
 def ngram_words(text: Column) -> Column:
-    """Greedy non-overlapping 4-, 3- and 2-grams of CJK runs and other words of two characters or more; at most eight."""
-    cleaned = F.trim(F.regexp_replace(F.regexp_replace(text, "[\\]\\[？?！!。，,、；;：:\"'（）()【】\\n\\r\\t]", " "), r"\s+", " "))
+    """Search words, at most eight: of CJK runs, without particles, the greedy non-overlapping 4-, 3- and 2-grams; other
+    words of two characters or more. Stop-words are left out."""
+    cleaned = F.trim(F.regexp_replace(F.regexp_replace(text, "[\\]\\[？?！!。，,、；;：:\"'（()）【】\\n\\r\\t]", " "), r"\s+", " "))
 
     def parts(segment: Column) -> Column:
-        grams = [F.transform(F.when(F.length(segment) >= n, F.sequence(F.lit(0), F.floor(F.length(segment) / n).cast("int") - 1)).otherwise(F.array().cast("array<int>")), _cut(segment, n)) for n in (4, 3, 2)]
+        bare = F.translate(segment, SEARCH_PARTICLES, "")
+        grams = [F.transform(F.when(F.length(bare) >= n, F.sequence(F.lit(0), F.floor(F.length(bare) / n).cast("int") - 1)).otherwise(F.array().cast("array<int>")), _cut(bare, n)) for n in (4, 3, 2)]
         return F.when(segment.rlike(f"^[{CJK}]+$"), F.concat(*grams)).when(F.length(segment) >= 2, F.array(segment)).otherwise(F.array().cast("array<string>"))
 
-    return F.slice(F.array_distinct(F.flatten(F.transform(F.filter(F.split(cleaned, " "), lambda s: s != ""), parts))), 1, 8)
+    words = F.flatten(F.transform(F.filter(F.split(cleaned, " "), lambda s: s != ""), parts))
+    return F.slice(F.array_distinct(F.filter(words, lambda w: ~w.isin(SEARCH_STOPWORDS))), 1, 8)
+
+
+def entity_candidates(text: Column, most: int = 50) -> Column:
+    """CJK runs of two to six characters that may be names, each once, in order of appearance."""
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(f"([{CJK}]{{2,6}})"), 1))
+    good = F.filter(runs, lambda x: ~x.isin(CANDIDATE_STOPWORDS) & ~x.rlike(f"^[{GRAMMAR_PARTICLES}]"))
+    return F.slice(good, 1, most)
+
+
+def graph_name(query: Column) -> Column:
+    """The entity that a question about a graph names: quoted, after a keyword, before ``的关系``, else the longest word."""
+    words = F.regexp_extract_all(query, F.lit(f"([{CJK}]+|[a-zA-Z]+)"), 1)
+    longest = F.element_at(F.array_sort(F.transform(words, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w")))), -1)["w"]
+    tried = [F.when(query.rlike(p), F.regexp_extract(query, p, 1)) for p in GRAPH_NAME_PATTERNS]
+    return F.coalesce(*tried, F.when(F.size(words) > 0, longest), query)
+
+
+def graph_pair(query: Column) -> Column:
+    """Two names that a question joins by ``A和B`` or ``A到B``; else its first two words."""
+    tried = [F.when(query.rlike(p), F.array(F.regexp_extract(query, p, 1), F.regexp_extract(query, p, 2))) for p in GRAPH_PAIR_PATTERNS]
+    return F.coalesce(*tried, F.slice(F.regexp_extract_all(query, F.lit(f"([{CJK}]+|[a-zA-Z]+)"), 1), 1, 2))
+
+
+def abstract_entities(abstract: Column) -> Column:
+    """Names in an abstract's line of key entities, each once, without those that say there are none."""
+    parts = F.transform(F.split(F.regexp_extract(abstract, ABSTRACT_ENTITIES, 1), "[,，;；、]"), lambda x: F.trim(x))
+    return F.array_distinct(F.filter(parts, lambda x: (F.length(x) >= 2) & ~x.isin(ABSTRACT_NONE)))
+
+
+def _json_items(text: Column) -> Column:
+    """The entries of a JSON object, or of each object of a JSON list, as array<struct<key, value>>; values are JSON text."""
+    one = F.from_json(text, "map<string,string>")
+    many = F.from_json(text, "array<map<string,string>>")
+    none = F.array().cast("array<struct<key:string,value:string>>")
+    objects = F.when(F.ltrim(text).startswith("["), F.flatten(F.transform(F.filter(many, lambda m: m.isNotNull()), lambda m: F.map_entries(m)))).otherwise(F.map_entries(one))
+    return F.coalesce(objects, none)
+
+
+def _under(items: Column, keys: list[str]) -> Column:
+    return F.filter(items, lambda x: contains_any(F.lower(x["key"]), keys) & x["value"].isNotNull())
+
+
+def json_names(text: Column) -> Column:
+    """Names of 2 to 30 characters in a JSON object or list of objects, sorted, each once: texts under keys that speak of
+    names, and members of lists under keys that speak of several. A text that is no JSON gives its entity candidates."""
+    items = _json_items(text)
+    own = F.transform(F.filter(_under(items, NAME_KEYS), lambda x: ~x["value"].startswith("[")), lambda x: x["value"])
+    listed = F.flatten(F.transform(_under(items, NAME_LIST_KEYS), lambda x: F.coalesce(F.from_json(x["value"], "array<string>"), F.array().cast("array<string>"))))
+    found = F.filter(F.concat(own, listed), lambda x: F.length(x).between(2, 30))
+    return F.array_sort(F.array_distinct(F.when(F.ltrim(text).rlike(r"^[\[{]"), found).otherwise(entity_candidates(text))))
+
+
+def json_values(text: Column, keys: list[str]) -> Column:
+    """Texts under keys that hold one of ``keys`` in a JSON object or list of objects, sorted, each once."""
+    plain = F.filter(_under(_json_items(text), keys), lambda x: ~x["value"].rlike(r"^[\[{]"))
+    return F.array_sort(F.array_distinct(F.transform(plain, lambda x: x["value"])))
+
+
+def question_names(query: Column) -> Column:
+    """Names in a question, sorted, each once: before particles, beside conjunctions, in quotes, after ``关于``."""
+    before = F.filter(F.regexp_extract_all(query, F.lit(f"([{CJK}]{{2,4}})(?=的|在|与|和|对|向|被|把|从|到|给)"), 1), lambda x: ~x.isin(QUESTION_STOPWORDS))
+    beside = []
+    for c in CONJUNCTIONS:
+        heads = F.transform(F.split(query, c), lambda p: F.regexp_extract(F.trim(p), f"^([{CJK}]{{2,4}})", 1))
+        beside.append(F.when(query.contains(c), F.filter(heads, lambda x: (x != "") & ~x.isin(QUESTION_STOPWORDS + CONJUNCT_STOPWORDS))).otherwise(F.array().cast("array<string>")))
+    quoted = F.regexp_extract_all(query, F.lit("[「\"'《【](.{2,10})[」\"'》】]"), 1)
+    about = F.filter(F.array(F.regexp_extract(query, "(?:关于|涉及|有关)(.{2,10}?)(?:的|问题|事情|案件|事件)", 1)), lambda x: x != "")
+    return F.array_sort(F.array_distinct(F.concat(before, *beside, quoted, about)))
+
+
+def question_time_range(query: Column) -> Column:
+    """struct<first, last> of a question's time expressions; last is empty where there is one, both are null without any."""
+    found = F.regexp_extract_all(query, F.lit(f"({TIME_EXPRESSION})"), 1)
+    last = F.when(F.size(found) > 1, F.element_at(found, -1)).when(F.size(found) == 1, "")
+    return F.struct(F.get(found, F.lit(0)).alias("first"), last.alias("last"))
+
+
+def intent_complexity(query: Column, kind: Column) -> Column:
+    """simple, medium or complex, from a question's words and its type."""
+    return (
+        F.when(kind == "tabular", F.when(contains_any(query, TOTAL_WORDS), "complex").otherwise("medium"))
+        .when(contains_any(query, INTENT_COMPLEX) | kind.isin("analytical", "comparative"), "complex")
+        .when(contains_any(query, INTENT_MEDIUM) | (kind == "relational"), "medium")
+        .otherwise("simple")
+    )
+
+
+def sub_queries(query: Column, names: Column, kind: Column, complexity: Column) -> Column:
+    """array<struct<query, layer, search, priority>>: the question itself, one query for each of its first three names, and
+    for a complex one those that join two names or look for contradictions."""
+
+    def part(text: Column, layer: Column, search: str | Column, priority: int) -> Column:
+        return F.struct(text.alias("query"), layer.alias("layer"), (F.lit(search) if isinstance(search, str) else search).alias("search"), F.lit(priority).alias("priority"))
+
+    def about(name: Column) -> Column:
+        text = F.when(kind == "relational", F.concat(name, F.lit(" 关系"))).when(kind == "temporal", F.concat(name, F.lit(" 时间线"))).when(kind == "evidential", F.concat(name, F.lit(" 证据"))).otherwise(name)
+        layer = F.when(kind == "temporal", "L1").when(kind == "evidential", "L2").otherwise("L0")
+        search = F.when(kind == "temporal", "keyword").when(kind == "evidential", "hybrid").otherwise("graph")
+        return part(text, layer, search, 2)
+
+    first = F.array(part(query, start_level(kind, complexity), "hybrid", 1))
+    broad = complexity == "complex"
+    two = F.when(broad & (F.size(names) >= 2), part(F.concat(F.get(names, F.lit(0)), F.lit(" "), F.get(names, F.lit(1)), F.lit(" 关系")), F.lit("L1"), "hybrid", 2))
+    against = F.when(broad & (F.size(names) >= 1) & kind.isin("comparative", "analytical"), part(F.concat(F.get(names, F.lit(0)), F.lit(" 矛盾 不一致")), F.lit("L1"), "keyword", 3))
+    return F.concat(first, F.transform(F.slice(names, 1, 3), about), F.array_compact(F.array(two, against)))
 
 
 def _cut(segment: Column, n: int):
@@ -313,6 +534,10 @@ def start_level(kind: Column, complexity: Column) -> Column:
     return F.when(kind == "tabular", "L1").when(complexity == "simple", "L0").when(kind == "evidential", "L2").otherwise("L1")
 
 
+#: One pattern for all lines that begin a chapter.
+CHAPTER = "|".join(CHAPTER_LINES)
+
+
 def heading(text: Column, pattern: str = CHAPTER) -> Column:
     """The first line that begins a chapter or volume; null if there is none."""
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x))
@@ -320,10 +545,22 @@ def heading(text: Column, pattern: str = CHAPTER) -> Column:
 
 
 def json_object(text: Column) -> Column:
-    """The JSON text of a model's answer: a fenced block, else what stands from the first to the last brace; else null."""
+    """The JSON text of a model's answer: a fenced block, else the first object with balanced braces; else null.
+
+    Braces in quotes do not count. Texts are an answer each, so a fold over their marks is short.
+    """
     fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(\{.*?\}|\[.*?\])\s*```", 1)
-    braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    return F.when(fenced != "", fenced).when(braced != "", braced)
+    rest = F.when(text.contains("{"), F.substring(text, F.instr(text, "{"), F.length(text)))
+    marks = F.regexp_extract_all(rest, F.lit(r'(?s)([{}]|"(?:[^"\\]|\\.)*"|[^{}"]+|")'), 1)
+    state = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s: Column, m: Column) -> Column:
+        depth = s["depth"] + F.when(m == "{", 1).when(m == "}", -1).otherwise(0)
+        at = s["at"] + F.length(m)
+        return F.when(s["end"] > 0, s).otherwise(F.struct(depth.alias("depth"), at.alias("at"), F.when((m == "}") & (depth == 0), at).otherwise(0).alias("end")))
+
+    end = F.aggregate(marks, state, step)["end"]
+    return F.when(fenced != "", fenced).when(end > 0, F.substring(rest, F.lit(1), end))
 
 
 def word_pairs(text: Column) -> Column:

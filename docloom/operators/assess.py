@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions.text import contains_any
 
-#: Words that choose a page's template, tried in this order; the first group only in technical domains.
+# ---- fixed values: words that choose a page's template, tried in this order; the first group only in technical domains.
 TECHNICAL_TEMPLATES = [
     ("method", ["方法", "模型", "算法", "框架", "架构", "method", "model", "algorithm", "framework"]),
     ("concept", ["概念", "定义", "原理", "concept", "definition"]),
@@ -18,6 +18,7 @@ TEMPLATES = [
     ("event", ["事件", "经过", "案发", "时间线"]),
     ("person", ["人物", "嫌疑人", "被害人", "被告", "原告", "证人"]),
 ]
+# ----
 
 
 def quality_issues(counts: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def synthesis(found: DataFrame, most: int = 20) -> DataFrame:
     Entities found by more than one task are kept; where a session has none, its first ``most`` are. More than one
     different finding about an entity is a conflict.
     """
-    g = found.groupBy("session", "entity").agg(F.countDistinct("task").alias("sources"), F.countDistinct(F.substring("finding", 1, 200)).alias("findings"), F.min("seq").alias("first"))
+    g = found.groupBy("session", "entity").agg(F.countDistinct("task").alias("sources"), F.countDistinct(F.xxhash64("finding")).alias("findings"), F.min("seq").alias("first"))
     shared = g.groupBy("session").agg(F.max("sources").alias("best"))
     place = F.row_number().over(Window.partitionBy("session").orderBy("first", "entity"))
     d = g.withColumn("place", place).join(shared, "session")
@@ -124,6 +125,50 @@ def decision_points(states: DataFrame, session: str, order: str, cooldown: int =
     return out.select(session, F.col("x.at").alias(order), F.col("x.why").alias("scenario"))
 
 
+def document_list(documents: DataFrame, chunks: DataFrame, summaries: DataFrame, entities: DataFrame) -> DataFrame:
+    """(kb_id, doc_id, lines, kilobytes, n_chunks, has_l0, has_l1, has_l2, compile_status) of every document.
+
+    ``documents`` (kb_id, doc_id, text, compile_status), ``chunks`` and ``summaries`` (doc_id), ``entities`` (kb_id): what has
+    been made. A pending document that has summaries counts as completed; a missing state is unknown.
+    """
+    l2 = chunks.groupBy(F.col("doc_id").alias("_c")).agg(F.count("*").alias("n"))
+    l1 = summaries.select(F.col("doc_id").alias("_s")).distinct()
+    l0 = entities.select(F.col("kb_id").alias("_e")).distinct()
+    d = documents.join(l2, F.col("doc_id") == F.col("_c"), "left").join(l1, F.col("doc_id") == F.col("_s"), "left").join(l0, F.col("kb_id") == F.col("_e"), "left")
+    has_l1 = F.col("_s").isNotNull()
+    status = F.when((F.col("compile_status") == "pending") & has_l1, "completed").otherwise(F.coalesce("compile_status", F.lit("unknown")))
+    lines = F.when(F.coalesce("text", F.lit("")) == "", 0).otherwise(F.size(F.split("text", "\n")))
+    return d.select("kb_id", "doc_id", lines.alias("lines"), F.round(F.octet_length(F.coalesce("text", F.lit(""))) / 1024, 1).alias("kilobytes"), F.coalesce("n", F.lit(0).cast("long")).alias("n_chunks"), F.col("_e").isNotNull().alias("has_l0"), has_l1.alias("has_l1"), F.col("_c").isNotNull().alias("has_l2"), status.alias("compile_status"))
+
+
+def document_totals(listed: DataFrame) -> DataFrame:
+    """(kb_id, total, compiled, uncompiled) of a document list."""
+    done = F.col("compile_status") == "completed"
+    return listed.groupBy("kb_id").agg(F.count("*").alias("total"), F.count_if(done).alias("compiled"), F.count_if(~done).alias("uncompiled"))
+
+
+def document_details(documents: DataFrame, summaries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(doc_id, batches, chunks_covered, n_chunks): how much of each document has been summarised.
+
+    ``summaries`` (doc_id, chunk_ids) are batches; chunks that several of them cover count each time.
+    """
+    l1 = summaries.groupBy(F.col("doc_id").alias("_s")).agg(F.count("*").alias("batches"), F.sum(F.size(F.coalesce("chunk_ids", F.array().cast("array<string>")))).alias("covered"))
+    l2 = chunks.groupBy(F.col("doc_id").alias("_c")).agg(F.count("*").alias("n"))
+    d = documents.select("doc_id").join(l1, F.col("doc_id") == F.col("_s"), "left").join(l2, F.col("doc_id") == F.col("_c"), "left")
+    zero = F.lit(0).cast("long")
+    return d.select("doc_id", F.coalesce("batches", zero).alias("batches"), F.coalesce("covered", zero).alias("chunks_covered"), F.coalesce("n", zero).alias("n_chunks"))
+
+
+def kb_states(documents: DataFrame, layers: dict[str, DataFrame]) -> DataFrame:
+    """(kb_id, documents, n_<layer>, has_<layer> ...): the rows that each knowledge base has in each layer (tables of kb_id)."""
+    d = documents.groupBy("kb_id").agg(F.count("*").alias("documents"))
+    for name, rows in layers.items():
+        n = rows.groupBy(F.col("kb_id").alias("_k")).agg(F.count("*").alias(f"n_{name}"))
+        d = d.join(n, F.col("kb_id").eqNullSafe(F.col("_k")), "left").drop("_k")
+        d = d.withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0).cast("long"))).withColumn(f"has_{name}", F.col(f"n_{name}") > 0)
+    return d
+
+
 def interaction_state(relevance: Column, hits: Column) -> Column:
     """no_results, low_relevance or clear."""
     return F.when(hits == 0, "no_results").when(relevance < 0.3, "low_relevance").otherwise("clear")

@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import heading, last_tokens
+from docloom.functions.text import heading
+from docloom.operators.ordering import numbered
 
 LEAST, MOST, OVERLAP = 500, 1000, 100
 _WIDE = re.compile("[\u2e81-\U0010ffff]+")
@@ -79,36 +80,45 @@ def segments(text: str, least: int = LEAST, most: int = MOST, paragraph: str = "
     return out
 
 
+def tail(text: str, n: int) -> str:
+    """The last words that make up about n estimated tokens, at least one."""
+    words = text.split()
+    return " ".join(words[-max(1, int(len(words) * n / max(1, estimate(text)))) :]) if words else ""
+
+
 def chunk(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, most: int = MOST, overlap: int = OVERLAP, paragraph: str = "\n\n") -> DataFrame:
     """(doc, chunk_no, chunk_id, content, is_overlap): segments in order, each with the end of the one before it.
 
-    Cutting is a fold over a text and runs on one document at a time inside Arrow batches; no grouping is needed, as a
-    document is a row. The last ``overlap`` tokens of the segment before, if it has more, come first in a chunk.
+    Cutting is a fold over a text and runs on one document at a time inside Arrow batches, where the segment before is at
+    hand, so nothing is shuffled. The last ``overlap`` tokens of the segment before, if it has more, come first in a chunk,
+    with a paragraph's break between. Null and empty texts have no chunks; repeated rows each have their own.
     """
+    names = [doc, "chunk_no", "content", "is_overlap"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for key, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = segments(t or "", least, most, paragraph)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), batch.column(0).type), pa.array(range(1, len(own) + 1), pa.int64()), pa.array(own, pa.string()), pa.array([estimate(s) for s in own], pa.int64())], [doc, "chunk_no", "body", "n"])
+                again = [False, *(estimate(s) > overlap for s in own[:-1])][: len(own)]
+                content = [f"{tail(own[i - 1], overlap)}\n\n{s}" if x else s for i, (s, x) in enumerate(zip(own, again, strict=True))]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(own), batch.column(0).type), pa.array(range(1, len(own) + 1), pa.int64()), pa.array(content, pa.string()), pa.array(again, pa.bool_())], names)
 
     kind = dict(docs.dtypes)[doc]
-    parts = docs.select(doc, text).mapInArrow(run, f"{doc} {kind}, chunk_no long, body string, n long")
-    w = Window.partitionBy(doc).orderBy("chunk_no")
-    before = F.when(F.lag("n").over(w) > overlap, last_tokens(F.lag("body").over(w), overlap))
-    parts = parts.withColumn("tail", before)
-    content = F.when(F.col("tail").isNotNull(), F.concat("tail", F.lit("\n"), "body")).otherwise(F.col("body"))
+    parts = docs.select(doc, text).mapInArrow(run, f"{doc} {kind}, chunk_no long, content string, is_overlap boolean")
     name = F.format_string("%s_chunk_%03d", F.col(doc).cast("string"), F.col("chunk_no"))
-    return parts.select(doc, "chunk_no", name.alias("chunk_id"), content.alias("content"), F.col("tail").isNotNull().alias("is_overlap"))
+    return parts.select(doc, "chunk_no", name.alias("chunk_id"), "content", "is_overlap")
 
 
-def row_batches(rows: DataFrame, group: str, order: str, cells: list[str], size: int = 50) -> DataFrame:
-    """(group, batch, n_rows, content): rows in batches that never cross groups, the header repeated in each."""
-    numbered = rows.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).withColumn("batch", F.floor(F.col("_n") / size))
+def row_batches(rows: DataFrame, group: str, order: str, cells: list[str], size: int = 50, banner: str | None = None) -> DataFrame:
+    """(group, batch, n_rows, content): rows in batches that never cross groups, the header repeated in each; a banner (a
+    column) stands in front of the first batch of its group."""
+    placed = numbered(rows, [group], [order], "_n").withColumn("_n", F.col("_n") - 1).withColumn("batch", F.floor(F.col("_n") / size))
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.col(c).cast("string") for c in cells]), F.lit(" |"))
     header = "| " + " | ".join(cells) + " |\n|" + "---|" * len(cells)
-    parts = numbered.groupBy(group, "batch").agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))).alias("lines"))
-    return parts.select(group, "batch", "n_rows", F.concat(F.lit(header + "\n"), F.array_join("lines.line", "\n")).alias("content"))
+    above = F.max(F.col(banner)) if banner else F.max(F.lit(None).cast("string"))
+    parts = placed.groupBy(group, "batch").agg(F.count("*").alias("n_rows"), F.sort_array(F.collect_list(F.struct("_n", line.alias("line")))).alias("lines"), above.alias("_banner"))
+    first = F.when((F.col("batch") == 0) & F.col("_banner").isNotNull(), F.concat("_banner", F.lit("\n\n"))).otherwise("")
+    return parts.select(group, "batch", "n_rows", F.concat(first, F.lit(header + "\n"), F.array_join("lines.line", "\n")).alias("content"))
 
 
 def overlap_length(before: Column, after: Column, least: int = 6, most: int = 500) -> Column:

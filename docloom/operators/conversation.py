@@ -122,16 +122,94 @@ def empty_streaks(log: DataFrame, session: str, order: str, is_empty: Column, n:
     return d.withColumn("_s", F.sum("_e").over(near)).where(F.col("_s") == n).select(session, order)
 
 
-def claim_check(answer: str, docs: DataFrame, doc: str, text: str, most: int = 5) -> DataFrame:
-    """(term, documents): CJK terms or words of an answer, and in how many documents each stands; two make it confirmed."""
+def claim_terms(answer: str, most: int = 5) -> list[str]:
+    """The first CJK terms of an answer, or its longer words, each once."""
     import re
 
-    terms = list(dict.fromkeys(re.findall(f"[{CJK}]{{2,6}}", answer) or re.findall(r"\w{4,}", answer)))[:most]
-    rows = [docs.where(F.col(text).contains(t)).agg(F.countDistinct(doc).alias("documents")).select(F.lit(t).alias("term"), "documents") for t in terms]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return list(dict.fromkeys(re.findall(f"[{CJK}]{{2,6}}", answer) or re.findall(r"\w{4,}", answer)))[:most]
+
+
+def claim_check(answer: str, docs: DataFrame, doc: str, text: str, most: int = 5) -> DataFrame:
+    """(term, documents, confirmed): terms of an answer, and in how many documents each stands; two confirm it.
+
+    All terms are looked for in one pass. An answer without terms gives no rows.
+    """
+    terms = claim_terms(answer, most)
+    held = F.array_compact(F.array(*[F.when(F.col(text).contains(t), t) for t in terms])) if terms else F.array().cast("array<string>")
+    found = docs.select(F.col(doc).alias("_d"), F.explode(held).alias("term")).distinct().groupBy("term").agg(F.count("*").alias("n"))
+    asked = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
+    n = F.coalesce("n", F.lit(0).cast("long"))
+    return asked.join(found, "term", "left").select("term", n.alias("documents"), (n >= 2).alias("confirmed"))
+
+
+def repeated_results(log: DataFrame, session: str, order: str, digest: str, least: int = 3) -> DataFrame:
+    """Steps (session, order) whose result came before in the session, once more than ``least`` different ones have been seen."""
+    w = Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    d = log.withColumn("_first", (F.row_number().over(Window.partitionBy(session, digest).orderBy(order)) == 1).cast("int"))
+    return d.withColumn("_seen", F.coalesce(F.sum("_first").over(w), F.lit(0))).where((F.col("_first") == 0) & (F.col("_seen") > least)).select(session, order)
+
+
+def emergency_compacted(messages: DataFrame, conv: str, order: str, role: str, text: str, n: int = 6) -> DataFrame:
+    """The first system and the first user message and the last n messages of each conversation, each once."""
+    first = messages.where(F.col(role).isin("system", "user")).groupBy(conv, role).agg(F.min(order).alias("_o")).select(F.col(conv).alias("_c"), "_o")
+    head = messages.join(first, F.col(conv).eqNullSafe(F.col("_c")) & (F.col(order) == F.col("_o")), "left_semi")
+    return head.unionByName(keep_last(messages, conv, order, n)).distinct()
+
+
+def notes_compacted(messages: DataFrame, conv: str, order: str, role: str, text: str, notes: DataFrame, n: int = 8) -> DataFrame:
+    """(conv, order, role, text): the first message if it is the system's, the session's notes (conv, text) as a system
+    message of order null, and the last n messages. Conversations without notes stay as they are."""
+    noted = notes.select(F.col(conv).alias("_c")).distinct()
+    same = F.col(conv).eqNullSafe(F.col("_c"))
+    m = messages.select(conv, order, role, text)
+    plain, long = m.join(noted, same, "left_anti"), m.join(noted, same, "left_semi")
+    begin = long.withColumn("_n", F.row_number().over(Window.partitionBy(conv).orderBy(order))).where(F.col("_n") == 1).drop("_n").where(F.col(role) == "system")
+    kind = dict(m.dtypes)[order]
+    block = notes.select(F.col(conv), F.lit(None).cast(kind).alias(order), F.lit("system").alias(role), F.col(text))
+    return plain.unionByName(begin.unionByName(keep_last(long, conv, order, n)).distinct()).unionByName(block)
+
+
+def cut_results(messages: DataFrame, conv: str, order: str, role: str, text: str, kind: str = "tool", newest: int = 6, chars: int = 2000) -> DataFrame:
+    """Messages with results (of role ``kind``) older than the newest few cut to ``chars``; their number does not change."""
+    place = F.row_number().over(Window.partitionBy(conv, role).orderBy(F.desc(order)))
+    old = (F.col(role) == kind) & (F.col("_n") > newest) & (F.length(text) > chars)
+    return messages.withColumn("_n", place).withColumn(text, F.when(old, F.concat(F.substring(text, 1, chars), F.lit("\n[cache_edit截断]"))).otherwise(F.col(text))).drop("_n")
+
+
+def classified_result(text: Column) -> Column:
+    """critical, normal or transient, from what a result holds: names, relations or documents make it critical."""
+    from docloom.functions.text import DOCUMENT_KEYS, RELATION_KEYS, json_names, json_values
+
+    found = (F.size(json_names(text)) > 0) | (F.size(json_values(text, RELATION_KEYS)) > 0) | (F.size(json_values(text, DOCUMENT_KEYS)) > 0)
+    return result_importance(text, found)
+
+
+#: Titles of the sections of a session's notes, and the kinds of note that each takes.
+NOTE_SECTIONS = [("关键信息", ["finding", "entity"]), ("已完成工作", ["action", "tool_call"]), ("决策与结论", ["decision"]), ("待办事项", ["pending"])]
+
+
+def session_notes(notes: DataFrame, session: str, order: str) -> DataFrame:
+    """(session, text): notes (session, order, topic, summary, entities, importance, type) as Markdown in sections.
+
+    A kind that is missing counts as a finding; an unknown one goes to the first section if critical, else to the second.
+    A session's notes are a bounded log.
+    """
+    critical = F.col("importance") == "critical"
+    few = F.slice(F.coalesce("entities", F.array().cast("array<string>")), 1, 5)
+    line = F.concat(F.lit("- "), F.when(critical, "[关键]").otherwise("[重要]"), F.lit(" "), "topic", F.lit(": "), "summary", F.when(F.size(few) > 0, F.concat(F.lit(" (相关: "), F.array_join(few, ", "), F.lit(")"))).otherwise(""))
+    kind = F.coalesce("type", F.lit("finding"))
+    section = F.coalesce(*[F.when(kind.isin(kinds), i) for i, (_, kinds) in enumerate(NOTE_SECTIONS)], F.when(critical, 0).otherwise(1))
+    parts = notes.select(session, section.alias("section"), F.struct(F.col(order).alias("o"), line.alias("line")).alias("l")).groupBy(session, "section").agg(F.sort_array(F.collect_list("l")).alias("lines"))
+    title = F.element_at(F.lit([t for t, _ in NOTE_SECTIONS]), F.col("section") + 1)
+    parts = parts.select(session, F.struct("section", F.concat(F.lit("## "), title, F.lit("\n"), F.array_join("lines.line", "\n")).alias("text")).alias("p"))
+    whole = parts.groupBy(session).agg(F.sort_array(F.collect_list("p")).alias("ps"))
+    return whole.select(session, F.concat(F.lit("<!-- SESSION_MEMORY_START -->\n"), F.array_join("ps.text", "\n\n"), F.lit("\n<!-- SESSION_MEMORY_END -->")).alias("text"))
+
+
+def evidence_items(text: Column, most: int = 10) -> Column:
+    """Numbered or bulleted lines of an answer of more than five characters, without their marks."""
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^[0-9\-•*]"))
+    return F.slice(F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[0-9.\-) •*]+", ""))), lambda x: F.length(x) > 5), 1, most)
 
 
 def verdict(supporting: Column, refuting: Column) -> Column:

@@ -5,42 +5,61 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import COMPARABLE_ATTRIBUTES, contains_any, entity_type, normalise_name, normalise_value, relation_type
-from docloom.operators.graph import checkpointed
-from docloom.operators.linking import name_pairs
+from docloom.operators.linking import find_names, name_pairs
+from docloom.operators.ordering import checkpointed, numbered
+
+
+def _counted(rows: DataFrame, key: list[str], column: str, name: str) -> DataFrame:
+    """(key, name): how many different values of a column each key has, in two groupings with map-side sums."""
+    return rows.select(*key, column).where(F.col(column).isNotNull()).distinct().groupBy(*key).agg(F.count("*").alias(name))
+
+
+def _attributes(mentions: DataFrame, key: list[str], last: bool) -> DataFrame:
+    """(key, attributes): for each name of an attribute the value of the first or last mention that has it."""
+    pick = F.max_by if last else F.min_by
+    each = mentions.select(*key, "seq", F.explode("attributes").alias("a", "v")).groupBy(*key, "a").agg(pick("v", "seq").alias("v"))
+    return each.groupBy(*key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("a", "v")))).alias("attributes"))
 
 
 def merge_exact(mentions: DataFrame) -> DataFrame:
-    """(kb_id, entity_id, name, importance, n_mentions, aliases, docs): mentions grouped by lower-cased, trimmed name.
+    """(kb_id, entity_id, name, importance, n_mentions, n_aliases, n_docs, attributes): mentions grouped by lower-cased,
+    trimmed name.
 
-    The name is the first spelling in order; ids are numbered by name within a kb.
+    ``mentions`` (kb_id, seq, name, importance, doc_id, attributes map). The name is the first spelling in order; of an
+    attribute's values the last one stays; ids are numbered by name within a kb. Spellings and documents are counted, and
+    given as rows by ``exact_members``, as a common name has too many for one.
     """
+    key = ["kb_id", "key"]
     d = mentions.where(F.trim("name") != "").withColumn("key", F.lower(F.trim("name")))
-    g = d.groupBy("kb_id", "key").agg(F.min("name").alias("name"), F.max("importance").alias("importance"), F.count("*").alias("n_mentions"), F.sort_array(F.collect_set("name")).alias("aliases"), F.sort_array(F.collect_set("doc_id")).alias("docs"))
-    return g.withColumn("entity_id", F.format_string("entity_%04d", F.row_number().over(Window.partitionBy("kb_id").orderBy("key")))).drop("key")
+    g = d.groupBy(*key).agg(F.min("name").alias("name"), F.max("importance").alias("importance"), F.count("*").alias("n_mentions"))
+    g = numbered(g, ["kb_id"], ["key"], "n")
+    for part in (_counted(d, key, "name", "n_aliases"), _counted(d, key, "doc_id", "n_docs"), _attributes(d, key, last=True)):
+        side = part.withColumnsRenamed({"kb_id": "_kb", "key": "_key"})
+        g = g.join(side, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("key") == F.col("_key")), "left").drop("_kb", "_key")
+    zero = F.lit(0).cast("long")
+    return g.select("kb_id", F.format_string("entity_%04d", "n").alias("entity_id"), "name", "importance", "n_mentions", "n_aliases", F.coalesce("n_docs", zero).alias("n_docs"), F.coalesce("attributes", F.expr("map()").cast("map<string,string>")).alias("attributes"))
 
 
-def merge_greedy(mentions: DataFrame) -> DataFrame:
-    """Mentions (kb_id, seq, name, type, chunks) folded in order into entities.
+def exact_members(mentions: DataFrame) -> DataFrame:
+    """(kb_id, key, alias, doc_id): every spelling and document of the entities of ``merge_exact``, by lower-cased name."""
+    d = mentions.where(F.trim("name") != "")
+    return d.select("kb_id", F.lower(F.trim("name")).alias("key"), F.col("name").alias("alias"), "doc_id").distinct()
 
-    A mention joins the first entity whose name is equal to its own, or contains it, or is contained; else it is a new
-    one. An entity's type is upgraded from unknown, and the first three chunks of each mention are kept.
 
-    A name is an entity if no entity before it is related to it, and joins the first that is. Related pairs of different names come from an
-    equi-join on substrings. In each round, names without an undecided related name before them become entities, and
-    names related to those are decided with them; rounds grow with the longest chain of names that hang on one another,
-    and no knowledge base is gathered in a task. Equal names are counted first.
+def _led(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Normalised mentions, and each different name (kb_id, name, seq, n, type) with ``lead``, its entity's name.
+
+    A name is an entity if no entity before it is related to it, and joins the first that is. Related pairs of different
+    names come from an equi-join on substrings. In each round, names without an undecided related name before them become
+    entities, and names related to those are decided with them; rounds grow with the longest chain of names that hang on
+    one another, and no knowledge base is gathered in a task. Equal names are counted first.
     """
     d = mentions.withColumn("name", normalise_name(F.col("name"))).where("name != ''").withColumn("type", entity_type(F.col("type")))
-    names = d.groupBy("kb_id", "name").agg(
-        F.min("seq").alias("seq"),
-        F.count("*").alias("n"),
-        F.min_by("type", F.struct(F.col("type") == "unknown", F.col("seq"))).alias("type"),
-        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.slice("chunks", 1, 3).alias("c")))), lambda x: x["c"])).alias("chunks"),
-    )
+    names = d.groupBy("kb_id", "name").agg(F.min("seq").alias("seq"), F.count("*").alias("n"), F.min(F.struct((F.col("type") == "unknown").alias("u"), F.col("seq").alias("at"), "type")).alias("kind"))
     names = checkpointed(names.withColumn("id", F.monotonically_increasing_id()))
     own = names.select(F.col("kb_id").alias("k"), F.col("name").alias("w"), "id", F.struct("seq", "name").alias("at"))
     pairs = name_pairs(names, "kb_id", "name")
@@ -58,33 +77,156 @@ def merge_greedy(mentions: DataFrame) -> DataFrame:
         open_pairs = open_pairs.join(joined, "later", "left_anti")
         open_pairs = checkpointed(open_pairs.join(joined.withColumnRenamed("later", "earlier"), "earlier", "left_anti"))
     if members is None:
-        placed = names.withColumn("entity", F.col("id"))
-    else:
-        leads = related.join(members, "later", "left_semi").join(members.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
-        leads = leads.groupBy("later").agg(F.min_by("earlier", "at").alias("lead"))
-        placed = names.join(leads, F.col("id") == F.col("later"), "left").withColumn("entity", F.coalesce("lead", "id"))
-    rows = placed.groupBy("kb_id", "entity").agg(F.sort_array(F.collect_list(F.struct("seq", "name", "type", "n", "chunks"))).alias("m"))
-    known = F.filter("m", lambda x: x["type"] != "unknown")
-    return rows.select(
-        "kb_id",
-        F.get("m", F.lit(0))["name"].alias("name"),
-        F.coalesce(F.get(known, F.lit(0))["type"], F.lit("unknown")).alias("type"),
-        F.slice(F.col("m.name"), F.lit(2), F.size("m")).alias("aliases"),
-        F.aggregate("m", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("mention_count"),
-        F.flatten("m.chunks").alias("source_chunks"),
-    )
+        return d, names.withColumn("lead", F.col("name")).drop("id")
+    leads = related.join(members, "later", "left_semi").join(members.withColumnRenamed("later", "earlier"), "earlier", "left_anti")
+    leads = leads.groupBy("later").agg(F.min("at").alias("at"))
+    placed = names.join(leads, F.col("id") == F.col("later"), "left")
+    return d, checkpointed(placed.select("kb_id", "name", "seq", "n", "kind", F.coalesce("at.name", "name").alias("lead")))
+
+
+def merge_greedy(mentions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Mentions (kb_id, seq, name, type, chunks, attributes map) folded in order into entities; three tables.
+
+    A mention joins the first entity whose name is equal to its own, or contains it, or is contained; else it is a new
+    one. Entities: (kb_id, name, type, n_aliases, mention_count, attributes); the type is the first that is not unknown, and
+    of an attribute's values the first one stays. Aliases: (kb_id, name, alias, seq), a row for each other name that
+    joined. Chunks: (kb_id, name, seq, chunk), the first three of each mention. A common name has any number of both.
+    """
+    d, placed = _led(mentions)
+    lead = placed.select(F.col("kb_id").alias("_kb"), F.col("name").alias("_name"), F.col("lead"))
+    named = d.join(lead, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("name") == F.col("_name"))).drop("_kb", "_name")
+    entities = placed.groupBy("kb_id", F.col("lead").alias("name")).agg(F.min(F.struct("kind.u", "seq", "kind.type")).alias("kind"), (F.count("*") - 1).alias("n_aliases"), F.sum("n").alias("mention_count"))
+    known = _attributes(named.select("kb_id", F.col("lead").alias("name"), "seq", "attributes"), ["kb_id", "name"], last=False).withColumnsRenamed({"kb_id": "_kb", "name": "_name"})
+    entities = entities.join(known, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("name") == F.col("_name")), "left")
+    entities = entities.select("kb_id", "name", F.col("kind.type").alias("type"), "n_aliases", "mention_count", F.coalesce("attributes", F.expr("map()").cast("map<string,string>")).alias("attributes"))
+    aliases = placed.where("name != lead").select("kb_id", F.col("lead").alias("name"), F.col("name").alias("alias"), "seq")
+    chunks = named.select("kb_id", F.col("lead").alias("name"), "seq", F.explode(F.slice("chunks", 1, 3)).alias("chunk"))
+    return entities, aliases, chunks
 
 
 def endpoint_ids(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """Relations (subject, predicate, object, ...) with subject_id and object_id by name or alias; the later entity wins."""
-    names = entities.select("entity_id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
-    ids = names.groupBy("n").agg(F.max("entity_id").alias("id"))
+    """Relations (subject, predicate, object, ...) with subject_id and object_id by name or alias.
+
+    Of several ``entities`` (seq, entity_id, name, aliases) with a name, the one with the largest seq counts.
+    """
+    names = entities.select("seq", "entity_id", F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n"))
+    ids = names.groupBy("n").agg(F.max_by("entity_id", "seq").alias("id"))
     out = relations
     for end in ("subject", "object"):
         out = out.join(ids.select(F.col("n").alias(end), F.col("id").alias(f"{end}_id")), end, "left")
     return out
 
 
+def by_type(entities: DataFrame, kind: str, exact: bool = False) -> DataFrame:
+    """Entities of a type, case ignored unless ``exact``."""
+    return entities.where(F.col("type") == kind if exact else F.lower("type") == kind.lower())
+
+
+def expanded(entities: DataFrame, records: DataFrame) -> DataFrame:
+    """(name, doc_id, chunk_id, summary): what summaries (doc_id, chunk_ids, summary, names) say about entities (name)."""
+    r = records.select("doc_id", F.explode("names").alias("name"), "chunk_ids", "summary").distinct()
+    return r.join(entities.select("name").distinct(), "name", "left_semi").select("name", "doc_id", F.explode_outer("chunk_ids").alias("chunk_id"), "summary")
+
+
+def of_document(records: DataFrame, entities: DataFrame, doc_id: str | int) -> DataFrame:
+    """Entities (name, ...) that a document's summaries (doc_id, names) mention."""
+    named = records.where(F.col("doc_id") == doc_id).select(F.explode("names").alias("name")).distinct()
+    return entities.join(named, "name", "left_semi")
+
+
+def events_of(entities: DataFrame, events: DataFrame) -> DataFrame:
+    """(name, date, title): the events (date, title, participants) that entities (name) take part in."""
+    e = events.select("date", "title", F.explode(F.array_distinct("participants")).alias("name"))
+    return e.join(entities.select("name").distinct(), "name", "left_semi").select("name", "date", "title")
+
+
+def normalised_layer(entities: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities (kb_id, seq, name, type) and events (kb_id, seq, time, description, participants) with ids, in order.
+
+    Entities get ``entity_<kb>_001`` ...; a type that is missing is unknown. Of events with equal time and description the
+    first stays; those get ``event_<kb>_001`` ..., and participants become the ids of entities of that name, the last of
+    several; others are left out.
+    """
+    e = numbered(entities.select("kb_id", "seq", "name", F.coalesce("type", F.lit("unknown")).alias("type")), ["kb_id"], ["seq"], "n")
+    e = e.select("kb_id", F.format_string("entity_%s_%03d", "kb_id", "n").alias("id"), "name", "type", "n")
+    ids = e.groupBy(F.col("kb_id").alias("_kb"), F.col("name").alias("_name")).agg(F.max_by("id", "n").alias("_id"))
+    t = events.groupBy("kb_id", F.coalesce("time", F.lit("")).alias("time"), F.coalesce("description", F.lit("")).alias("description")).agg(F.min(F.struct("seq", "participants")).alias("e"))
+    t = numbered(t.select("kb_id", "time", "description", F.col("e.seq").alias("seq"), F.col("e.participants").alias("people")), ["kb_id"], ["seq"], "n")
+    who = t.select("kb_id", "n", F.posexplode("people").alias("at", "name"))
+    who = who.join(ids, F.col("kb_id").eqNullSafe(F.col("_kb")) & (F.col("name") == F.col("_name"))).groupBy(F.col("kb_id").alias("_k"), F.col("n").alias("_n")).agg(F.sort_array(F.collect_list(F.struct("at", "_id"))).alias("who"))
+    t = t.join(who, F.col("kb_id").eqNullSafe(F.col("_k")) & (F.col("n") == F.col("_n")), "left")
+    none = F.array().cast("array<string>")
+    return e.drop("n"), t.select("kb_id", F.format_string("event_%s_%03d", "kb_id", "n").alias("id"), "time", "description", F.coalesce(F.col("who._id"), none).alias("participants"))
+
+
+#: The types that a report knows, spellings of them, and what others count as.
+REPORT_TYPES = {
+    "person": "person",
+    "organization": "organization",
+    "location": "location",
+    "event": "event",
+    "evidence": "evidence",
+    "document": "document",
+    "人物": "person",
+    "人": "person",
+    "组织": "organization",
+    "org": "organization",
+    "地点": "location",
+    "loc": "location",
+    "事件": "event",
+    "证据": "evidence",
+    "文档": "document",
+    "doc": "document",
+}
+CONTRADICTION_TYPES = {
+    "time_conflict": "time_conflict",
+    "statement_conflict": "statement_conflict",
+    "evidence_conflict": "evidence_conflict",
+    "logical_gap": "logical_gap",
+    "时间冲突": "time_conflict",
+    "陈述矛盾": "statement_conflict",
+    "证据矛盾": "evidence_conflict",
+    "逻辑漏洞": "logical_gap",
+}
+GAP_TYPES = {
+    "isolated_entity": "isolated_entity",
+    "missing_relation": "missing_relation",
+    "unanswered_question": "unanswered_question",
+    "sparse_community": "sparse_community",
+    "孤立实体": "isolated_entity",
+    "缺失关系": "missing_relation",
+    "未解答问题": "unanswered_question",
+}
+
+
+def known_type(raw: Column, types: dict[str, str], default: str) -> Column:
+    """One of a report's types by its spelling, else ``default``."""
+    out = F.when(F.lit(False), "")
+    for kind in dict.fromkeys(types.values()):
+        out = out.when(raw.isin([k for k, v in types.items() if v == kind]), kind)
+    return out.otherwise(default)
+
+
+def reported(entities: DataFrame, relations: DataFrame, least: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of a report.
+
+    ``entities`` (seq, id, name, type, confidence) below the least confidence are left out (null counts as 1), the others'
+    types normalised. The ends of ``relations`` (source, target, relation_type, confidence) are found by name, any case,
+    else by the first entity whose name holds theirs or is held by it; relations with an end that is not found are left
+    out, and each is attached to both ends: (entity_id, source_id, target_id, relation_type, confidence).
+    """
+    e = entities.where(F.coalesce("confidence", F.lit(1.0)) >= least).withColumn("type", known_type(F.col("type"), REPORT_TYPES, "person"))
+    asked = relations.select(F.col("source").alias("q")).union(relations.select("target"))
+    found = checkpointed(find_names(asked, "q", e, "name", "seq").select("query", "name"))
+    ids = e.groupBy(F.lower("name").alias("_low")).agg(F.max_by("id", "seq").alias("_id"))
+    known = found.join(ids, F.lower("name") == F.col("_low")).select("query", "_id")
+    out = relations
+    for end in ("source", "target"):
+        out = out.join(known.select(F.col("query").alias(end), F.col("_id").alias(f"{end}_id")), end)
+    ends = F.explode(F.array_distinct(F.array("source_id", "target_id"))).alias("entity_id")
+    return e.select("id", "name", "type", "confidence"), out.select(ends, "source_id", "target_id", F.coalesce("relation_type", F.lit("unknown")).alias("relation_type"), F.coalesce("confidence", F.lit(0.8)).alias("confidence"))
+
+
 def typed_relations(relations: DataFrame, summary: str = "summary") -> DataFrame:
     """Relations with ``type`` and ``weight`` inferred from their words and summary."""
     t = relation_type(F.concat_ws(" ", "subject", "predicate", "object", F.coalesce(summary, F.lit(""))))
@@ -108,11 +250,23 @@ def contradictions(mentions: DataFrame) -> DataFrame:
     return g.withColumn("confidence", F.least(F.lit(1.0), F.round(0.5 + 0.1 * F.col("n_values"), 9)))
 
 
-def relations_of(relations: DataFrame, entities: DataFrame) -> DataFrame:
-    """(name, other, predicate, direction): relations (subject, predicate, object) of entities (name) at either end."""
+def relations_of(relations: DataFrame, entities: DataFrame, kind: str | None = None) -> DataFrame:
+    """(name, other, predicate, direction, other_type): relations (subject, predicate, object) of entities (name, type) at
+    either end, with the type of the entity at the other, null where it is none; of one predicate if ``kind`` is given."""
+    if kind is not None:
+        relations = relations.where(F.col("predicate") == kind)
     out = relations.select(F.col("subject").alias("name"), F.col("object").alias("other"), "predicate", F.lit("out").alias("direction"))
     back = relations.select(F.col("object").alias("name"), F.col("subject").alias("other"), "predicate", F.lit("in").alias("direction"))
-    return out.unionByName(back).join(entities.select("name").distinct(), "name", "left_semi")
+    known = entities.groupBy(F.col("name").alias("_n")).agg(F.max("type").alias("other_type"))
+    own = out.unionByName(back).join(entities.select("name").distinct(), "name", "left_semi")
+    return own.join(known, F.col("other") == F.col("_n"), "left").select("name", "other", "predicate", "direction", "other_type")
+
+
+def relations_named(relations: DataFrame, query: str) -> DataFrame:
+    """Relations with an end of that name, any case; where there are none, those with an end that holds it."""
+    q = query.lower()
+    exact = relations.where((F.lower("subject") == q) | (F.lower("object") == q))
+    return exact if not exact.isEmpty() else relations.where(F.lower("subject").contains(q) | F.lower("object").contains(q))
 
 
 def shared_documents(pairs: DataFrame, mentions: DataFrame) -> DataFrame:
@@ -143,19 +297,22 @@ def gaps(entities: DataFrame, relations: DataFrame, least: float = 0.4) -> DataF
     return isolated(entities, relations).select("name", F.lit("isolated").alias("gap")).unionByName(entities.where(F.col("confidence") < least).select("name", F.lit("low_confidence").alias("gap")))
 
 
-def extraction_gate(entities: DataFrame, relations: DataFrame) -> DataFrame:
-    """One row: counts, mean confidence, and whether there are 3 entities, a relation and a mean of 0.3."""
+def extraction_gate(entities: DataFrame, relations: DataFrame, contradictions: DataFrame) -> DataFrame:
+    """One row: counts, mean confidence, contradictions of high severity, and whether there are 3 entities, a relation and a
+    mean of 0.3."""
     e = entities.agg(F.count("*").alias("entities"), F.round(F.avg("confidence"), 6).alias("avg_confidence"))
     r = relations.agg(F.count("*").alias("relations"))
     i = isolated(entities, relations).agg(F.count("*").alias("isolated"))
     one = F.lit(1).alias("one")
-    d = e.select("*", one).join(F.broadcast(r.select("*", one)), "one").join(F.broadcast(i.select("*", one)), "one").drop("one")  # one row each
+    h = contradictions.agg(F.count_if(F.col("severity") == "high").alias("high_severity"))
+    d = e.select("*", one).join(F.broadcast(r.select("*", one)), "one").join(F.broadcast(i.select("*", one)), "one").join(F.broadcast(h.select("*", one)), "one").drop("one")  # one row each
     return d.withColumn("passed", (F.col("entities") >= 3) & (F.col("relations") >= 1) & (F.col("avg_confidence") >= 0.3))
 
 
-def surprise_counts(surprises: DataFrame) -> DataFrame:
+def surprise_counts(surprises: DataFrame, by_type: bool = False) -> DataFrame:
+    """How many surprises are high, medium and low; for each kind if ``by_type``."""
     s = F.col("score")
-    return surprises.agg(F.count_if(s >= 0.8).alias("high"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium"), F.count_if(s < 0.5).alias("low"))
+    return (surprises.groupBy("kind") if by_type else surprises).agg(F.count_if(s >= 0.8).alias("high"), F.count_if((s >= 0.5) & (s < 0.8)).alias("medium"), F.count_if(s < 0.5).alias("low"))
 
 
 def map_batches(rows: DataFrame, model, schema: str) -> DataFrame:

@@ -5,17 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ordering import numbered
+
 #: Weights of the four signals.
 SIGNAL_WEIGHTS = {"vector": 3.0, "keyword": 2.0, "graph": 4.0, "affinity": 1.5}
 
 
-def fuse(lists: list[DataFrame], key: str, k: int = 60) -> DataFrame:
-    """Reciprocal rank fusion: (key, rrf_score). Each list has ``key`` and a 1-based ``rank``."""
-    parts = [x.select(key, (1.0 / (k + F.col("rank"))).alias("s")) for x in lists]
+def fuse(lists: list[DataFrame], key: str, k: int = 60, item: str | None = None) -> DataFrame:
+    """Reciprocal rank fusion: (key, rrf_score). Each list has ``key`` and a 1-based ``rank``.
+
+    With ``item``, that column comes along from the first list that has the key; within a list, from its last row of it.
+    """
+    parts = [x.select(key, (1.0 / (k + F.col("rank"))).alias("s"), F.lit(i).alias("list"), F.col("rank"), *([item] if item else [])) for i, x in enumerate(lists)]
     both = parts[0]
     for p in parts[1:]:
         both = both.unionByName(p)
-    return both.groupBy(key).agg(F.sum("s").alias("rrf_score"))
+    won = [F.min_by(item, F.struct("list", -F.col("rank"))).alias(item)] if item else []
+    return both.groupBy(key).agg(F.sum("s").alias("rrf_score"), *won)
 
 
 def fuse_weighted(signals: DataFrame, key: str, top_k: int = 20, k: int = 60, weights: dict[str, float] | None = None) -> DataFrame:
@@ -66,6 +72,20 @@ def confidence_counts(rows: DataFrame, label: str, group: str | None = None) ->
     return rows.groupBy(group).agg(*aggregates) if group else rows.agg(*aggregates)
 
 
+def fusion_metrics(lists: list[DataFrame], key: str) -> DataFrame:
+    """One row: inputs, merged (different keys) and overlap_ratio of ranked lists."""
+    both = lists[0].select(key)
+    for x in lists[1:]:
+        both = both.union(x.select(key))
+    n = both.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("inputs"), F.count("*").alias("merged"))
+    return n.select("inputs", "merged", overlap_ratio(F.col("merged"), F.col("inputs")).alias("overlap_ratio"))
+
+
+def score_confidence(score: Column) -> Column:
+    """The label of a hit by its score alone."""
+    return F.when(score > 0.7, "EXTRACTED").when(score > 0.3, "INFERRED").otherwise("AMBIGUOUS")
+
+
 def source_layer(chunk_id: Column) -> Column:
     return F.when(chunk_id.startswith("l0_"), "L0").when(chunk_id.startswith("l1_"), "L1").when(chunk_id.startswith("l2_") | chunk_id.contains("_"), "L2").otherwise("unknown")
 
@@ -104,8 +124,16 @@ def top_of_each(rows: DataFrame, group: list[str], order: list[Column], n: int)
 
 def two_stage(entity_hits: DataFrame, keyword_hits: DataFrame) -> DataFrame:
     """Keyword hits (doc_id, seq) ordered by what entity hits (doc_id, score) give their documents, then as they came."""
-    boost = entity_hits.groupBy("doc_id").agg(F.sum("score").alias("boost"))
-    return keyword_hits.join(boost, "doc_id", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).withColumn("position", F.row_number().over(Window.orderBy(F.desc("boost"), "seq")))
+    boost = entity_hits.groupBy(F.col("doc_id").alias("_d")).agg(F.sum("score").alias("boost"))
+    d = keyword_hits.join(boost, F.col("doc_id") == F.col("_d"), "left").drop("_d").withColumn("boost", F.coalesce("boost", F.lit(0.0)))
+    return numbered(d, [], [F.desc("boost"), F.col("seq")], "position")
+
+
+def evidence(hits: DataFrame, doc: str, order: list[Column], per_doc: int = 3, docs: int = 5) -> DataFrame:
+    """The best hits of each of the best documents, by their best hit: ``per_doc`` of ``docs``, with ``position``."""
+    best = top_of_each(hits, [doc], order, per_doc)
+    leaders = best.where("position = 1").orderBy(*order).limit(docs).select(doc)
+    return best.join(F.broadcast(leaders), doc, "left_semi")  # a few rows
 
 
 def hybrid(keyword: DataFrame, vector: DataFrame, key: str, k: int) -> DataFrame:

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.ordering import checkpointed, small_or_shuffled
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder; a temporary one where the session has none."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
-    return df.checkpoint()
+#: Colours of node types.
+TYPE_COLORS = {
+    "person": "#6366f1",
+    "organization": "#f59e0b",
+    "location": "#10b981",
+    "event": "#ef4444",
+    "unknown": "#8b5cf6",
+}
+#: Members of a record or hub are paired in parts of so many, so that no task holds all pairs of a large one.
+PART = 64
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -79,59 +82,125 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new
 
 
-def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(node, community): every node takes the label with the largest weight around it, the least among equals.
 
     Its own label counts as much as its heaviest edge, and even and odd nodes (by a hash) take turns, which keeps
-    neighbours from swapping labels for ever. A deterministic
-    stand-in for seeded Louvain that only groups and joins; nodes without edges keep to themselves.
+    neighbours from swapping labels for ever. A deterministic stand-in for seeded Louvain that only groups and joins;
+    nodes without edges keep to themselves. Ends when two rounds change nothing, and raises if that is not so after
+    ``rounds``.
     """
     w = edges.select("src", "dst", "weight").where("src != dst")
     e = w.union(w.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
     e = checkpointed(e.unionByName(e.groupBy("src").agg(F.max("weight").alias("weight")).select("src", F.col("src").alias("dst"), "weight")))
     labels = checkpointed(e.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node")))
+    still = 0
     for r in range(rounds):
         votes = e.join(labels, e["dst"] == labels["node"]).groupBy("src", "community").agg(F.round(F.sum("weight"), 9).alias("votes"))
         best = votes.groupBy("src").agg(F.min_by("community", F.struct(-F.col("votes"), F.col("community"))).alias("best"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == r % 2
         new = checkpointed(labels.join(best, labels["node"] == best["src"], "left").select("node", F.when(turn, F.coalesce("best", "community")).otherwise(F.col("community")).alias("community")))
-        if r % 2 and new.join(labels.select("node", F.col("community").alias("old")), "node").where("community != old").isEmpty():
-            return new
-        labels = new
-    return labels
+        same = new.join(labels.select("node", F.col("community").alias("old")), "node").where("community != old").isEmpty()
+        still, labels = (still + 1 if same else 0), new
+        if still == 2:
+            return labels
+    raise RuntimeError(f"labels are not settled after {rounds} rounds")
+
+
+def path_edges(path: DataFrame, relations: DataFrame) -> DataFrame:
+    """(hop, src, dst, label): each step of a path (one row, array ``path``) with the relations (src, dst, label) that carry
+    it, in either direction; label is null where an edge has none."""
+    steps = path.select(F.posexplode(F.transform(F.sequence(F.lit(0), F.size("path") - 2), lambda i: F.struct(F.get("path", i).alias("src"), F.get("path", i + 1).alias("dst")))).alias("hop", "s")).select("hop", "s.src", "s.dst")
+    known = event_graph(relations).select(F.col("src").alias("a"), F.col("dst").alias("b"), "label").distinct()
+    return steps.join(known, (F.col("src") == F.col("a")) & (F.col("dst") == F.col("b")), "left").select("hop", "src", "dst", "label")
+
+
+def payload(entities: DataFrame, events: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, label, type, color) and edges (source, target, label) of a graph to be drawn.
+
+    ``entities`` (id, name, type), ``events`` (id, date, description, participants: array of entity ids), ``relations`` (src,
+    dst, label). Unknown types have the colour of ``unknown``.
+    """
+    color = F.coalesce(*[F.when(F.col("type") == t, c) for t, c in TYPE_COLORS.items()], F.lit(TYPE_COLORS["unknown"]))
+    nodes = entities.select(F.col("id").cast("string").alias("id"), F.col("name").alias("label"), F.coalesce("type", F.lit("unknown")).alias("type")).withColumn("color", color)
+    label = F.concat(F.substring(F.coalesce("date", F.lit("")), 1, 10), F.lit(" "), F.substring(F.coalesce("description", F.lit("")), 1, 30))
+    happened = events.select(F.col("id").cast("string").alias("id"), label.alias("label"), F.lit("event").alias("type")).withColumn("color", color)
+    taking_part = events.select(F.col("id").cast("string").alias("source"), F.explode(F.col("participants").cast("array<string>")).alias("target"), F.lit("participant").alias("label"))
+    edges = relations.select(F.col("src").cast("string").alias("source"), F.col("dst").cast("string").alias("target"), "label").unionByName(taking_part)
+    return nodes.unionByName(happened), edges
+
+
+def matching_nodes(nodes: DataFrame, pattern: str, text: str) -> DataFrame:
+    """Nodes whose text matches a pattern, case ignored; a pattern that is no regular expression is taken literally."""
+    import re
+
+    try:
+        re.compile(pattern)
+    except re.error:
+        pattern = re.escape(pattern)
+    return nodes.where(F.col(text).rlike(f"(?i){pattern}"))
 
 
 def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges inside a set of nodes, and those from the set to its neighbours."""
-    return edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
-def cooccurrence(records: DataFrame, record: str, item: str) -> DataFrame:
-    """(src, dst, weight): unordered pairs of different items and in how many records they stand together.
+def paired(records: DataFrame, record: str, item: str) -> DataFrame:
+    """(r, src, dst): unordered pairs of different items of each record, each once a record; null records pair nothing.
 
-    A record is a bounded list of names (an extraction's entities); records with very many items should be cut first.
+    Items of a record fall into parts by a hash, about PART in each, and parts meet in pairs of parts, so the pairs of a
+    large record are spread over many tasks.
     """
-    a = records.select(F.col(record).alias("r"), F.col(item).alias("src")).distinct()
-    b = a.withColumnRenamed("src", "dst")
-    return a.join(b, "r").where("src < dst").groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    d = records.select(F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL").distinct()
+    sizes = checkpointed(d.groupBy(F.col("r").alias("_r")).agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
+    d = d.join(small_or_shuffled(sizes), F.col("r") == F.col("_r"), "left").select("r", "i", F.coalesce("parts", F.lit(1)).alias("parts"))
+    d = d.withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+    # every unordered pair of parts is a cell; a part belongs to as many cells as there are parts
+    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("a"), F.greatest("part", o).alias("b")))
+    c = d.select("r", "i", "part", F.explode(cells).alias("cell"))
+    left, right = c.select("r", "cell", F.col("i").alias("x"), F.col("part").alias("px")), c.select("r", "cell", F.col("i").alias("y"), F.col("part").alias("py"))
+    both = left.join(right, ["r", "cell"]).where((F.col("px") == F.col("cell.a")) & (F.col("py") == F.col("cell.b")) & ((F.col("px") != F.col("py")) | (F.col("x") < F.col("y"))))
+    return both.select("r", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
 
 
-def affinity(edges: DataFrame) -> DataFrame:
-    """(src, dst, adamic_adar, affinity) of pairs with an edge (weight) or a common neighbour.
+def cooccurrence(records: DataFrame, record: str, item: str) -> DataFrame:
+    """(src, dst, weight): unordered pairs of different items and in how many records they stand together."""
+    return paired(records, record, item).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+
 
-    Co-occurrence gives min(.3 + .1 w, .8); the sum of 1 / ln(degree) over common neighbours gives min(a / 5, .6);
-    the larger counts.
+def guarded_relations(relations: DataFrame, records: DataFrame, record: str, item: str) -> DataFrame:
+    """(subject, predicate, object): the relations as they are; only where there are none at all, one for each pair of items
+    that stand in a record together."""
+    if not relations.isEmpty():
+        return relations.select("subject", "predicate", "object")
+    return paired(records, record, item).select(F.col("src").alias("subject"), F.lit("共现").alias("predicate"), F.col("dst").alias("object")).distinct()
+
+
+def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
+    """(src, dst, adamic_adar, shared, affinity) of pairs with an edge (weight), a common neighbour or a common document.
+
+    Co-occurrence gives min(.3 + .1 w, .8); the sum of 1 / ln(degree) over common neighbours gives min(a / 5, .6); the
+    documents (name, doc) that mention both, as a share of the smaller set, give .7 times that. The largest counts.
     """
     e = checkpointed(both_ways(edges))
-    degree = e.groupBy("src").agg(F.count("*").alias("degree")).where("degree > 1").withColumnRenamed("src", "via")
-    spokes = e.select(F.col("src").alias("via"), "dst").join(degree, "via")
-    other = spokes.select("via", F.col("dst").alias("dst2"))
-    common = spokes.withColumnRenamed("dst", "src").join(other, "via").where("src < dst2").groupBy("src", F.col("dst2").alias("dst")).agg(F.sum(1 / F.ln("degree")).alias("adamic_adar"))
+    degree = checkpointed(e.groupBy(F.col("src").alias("via")).agg(F.count("*").alias("degree")).where("degree > 1"))
+    common = paired(e, "src", "dst").join(small_or_shuffled(degree), F.col("r") == F.col("via")).groupBy("src", "dst").agg(F.sum(1 / F.ln("degree")).alias("adamic_adar"))
     direct = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
     d = direct.join(common, ["src", "dst"], "full_outer")
+    if documents is None:
+        d = d.withColumn("shared", F.lit(0.0))
+    else:
+        m = documents.select("name", "doc").distinct()
+        sizes = m.groupBy("name").agg(F.count("*").alias("n"))
+        both = paired(m, "doc", "name").groupBy("src", "dst").agg(F.count("*").alias("both"))
+        for end in ("src", "dst"):
+            both = both.join(sizes.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), end)
+        d = d.join(both.select("src", "dst", (F.col("both") / F.least("n_src", "n_dst")).alias("shared")), ["src", "dst"], "full_outer")
     by_weight = F.coalesce(F.least(0.3 + 0.1 * F.col("weight"), F.lit(0.8)), F.lit(0.0))
     by_common = F.coalesce(F.least(F.col("adamic_adar") / 5, F.lit(0.6)), F.lit(0.0))
-    return d.select("src", "dst", F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"), F.least(F.lit(1.0), F.greatest(by_weight, by_common)).alias("affinity"))
+    by_documents = 0.7 * F.coalesce("shared", F.lit(0.0))
+    return d.select("src", "dst", F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"), F.coalesce("shared", F.lit(0.0)).alias("shared"), F.least(F.lit(1.0), F.greatest(by_weight, by_common, by_documents)).alias("affinity"))
 
 
 def set_overlap(a: Column, b: Column) -> Column:
@@ -140,11 +209,13 @@ def set_overlap(a: Column, b: Column) -> Column:
     return F.when(least > 0, F.size(F.array_intersect(a, b)) / least).otherwise(0.0)
 
 
-def tree(nodes: DataFrame, root_is: Column, most: int = 10) -> DataFrame:
-    """(id, parent_id, title, depth, path, is_leaf) of an adjacency list (id, parent_id, title), level by level."""
+def tree(nodes: DataFrame, root_is: Column) -> DataFrame:
+    """(id, parent_id, title, depth, path, is_leaf) of an adjacency list (id, parent_id, title), level by level to the
+    last one; a node that is its own ancestor is on no level and left out."""
     level = nodes.where(root_is).select("id", "parent_id", "title", F.lit(0).alias("depth"), F.col("title").alias("path"))
-    out = level
-    for d in range(1, most + 1):
+    out, d = level, 0
+    while True:
+        d += 1
         up = level.select(F.col("id").alias("up"), F.col("path").alias("up_path"))
         level = nodes.join(up, nodes["parent_id"] == F.col("up")).select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("up_path", F.lit("/"), "title").alias("path"))
         level = checkpointed(level)

@@ -5,18 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators.graph import checkpointed
+from docloom.operators.ordering import checkpointed, small_or_shuffled
 
-#: A side is broadcast only after its rows have been counted and are no more than this.
-BROADCAST_ROWS = 100_000
 #: Long texts are cut into blocks of so many characters, which overlap by the longest name.
 BLOCK_CHARS = 512
 
 
-def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def _lengths(names: DataFrame, name: str) -> list[int]:
     """The different lengths of names, shortest first: as many numbers as the longest name has characters at most."""
     return sorted(r[0] for r in names.select(F.length(name)).distinct().collect())

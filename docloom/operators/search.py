@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
+from docloom.operators.ordering import checkpointed
 
 
 def postings(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -21,23 +23,62 @@ def document_lengths(chunks: DataFrame, doc: str = "doc_id", text: str = "text")
     return chunks.select(F.col(doc), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("n_tokens"))
 
 
-def bm25(index: DataFrame, lengths: DataFrame, query: str, k: int, doc: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def query_terms(spark: SparkSession, query: str) -> list[str]:
+    """The different tokens of a query, sorted."""
+    return sorted({r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()})
+
+
+def _ranked(hits: DataFrame, counts: list[str], totals: Row, doc: str, k: int, k1: float, b: float) -> DataFrame:
+    """The k best of rows (doc, n_tokens, counts of each term), all of which are above 0."""
+    score = F.lit(0.0)
+    for i, c in enumerate(counts):
+        n = totals[f"n{i}"]
+        idf = max(1e-6, math.log((totals["n_all"] - n + 0.5) / (n + 0.5)))
+        tf = F.col(c)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_tokens") / F.lit(totals["avg_tokens"])))
+    return hits.select(doc, (-score).alias("rank")).orderBy(F.round("rank", 9), doc).limit(k)
+
+
+def bm25(chunks: DataFrame, query: str, k: int, doc: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(doc, rank) of the k best documents that hold every token of the query; rank is the negated BM25 score.
 
-    idf is ``ln((N - n + 0.5) / (n + 0.5))``, at least 1e-6. Postings are filtered by the query's few terms before
-    anything is shuffled; only their rows are grouped. Ties go by document. A query without tokens finds nothing.
+    idf is ``ln((N - n + 0.5) / (n + 0.5))``, at least 1e-6. One pass takes each text apart once and keeps, in a
+    checkpoint, the number of its tokens and of each of the query's; the sums that the driver needs are a row, and the rows
+    that hold all tokens are scored without a shuffle of words. Ties go by document. A query without tokens finds
+    nothing. Where many questions are asked of one corpus, ``bm25_of_index`` reads a written index instead.
     """
-    spark = index.sparkSession
-    terms = sorted({r[0] for r in spark.createDataFrame([(query,)], "q string").select(F.explode(tokens(F.col("q")))).collect()})
-    mine = index.where(F.col("term").isin(terms))
-    size = lengths.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("avg_tokens"))
-    found = mine.groupBy("term").agg(F.count("*").alias("n"))
-    weight = F.greatest(F.lit(1e-6), F.ln((F.col("n_all") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
-    idf = F.broadcast(found.join(F.broadcast(size)).select("term", weight.alias("idf"), "avg_tokens"))  # a row for each term, times one row
-    tf = F.col("tf")
-    part = F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("n_tokens") / F.col("avg_tokens")))
-    scored = mine.join(idf, "term").join(lengths, doc).groupBy(doc).agg(F.count("*").alias("terms"), F.sum(part).alias("score"))
-    return scored.where(F.col("terms") == len(terms)).select(doc, (-F.col("score")).alias("rank")).orderBy(F.round("rank", 9), doc).limit(k)
+    terms = query_terms(chunks.sparkSession, query)
+    if not terms:
+        return chunks.select(doc, F.lit(0.0).alias("rank")).limit(0)
+    split = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
+    d = chunks.select(F.col(doc), split.alias("_w"))
+    names = [f"_c{i}" for i in range(len(terms))]
+    own = [(F.size("_w") - F.size(F.array_remove("_w", t))).alias(c) for c, t in zip(names, terms, strict=True)]
+    d = checkpointed(d.select(F.col(doc), F.size(F.array_remove("_w", "")).alias("n_tokens"), *own))
+    totals = d.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("avg_tokens"), *[F.count_if(F.col(c) > 0).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    return _ranked(d.where(reduce(Column.__and__, [F.col(c) > 0 for c in names])), names, totals, doc, k, k1, b)
+
+
+def write_index(chunks: DataFrame, out: str, doc: str = "doc_id", text: str = "text") -> None:
+    """The inverted index as two tables below ``out``: postings sorted by term, so that a search reads few row groups, and
+    lengths. Written anew each time, so chunks that come twice are in it once."""
+    once = chunks.dropDuplicates([doc])
+    postings(once, doc, text).repartitionByRange("term", doc).sortWithinPartitions("term", doc).write.mode("overwrite").parquet(f"{out}/postings")
+    document_lengths(once, doc, text).write.mode("overwrite").parquet(f"{out}/lengths")
+
+
+def bm25_of_index(spark: SparkSession, index: str, query: str, k: int, doc: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """As ``bm25``, from a written index: the query's terms are pushed down to the postings' scan."""
+    terms = query_terms(spark, query)
+    mine, lengths = spark.read.parquet(f"{index}/postings").where(F.col("term").isin(terms)), spark.read.parquet(f"{index}/lengths")
+    names = [f"_c{i}" for i in range(len(terms))]
+    own = [F.max(F.when(F.col("term") == t, F.col("tf"))).alias(c) for c, t in zip(names, terms, strict=True)]
+    hits = checkpointed(mine.groupBy(doc).agg(F.count("*").alias("_terms"), *own))
+    sizes = lengths.agg(F.count("*").alias("n_all"), F.avg("n_tokens").alias("avg_tokens")).first()
+    found = hits.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(names)]).first() if terms else Row()
+    totals = Row(**sizes.asDict(), **found.asDict()) if terms else sizes
+    whole = hits.where(F.col("_terms") == len(terms)).join(lengths, doc)
+    return _ranked(whole, names, totals, doc, k, k1, b)
 
 
 def any_word(docs: DataFrame, words: list[str], text: str = "text") -> DataFrame:
@@ -113,5 +154,7 @@ def entity_score(name: Column, kind: Column, description: Column, query: str) ->
 
 
 def page_rows(rows: DataFrame, order: list[Column], offset: int, limit: int) -> DataFrame:
-    """One page of ordered rows; the sort keeps only offset + limit rows of each partition."""
-    return rows.orderBy(*order).offset(offset).limit(limit)
+    """One page of ordered rows, each with ``total``, the number of all rows; the sort keeps only offset + limit rows of
+    each partition."""
+    total = rows.agg(F.count("*").alias("total"))
+    return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))  # one row

@@ -7,9 +7,33 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that make a boolean column, and the formats of a date column.
+# ---- fixed values: words that make a boolean column, formats of a date column, words that ask for counts, and what
+# column names may stand for words of a question
 BOOLEANS = ["true", "false", "是", "否", "对", "错", "1", "0"]
 DATE_FORMATS = ["yyyy-MM-dd", "yyyy/MM/dd", "yyyy年MM月dd日", "yyyy-MM-dd HH:mm:ss"]
+COUNT_WORDS = ["统计", "计数", "分组", "汇总", "求和", "平均", "排名", "count", "group", "sum", "avg", "多少", "几个", "每种", "各个", "分别", "分布", "数量", "占比", "最多", "最少", "top", "排行", "排序", "降序", "升序"]
+COLUMN_WORDS = {
+    "国家": ["Team", "NOC", "Country", "Nation", "team", "noc", "country"],
+    "队伍": ["Team", "NOC", "team", "noc"],
+    "金牌": ["Medal", "Gold", "medal", "gold"],
+    "奖牌": ["Medal", "medal"],
+    "银牌": ["Silver", "silver"],
+    "铜牌": ["Bronze", "bronze"],
+    "姓名": ["Name", "name"],
+    "名字": ["Name", "name"],
+    "年龄": ["Age", "age"],
+    "身高": ["Height", "height"],
+    "体重": ["Weight", "weight"],
+    "年份": ["Year", "year"],
+    "季节": ["Season", "season"],
+    "城市": ["City", "city"],
+    "运动": ["Sport", "sport"],
+    "项目": ["Event", "event"],
+    "性别": ["Sex", "sex"],
+    "比赛": ["Games", "Event", "games", "event"],
+    "参赛": ["Games", "Event", "games", "event"],
+}
+# ----
 
 
 def cells(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,40 +138,131 @@ def sanitised(names: list[str]) -> list[str]:
     return out
 
 
-def match_columns(profiles: list[dict], query: str, top: int = 5) -> list[tuple[str, float]]:
-    """Columns scored by the query's terms: their length in the name, and half of it for each sample that holds them."""
+def samples(rows: DataFrame, columns: list[str], n: int = 5) -> DataFrame:
+    """(column, samples): the first different filled values of each column in order."""
+    v = cells(rows, columns).where("value != ''").distinct()
+    first = v.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("value"))).where(F.col("_n") <= n)
+    return first.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("samples"))
+
+
+def described(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The profile of each column with ``samples``."""
+    d = profile(rows, columns)
+    s = samples(rows, columns).withColumnRenamed("column", "_c")
+    return d.join(s, F.col("column") == F.col("_c"), "left").select(*d.columns, F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+
+
+def distinct_groups(rows: DataFrame, by: str, where: Column | None = None) -> DataFrame:
+    """One row: the number of different values, null left out."""
+    rows = rows if where is None else rows.where(where)
+    return rows.select(by).where(F.col(by).isNotNull()).distinct().agg(F.count("*").alias("n_groups"))
+
+
+def question_terms(query: str) -> list[str]:
+    """Words of a question, and of its CJK characters all pairs, threes and single ones; with the column names that
+    known words stand for."""
     import re
 
-    terms = set(re.findall(r"[a-zA-Z0-9_]+", query.lower()))
-    for run in re.findall(r"[一-鿿]+", query):
-        terms |= {run[i : i + n] for n in (1, 2, 3) for i in range(len(run) - n + 1)}
+    q = query.lower()
+    terms = re.findall(r"[a-zA-Z0-9]+", q)
+    wide = re.findall(r"[一-鿿]", q)
+    terms += ["".join(wide[i : i + n]) for n in (2, 3) for i in range(len(wide) - n + 1)] + wide
+    return terms + [name for t in dict.fromkeys(terms) for name in COLUMN_WORDS.get(t, [])]
+
+
+def match_columns(profiles: list[dict], query: str, top: int = 5) -> list[tuple[str, float]]:
+    """Columns scored by the question's terms: their length in the name, and half of it for each sample that holds them."""
+    terms = question_terms(query)
     scored = []
     for p in profiles:
-        s = sum(len(t) for t in terms if t in p["column"].lower())
-        s += sum(0.5 * len(t) for t in terms for x in p.get("samples", [])[:5] if t in str(x).lower())
+        s = float(sum(len(t) for t in terms if t.lower() in p["column"].lower()))
+        s += sum(0.5 * len(t) for x in p.get("samples", [])[:5] for t in terms if t.lower() in str(x).lower())
         if s > 0:
             scored.append((p["column"], s))
-    return sorted(scored, key=lambda x: (-x[1], x[0]))[:top]
+    return sorted(scored, key=lambda x: -x[1])[:top]
+
+
+def asks_for_counts(query: str) -> bool:
+    return any(w in query.lower() for w in COUNT_WORDS)
+
+
+def describe_question(rows: DataFrame, query: str, columns: list[str], most: int = 8) -> DataFrame:
+    """(position, column, data_type, unique_count, null_count, samples): the columns that match a question, the best first;
+    without a match the first ones. Three samples each."""
+    info = [r.asDict() for r in described(rows, columns).collect()]  # a row for each column
+    by_name = {r["column"]: r for r in info}
+    found = [c for c, _ in match_columns([by_name[c] for c in columns], query)] or columns
+    out = [(i, c, by_name[c]["data_type"], by_name[c]["unique_count"], by_name[c]["null_count"], by_name[c]["samples"][:3]) for i, c in enumerate(found[:most], 1)]
+    return rows.sparkSession.createDataFrame(out, "position int, column string, data_type string, unique_count long, null_count long, samples array<string>")
 
 
 def table_question(rows: DataFrame, query: str, columns: list[str]) -> DataFrame:
-    """Answers a question about a table by a grouped count: the plan is chosen on the driver from a profile.
+    """(value, n): answers a question about a table by a grouped count, planned on the driver from a profile.
 
-    Columns that match the query and have more than 20 values are dimensions, others measures; the first of each is
-    taken. A sample value named in the query becomes a filter.
+    Columns that match the question and have more than 20 values are dimensions, others measures; the first of each is
+    taken, or the first two columns where none matches. A sample value of the measure that holds a term of the question
+    becomes a filter. One job profiles all columns.
+    """
+    info = {r["column"]: r for r in described(rows, columns).collect()}  # a row for each column
+    matched = [c for c, _ in match_columns([info[c].asDict() for c in columns], query)] or columns[:2]
+    dimensions = [c for c in matched if info[c]["unique_count"] > 20]
+    measures = [c for c in matched if info[c]["unique_count"] <= 20]
+    group = (dimensions or measures)[0]
+    measure = next((c for c in measures if c != group), None)
+    if measure is None:
+        return group_counts(rows, group)
+    named = next((x for t in question_terms(query) for x in info[measure]["samples"] if t.lower() in x.lower()), None)
+    if named is not None:
+        return group_counts(rows, group, where=F.trim(F.col(measure).cast("string")) == named)
+    return breakdown(rows, group, measure).select(F.col("group").alias("value"), F.col("total").alias("n")).distinct()
+
+
+def analysis_report(rows: DataFrame, columns: list[str], sheet: str) -> DataFrame:
+    """(n, line): a compact report of a sheet in Markdown: its size, its columns, the distribution of each, its findings.
+
+    All parts are a few rows a column; numbers of the first column stand in the order of ``columns``.
+    """
+    d = described(rows, columns)
+    place = F.array_position(F.lit(columns), F.col("column"))
+    line = lambda section, at, text: (F.lit(section).alias("section"), at.alias("at"), text.alias("line"))
+    size = d.agg(F.max("n_rows").alias("r")).select(*line(0, F.lit(0).cast("long"), F.concat(F.lit(f"## Sheet: {sheet} ("), F.col("r").cast("string"), F.lit(f"行 x {len(columns)}列)"))))
+    cell = F.concat(F.lit("| "), F.concat_ws(" | ", "column", "data_type", F.col("null_count").cast("string"), F.col("unique_count").cast("string"), F.array_join(F.slice("samples", 1, 3), ", ")), F.lit(" |"))
+    table = d.select(*line(1, place, cell))
+    kinds = d.select(F.col("column").alias("_c"), "data_type")
+    num = numeric_distribution(rows, columns).join(kinds.where("data_type IN ('integer', 'float')"), F.col("column") == F.col("_c"))
+    text = lambda c: F.format_string("%.2f", c)
+    num = num.select(*line(2, place, F.concat(F.lit("- **"), "column", F.lit("**: 均值="), text("mean"), F.lit(", 中位数="), text("median"), F.lit(", 标准差="), text("std"), F.lit(", 范围=["), text("min"), F.lit(", "), text("max"), F.lit("]"))))
+    top = string_distribution(rows, columns, 5).join(kinds.where("data_type = 'string'"), F.col("column") == F.col("_c"))
+    top = top.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("position", F.concat("value", F.lit("("), F.col("n").cast("string"), F.lit(")")).alias("t")))).alias("ts"))
+    top = top.select(*line(2, place, F.concat(F.lit("- **"), "column", F.lit("**: "), F.array_join("ts.t", ", "))))
+    days = date_distribution(rows, columns).join(kinds.where("data_type = 'date'"), F.col("column") == F.col("_c"))
+    days = days.select(*line(2, place, F.concat(F.lit("- **"), "column", F.lit("**: "), "earliest", F.lit(" ~ "), "latest")))
+    noted = findings(d).select(*line(3, place, F.concat(F.lit("- ["), "finding", F.lit("] "), "column")))
+    heads = rows.sparkSession.createDataFrame([(1, -2, "### 列结构"), (1, -1, "| 列名 | 类型 | 空值 | 唯一值 | 样本值 |"), (1, 0, "|---|---|---|---|---|"), (2, 0, "### 关键分布"), (3, 0, "### 数据发现")], "section int, at long, line string")
+    parts = size.unionByName(table).unionByName(num).unionByName(top).unionByName(days).unionByName(noted).unionByName(heads)
+    return parts.select(F.row_number().over(Window.orderBy("section", "at", "line")).alias("n"), "line")  # a few rows a column
+
+
+def sheet_table(lines: DataFrame, key: str) -> DataFrame:
+    """A typed table from rows of cells (key, line_no, cells): the first row of each key that is not blank is its header.
+
+    Blank rows are skipped, short ones padded with null, more cells than names dropped; empty cells are null. All keys need
+    one header; its names are sanitised. Columns whose filled values are all whole numbers become longs, all numbers doubles.
     """
-    info = {r["column"]: r["unique_count"] for r in profile(rows, columns).collect()}
-    samples = {c: [r[0] for r in rows.select(F.col(c).cast("string")).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(5).collect()] for c in columns}
-    matched = [c for c, _ in match_columns([{"column": c, "samples": samples[c]} for c in columns], query)] or columns[:1]
-    dimensions = [c for c in matched if info[c] > 20]
-    measures = [c for c in matched if info[c] <= 20]
-    for c in measures:
-        named = [s for s in samples[c] if s.lower() in query.lower()]
-        if named and dimensions:
-            return group_counts(rows, dimensions[0], where=F.col(c).cast("string") == named[0])
-    if dimensions and measures:
-        return breakdown(rows, dimensions[0], measures[0]).select(F.col("group").alias("value"), F.col("total").alias("n")).distinct()
-    return group_counts(rows, (dimensions or measures)[0])
+    filled = lines.where(F.exists("cells", lambda c: F.trim(c) != ""))
+    first = filled.groupBy(F.col(key).alias("_k")).agg(F.min("line_no").alias("_first"))
+    d = filled.join(first, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    heads = d.where("line_no = _first").select("cells").distinct().limit(2).collect()
+    if len(heads) != 1:
+        raise ValueError("the sheets need one header")
+    names = sanitised(heads[0]["cells"])
+    text = [F.nullif(F.trim(F.get("cells", F.lit(i))), F.lit("")).alias(n) for i, n in enumerate(names)]
+    body = d.where("line_no > _first").select(F.col(key), "line_no", *text)
+    whole = [F.coalesce(F.bool_and(F.col(n).rlike(r"^-?\d{1,18}$")), F.lit(False)).alias(f"w{i}") for i, n in enumerate(names)]
+    real = [F.coalesce(F.bool_and(number(F.col(n)).isNotNull() | F.col(n).isNull()) & (F.count(n) > 0), F.lit(False)).alias(f"r{i}") for i, n in enumerate(names)]
+    kinds = body.agg(*whole, *real).first()
+    typed = [F.col(n).cast("long").alias(n) if kinds[f"w{i}"] else number(F.col(n)).alias(n) if kinds[f"r{i}"] else F.col(n) for i, n in enumerate(names)]
+    return body.select(F.col(key), *typed)
 
 
 def markdown_rows(texts: DataFrame, key: str, text: str) -> DataFrame:

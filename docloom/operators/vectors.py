@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,10 +22,38 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
+def unit(v: Column) -> Column:
+    """``v`` as doubles, scaled to length 1; a vector of zeros stays."""
+    d = v.cast("array<double>")
+    length = F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return F.when(length > 0, F.transform(d, lambda x: x / length)).otherwise(d)
+
+
 def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k rows with the largest cosine to the query, ties by key: one pass, k rows of each partition kept."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.withColumn("score", cosine(F.col(embedding), q)).orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    """The k rows with the largest cosine to the query, ties by key.
+
+    One product of Arrow batches with the query in each task, where all rows of a batch are scored at once and k of them
+    are kept, so what leaves a batch is bounded; the k best of those are looked up in ``vectors``.
+    """
+    q = np.asarray(query, np.float64)
+    q = q / max(np.linalg.norm(q), 1e-300)
+    kind = dict(vectors.dtypes)[key]
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = _matrix(batch.column(1), len(q))
+            s = v @ q / np.maximum(np.linalg.norm(v, axis=1), 1e-300)
+            order = np.lexsort((np.asarray(batch.column(0).to_pylist()), -s.round(9)))[:k]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order)), pa.array(s[order])], [key, "score"])
+
+    top = vectors.select(key, embedding).where(F.col(embedding).isNotNull()).mapInArrow(best, f"{key} {kind}, score double")
+    top = top.orderBy(F.desc(F.round("score", 9)), key).limit(k)
+    return vectors.join(F.broadcast(top), key).orderBy(F.desc(F.round("score", 9)), key)  # k rows
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A batch's vectors, which all have ``width`` numbers, as rows of a matrix."""
+    return np.asarray(column.flatten(), np.float64).reshape(-1, width)
 
 
 def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
@@ -35,7 +64,7 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     times k; a block's result is checkpointed before the next one is read.
     """
     from docloom.operators.fusion import top_of_each
-    from docloom.operators.graph import checkpointed
+    from docloom.operators.ordering import checkpointed
 
     blocks = max(1, -(-queries.count() // block))
     numbered = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
@@ -53,7 +82,7 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
                 ids = np.array(batch.column(0).to_pylist())
                 if not len(ids):
                     continue
-                v = np.array(batch.column(1).to_pylist(), np.float64)
+                v = _matrix(batch.column(1), q.shape[1])
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = v @ q.T
                 for j, name in enumerate(names):
@@ -70,16 +99,35 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     return out
 
 
+#: Grams whose places a worker keeps; beyond it they are computed anew. Bounds memory, not results.
+MEMO_GRAMS = 200_000
+_places: dict[tuple[str, int], tuple[int, int]] = {}
+
+
+def _place(gram: str, dimension: int) -> tuple[int, int]:
+    found = _places.get((gram, dimension))
+    if found is None:
+        h = hashlib.md5(gram.encode()).digest()
+        found = int.from_bytes(h[:4], "little") % dimension, int.from_bytes(h[4:8], "little") % dimension
+        if len(_places) >= MEMO_GRAMS:
+            _places.clear()
+        _places[gram, dimension] = found
+    return found
+
+
 def hash_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
-    """Character 2-, 3- and 4-grams add 1 and take 0.5, words add 2, each at a place given by MD5; unit length."""
+    """Character 2-, 3- and 4-grams add 1 and take 0.5, words add 2, each at a place given by MD5; unit length.
+
+    Different grams are counted first, so each is hashed once in a text, and a worker keeps the places of common ones.
+    """
     v = np.zeros(dimension)
     for n in (2, 3, 4):
-        for i in range(max(1, len(text) - n + 1)):
-            h = hashlib.md5(text[i : i + n].encode()).digest()
-            v[int.from_bytes(h[:4], "little") % dimension] += 1.0
-            v[int.from_bytes(h[4:8], "little") % dimension] -= 0.5
-    for word in text.split():
-        v[int.from_bytes(hashlib.md5(word.lower().encode()).digest()[:4], "little") % dimension] += 2.0
+        grams = Counter(text[i : i + n] for i in range(max(1, len(text) - n + 1)))
+        places = np.array([_place(g, dimension) for g in grams]).reshape(-1, 2)
+        times = np.fromiter(grams.values(), float, len(grams))
+        v += np.bincount(places[:, 0], times, dimension) - 0.5 * np.bincount(places[:, 1], times, dimension)
+    for word, n in Counter(text.lower().split() if text.isascii() else [w.lower() for w in text.split()]).items():
+        v[_place(word, dimension)[0]] += 2.0 * n
     norm = np.linalg.norm(v)
     return v / norm if norm else v
 
@@ -96,9 +144,10 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dimension: int = DIMENS
     return docs.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
-def append_vectors(index: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The index with new rows, which replace those of the same key."""
-    return index.join(new.select(key), key, "left_anti").unionByName(new)
+def append_vectors(index: DataFrame, new: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
+    """The index with new rows, scaled to length 1, which replace those of the same key."""
+    new = new.withColumn(embedding, unit(F.col(embedding)).cast(index.schema[embedding].dataType))
+    return index.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
 def without_documents(index: DataFrame, gone: DataFrame, doc: str = "doc_id") -> DataFrame:

@@ -39,12 +39,16 @@ def sparse_types(entities: DataFrame, kind: str, least: int = 3) -> DataFrame:
 
 
 def search(entities: DataFrame, catalog: DataFrame, query: str, limit: int) -> DataFrame:
-    """(kind, id, title): entities by name, alias or attribute value, then catalog nodes by title or description."""
+    """(kind, id, title, total): entities by name, alias or attribute value, then catalog nodes by title or description, ten
+    levels deep at most where they have a ``depth``; total counts all hits. A query of one character finds nothing."""
     q = query.lower()
     hit = F.lower("name").contains(q) | F.exists("aliases", lambda a: F.lower(a).contains(q)) | F.exists(F.map_values("attributes"), lambda v: F.lower(v).contains(q))
+    if "depth" in catalog.columns:
+        catalog = catalog.where("depth <= 10")
     a = entities.where(hit).select(F.lit("entity").alias("kind"), F.col("id").cast("string").alias("id"), F.col("name").alias("title"))
     b = catalog.where(F.lower("title").contains(q) | F.lower(F.coalesce("description", F.lit(""))).contains(q)).select(F.lit("catalog").alias("kind"), F.col("id").cast("string").alias("id"), "title")
-    return a.unionByName(b).orderBy(F.desc("kind"), "id").limit(limit if len(query) >= 2 else 0)
+    both = a.unionByName(b).where(F.lit(len(query) >= 2))
+    return both.orderBy(F.desc("kind"), "id").limit(limit).join(F.broadcast(both.agg(F.count("*").alias("total"))))  # one row
 
 
 def front_matter(text: Column) -> Column:
@@ -67,6 +71,29 @@ def entity_pages(entities: DataFrame, relations: DataFrame, events: DataFrame, m
     return d.select("name", F.concat(F.lit("# "), "name", F.lit("\n**Type:** "), "type", F.lit("\n## Relations\n"), F.coalesce("relations", none), F.lit("\n## Timeline\n"), F.coalesce("events", none)).alias("content"))
 
 
+def catalog_entities(catalog: DataFrame, entities: DataFrame) -> DataFrame:
+    """(node, entity): catalog nodes (id, title) and the entities (id, name, aliases) of that name or alias."""
+    names = entities.select(F.col("id").alias("entity"), F.explode(F.array_union(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("n")).distinct()
+    return catalog.select(F.col("id").alias("node"), "title").join(names, F.col("title") == F.col("n")).select("node", "entity")
+
+
+def pages_of(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, title, meta, body): pages with their front matter taken off; the title is its ``title``, else the key."""
+    meta = front_matter(F.col(text))
+    body = F.when(F.col(text).startswith("---\n"), F.regexp_replace(text, r"(?s)^---\n.*?\n---\n*", "")).otherwise(F.col(text))
+    return texts.select(F.col(key), F.coalesce(F.try_element_at(meta, F.lit("title")), F.col(key).cast("string")).alias("title"), meta.alias("meta"), body.alias("body"))
+
+
+def health(orphans: DataFrame, sparse: DataFrame, broken_links: DataFrame, lonely: DataFrame) -> DataFrame:
+    """One row: how many of each there are, and the score."""
+    one = F.lit(1).alias("one")
+    out = None
+    for name, rows in (("orphans", orphans), ("sparse", sparse), ("broken", broken_links), ("lonely", lonely)):
+        n = rows.agg(F.count("*").alias(name)).select("*", one)
+        out = n if out is None else out.join(F.broadcast(n), "one")  # one row each
+    return out.select("orphans", "sparse", "broken", "lonely", health_score(F.col("orphans"), F.col("sparse"), F.col("broken"), F.col("lonely")).alias("score"))
+
+
 def slug(title: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(title)), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
 

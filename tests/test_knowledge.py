@@ -58,11 +58,14 @@ def test_greedy_merge_against_a_loop(spark):
     rows = [(kb, i, "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))) for kb in ("k1", None) for i in range(120)]
     # long names first, so that entities are many and hang on one another
     rows += [("k3", i, "".join(rng.choice("abcd") for _ in range(6 - i // 40))) for i in range(200)]
-    d = spark.createDataFrame([(k, i, n, "unknown", [f"c{i}"]) for k, i, n in rows], "kb_id string, seq long, name string, type string, chunks array<string>")
-    got = entities.merge_greedy(d).collect()
+    d = spark.createDataFrame([(k, i, n, "unknown", [f"c{i}"], {}) for k, i, n in rows], "kb_id string, seq long, name string, type string, chunks array<string>, attributes map<string,string>")
+    found, aliases, chunks = entities.merge_greedy(d)
+    found, aliases = found.collect(), aliases.orderBy("seq").collect()
     for kb in ("k1", None, "k3"):
-        assert sorted((r.name, r.mention_count, tuple(r.aliases)) for r in got if r.kb_id == kb) == _folded([(i, n) for k, i, n in rows if k == kb])
-    assert entities.merge_greedy(d.limit(0)).count() == 0
+        own = [(r.name, r.mention_count, tuple(a.alias for a in aliases if (a.kb_id, a.name) == (kb, r.name))) for r in found if r.kb_id == kb]
+        assert sorted(own) == _folded([(i, n) for k, i, n in rows if k == kb])
+        assert all(r.n_aliases == len(a) for r, (*_, a) in zip([r for r in found if r.kb_id == kb], own, strict=True))
+    assert chunks.count() == len(rows) and all(x.count() == 0 for x in entities.merge_greedy(d.limit(0)))
 
 
 def _asked(states, cooldown=5, most=3):

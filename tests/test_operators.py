@@ -1,9 +1,12 @@
 """Operators on small literal tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from docloom.operators import conversation, entities, fusion, graph, tabular, vectors, wiki
-from docloom.sources import files
+from docloom.operators import conversation, entities, fusion, graph, search, tabular, vectors, wiki
+from docloom.operators.ordering import numbered, with_previous
+from docloom.sources import files, layers
 
 
 def test_confidence_and_relevance(spark):
@@ -31,22 +34,94 @@ def test_paths(spark):
 
 
 def test_greedy_merge_is_ordered(spark):
-    rows = [("k", 1, "张伟", "unknown", ["a", "b", "c", "d"]), ("k", 2, "张伟（嫌疑人）", "嫌疑人", ["e"]), ("k", 3, "李四", "人物", ["f"]), ("k", 4, "张伟", "unknown", ["g"])]
-    got = {r.name: r for r in entities.merge_greedy(spark.createDataFrame(rows, "kb_id string, seq long, name string, type string, chunks array<string>")).collect()}
+    rows = [("k", 1, "张伟", "unknown", ["a", "b", "c", "d"], {"x": "1"}), ("k", 2, "张伟（嫌疑人）", "嫌疑人", ["e"], {"x": "2", "y": "3"}), ("k", 3, "李四", "人物", ["f"], None), ("k", 4, "张伟", "unknown", ["g"], {})]
+    d = spark.createDataFrame(rows, "kb_id string, seq long, name string, type string, chunks array<string>, attributes map<string,string>")
+    found, aliases, chunks = entities.merge_greedy(d)
+    got = {r.name: r for r in found.collect()}
     assert set(got) == {"张伟", "李四"}
-    assert got["张伟"].mention_count == 3 and got["张伟"].type == "person" and got["张伟"].aliases == ["张伟（嫌疑人）"]
+    assert got["张伟"].mention_count == 3 and got["张伟"].type == "person" and got["张伟"].attributes == {"x": "1", "y": "3"} and got["李四"].attributes == {}
+    assert [(r.name, r.alias) for r in aliases.collect()] == [("张伟", "张伟（嫌疑人）")]
+    assert [r.chunk for r in chunks.where("name = '张伟'").orderBy("seq", "chunk").collect()] == ["a", "b", "c", "e", "g"]
+
+
+def test_exact_merge(spark):
+    rows = [("k", 1, " Ann", 1, "d1", {"x": "1"}), ("k", 2, "ann", 5, "d2", {"x": "2"}), ("k", 3, "Bo", 2, None, None), (None, 4, "ann", 1, "d1", {})]
+    d = spark.createDataFrame(rows, "kb_id string, seq long, name string, importance int, doc_id string, attributes map<string,string>")
+    got = sorted(map(tuple, entities.merge_exact(d).collect()), key=str)
+    assert got == sorted([("k", "entity_0001", " Ann", 5, 2, 2, 2, {"x": "2"}), ("k", "entity_0002", "Bo", 2, 1, 1, 0, {}), (None, "entity_0001", "ann", 1, 1, 1, 1, {})], key=str)
+    assert entities.merge_exact(d.limit(0)).count() == 0
 
 
 def test_endpoints_and_contradictions(spark):
-    ents = spark.createDataFrame([("e1", "张三", ["小张"]), ("e2", "李四", None)], "entity_id string, name string, aliases array<string>")
-    rel = spark.createDataFrame([("小张", "认识", "李四"), ("无名", "认识", "李四")], "subject string, predicate string, object string")
-    got = {r.subject: r.subject_id for r in entities.endpoint_ids(rel, ents).collect()}
-    assert got == {"小张": "e1", "无名": None}
+    ents = spark.createDataFrame([(1, "entity_9999", "张三", ["小张"]), (2, "e2", "李四", None), (3, "entity_10000", "张三", None)], "seq int, entity_id string, name string, aliases array<string>")
+    rel = spark.createDataFrame([("小张", "认识", "李四"), ("无名", "认识", "张三")], "subject string, predicate string, object string")
+    got = {r.subject: (r.subject_id, r.object_id) for r in entities.endpoint_ids(rel, ents).collect()}
+    assert got == {"小张": ("entity_9999", "e2"), "无名": (None, "entity_10000")}
     m = spark.createDataFrame([("a", {"age": "30"}), ("a", {"age": " 31"}), ("a", {"hobby": "x"}), ("b", {"age": "1"})], "name string, attributes map<string,string>")
     rows = entities.contradictions(m).collect()
     assert [(r.name, r.attribute, r.n_values, r.confidence) for r in rows] == [("a", "age", 2, 0.7)]
 
 
+def test_numbers_and_previous_rows(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice(["a", None, "b"]), rng.randrange(50), i) for i in range(400)]
+    d = numbered(spark.createDataFrame(rows, "g string, o int, i long").repartition(5), ["g"], ["o", "i"])
+    got = {r.i: r for r in with_previous(d, ["g"], "n", ["i"], 2).collect()}
+    for g in ("a", None, "b"):
+        own = [i for _, i in sorted((o, i) for x, o, i in rows if x == g)]
+        assert [got[i].n for i in own] == list(range(1, len(own) + 1))
+        assert [(got[i].i_1, got[i].i_2) for i in own] == [(own[k - 1] if k else None, own[k - 2] if k > 1 else None) for k in range(len(own))]
+    assert numbered(d.drop("n").limit(0), ["g"], ["o"]).count() == 0
+
+
+def test_pairs_of_a_large_record(spark):
+    rows = [(1, i) for i in range(300)] * 2 + [(2, 1), (2, 2), (None, 5), (None, 6), (3, None)]
+    got = graph.paired(spark.createDataFrame(rows, "r long, i long"), "r", "i").collect()
+    assert sorted(map(tuple, got)) == sorted([(1, a, b) for a in range(300) for b in range(a + 1, 300)] + [(2, 1, 2)])
+
+
+def test_claims_without_terms(spark):
+    d = spark.createDataFrame([(1, "abcd efgh"), (2, "abcd"), (2, "abcd")], "k long, t string")
+    assert conversation.claim_check("a b", d, "k", "t").count() == 0
+    assert sorted(map(tuple, conversation.claim_check("abcd zzzz", d, "k", "t").collect())) == [("abcd", 2, True), ("zzzz", 0, False)]
+
+
+def test_tree_of_any_depth(spark):
+    rows = [(str(i), str(i - 1) if i else None, f"t{i}") for i in range(25)] + [("x", "y", "loop"), ("y", "x", "loop")]
+    got = {r.id: r.depth for r in graph.tree(spark.createDataFrame(rows, "id string, parent_id string, title string"), F.col("parent_id").isNull()).collect()}
+    assert got == {str(i): i for i in range(25)}
+
+
+def test_index_is_idempotent(spark, tmp_path):
+    rows = [(i, f"w{i % 7} common w{i % 3} text") for i in range(60)] + [(3, "w3 common again"), (99, None)]
+    d = spark.createDataFrame(rows[:60], "doc_id long, text string")
+    for again in (d, d.union(d)):
+        search.write_index(again, str(tmp_path / "i"))
+        got = [(r.doc_id, round(r["rank"], 9)) for r in search.bm25_of_index(spark, str(tmp_path / "i"), "W1 common", 20).collect()]
+        assert got == [(r.doc_id, round(r["rank"], 9)) for r in search.bm25(d, "W1 common", 20).collect()] and len(got) > 10
+    assert search.bm25(d, "...", 5).count() == 0 and search.bm25_of_index(spark, str(tmp_path / "i"), "nowhere", 5).count() == 0
+
+
+def test_layers(spark, tmp_path):
+    rows = [("k1", "d1", "c1", 3, "a\n---\nb"), ("k2", "d2", "c2", 1, "x"), ("k1", "d1", "c1", 3, "a\n---\nb")]
+    chunks = spark.createDataFrame(rows, "kb_id string, doc_id string, chunk_id string, token_count long, content string")
+    for _ in range(2):
+        layers.save_chunks(chunks, str(tmp_path))
+    layers.save_chunks(chunks.where("kb_id = 'k2'").withColumn("content", F.lit("new")), str(tmp_path))  # leaves the other alone
+    assert sorted((r.chunk_id, r.content) for r in layers.load_chunks(spark, str(tmp_path)).collect()) == [("c1", "a\n---\nb"), ("c2", "new")]
+    layers.save_layer(chunks.select("kb_id", "content"), str(tmp_path), "l1")
+    assert layers.load_layer(spark, str(tmp_path), "l1", "content string, kb_id string").count() == 3
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t/a.md").write_text("# hi\nthere")
+    assert [r.text for r in layers.read_texts(spark, str(tmp_path / "t")).collect()] == ["# hi\nthere"]
+
+
+def test_sheet_table(spark):
+    rows = [(1, 0, ["", " "]), (1, 1, ["n", "x y", "x-y"]), (1, 2, ["1", "a"]), (1, 3, ["2", "", "2.5", "more"])]
+    d = tabular.sheet_table(spark.createDataFrame(rows, "k long, line_no int, cells array<string>"), "k")
+    assert d.dtypes == [("k", "bigint"), ("n", "bigint"), ("x_y", "string"), ("x_y_1", "double")] and sorted(map(tuple, d.collect())) == [(1, 1, "a", None), (1, 2, None, 2.5)]
+
+
 def test_profile(spark):
     rows = [("1", "1.5", "2024-01-01", "x", None), ("0", "2", "2024-02-01", "y", " ")] * 6
     got = {r["column"]: r for r in tabular.profile(spark.createDataFrame(rows, "b string, f string, d string, s string, e string"), list("bfdse")).collect()}

@@ -1,5 +1,9 @@
 """Text functions on literal cases, CJK among them."""
 
+import random
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
@@ -70,7 +74,7 @@ def test_names(spark):
 def test_complexity_and_ngrams(spark):
     for q, want in {"统计金额": "complex", "他们的关系": "medium", "他是谁": "simple", "你好": "medium"}.items():
         assert one(spark, T.question_complexity(F.col("t")), t=q) == want
-    assert one(spark, T.ngram_words(F.col("t")), t="合同诈骗案件 x ab") == ["合同诈骗", "合同诈", "骗案件", "合同", "诈骗", "案件", "ab"]
+    assert one(spark, T.ngram_words(F.col("t")), t="合同和诈骗的案件 x ab 什么") == ["合同诈骗", "合同诈", "骗案件", "合同", "诈骗", "案件", "ab"]
 
 
 def test_wikilinks_and_budget(spark):
@@ -82,6 +86,8 @@ def test_wikilinks_and_budget(spark):
 def test_event_title(spark):
     assert one(spark, timeline.event_title(F.col("t")), t="后来公安局决定立案侦查，其他") == "后来公安局决定立案侦查"
     assert one(spark, timeline.event_title(F.col("t")), t="") == "未知事件"
+    assert one(spark, timeline.event_title(F.col("t")), t="**Is Overlap:** False\n---\n后来公安局决定立案侦查，其他") == "后来公安局决定立案侦查"
+    assert one(spark, timeline.event_title(F.col("t")), t="plain words " * 8) == "plain words plain words plain words plain words..."
 
 
 def test_chunks():
@@ -96,6 +102,52 @@ def test_chunks():
     assert joined[:2] == chunking.measure("ab cd e")[:2]
 
 
+def test_chunk_table(spark):
+    def plain_chunks(text):
+        own = chunking.segments(text or "", 20, 60, "\n")
+        out = []
+        for i, s in enumerate(own):
+            before = own[i - 1] if i else ""
+            if i and chunking.estimate(before) > 8:
+                w = before.split()
+                k = max(1, int(len(w) * 8 / chunking.estimate(before)))
+                s = " ".join(w[-k:]) + "\n\n" + s
+            out.append(s)
+        return out
+
+    rng = random.Random(4)
+    text = lambda n: "\n".join(" ".join(rng.choice(["stone", "river.", "tree!", "合同。"]) for _ in range(rng.randrange(1, 40))) for _ in range(n))
+    rows = [(1, text(9)), (1, text(7)), (2, None), (3, ""), (4, text(3000)), (5, "word " * 5000), (None, text(4))]
+    rows += [rows[0]]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunking.chunk(d, least=20, most=60, overlap=8, paragraph="\n").collect()
+    want = Counter((k, i, c) for k, t in rows for i, c in enumerate(plain_chunks(t), 1))
+    assert Counter((r.doc_id, r.chunk_no, r.content) for r in got) == want and len({r.doc_id for r in got}) == 4
+    assert all(r.is_overlap == ("\n\n" in r.content) for r in got)
+    assert chunking.chunk(d.limit(0)).count() == 0
+
+
+def test_question_names(spark):
+    before = re.compile("[一-鿿]{2,4}(?=的|在|与|和|对|向|被|把|从|到|给)")
+    stop = set(T.QUESTION_STOPWORDS)
+
+    def plain(q):
+        out = {m for m in before.findall(q) if m not in stop}
+        for c in T.CONJUNCTIONS:
+            if c in q:
+                heads = [re.match("[一-鿿]{2,4}", p.strip()) for p in q.split(c)]
+                out |= {m[0] for m in heads if m and m[0] not in stop | set(T.CONJUNCT_STOPWORDS)}
+        out |= set(re.findall("[「\"'《【](.{2,10})[」\"'》】]", q))
+        about = re.search("(?:关于|涉及|有关)(.{2,10}?)(?:的|问题|事情|案件|事件)", q)
+        return sorted(out | ({about[1]} if about else set()))
+
+    questions = ["张伟和李娜之间是什么关系", "为什么的动机", "关于合同诈骗案件", "《某某案》在哪", "Anna 与 Bo", "", "张伟、李娜及王芳", "案件和证据"]
+    for q in questions:
+        assert one(spark, T.question_names(F.col("t")), t=q) == plain(q), q
+    d = spark.createDataFrame([("q", ["a", "b", "c", "d"])], "q string, n array<string>").select(T.sub_queries(F.col("q"), F.col("n"), F.lit("comparative"), F.lit("complex")).alias("s")).first().s
+    assert [(x.query, x.layer, x.search, x.priority) for x in d] == [("q", "L1", "hybrid", 1), ("a", "L0", "graph", 2), ("b", "L0", "graph", 2), ("c", "L0", "graph", 2), ("a b 关系", "L1", "hybrid", 2), ("a 矛盾 不一致", "L1", "keyword", 3)]
+
+
 def test_overlap(spark):
     assert one(spark, chunking.overlap_length(F.col("a"), F.col("b")), a="xx 0123456789", b="0123456789 yy") == 10
     assert one(spark, chunking.overlap_length(F.col("a"), F.col("b")), a="abc", b="abc") == 0
@@ -109,3 +161,4 @@ def test_questions_and_headings(spark):
     assert one(spark, T.heading(F.col("t")), t="chapter 3") == "chapter 3" and one(spark, T.heading(F.col("t")), t="no") is None
     assert one(spark, T.json_object(F.col("t")), t='so: ```json\n{"a": 1}\n``` ok') == '{"a": 1}'
     assert one(spark, T.json_object(F.col("t")), t='x {"a": {"b": 1}} y') == '{"a": {"b": 1}}' and one(spark, T.json_object(F.col("t")), t="none") is None
+    assert one(spark, T.json_object(F.col("t")), t='{"a": "}"} and {"b": 2}') == '{"a": "}"}' and one(spark, T.json_object(F.col("t")), t='{"a": 1') is None
