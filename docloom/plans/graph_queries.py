@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.functions import text as T
 from docloom.operators import entities, graph, timeline, wiki
 from docloom.sources.tables import table
 
@@ -70,10 +69,13 @@ def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {CHAIN}, deg AS (SELECT src AS via, count(*) AS d FROM both_ways GROUP BY src HAVING count(*) > 1),
 cm AS (SELECT a.dst AS src, b.dst AS dst, sum(1 / ln(d)) AS aa FROM both_ways a JOIN both_ways b ON a.src = b.src AND a.dst < b.dst JOIN deg ON deg.via = a.src GROUP BY ALL),
 dr AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(count(*) AS DOUBLE) AS w FROM chain WHERE src <> dst GROUP BY ALL)
-SELECT src, dst, round(coalesce(aa, 0), 6) AS adamic_adar, round(CAST(least(1.0, greatest(coalesce(least(0.3 + 0.1 * w, 0.8), 0.0), coalesce(least(aa / 5, 0.6), 0.0))) AS DOUBLE), 6) AS affinity FROM dr FULL JOIN cm USING (src, dst)""")
+,m AS (SELECT DISTINCT user_id AS name, strftime(ts, '%Y-%m-%d') AS doc FROM events WHERE event_type = 'error'), z AS (SELECT name, count(*) AS n FROM m GROUP BY name),
+sh AS (SELECT x.name AS src, y.name AS dst, count(*) / least(any_value(a.n), any_value(b.n)) AS shared FROM m x JOIN m y ON x.doc = y.doc AND x.name < y.name JOIN z a ON a.name = x.name JOIN z b ON b.name = y.name GROUP BY ALL)
+SELECT src, dst, round(coalesce(aa, 0), 6) AS adamic_adar, round(coalesce(shared, 0), 6) AS shared, round(CAST(least(1.0, greatest(coalesce(least(0.3 + 0.1 * w, 0.8), 0.0), coalesce(least(aa / 5, 0.6), 0.0), 0.7 * coalesce(shared, 0))) AS DOUBLE), 6) AS affinity FROM dr FULL JOIN cm USING (src, dst) FULL JOIN sh USING (src, dst)""")
 def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = graph.affinity(_chain(spark, sf_dir).withColumn("weight", F.lit(1.0)))
-    return d.select("src", "dst", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("affinity", 6).alias("affinity"))
+    days = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("doc"))
+    d = graph.affinity(_chain(spark, sf_dir).withColumn("weight", F.lit(1.0)), days)
+    return d.select("src", "dst", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("shared", 6).alias("shared"), F.round("affinity", 6).alias("affinity"))
 
 
 @register("SELECT 'R' || r_regionkey AS id, NULL AS parent_id, r_name AS title, 0 AS depth, r_name AS path, false AS is_leaf FROM region UNION ALL SELECT 'N' || n_nationkey, 'R' || n_regionkey, n_name, 1, r_name || '/' || n_name, true FROM nation JOIN region ON n_regionkey = r_regionkey")
@@ -91,25 +93,42 @@ def concept_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.ranked_concepts(o.groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("mentions")), o.select(F.col("o_orderpriority").alias("src"), F.col("o_orderstatus").alias("dst")))
 
 
+MENTION_TYPE = "CASE doc_id % 4 WHEN 0 THEN 'unknown' WHEN 1 THEN '人物' WHEN 2 THEN 'org' ELSE 'Gadget' END"
+
+
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first word of each line of a document, as a mention."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line", "t"))
     name = F.regexp_extract("t", r"^([A-Za-z]+)", 1)
-    return d.select("doc_id", "line", F.col("source").alias("kb_id"), name.alias("name"), F.concat("doc_id", F.lit("_chunk_"), "line").alias("chunk_id"), F.length("t").alias("importance")).where("name != ''")
+    d = d.select("doc_id", "line", F.col("source").alias("kb_id"), name.alias("name"), F.concat("doc_id", F.lit("_chunk_"), "line").alias("chunk_id"), F.length("t").alias("importance")).where("name != ''")
+    kind = F.expr(MENTION_TYPE)
+    return d.select("*", (F.col("doc_id") * 100_000 + F.col("line")).alias("seq"), kind.alias("type"), F.create_map(F.concat(F.lit("a"), (F.col("doc_id") % 3).cast("string")), F.col("line").cast("string")).alias("attributes"))
 
 
 MENTIONS = "m AS (SELECT doc_id, source AS kb_id, line, regexp_extract(t, '^([A-Za-z]+)', 1) AS name, length(t) AS importance FROM (SELECT doc_id, source, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line, unnest(string_split(text, chr(10))) AS t FROM documents) WHERE regexp_extract(t, '^([A-Za-z]+)', 1) <> '')"
 
 
-@register(f"WITH {MENTIONS}, g AS (SELECT kb_id, lower(name) AS k, min(name) AS name, max(importance) AS importance, count(*) AS n_mentions, count(DISTINCT name) AS aliases, count(DISTINCT doc_id) AS docs FROM m GROUP BY ALL) SELECT kb_id, printf('entity_%04d', row_number() OVER (PARTITION BY kb_id ORDER BY k)) AS entity_id, name, CAST(importance AS INT) AS importance, n_mentions, CAST(aliases AS INT) AS aliases, CAST(docs AS INT) AS docs FROM g")
+@register(f"""WITH {MENTIONS}, g AS (SELECT kb_id, lower(name) AS k, min(name) AS name, max(importance) AS importance, count(*) AS n_mentions, count(DISTINCT name) AS n_aliases, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY ALL),
+t AS (SELECT kb_id, lower(name) AS k, 'a' || doc_id % 3 AS a, CAST(arg_max(line, doc_id * 100000 + line) AS VARCHAR) AS v FROM m GROUP BY ALL), ts AS (SELECT kb_id, k, string_agg(a || '=' || v, ',' ORDER BY a) AS attributes FROM t GROUP BY ALL)
+SELECT kb_id, printf('entity_%04d', row_number() OVER (PARTITION BY kb_id ORDER BY k)) AS entity_id, name, CAST(importance AS INT) AS importance, n_mentions, n_aliases, n_docs, attributes FROM g JOIN ts USING (kb_id, k)""")
 def entity_merge_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.merge_exact(_mentions(spark, sf_dir)).withColumn("aliases", F.size("aliases")).withColumn("docs", F.size("docs"))
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return entities.merge_exact(_mentions(spark, sf_dir)).withColumn("attributes", F.array_join(pairs, ","))
+
+
+@register(f"WITH {MENTIONS} SELECT kb_id, lower(name) AS key, count(DISTINCT (name, doc_id)) AS members FROM m GROUP BY ALL")
+def entity_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.exact_members(_mentions(spark, sf_dir)).groupBy("kb_id", "key").agg(F.count("*").alias("members"))
 
 
 @register()
 def entity_merge_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _mentions(spark, sf_dir).select("kb_id", (F.col("doc_id") * 100_000 + F.col("line")).alias("seq"), "name", F.lit("unknown").alias("type"), F.array("chunk_id").alias("chunks"))
-    return entities.merge_greedy(m)
+    m = _mentions(spark, sf_dir).select("kb_id", "seq", "name", "type", F.array("chunk_id").alias("chunks"), "attributes")
+    found, aliases, chunks = entities.merge_greedy(m)
+    aliases = aliases.groupBy("kb_id", "name").agg(F.count("*").alias("aliases"))
+    chunks = chunks.groupBy("kb_id", "name").agg(F.count("*").alias("chunks"))
+    pairs = F.transform(F.array_sort(F.map_entries("attributes")), lambda x: F.concat(x["key"], F.lit("="), x["value"]))
+    return found.join(aliases, ["kb_id", "name"], "left").join(chunks, ["kb_id", "name"]).select("kb_id", "name", "type", "n_aliases", "mention_count", "chunks", F.array_join(pairs, ",").alias("attributes"))
 
 
 @register(f"WITH {MENTIONS} SELECT name, count(DISTINCT doc_id) AS document_count FROM m GROUP BY name HAVING count(DISTINCT doc_id) > 1")
@@ -124,17 +143,18 @@ def contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.contradictions(d).select("name", "attribute", "n_values", "confidence")
 
 
-@register("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem)")
+@register("SELECT p_partkey AS name FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity < 3)")
 def isolated_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject"), (-F.col("l_suppkey") - 1).alias("object"))
+    r = table(spark, sf_dir, "lineitem").where("l_quantity < 3").select(F.col("l_partkey").alias("subject"), (-F.col("l_suppkey") - 1).alias("object"))
     return entities.isolated(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name")), r)
 
 
 @register("""WITH e AS (SELECT p_partkey AS name, p_size / 50.0 AS confidence FROM part), r AS (SELECT DISTINCT l_partkey FROM lineitem)
-SELECT (SELECT count(*) FROM e) AS entities, (SELECT CAST(round(avg(confidence), 6) AS DOUBLE) FROM e) AS avg_confidence, (SELECT count(*) FROM lineitem) AS relations, (SELECT count(*) FROM e WHERE name NOT IN (SELECT l_partkey FROM r)) AS isolated, true AS passed""")
+SELECT (SELECT count(*) FROM e) AS entities, (SELECT CAST(round(avg(confidence), 6) AS DOUBLE) FROM e) AS avg_confidence, (SELECT count(*) FROM lineitem) AS relations, (SELECT count(*) FROM e WHERE name NOT IN (SELECT l_partkey FROM r)) AS isolated, (SELECT count(*) FROM orders WHERE o_orderpriority = '1-URGENT') AS high_severity, true AS passed""")
 def extraction_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    severe = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderpriority") == "1-URGENT", "high").otherwise("low").alias("severity"))
     r = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("subject"), (-F.col("l_suppkey") - 1).alias("object"))
-    return entities.extraction_gate(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_size") / 50.0).alias("confidence")), r)
+    return entities.extraction_gate(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("name"), (F.col("p_size") / 50.0).alias("confidence")), r, severe)
 
 
 @register("SELECT count(*) FILTER (l_discount * 10 >= 0.8) AS high, count(*) FILTER (l_discount * 10 >= 0.5 AND l_discount * 10 < 0.8) AS medium, count(*) FILTER (l_discount * 10 < 0.5) AS low FROM lineitem")
@@ -142,6 +162,11 @@ def surprise_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entities.surprise_counts(table(spark, sf_dir, "lineitem").select((F.col("l_discount") * 10).alias("score")))
 
 
+@register("SELECT l_returnflag AS kind, count(*) FILTER (l_discount * 10 >= 0.8) AS high, count(*) FILTER (l_discount * 10 >= 0.5 AND l_discount * 10 < 0.8) AS medium, count(*) FILTER (l_discount * 10 < 0.5) AS low FROM lineitem GROUP BY 1")
+def surprise_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return entities.surprise_counts(table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("kind"), (F.col("l_discount") * 10).alias("score")), by_type=True)
+
+
 @register("SELECT event_id, user_id FROM events WHERE strftime(ts, '%Y-%m-%d') >= '2024-01-05' AND strftime(ts, '%Y-%m-%d') <= '2024-01-1' AND event_type IN ('click', 'purchase')")
 def timeline_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd").alias("date"), F.array("event_type").alias("people"))
@@ -153,19 +178,6 @@ def timeline_best_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.best_per_date(table(spark, sf_dir, "events").select("event_id", "props", F.date_format("ts", "yyyy-MM-dd").alias("date")), "date", "props", "event_id").select("date", "event_id")
 
 
-@register("""WITH e AS (SELECT user_id, event_id, CASE WHEN event_type = 'click' THEN strftime(ts, '%Y-%m-%d') END AS date, event_type FROM events),
-l AS (SELECT *, lag(date, 1) OVER w AS a, lag(date, 2) OVER w AS b, lag(date, 3) OVER w AS c FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
-SELECT user_id, event_id, coalesce(date, strftime(CAST(coalesce(a, b, c) AS DATE) + 3, '%Y-%m-%d')) AS resolved FROM l""")
-def relative_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.when(F.col("event_type") == "click", F.date_format("ts", "yyyy-MM-dd")).alias("date"), F.lit("3天后").alias("text"))
-    return timeline.resolve_relative(e, "user_id", "event_id", "date", "text").select("user_id", "event_id", "resolved")
-
-
-@register("SELECT user_id, event_id FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE ts < p")
-def out_of_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.out_of_order(table(spark, sf_dir, "events"), "user_id", "event_id", "ts").select("user_id", "event_id")
-
-
 LINKS = """links AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS target FROM pages)"""
 PATHS = "paths AS (SELECT page_id, '/' || regexp_extract(url, '([^/?#.]+)(?:\\.html|/|\\?.*|#.*)?$', 1) AS path FROM pages)"
 
@@ -184,47 +196,48 @@ def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.broken(wiki.html_links(table(spark, sf_dir, "pages"), "page_id", "html"), _paths(spark, sf_dir), "target", "path").select("page_id", "target")
 
 
-@register(f"WITH {LINKS}, {PATHS} SELECT path FROM paths WHERE path NOT IN (SELECT target FROM links) AND page_id NOT IN (SELECT page_id FROM links)")
+# Parts as pages: a part links to the one its supplier's number points to, if it is cheap; a target may be missing.
+PART_LINKS = "plinks AS (SELECT CAST(ps.p_partkey AS VARCHAR) AS source, CAST(ps.p_partkey * 7 % 400 AS VARCHAR) AS target FROM part ps WHERE p_size < 15), ppages AS (SELECT CAST(p_partkey AS VARCHAR) AS page FROM part)"
+
+
+def _part_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = table(spark, sf_dir, "part")
+    text = F.when(F.col("p_size") < 15, F.concat(F.lit("see\n[["), (F.col("p_partkey") * 7 % 400).cast("string"), F.lit("|it]]"))).otherwise("no link")
+    pages = p.select(F.col("p_partkey").cast("string").alias("page"), text.alias("text"))
+    return pages.select("page"), wiki.page_links(pages, "page", "text").withColumnRenamed("page", "source")
+
+
+@register(f"WITH {PART_LINKS} SELECT page FROM ppages WHERE page NOT IN (SELECT source FROM plinks) AND page NOT IN (SELECT target FROM plinks)")
 def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paths(spark, sf_dir)
-    links = wiki.html_links(table(spark, sf_dir, "pages"), "page_id", "html").join(p, "page_id").select(F.col("path").alias("source"), "target")
-    return wiki.orphans(p, links, "path", "source", "target")
+    pages, links = _part_links(spark, sf_dir)
+    return wiki.orphans(pages, links, "page", "source", "target")
 
 
-@register("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) < 500")
+@register("SELECT p_size, count(*) AS n FROM part WHERE p_partkey <= 100 GROUP BY 1 HAVING count(*) < 3")
 def sparse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wiki.sparse_types(table(spark, sf_dir, "orders"), "o_orderstatus", 500)
+    return wiki.sparse_types(table(spark, sf_dir, "part").where("p_partkey <= 100"), "p_size")
 
 
-@register(f"""WITH {LINKS}, {PATHS}, o AS (SELECT count(*) AS n FROM paths WHERE path NOT IN (SELECT target FROM links) AND page_id NOT IN (SELECT page_id FROM links)), b AS (SELECT count(DISTINCT target) AS n FROM links WHERE target NOT IN (SELECT path FROM paths))
-SELECT o.n AS orphans, b.n AS broken, CAST(round(greatest(0.0, 1 - 0.05 * o.n - 0.08 * b.n), 4) AS DOUBLE) AS score FROM o, b""")
+@register(f"""WITH {PART_LINKS}, o AS (SELECT count(*) AS n FROM ppages WHERE page NOT IN (SELECT source FROM plinks) AND page NOT IN (SELECT target FROM plinks) AND CAST(page AS INT) % 50 = 0),
+b AS (SELECT count(*) AS n FROM plinks WHERE target NOT IN (SELECT page FROM ppages) AND CAST(target AS INT) % 67 = 0), t AS (SELECT count(*) AS n FROM (SELECT p_brand FROM part WHERE p_partkey <= 60 GROUP BY 1 HAVING count(*) < 3)), l AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity < 2))
+SELECT o.n AS orphans, t.n AS sparse, b.n AS broken, l.n AS lonely, CAST(round(greatest(0.0, 1 - 0.05 * o.n - 0.03 * t.n - 0.08 * b.n - 0.02 * l.n), 4) AS DOUBLE) AS score FROM o, b, t, l""")
 def wiki_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    one = F.lit(1).alias("one")
-    o = orphan_pages(spark, sf_dir).agg(F.count("*").alias("orphans")).select("*", one)
-    b = broken_links(spark, sf_dir).agg(F.countDistinct("target").alias("broken")).select("*", one)
-    return o.join(b, "one").select("orphans", "broken", wiki.health_score(F.col("orphans"), F.lit(0), F.col("broken"), F.lit(0)).alias("score"))
+    pages, links = _part_links(spark, sf_dir)
+    lonely = entities.isolated(table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("name")), table(spark, sf_dir, "lineitem").where("l_quantity < 2").select(F.col("l_suppkey").alias("subject"), F.lit(-1).cast("long").alias("object")))
+    orphans = wiki.orphans(pages, links, "page", "source", "target").where("CAST(page AS INT) % 50 = 0")
+    gone = wiki.broken(links, pages, "target", "page").where("CAST(target AS INT) % 67 = 0")
+    return wiki.health(orphans, wiki.sparse_types(table(spark, sf_dir, "part").where("p_partkey <= 60"), "p_brand"), gone, lonely)
 
 
-@register("SELECT page_id, regexp_extract(url, '://([^/]*)', 1) AS target FROM pages")
+@register("SELECT page_id, 2 AS line_no, regexp_extract(url, '://([^/]*)', 1) AS target, CASE WHEN page_id % 2 = 0 THEN 'shown ' || page_id ELSE regexp_extract(url, '://([^/]*)', 1) END AS display FROM pages")
 def wikilinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.concat(F.lit("see [["), F.regexp_extract("url", "://([^/]*)", 1), F.lit("|this]] and no more"))
-    return wiki.page_links(table(spark, sf_dir, "pages").select("page_id", t.alias("t")), "page_id", "t").select("page_id", "target")
+    shown = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("|shown "), F.col("page_id").cast("string"))).otherwise("")
+    t = F.concat(F.lit("first\nsee [["), F.regexp_extract("url", "://([^/]*)", 1), shown, F.lit("]] and [no] more"))
+    return wiki.page_links(table(spark, sf_dir, "pages").select("page_id", t.alias("t")), "page_id", "t").select("page_id", "line_no", "target", "display")
 
 
-@register("SELECT kind, id, title FROM (SELECT 'entity' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS title FROM customer WHERE contains(lower(c_name), '12') OR contains(lower(c_mktsegment), '12') UNION ALL SELECT 'catalog', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), '12')) ORDER BY kind DESC, id LIMIT 20")
+@register("SELECT kind, id, title, count(*) OVER () AS total FROM (SELECT 'entity' AS kind, CAST(c_custkey AS VARCHAR) AS id, c_name AS title FROM customer WHERE contains(lower(c_name), '12') OR contains(lower(c_mktsegment), '12') UNION ALL SELECT 'catalog', CAST(n_nationkey AS VARCHAR), n_name FROM nation WHERE contains(lower(n_name), '12')) ORDER BY kind DESC, id LIMIT 20")
 def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"))
     c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("description"))
     return wiki.search(e, c, "12", 20)
-
-
-@register("SELECT subject, predicate, object, '相关' AS type, CAST(0.5 AS DOUBLE) AS weight FROM (SELECT n_name AS subject, 'in' AS predicate, r_name AS object FROM nation JOIN region ON n_regionkey = r_regionkey)")
-def typed_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    d = n.join(F.broadcast(r), n["n_regionkey"] == r["r_regionkey"]).select(F.col("n_name").alias("subject"), F.lit("in").alias("predicate"), F.col("r_name").alias("object"), F.lit("").alias("summary"))  # five rows
-    return entities.typed_relations(d).select("subject", "predicate", "object", "type", "weight")
-
-
-@register("SELECT lang, '其他' AS doc_type, count(*) AS n FROM documents GROUP BY lang")
-def document_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").groupBy("lang", T.document_type(F.col("text")).alias("doc_type")).agg(F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import assess, entities, fusion, graph, linking, search, vectors, wiki
 from docloom.plans.graph_queries import CHAIN, _chain
-from docloom.plans.search_queries import BM25, COSINE
+from docloom.plans.search_queries import BM25, EMBEDDED, embedded_query
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -54,11 +54,11 @@ def verified_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""WITH r AS (SELECT o_custkey AS s, o_orderstatus AS p, l_suppkey AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey), e AS (SELECT s_suppkey AS name FROM supplier WHERE s_acctbal < 0)
-SELECT name, other, predicate, direction FROM (SELECT s AS name, o AS other, p AS predicate, 'out' AS direction FROM r UNION ALL SELECT o, s, p, 'in' FROM r) WHERE name IN (SELECT name FROM e)""")
+SELECT name, other, predicate, direction, CASE WHEN other IN (SELECT name FROM e) THEN 'supplier' END AS other_type FROM (SELECT s AS name, o AS other, p AS predicate, 'out' AS direction FROM r UNION ALL SELECT o, s, p, 'in' FROM r) WHERE name IN (SELECT name FROM e)""")
 def entity_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     r = o.join(li, o["o_orderkey"] == li["l_orderkey"]).select(F.col("o_custkey").alias("subject"), F.col("o_orderstatus").alias("predicate"), F.col("l_suppkey").alias("object"))
-    return entities.relations_of(r, table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("name")))
+    return entities.relations_of(r, table(spark, sf_dir, "supplier").where("s_acctbal < 0").select(F.col("s_suppkey").alias("name"), F.lit("supplier").alias("type")))
 
 
 MENTION_DAYS = "m AS (SELECT DISTINCT user_id AS name, strftime(ts, '%Y-%m-%d') AS doc FROM events)"
@@ -122,7 +122,7 @@ def surprises(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(r"""WITH f AS (SELECT conv_id AS session, role AS task, turn AS seq, regexp_extract(text, '^([^ \n]+)', 1) AS entity, text AS finding FROM conversations),
-g AS (SELECT session, entity, count(DISTINCT task) AS sources, count(DISTINCT finding[:200]) AS findings, min(seq) AS first FROM f GROUP BY ALL),
+g AS (SELECT session, entity, count(DISTINCT task) AS sources, count(DISTINCT finding) AS findings, min(seq) AS first FROM f GROUP BY ALL),
 p AS (SELECT *, max(sources) OVER (PARTITION BY session) AS best, row_number() OVER (PARTITION BY session ORDER BY first, entity) AS place FROM g)
 SELECT session, entity, sources, sources > 1 OR (best <= 1 AND place <= 20) AS kept, findings > 1 AS conflict FROM p""")
 def synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,17 +191,19 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.lookup(p, asked)
 
 
-@register(f"""WITH {BM25}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(rank, 9), doc_id) AS r FROM best),
-v AS (SELECT v.vec_id AS doc_id, {COSINE} AS s, row_number() OVER (ORDER BY round({COSINE}, 9) DESC, v.vec_id) AS r FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q QUALIFY r <= 10),
+@register(f"""WITH {BM25}, {EMBEDDED}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(rank, 9), doc_id) AS r FROM best),
+qv(dim, w) AS (VALUES {embedded_query("The was with")}),
+cs AS (SELECT doc_id, sum(CAST(value AS DOUBLE) * w) / sqrt(any_value(sq)) / (SELECT sqrt(sum(w * w)) FROM qv) AS s FROM (SELECT *, sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) OVER (PARTITION BY doc_id) AS sq FROM emb) JOIN qv USING (dim) GROUP BY doc_id),
+v AS (SELECT doc_id, s, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS r FROM cs QUALIFY r <= 10),
 f AS (SELECT doc_id, sum(1.0 / (60 + r)) AS score FROM (SELECT doc_id, r FROM k UNION ALL SELECT doc_id, r FROM v) GROUP BY doc_id)
 SELECT doc_id, round(CAST(score AS DOUBLE), 9) AS rrf_score, CASE WHEN s > 0.7 THEN 'EXTRACTED' WHEN s > 0.5 OR 1.0 / k.r > 0.6 OR s > 0.3 OR 1.0 / k.r > 0.3 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence
 FROM f LEFT JOIN k USING (doc_id) LEFT JOIN v USING (doc_id) ORDER BY round(score, 12) DESC, doc_id LIMIT 5""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, v = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings")
-    best = search.bm25(search.postings(docs), search.document_lengths(docs), "The was with", 10)
+    docs = table(spark, sf_dir, "documents")
+    best = search.bm25(docs, "The was with", 10)
     keyword = best.select("doc_id", F.row_number().over(Window.orderBy(F.round("rank", 9), "doc_id")).alias("rank"))  # ten rows
-    near = vectors.nearest(v, v.where("vec_id = 7").select("embedding").first()[0], 10)
-    vector = near.select(F.col("vec_id").alias("doc_id"), "score", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "vec_id")).alias("rank"))  # ten rows
+    near = vectors.nearest(vectors.hash_embedding(docs, "doc_id", "text"), vectors.hash_vector("The was with").tolist(), 10, "doc_id")
+    vector = near.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")).alias("rank"))  # ten rows
     return fusion.hybrid(keyword, vector, "doc_id", 5).select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), "confidence")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import chunking, fusion, search, vectors
+from docloom.operators.ordering import numbered
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -37,7 +38,7 @@ best AS (SELECT doc_id, rank FROM scored WHERE terms = 3 ORDER BY round(rank, 9)
 @register(f"WITH {BM25} SELECT doc_id, round(rank, 6) AS rank, d.text[:200] AS snippet, round(1 / (1 + exp(-((rank + 10) / 3.5))), 6) AS relevance FROM best JOIN documents d USING (doc_id)")
 def keyword_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    best = search.bm25(search.postings(docs), search.document_lengths(docs), "The was with", 10)
+    best = search.bm25(docs, "The was with", 10)
     rows = docs.select("doc_id", F.substring("text", 1, 200).alias("snippet")).join(F.broadcast(best), "doc_id")  # ten rows
     return rows.select("doc_id", F.round("rank", 6).alias("rank"), "snippet", F.round(fusion.relevance("L1", F.col("rank")), 6).alias("relevance"))
 
@@ -115,9 +116,30 @@ def row_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.row_batches(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", ["n_nationkey", "n_name"], 3)
 
 
-@register()
+# The hash embedding in SQL: gram and word counts, places by bytes of their MD5 (256 places, so one byte each).
+def _byte(at: int) -> str:
+    return f"((strpos('0123456789abcdef', h[{at}]) - 1) * 16 + strpos('0123456789abcdef', h[{at + 1}]) - 1)"
+
+
+EMBEDDED = f"""texts AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+gr AS (SELECT doc_id, substr(t, i, n) AS g, count(*) AS c FROM (SELECT doc_id, t, n, unnest(range(1, greatest(1, length(t) - n + 1) + 1)) AS i FROM texts, (VALUES (2), (3), (4)) AS ns(n)) GROUP BY ALL),
+wd AS (SELECT doc_id, lower(w) AS w, count(*) AS c FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) AS w FROM texts) GROUP BY ALL),
+hs AS (SELECT doc_id, md5(g) AS h, c, 0 AS k FROM gr UNION ALL SELECT doc_id, md5(w), c, 1 FROM wd),
+vs AS (SELECT doc_id, {_byte(1)} AS dim, CASE WHEN k = 0 THEN 1.0 ELSE 2.0 END * c AS x FROM hs UNION ALL SELECT doc_id, {_byte(9)}, -0.5 * c FROM hs WHERE k = 0),
+ds AS (SELECT doc_id, dim, CAST(sum(x) AS DOUBLE) AS x FROM vs GROUP BY ALL),
+emb AS (SELECT doc_id, dim, CAST(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS FLOAT) AS value FROM ds)"""
+
+
+def embedded_query(text: str) -> str:
+    """The vector of a question as SQL values (place, weight)."""
+    return ", ".join(f"({i}, {float(x)!r}::DOUBLE)" for i, x in enumerate(vectors.hash_vector(text)))
+
+
+@register(f"WITH {EMBEDDED} SELECT doc_id, count(*) FILTER (value <> 0) AS filled, CAST(round(sum(CAST(value AS DOUBLE) * (dim + 1)), 4) AS DOUBLE) AS checksum FROM emb GROUP BY doc_id")
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.hash_embedding(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    v = vectors.hash_embedding(table(spark, sf_dir, "documents"), "doc_id", "text")
+    total = F.aggregate(F.transform("embedding", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return v.select("doc_id", F.size(F.filter("embedding", lambda x: x != 0)).cast("long").alias("filled"), F.round(total, 4).alias("checksum"))
 
 
 COSINE = "list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])) / sqrt(list_dot_product(CAST(v.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])))"
@@ -146,11 +168,19 @@ RANKED = """a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_i
 b AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id) AS rank, quality * 1.0 AS score FROM labels QUALIFY rank <= 20)"""
 
 
-@register(f"WITH {RANKED} SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score FROM (SELECT doc_id, rank FROM a UNION ALL SELECT doc_id, rank FROM b) GROUP BY doc_id")
+@register(f"WITH {RANKED} SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, CASE WHEN bool_or(l = 0) THEN 'documents' ELSE 'labels' END AS won FROM (SELECT doc_id, rank, 0 AS l FROM a UNION ALL SELECT doc_id, rank, 1 FROM b) GROUP BY doc_id")
 def rrf_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _ranked(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 20)
     b = _ranked(table(spark, sf_dir, "labels"), [F.desc("quality"), F.col("doc_id")], 20)
-    return fusion.fuse([a, b], "doc_id").select("doc_id", F.round("rrf_score", 9).alias("rrf_score"))
+    both = fusion.fuse([a.withColumn("won", F.lit("documents")), b.withColumn("won", F.lit("labels"))], "doc_id", item="won")
+    return both.select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), "won")
+
+
+@register(f"WITH {RANKED}, u AS (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) SELECT count(*) AS inputs, count(DISTINCT doc_id) AS merged, 1 - count(DISTINCT doc_id) / count(*) AS overlap_ratio FROM u")
+def rrf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = _ranked(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 20)
+    b = _ranked(table(spark, sf_dir, "labels"), [F.desc("quality"), F.col("doc_id")], 20)
+    return fusion.fusion_metrics([a, b], "doc_id")
 
 
 @register(f"WITH {RANKED}, u AS (SELECT doc_id, rank, score, 3.0 AS w, 'vector' AS s FROM a UNION ALL SELECT doc_id, rank, score, 2.0, 'keyword' FROM b) SELECT doc_id, round(sum(w / (60 + rank)), 9) AS rrf_score, CAST(max(CASE WHEN s = 'vector' THEN score END) AS DOUBLE) AS vector_score, CAST(max(CASE WHEN s = 'keyword' THEN score END) AS DOUBLE) AS keyword_score FROM u GROUP BY doc_id ORDER BY round(sum(w / (60 + rank)), 12) DESC, doc_id LIMIT 20")
@@ -204,8 +234,8 @@ def doc_dedup_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n, source FROM documents) SELECT source, doc_id FROM r WHERE n <= 20 OR i % greatest(1, CAST(floor(n / floor(0.2 * n)) AS BIGINT)) = 0")
 def systematic_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source")
-    d = table(spark, sf_dir, "documents").select("source", "doc_id").withColumn("i", F.row_number().over(w.orderBy("doc_id")) - 1).withColumn("n", F.count("*").over(w))
+    d = numbered(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], ["doc_id"], "i").withColumn("i", F.col("i") - 1)
+    d = d.join(d.groupBy("source").agg(F.count("*").alias("n")), "source")
     step = F.greatest(F.lit(1), F.floor(F.col("n") / F.floor(0.2 * F.col("n"))))
     return d.where((F.col("n") <= 20) | (F.col("i") % step == 0)).select("source", "doc_id")
 
@@ -219,12 +249,14 @@ def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.merged(d.select("doc_id", "piece", F.substring("text", F.col("piece"), F.lit(100)).alias("body")), "doc_id", "piece", "body").select("doc_id", "piece", F.col("overlap").cast("int").alias("overlap"))
 
 
-@register("SELECT doc_id, source, n_chars FROM (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 3")
+@register("""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
+f AS (SELECT source FROM r WHERE r = 1 ORDER BY n_chars DESC, doc_id LIMIT 5) SELECT doc_id, source, n_chars FROM r JOIN f USING (source) WHERE r <= 3""")
 def evidence_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fusion.top_of_each(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], [F.desc("n_chars"), F.col("doc_id")], 3).drop("position")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return fusion.evidence(d, "source", [F.desc("n_chars"), F.col("doc_id")]).drop("position")
 
 
-@register("SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id OFFSET 20 LIMIT 10")
+@register("SELECT doc_id, n_chars, (SELECT count(*) FROM documents) AS total FROM documents ORDER BY n_chars DESC, doc_id OFFSET 20 LIMIT 10")
 def result_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.page_rows(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), [F.desc("n_chars"), F.col("doc_id")], 20, 10)
 
@@ -234,17 +266,17 @@ def first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.first_of_each(table(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], "doc_id")
 
 
-@register("WITH e AS (SELECT doc_id, quality * 2.0 AS score FROM labels), k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS seq FROM documents WHERE contains(lower(text), 'license')) SELECT k.doc_id, CAST(row_number() OVER (ORDER BY coalesce(score, 0) DESC, seq) AS INT) AS position FROM k LEFT JOIN e USING (doc_id)")
+@register("WITH e AS (SELECT doc_id, quality * 2.0 AS score FROM labels), k AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS seq FROM documents WHERE contains(lower(text), 'license')) SELECT k.doc_id, row_number() OVER (ORDER BY coalesce(score, 0) DESC, seq) AS position FROM k LEFT JOIN e USING (doc_id)")
 def two_stage_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = search.any_word(table(spark, sf_dir, "documents"), ["license"]).select("doc_id", F.col("doc_id").alias("seq"))
     return fusion.two_stage(table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 2.0).alias("score")), hits).select("doc_id", "position")
 
 
-@register("SELECT 'license' AS term, count(DISTINCT doc_id) AS documents FROM documents WHERE contains(text, 'License') UNION ALL SELECT 'reserved', count(DISTINCT doc_id) FROM documents WHERE contains(text, 'reserved')".replace("'license' AS term", "'License' AS term"))
+@register("SELECT t AS term, count(DISTINCT doc_id) AS documents, count(DISTINCT doc_id) >= 2 AS confirmed FROM (VALUES ('License'), ('reserved'), ('nowhere_at_all')) AS x(t) LEFT JOIN documents ON contains(text, t) GROUP BY t")
 def claim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     from docloom.operators.conversation import claim_check as check
 
-    return check("License, reserved.", table(spark, sf_dir, "documents"), "doc_id", "text")
+    return check("License, reserved, nowhere_at_all.", table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
 @register(rf"""

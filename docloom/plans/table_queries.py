@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import conversation, tabular
+from docloom.operators import assess, conversation, tabular
 from docloom.sources.tables import table
 from docloom.streaming import incremental
 
@@ -88,7 +88,7 @@ def date_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("SELECT p_type AS value, count(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, value LIMIT 15")
 def sheet_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tabular.table_question(table(spark, sf_dir, "part"), "how many by p_type", ["p_type", "p_size"])
+    return tabular.table_question(table(spark, sf_dir, "part"), "how many of each type", ["p_type", "p_name"])
 
 
 @register("SELECT n_name, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON n_nationkey = c_nationkey GROUP BY n_name")
@@ -98,9 +98,9 @@ def kb_doc_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(counts, n["n_nationkey"] == counts["c_nationkey"], "left").select("n_name", F.coalesce("customers", F.lit(0)).alias("customers"))
 
 
-@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@register("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def resume_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    return table(spark, sf_dir, "customer").select("c_custkey").join(table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @register("SELECT max(event_id) + 1 AS next_version FROM events")
@@ -108,10 +108,14 @@ def next_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("next_version"))
 
 
-@register("SELECT d.source, count(*) AS documents, count(l.doc_id) AS labelled, coalesce(bool_or(quality = 1), false) AS has_good FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY d.source")
+@register("""WITH d AS (SELECT source AS kb_id, count(*) AS documents FROM documents GROUP BY 1), c AS (SELECT source AS kb_id, sum(len(string_split(text, chr(10)))) AS n FROM documents WHERE lang = 'de' GROUP BY 1),
+l AS (SELECT source AS kb_id, count(*) AS n FROM documents JOIN labels USING (doc_id) WHERE toxic = 1 GROUP BY 1)
+SELECT kb_id, documents, CAST(coalesce(c.n, 0) AS BIGINT) AS n_l2, coalesce(c.n, 0) > 0 AS has_l2, coalesce(l.n, 0) AS n_l1, coalesce(l.n, 0) > 0 AS has_l1, 0 AS n_wiki, false AS has_wiki FROM d LEFT JOIN c USING (kb_id) LEFT JOIN l USING (kb_id)""")
 def kb_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return d.groupBy("source").agg(F.count("*").alias("documents"), F.count("quality").alias("labelled"), F.coalesce(F.bool_or(F.col("quality") == 1), F.lit(False)).alias("has_good"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.col("source").alias("kb_id"), "text")
+    chunks = d.where("lang = 'de'").select("kb_id", F.explode(F.split("text", "\n")))
+    summaries = d.drop("text").join(table(spark, sf_dir, "labels").where("toxic = 1"), "doc_id")
+    return assess.kb_states(d, {"l2": chunks, "l1": summaries, "wiki": d.limit(0)})
 
 
 # ---- conversations and logs

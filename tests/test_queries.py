@@ -2,9 +2,9 @@
 
 import pytest
 
-from docloom.plans import graph_queries, knowledge_queries, search_queries, table_queries
+from docloom.plans import case_queries, graph_queries, knowledge_queries, layer_queries, search_queries, sheet_queries, table_queries
 
-MODULES = (search_queries, table_queries, graph_queries, knowledge_queries)
+MODULES = (search_queries, table_queries, sheet_queries, graph_queries, knowledge_queries, layer_queries, case_queries)
 ORACLES = {k: v for m in MODULES for k, v in m.ORACLES.items()}
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 
