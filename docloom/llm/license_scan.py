@@ -51,6 +51,8 @@ RARE_WORDS = 8
 #: Two of the words looked up must stand as far from each other as in the template; then so large a share of all licence
 #: words of the template must stand within DRIFT words of where it has them.
 LEAST_VOTES, SHARE, DRIFT = 2, 0.75, 2
+#: Candidates, which are as many as the files with notices, are broadcast only up to so many rows.
+CANDIDATES = 20_000
 
 
 def template_tables(spark: SparkSession, templates: list[tuple[str, str, str]] | DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -125,11 +127,11 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str, str]] | DataFr
     looked = placed.join(rare, same & (F.col("w") == F.col("rw")) & (F.col("template") == F.col("r_template")), "left_semi")
     votes = looked.groupBy(*key, "template", (F.col("pos") - F.col("at")).alias("shift")).agg(F.count("*").alias("votes"))
     candidates = checkpointed(votes.where(F.col("votes") >= LEAST_VOTES).select(*[F.col(k).alias(f"r{k}") for k in key], F.col("template").alias("r_template"), F.col("shift").alias("r_shift")))
-    candidates = small_or_shuffled(candidates)
+    candidates = small_or_shuffled(candidates, CANDIDATES)  # they grow with the corpus
 
     drift = F.explode(F.sequence(F.lit(-DRIFT), F.lit(DRIFT))).alias("drift")
     asked = same & (F.col("template") == F.col("r_template"))
-    near = placed.join(small_or_shuffled(checkpointed(candidates.select("r_id", "r_hash", "r_template").distinct())), asked, "left_semi")
+    near = placed.join(small_or_shuffled(checkpointed(candidates.select("r_id", "r_hash", "r_template").distinct()), CANDIDATES), asked, "left_semi")
     near = near.select(*key, "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"), drift).withColumn("shift", F.col("diagonal") + F.col("drift"))
     in_place = near.join(candidates, asked & (F.col("shift") == F.col("r_shift")), "left_semi").select(*key, "template", "shift", "at").distinct()
     agreed = in_place.groupBy(*key, "template", "shift").agg(F.count("*").alias("agreed")).join(keys_small, "template").where(F.col("agreed") >= SHARE * F.col("licence_words"))
