@@ -234,9 +234,13 @@ def typed_relations(relations: DataFrame, summary: str = "summary") -> DataFrame
 
 
 def cross_references(mentions: DataFrame) -> DataFrame:
-    """(name, document_count, documents) of names in more than one document; the document is the chunk id before ``_chunk_``."""
-    d = mentions.select("name", F.regexp_replace("chunk_id", r"_chunk_[^_]*$", "").alias("doc")).distinct()
-    return d.groupBy("name").agg(F.count("*").alias("document_count"), F.sort_array(F.collect_set("doc")).alias("documents")).where("document_count > 1")
+    """(name, document_count) of names in more than one document; the document is the chunk id before ``_chunk_``."""
+    return referring_documents(mentions).groupBy("name").agg(F.count("*").alias("document_count")).where("document_count > 1")
+
+
+def referring_documents(mentions: DataFrame) -> DataFrame:
+    """(name, doc): the documents that mention each name, a row each."""
+    return mentions.select("name", F.regexp_replace("chunk_id", r"_chunk_[^_]*$", "").alias("doc")).distinct()
 
 
 def contradictions(mentions: DataFrame) -> DataFrame:

@@ -133,7 +133,7 @@ def entity_merge_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(f"WITH {MENTIONS} SELECT name, count(DISTINCT doc_id) AS document_count FROM m GROUP BY name HAVING count(DISTINCT doc_id) > 1")
 def cross_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return entities.cross_references(_mentions(spark, sf_dir)).select("name", "document_count")
+    return entities.cross_references(_mentions(spark, sf_dir))
 
 
 @register("""WITH v AS (SELECT md5(text) AS name, lower(replace(trim(source), ' ', '')) AS norm, min(source) AS value, count(*) AS c FROM documents GROUP BY ALL)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import assess, entities, fusion, graph, linking, search, vectors, wiki
 from docloom.plans.graph_queries import CHAIN, _chain
-from docloom.plans.search_queries import BM25, EMBEDDED, embedded_query
+from docloom.plans.search_queries import EMBEDDED, bm25_sql, embedded_query
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -191,20 +191,20 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.lookup(p, asked)
 
 
-@register(f"""WITH {BM25}, {EMBEDDED}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(rank, 9), doc_id) AS r FROM best),
-qv(dim, w) AS (VALUES {embedded_query("The was with")}),
+@register(f"""WITH {bm25_sql("benchmark", "item_id", ["in", "of", "the"])}, {EMBEDDED}, k AS (SELECT item_id AS doc_id, row_number() OVER (ORDER BY round(rank, 9), item_id) AS r FROM best),
+qv(dim, w) AS (VALUES {embedded_query("The of in")}),
 cs AS (SELECT doc_id, sum(CAST(value AS DOUBLE) * w) / sqrt(any_value(sq)) / (SELECT sqrt(sum(w * w)) FROM qv) AS s FROM (SELECT *, sum(CAST(value AS DOUBLE) * CAST(value AS DOUBLE)) OVER (PARTITION BY doc_id) AS sq FROM emb) JOIN qv USING (dim) GROUP BY doc_id),
 v AS (SELECT doc_id, s, row_number() OVER (ORDER BY round(s, 9) DESC, doc_id) AS r FROM cs QUALIFY r <= 10),
 f AS (SELECT doc_id, sum(1.0 / (60 + r)) AS score FROM (SELECT doc_id, r FROM k UNION ALL SELECT doc_id, r FROM v) GROUP BY doc_id)
-SELECT doc_id, round(CAST(score AS DOUBLE), 9) AS rrf_score, CASE WHEN s > 0.7 THEN 'EXTRACTED' WHEN s > 0.5 OR 1.0 / k.r > 0.6 OR s > 0.3 OR 1.0 / k.r > 0.3 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence
+SELECT doc_id AS item_id, round(CAST(score AS DOUBLE), 9) AS rrf_score, CASE WHEN s > 0.7 THEN 'EXTRACTED' WHEN s > 0.5 OR 1.0 / k.r > 0.6 OR s > 0.3 OR 1.0 / k.r > 0.3 THEN 'INFERRED' ELSE 'AMBIGUOUS' END AS confidence
 FROM f LEFT JOIN k USING (doc_id) LEFT JOIN v USING (doc_id) ORDER BY round(score, 12) DESC, doc_id LIMIT 5""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    best = search.bm25(docs, "The was with", 10)
-    keyword = best.select("doc_id", F.row_number().over(Window.orderBy(F.round("rank", 9), "doc_id")).alias("rank"))  # ten rows
-    near = vectors.nearest(vectors.hash_embedding(docs, "doc_id", "text"), vectors.hash_vector("The was with").tolist(), 10, "doc_id")
-    vector = near.select("doc_id", "score", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")).alias("rank"))  # ten rows
-    return fusion.hybrid(keyword, vector, "doc_id", 5).select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), "confidence")
+    items = table(spark, sf_dir, "benchmark")
+    best = search.bm25(items, "The of in", 10, "item_id")
+    keyword = best.select("item_id", F.row_number().over(Window.orderBy(F.round("rank", 9), "item_id")).alias("rank"))  # ten rows
+    near = vectors.nearest(vectors.hash_embedding(items, "item_id", "text"), vectors.hash_vector("The of in").tolist(), 10, "item_id")
+    vector = near.select("item_id", "score", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "item_id")).alias("rank"))  # ten rows
+    return fusion.hybrid(keyword, vector, "item_id", 5).select("item_id", F.round("rrf_score", 9).alias("rrf_score"), "confidence")
 
 
 @register("""WITH h AS (SELECT doc_id, 0 AS variant FROM documents WHERE contains(lower(text), 'license') UNION ALL SELECT doc_id, 1 FROM documents WHERE contains(lower(text), 'reserved') UNION ALL SELECT doc_id, 2 FROM documents WHERE contains(lower(text), 'nicht'))

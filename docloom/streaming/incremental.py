@@ -9,19 +9,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def compile_incrementally(spark: SparkSession, source: str, schema, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str) -> StreamingQuery:
-    """Files that appear under ``source`` go through ``step`` once; keys already in ``out`` are skipped.
+    """Files that appear under ``source`` go through ``step`` once; keys already in ``out`` are skipped, and of rows with one
+    key in a batch any one stays.
 
-    Each batch is written under its number, so a batch that is run again after a failure replaces itself.
+    Each batch is written under its number, so a batch that is run again after a failure replaces itself. Of what is in
+    ``out`` only the keys are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        try:
+        batch = batch.dropDuplicates([key])
+        if _exists(spark, out):
             done = spark.read.parquet(out).where(F.col("batch") != number).select(key).distinct()
             batch = batch.join(done, key, "left_anti")
-        except Exception as e:  # nothing written yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
         step(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -41,7 +41,7 @@ def test_incremental(spark, tmp_path):
     step = lambda d: d.select("doc_id", F.upper("text").alias("text"))
     rows.coalesce(1).write.parquet(source)
     incremental.compile_incrementally(spark, source, rows.schema, step, out, cp, "doc_id").awaitTermination()
-    spark.createDataFrame([(2, "again"), (3, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
+    spark.createDataFrame([(2, "again"), (3, "c"), (3, "c")], "doc_id long, text string").coalesce(1).write.mode("append").parquet(source)
     incremental.compile_incrementally(spark, source, rows.schema, step, out, cp, "doc_id").awaitTermination()
     assert sorted((r.doc_id, r.text) for r in spark.read.parquet(out).collect()) == [(1, "A"), (2, "B"), (3, "C")]
 

@@ -149,6 +149,32 @@ def test_vectors(spark):
     assert vectors.without_documents(v.withColumnRenamed("k", "doc_id"), spark.createDataFrame([("a",)], "doc_id string")).count() == 3
 
 
+def test_hash_vectors_against_a_plain_loop(spark, monkeypatch):
+    import hashlib
+
+    import numpy as np
+
+    def plain(text):
+        v = np.zeros(256)
+        for n in (2, 3, 4):
+            for i in range(max(1, len(text) - n + 1)):
+                h = hashlib.md5(text[i : i + n].encode()).digest()
+                v[int.from_bytes(h[:4], "little") % 256] += 1.0
+                v[int.from_bytes(h[4:8], "little") % 256] -= 0.5
+        for word in text.split():
+            v[int.from_bytes(hashlib.md5(word.lower().encode()).digest()[:4], "little") % 256] += 2.0
+        return v / (np.linalg.norm(v) or 1)
+
+    monkeypatch.setattr(vectors, "MEMO_GRAMS", 50)
+    texts = ["", "a", "Hello hello World", "合同 诈骗 Ärger\nx", "word " * 300, "x\x1cy z"]
+    assert all(np.allclose(vectors.hash_vector(t), plain(t)) for t in texts)
+    from conftest import SMALL
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    got = {r.doc_id: r.embedding for r in vectors.hash_embedding(docs, "doc_id", "text").collect()}
+    assert all(np.allclose(got[r.doc_id], plain(r.text or ""), atol=1e-6) for r in docs.limit(40).collect())
+
+
 def test_front_matter_and_health(spark):
     r = spark.createDataFrame([("---\ntitle: A: b\nkind: x\n---\nbody",)], "t string").select(wiki.front_matter(F.col("t")).alias("m"), wiki.slug(F.lit(" A b/c ")).alias("s"), wiki.health_score(F.lit(1), F.lit(1), F.lit(1), F.lit(1)).alias("h")).first()
     assert r.m == {"title": "A: b", "kind": "x"} and r.s == "a-b-c" and r.h == 0.82
