@@ -12,6 +12,8 @@ from docloom.llm.chat import ORACLE as CHAT_SQL
 from docloom.llm.chat import rendered
 from docloom.llm.decontaminate import ORACLE as DECONTAMINATE_SQL
 from docloom.llm.decontaminate import contamination
+from docloom.llm.filter_audit import ORACLE as AUDIT_SQL
+from docloom.llm.filter_audit import filter_audit
 from docloom.llm.language_id import language_id
 from docloom.llm.length_histogram import length_histogram, token_lengths
 from docloom.llm.license_scan import license_scan
@@ -19,8 +21,10 @@ from docloom.llm.license_scan import oracle as license_sql
 from docloom.llm.line_quality import ORACLE as LINE_QUALITY_SQL
 from docloom.llm.line_quality import line_quality
 from docloom.llm.packing import pack
+from docloom.llm.periodic_runs import periodic_runs, run_digests, with_planted_tails
 from docloom.llm.simhash import near_duplicates
 from docloom.llm.token_store import stored_documents
+from docloom.llm.toxicity import toxicity
 from docloom.llm.url_filter import ORACLE as URL_SQL
 from docloom.llm.url_filter import RULES, url_verdicts
 
@@ -66,5 +70,17 @@ def op10_length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return length_histogram(token_lengths(table(spark, sf_dir, "documents"))).withColumn("quantile", F.round("quantile", 9))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op6_license_scan, op7_simhash, op8_chat, op9_token_store, op10_length_histogram)}
-ORACLES: dict[str, str] = {"op6_license_scan": license_sql(), "op1_url_filter": URL_SQL, "op8_chat": CHAT_SQL, "op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digests(periodic_runs(with_planted_tails(table(spark, sf_dir, "documents"))))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_url_filter, op2_packing, op3_line_quality, op4_decontamination, op5_language_id, op6_license_scan, op7_simhash, op8_chat, op9_token_store, op10_length_histogram, op11_periodic_runs, op12_toxicity, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op6_license_scan": license_sql(), "op1_url_filter": URL_SQL, "op8_chat": CHAT_SQL, "op3_line_quality": LINE_QUALITY_SQL, "op4_decontamination": DECONTAMINATE_SQL, "op13_filter_audit": AUDIT_SQL}
