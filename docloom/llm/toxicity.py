@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -32,14 +31,16 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE_END = re.compile(r"[.!?\n]+")
 
 
-def sentence_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of the sentences that hold a word. A sentence ends behind a run of full stops, marks or line ends."""
-    spans, start = [], 0
-    for m in _SENTENCE_END.finditer(text):
-        spans.append((start, m.end()))
-        start = m.end()
-    spans.append((start, len(text)))
-    return [s for s in spans if _WORD.search(text, *s)]
+def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
+    """Start, end and different lower-cased words of the sentences that hold a word. A sentence ends behind a run of full
+    stops, marks or line ends."""
+    text, found, start = text or "", [], 0
+    for end in (*(m.end() for m in _SENTENCE_END.finditer(text)), len(text)):
+        words = list(dict.fromkeys(_WORD.findall(text[start:end].lower())))
+        if words:
+            found.append((start, end, words))
+        start = end
+    return found
 
 
 def word_features(word: str) -> list[str]:
@@ -47,12 +48,6 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in BEGINNINGS if len(word) > k)]
 
 
-def sentence_words(text: str | None) -> list[list[str]]:
-    """The different lower-cased words of each sentence of a text, sorted."""
-    text = text or ""
-    return [sorted(set(_WORD.findall(text[a:b].lower()))) for a, b in sentence_spans(text)]
-
-
 @dataclass
 class Model:
     """Weights of features, a sentence's bias, and the shift of a document's log-odds that puts the calibrated limit at THRESHOLD."""
@@ -70,9 +65,9 @@ class Model:
             found = self.known[word] = sum(self.weights.get(f, 0.0) for f in word_features(word))
         return found
 
-    def sentences(self, text: str | None) -> list[float]:
-        """The log-odds of each sentence."""
-        return [self.bias + sum(map(self.of_word, words)) for words in sentence_words(text)]
+    def log_odds(self, words: list[str]) -> float:
+        """Of a sentence with these words."""
+        return self.bias + sum(map(self.of_word, words))
 
     def document(self, log_odds: list[float]) -> float:
         """Noisy-or of the sentences, on the calibrated scale; a text without sentences has the least score a text can have."""
@@ -90,46 +85,20 @@ def _noisy_or(log_none: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(-np.expm1(np.minimum(log_none, -1e-12)), 1e-12)) - log_none
 
 
-def _ratio(a: int, b: int, clean: int, toxic: int) -> float:
-    """G2 of a feature that a of the clean and b of the toxic documents have."""
-    share = (a + b) / (clean + toxic)
-    cells = ((a, clean * share), (b, toxic * share), (clean - a, clean * (1 - share)), (toxic - b, toxic * (1 - share)))
-    return 2 * sum(n * math.log(n / expected) for n, expected in cells if n)
-
-
-def fit(documents: list[list[list[str]]], toxic: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
-    """A model from documents (words of sentences) and their labels, 0 or 1.
+def fit(names: list[str], documents: list[list[list[int]]], toxic: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> Model:
+    """A model from documents, the numbers in ``names`` of the features of each of their sentences, and labels, 0 or 1.
 
     The likelihood of the documents' labels under the noisy-or of their sentences is climbed by Adam over the whole
     sample. The derivative by a sentence's log-odds is p (y - P) / P, so that in a toxic document the sentences that
     explain it best take the blame. Labels are weighted to equal sums.
     """
-    if not len(toxic) or toxic.min() == toxic.max():
+    if not names or not len(toxic) or toxic.min() == toxic.max():
         return Model()
-    seen = ({}, {})
-    for d, y in zip(documents, toxic.tolist(), strict=True):
-        for f in {f for s in d for w in s for f in word_features(w)}:
-            seen[y][f] = seen[y].get(f, 0) + 1
-    total = int(len(toxic) - toxic.sum()), int(toxic.sum())
-    ratio = {f: _ratio(seen[0].get(f, 0), seen[1].get(f, 0), *total) for f in seen[0].keys() | seen[1].keys() if seen[0].get(f, 0) + seen[1].get(f, 0) >= LEAST_DOCS}
-    names = sorted((f for f, r in ratio.items() if r >= LEAST_RATIO), key=lambda f: (-ratio[f], f))[:MOST_FEATURES]
-    if not names:
-        return Model()
-    number = {f: i for i, f in enumerate(names)}
-    of_word: dict[str, list[int]] = {}
-    columns, sizes, of_document = [], [], []
-    for k, d in enumerate(documents):
-        for s in d:
-            before = len(columns)
-            for w in s:
-                if w not in of_word:
-                    of_word[w] = [number[f] for f in word_features(w) if f in number]
-                columns += of_word[w]
-            sizes.append(len(columns) - before)
-            of_document.append(k)
+    columns = [f for d in documents for s in d for f in s]
+    sizes, of_document = [len(s) for d in documents for s in d], [k for k, d in enumerate(documents) for _ in d]
     column = np.array(columns, np.int32)
     sentence = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-    of_document, y = np.array(of_document), toxic.astype(float)
+    of_document, y = np.array(of_document, np.int64), toxic.astype(float)
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     x, bias = np.zeros(len(names)), -4.0
     first, second = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
@@ -162,48 +131,73 @@ def calibrate(model: Model, log_odds: list[list[float]], toxic: np.ndarray) -> N
     model.shift = float(np.log(THRESHOLD / (1 - THRESHOLD)) - limit)
 
 
-def sampled(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(toxic, draw, text): at most ``sample_docs`` texts of each label, those with the smallest draws. Repeated rows share a
-    draw and count once; a heap of that size is all a task keeps."""
-    rows = labelled.where("toxic IN (0, 1)").select(F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id", "text").alias("draw"), "text")
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    share = F.shiftrightunsigned("draw", 11) / float(1 << 53)
-    near = [rows.where((F.col("toxic") == y) & (share * n < 1.2 * sample_docs + 50)) for y, n in sorted(sizes.items())]
-    if not near:
-        return rows
-    d = near[0]
-    for other in near[1:]:
-        d = d.union(other)
-    d = d.groupBy("toxic", "draw").agg(F.first("text").alias("text"))
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.shiftrightunsigned("draw", 11), "draw"))
-    return d.withColumn("rank", rank).where(F.col("rank") <= sample_docs).drop("rank")
+def sampled(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """(toxic, draw, text): at most ``sample_docs`` texts of each label, those with the smallest draws; checkpointed.
+
+    Draws are made on ids and hashes; a bounded number of them is sent to the scan, so only the sample's texts move.
+    Repeated rows share a draw and count once. Ids that are labelled both 0 and 1 are left out.
+    """
+    own = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most AND toxic IN (0, 1)")
+    rows = docs.select("doc_id", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("draw"))
+    drawn = checkpointed(rows.select("doc_id", "draw").join(own, F.col("doc_id") == F.col("_id")).select(F.col("toxic").cast("int").alias("toxic"), "_id", "draw").distinct())
+    sizes = drawn.groupBy(F.col("toxic").alias("_toxic")).agg(F.count("*").alias("n"))  # two rows at most
+    near = drawn.join(F.broadcast(sizes), F.col("toxic") == F.col("_toxic")).where(F.col("draw") / float(1 << 63) * F.col("n") < 1.2 * sample_docs + 50)
+    rank = F.row_number().over(Window.partitionBy("toxic").orderBy("draw", "_id"))
+    taken = near.withColumn("rank", rank).where(F.col("rank") <= sample_docs).select("toxic", "_id", F.col("draw").alias("_draw"))
+    found = rows.join(F.broadcast(taken), (F.col("doc_id") == F.col("_id")) & (F.col("draw") == F.col("_draw")))
+    return checkpointed(found.groupBy("toxic", "draw").agg(F.first("text").alias("text")))
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
-    """A model from documents (doc_id, text) and ``labels`` (doc_id, toxic); ids that are labelled both 0 and 1 are left out.
+def informative(sample: DataFrame) -> list[str]:
+    """The features of the sample's documents that tell most about their labels, best first.
 
-    Words are cut in tasks; only the bounded sample's reach the driver, which climbs the likelihood. A fifth of the
-    sample is not fitted: it sets the limit. Without documents of both labels every score is that of no toxicity.
+    G2 compares in how many documents of either label a feature stands with what its share would be without a link.
     """
-    own = labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).where("toxic = _most")
-    texts = docs.select("doc_id", "text").join(own.select("doc_id", "toxic"), "doc_id")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            words = [sentence_words(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(words, pa.list_(pa.list_(pa.string())))], ["toxic", "draw", "words"])
+        for batch in slices(batches, 200):
+            seen: dict[tuple[str, int], int] = {}
+            for y, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                for f in {f for _, _, words in sentences(text) for w in words for f in word_features(w)}:
+                    seen[f, y] = seen.get((f, y), 0) + 1
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([seen[k] for k in keys], pa.int64())], ["feature", "toxic", "n"])
+
+    totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(totals) < 2:
+        return []
+    d = sample.select("toxic", "text").mapInArrow(cut, "feature string, toxic int, n long").groupBy("feature").agg(*[F.sum(F.when(F.col("toxic") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)])
+    share, ratio = (F.col("n0") + F.col("n1")) / sum(totals.values()), F.lit(0.0)
+    for y, total in totals.items():
+        for n, expected in ((F.col(f"n{y}"), total * share), (total - F.col(f"n{y}"), total * (1 - share))):
+            ratio = ratio + F.when(n > 0, 2 * n * F.ln(n / expected)).otherwise(0.0)
+    d = d.where(F.col("n0") + F.col("n1") >= LEAST_DOCS).withColumn("ratio", F.round(ratio, 9)).where(F.col("ratio") >= LEAST_RATIO)
+    return [r["feature"] for r in d.orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).select("feature").collect()]
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """A model from documents (doc_id, text) and ``labels`` (doc_id, toxic).
 
+    Words are cut and features counted in tasks; the driver gets the features that count and where the bounded sample
+    has them, and climbs the likelihood. A fifth of the sample is not fitted: it sets the limit. Without documents of
+    both labels every score is that of no toxicity.
+    """
     with small_batches(docs.sparkSession):
-        rows = checkpointed(sampled(texts, sample_docs).mapInArrow(cut, "toxic int, draw long, words array<array<string>>")).orderBy("draw", "toxic").collect()
+        sample = sampled(docs, labels, sample_docs)
+        names = informative(sample.where(F.col("draw") % CALIBRATE != 0))
+        number = {f: i for i, f in enumerate(names)}
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 200):
+                found = [[[number[f] for w in words for f in word_features(w) if f in number] for _, _, words in sentences(t)] for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(found, pa.list_(pa.list_(pa.int32())))], ["toxic", "draw", "found"])
+
+        rows = sample.mapInArrow(placed, "toxic int, draw long, found array<array<int>>").orderBy("draw", "toxic").collect() if names else []
     aside = np.array([r["draw"] % CALIBRATE == 0 for r in rows], bool)
-    words, toxic = [r["words"] for r in rows], np.array([r["toxic"] for r in rows], int)
-    kept = [w for w, a in zip(words, aside, strict=True) if not a]
-    if not kept:
-        return Model()
-    model = fit(kept, toxic[~aside])
-    held = [[model.bias + sum(map(model.of_word, s)) for s in w] for w, a in zip(words, aside, strict=True) if a]
-    calibrate(model, held, toxic[aside])
-    model.known.clear()
+    found, toxic = [r["found"] for r in rows], np.array([r["toxic"] for r in rows], int)
+    model = fit(names, [d for d, a in zip(found, aside, strict=True) if not a], toxic[~aside])
+    weight = [model.weights.get(f, 0.0) for f in names]
+    calibrate(model, [[model.bias + sum(weight[f] for f in s) for s in d] for d, a in zip(found, aside, strict=True) if a], toxic[aside])
     return model
 
 
@@ -225,10 +219,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in slices(batches):
             scores, found = [], []
             for text in batch.column("text").to_pylist():
-                z = model.sentences(text)
-                scores.append(model.document(z))
-                alone = [model.document([v]) if v > model.bias else 0.0 for v in z] if scores[-1] >= THRESHOLD else []
-                found.append([{"start": a, "length": b - a, "score": p} for p, (a, b) in zip(alone, sentence_spans(text) if alone else [], strict=True) if p >= THRESHOLD])
+                own = [(a, b, model.log_odds(words)) for a, b, words in sentences(text)]
+                scores.append(model.document([z for _, _, z in own]))
+                alone = [(a, b, model.document([z])) for a, b, z in own if z > model.bias] if scores[-1] >= THRESHOLD else []
+                found.append([{"start": a, "length": b - a, "score": p} for a, b, p in alone if p >= THRESHOLD])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(found, pa.list_(sentence))], ["doc_id", "score", "offending"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -119,7 +119,8 @@ def test_noisy_or_gradient_and_instances():
             d[rng.randrange(6)].append(rng.choice(["vile", "nasty"]))
         docs.append(d)
         labels.append(int(k % 3 == 0))
-    model = toxicity.fit(docs, np.array(labels))
+    names = ["nasty", *plain, "vile"]
+    model = toxicity.fit(names, [[[names.index(w) for w in s] for s in d] for d in docs], np.array(labels))
     for d, y in zip(docs, labels, strict=True):
         p = [1 / (1 + math.exp(-(model.bias + sum(map(model.of_word, s))))) for s in d]
         some = 1 - math.prod(1 - v for v in p)
@@ -164,8 +165,8 @@ def test_toxicity_on_odd_rows(spark, odd):
 
 def test_sentences():
     text = "One two. Three!\n\n... four"
-    assert [text[a:b] for a, b in toxicity.sentence_spans(text)] == ["One two.", " Three!\n\n...", " four"]
-    assert toxicity.sentence_words(None) == [] and toxicity.sentence_words("B a b.") == [["a", "b"]]
+    assert [text[a:b] for a, b, _ in toxicity.sentences(text)] == ["One two.", " Three!\n\n...", " four"]
+    assert toxicity.sentences(None) == [] and toxicity.sentences("B a b.") == [(0, 6, ["b", "a"])]
 
 
 # ---- filter audit
