@@ -166,14 +166,16 @@ def with_planted_tails(docs: DataFrame) -> DataFrame:
     """doc_id, text: the words joined by a blank; where the CRC-32 of the id ends in 0, the words from one on repeat those of
     a period, both given by the rest of the CRC-32. A null id counts as an empty one."""
     h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    d = docs.select("doc_id", "text", (h % 10 == 0).alias("tail"), F.floor(h / 10).cast("long").alias("g"))
-    d = d.withColumn("words", F.when(F.col("tail"), words_of(F.col("text"), BLANK)))
+    tail = h % 10 == 0
     n, g = F.size("words"), F.col("g")
+    # a row each; words are made once, below the generator
+    d = docs.where(tail).select("doc_id", F.floor(h / 10).cast("long").alias("g"), F.explode(F.array(words_of(F.col("text"), BLANK))).alias("words"))
     d = d.withColumn("a", F.when(n > 0, (g % n).cast("int")))
     d = d.withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
     period, times = F.slice("words", F.col("a") + 1, F.col("p")), F.ceil((n - F.col("a")) / F.col("p")).cast("int")
     planted = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(period, times))), F.lit(1), n), " ")
-    return d.select("doc_id", F.when(F.col("a").isNotNull(), planted).otherwise(F.col("text")).alias("text"))
+    planted = checkpointed(d.select("doc_id", F.when(n > 0, planted).otherwise("").alias("text")))
+    return docs.where(~tail).select("doc_id", "text").union(planted)
 
 
 def run_digests(found: DataFrame) -> DataFrame:
