@@ -87,8 +87,8 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
     Its own label counts as much as its heaviest edge, and even and odd nodes (by a hash) take turns, which keeps
     neighbours from swapping labels for ever. A deterministic stand-in for seeded Louvain that only groups and joins;
-    nodes without edges keep to themselves. Ends when two rounds change nothing, and raises if that is not so after
-    ``rounds``.
+    nodes without edges keep to themselves. Ends when two rounds change nothing, or after ``rounds`` with the labels
+    reached by then; ``communities.louvain`` rises in every round.
     """
     w = edges.select("src", "dst", "weight").where("src != dst")
     e = w.union(w.select("dst", "src", "weight")).groupBy("src", "dst").agg(F.max("weight").alias("weight"))
@@ -103,8 +103,8 @@ def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
         same = new.join(labels.select("node", F.col("community").alias("old")), "node").where("community != old").isEmpty()
         still, labels = (still + 1 if same else 0), new
         if still == 2:
-            return labels
-    raise RuntimeError(f"labels are not settled after {rounds} rounds")
+            break
+    return labels
 
 
 def path_edges(path: DataFrame, relations: DataFrame) -> DataFrame:
@@ -211,13 +211,16 @@ def set_overlap(a: Column, b: Column) -> Column:
 
 def tree(nodes: DataFrame, root_is: Column) -> DataFrame:
     """(id, parent_id, title, depth, path, is_leaf) of an adjacency list (id, parent_id, title), level by level to the
-    last one; a node that is its own ancestor is on no level and left out."""
-    level = nodes.where(root_is).select("id", "parent_id", "title", F.lit(0).alias("depth"), F.col("title").alias("path"))
+    last one; a node that is its own ancestor is on no level and left out. A root's row is on level 0 alone, and a row of
+    an id that stands above it ends its branch, so rows that repeat an id in a cycle come to an end."""
+    nodes = nodes.select("id", "parent_id", "title", F.coalesce(root_is, F.lit(False)).alias("_root"))
+    level = nodes.where("_root").select("id", "parent_id", "title", F.lit(0).alias("depth"), F.col("title").alias("path"), F.array("id").alias("_above"))
     out, d = level, 0
     while True:
         d += 1
-        up = level.select(F.col("id").alias("up"), F.col("path").alias("up_path"))
-        level = nodes.join(up, nodes["parent_id"] == F.col("up")).select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("up_path", F.lit("/"), "title").alias("path"))
+        up = level.select(F.col("id").alias("up"), F.col("path").alias("up_path"), F.col("_above").alias("_up_above"))
+        below = nodes.where(~F.col("_root")).join(up, nodes["parent_id"] == F.col("up")).where(~F.array_contains("_up_above", F.col("id")))
+        level = below.select("id", "parent_id", "title", F.lit(d).alias("depth"), F.concat("up_path", F.lit("/"), "title").alias("path"), F.concat("_up_above", F.array("id")).alias("_above"))
         level = checkpointed(level)
         if level.isEmpty():
             break

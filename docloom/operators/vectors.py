@@ -57,7 +57,8 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 
 def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
-    """(query, key, score, position) of the k nearest rows for each query (columns ``query``, ``embedding``).
+    """(query, key, score, position) of the k nearest rows for each query (columns ``query``, ``embedding``); null vectors
+    on either side are near nothing.
 
     Queries are taken in blocks of about a fixed size by a hash, and only one block is on the driver at a time. Each task
     multiplies its batch of vectors by the block and keeps k rows a query, so what leaves a batch is bounded by queries
@@ -66,6 +67,7 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     from docloom.operators.fusion import top_of_each
     from docloom.operators.ordering import checkpointed
 
+    vectors, queries = vectors.where(F.col(embedding).isNotNull()), queries.where("query IS NOT NULL AND embedding IS NOT NULL")
     blocks = max(1, -(-queries.count() // block))
     numbered = queries.select("query", "embedding", F.pmod(F.xxhash64("query"), F.lit(blocks)).alias("block"))
     out = None
@@ -145,9 +147,14 @@ def hash_embedding(docs: DataFrame, key: str, text: str, dimension: int = DIMENS
 
 
 def append_vectors(index: DataFrame, new: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
-    """The index with new rows, scaled to length 1, which replace those of the same key."""
-    new = new.withColumn(embedding, unit(F.col(embedding)).cast(index.schema[embedding].dataType))
-    return index.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
+    """The index with new rows, scaled to length 1, which replace those of the same key. Of new rows with one key the one
+    with the largest vector stays (number by number; null is the smallest), so the result does not hang on their order;
+    rows without a key are left out."""
+    others = [F.col(c) for c in new.columns if c not in (key, embedding) and not new.schema[c].dataType.simpleString().startswith("map")]
+    whole = F.struct(*[F.col(c) for c in new.columns])
+    one = new.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, F.struct(F.col(embedding), *others)).alias("_row")).select("_row.*")
+    one = one.withColumn(embedding, unit(F.col(embedding)).cast(index.schema[embedding].dataType))
+    return index.join(one.select(key), key, "left_anti").unionByName(one)
 
 
 def without_documents(index: DataFrame, gone: DataFrame, doc: str = "doc_id") -> DataFrame:

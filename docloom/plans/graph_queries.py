@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import entities, graph, timeline, wiki
+from docloom.operators import communities, entities, graph, timeline, wiki
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -61,6 +61,24 @@ def label_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.label_propagation(_trade(spark, sf_dir))
 
 
+@register()
+def louvain_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events follow each other, weighted by how often; SQL cannot express the rounds, see the tests."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("src"))
+    n = e.select((F.col("event_id") - 1).alias("event_id"), F.col("src").alias("dst"))
+    edges = e.join(n, "event_id").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    return communities.louvain(edges, table(spark, sf_dir, "events").select(F.col("user_id").alias("node")))
+
+
+@register(f"""WITH {TRADE}, e AS (SELECT src, dst, weight FROM trade WHERE src <> dst UNION ALL SELECT dst, src, weight FROM trade WHERE src <> dst UNION ALL SELECT src, dst, 2 * weight FROM trade WHERE src = dst),
+c AS (SELECT a.n_regionkey AS x, b.n_regionkey AS y, weight FROM e JOIN nation a ON a.n_nationkey = src JOIN nation b ON b.n_nationkey = dst),
+s AS (SELECT x, sum(weight) AS d, sum(CASE WHEN x = y THEN weight ELSE 0 END) AS i FROM c GROUP BY x)
+SELECT round(sum(i) / sum(d) - sum(d * d) / sum(d) / sum(d), 9) AS modularity FROM s""")
+def region_modularity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    of = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("node"), F.col("n_regionkey").alias("community"))
+    return communities.modularity(_trade(spark, sf_dir), of).select(F.round("modularity", 9).alias("modularity"))
+
+
 @register("SELECT a.s AS src, b.s AS dst, count(*) AS weight FROM (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) a JOIN (SELECT DISTINCT l_orderkey, l_suppkey AS s FROM lineitem) b USING (l_orderkey) WHERE a.s < b.s GROUP BY ALL")
 def cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.cooccurrence(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_suppkey")

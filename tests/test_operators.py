@@ -92,6 +92,23 @@ def test_tree_of_any_depth(spark):
     assert got == {str(i): i for i in range(25)}
 
 
+def test_tree_with_cycles(spark):
+    d = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "again"), (3, 2, "c"), (5, 6, "x"), (6, 5, "y"), (7, 7, "self")], "id long, parent_id long, title string")
+    found = sorted((r.id, r.depth, r.path, r.is_leaf) for r in graph.tree(d, F.col("parent_id").isNull()).collect())
+    assert found == [(1, 0, "a", False), (2, 1, "a/b", False), (3, 2, "a/b/c", True)]
+
+
+def test_vectors_with_nulls_and_repeated_keys(spark):
+    kind = "vec_id long, embedding array<double>"
+    d = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 2.0])], kind)
+    asked = spark.createDataFrame([(7, [1.0, 0.1]), (8, None), (None, [1.0, 0.0])], "query long, embedding array<double>")
+    assert [(r["query"], r.vec_id) for r in vectors.nearest_to_many(d, asked, 2).orderBy("query", "position").collect()] == [(7, 1), (7, 3)]
+    new = [(3, [3.0, 4.0]), (3, [0.0, 1.0]), (4, None), (4, [0.0, 5.0]), (None, [1.0, 1.0]), (5, None)]
+    for rows in (new, new[::-1]):
+        found = {r.vec_id: r.embedding for r in vectors.append_vectors(d, spark.createDataFrame(rows, kind), "vec_id").collect()}
+        assert found == {1: [1.0, 0.0], 2: None, 3: [0.6, 0.8], 4: [0.0, 1.0], 5: None}
+
+
 def test_index_is_idempotent(spark, tmp_path):
     rows = [(i, f"w{i % 7} common w{i % 3} text") for i in range(60)] + [(3, "w3 common again"), (99, None)]
     d = spark.createDataFrame(rows[:60], "doc_id long, text string")
