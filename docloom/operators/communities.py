@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.ordering import checkpoint_folder, checkpointed
+from docloom.operators.ordering import checkpoint_folder, checkpointed, removed
 
 #: A gain in modularity below this is none: it is left to rounding.
 LEAST_GAIN = 1e-9
@@ -45,10 +45,6 @@ class _Folder:
         df.write.parquet(f"{self.path}/{self.n}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{self.n}")
 
-    def removed(self) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
 
 class _Level:
     """One level's graph: edges from both ends without loops, and what each node weighs."""
@@ -117,7 +113,7 @@ def louvain(edges: DataFrame, nodes: DataFrame | None = None, resolution: float
     try:
         return checkpointed(_louvain(edges, nodes, resolution, least_gain, rounds, folder))
     finally:
-        folder.removed()
+        removed(edges.sparkSession, folder.path)
 
 
 def _louvain(edges: DataFrame, nodes: DataFrame | None, resolution: float, least_gain: float, rounds: int, folder: _Folder) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators import assess, chunking, conversation, entities, fusion, graph, linking, search, vectors, wiki
-from docloom.operators.ordering import checkpoint_folder, checkpointed
+from docloom.operators.ordering import checkpoint_folder, checkpointed, removed
 from docloom.plans.case_queries import NOTE, NOTES, PEOPLE, A, B, words
 from docloom.plans.graph_queries import CHAIN, _chain
 from docloom.sources import files
@@ -248,12 +248,12 @@ def enriched_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", fusion.source_layer(chunk).alias("layer"), fusion.score_confidence(F.col("p_size") / 50.0).alias("confidence"))
 
 
-SCORE = " + ".join(f"CASE WHEN contains(lower({c}), '{w}') THEN {n} ELSE 0 END" for w in ("almond", "steel") for c, n in (("p_name", 3), ("p_brand", 1), ("p_type", 2)))
+SCORE = " + ".join(f"CASE WHEN contains(lower({c}), '{w}') THEN {n} ELSE 0 END" for w in ("small", "ring") for c, n in (("p_name", 3), ("p_brand", 1), ("p_type", 2)))
 
 
-@register(f"SELECT p_partkey, CAST({SCORE} + CASE WHEN contains(lower(p_name), 'almond steel') THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'almond steel') THEN 2 ELSE 0 END AS INT) AS score FROM part")
+@register(f"SELECT p_partkey, CAST({SCORE} + CASE WHEN contains(lower(p_name), 'small ring') THEN 5 ELSE 0 END + CASE WHEN contains(lower(p_brand), 'small ring') THEN 2 ELSE 0 END AS INT) AS score FROM part")
 def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", search.entity_score(F.col("p_name"), F.col("p_type"), F.col("p_brand"), "almond STEEL").alias("score"))
+    return table(spark, sf_dir, "part").select("p_partkey", search.entity_score(F.col("p_name"), F.col("p_type"), F.col("p_brand"), "small RING").alias("score"))
 
 
 @register("SELECT n_nationkey AS node, 'C' || c_custkey AS entity FROM nation JOIN customer ON n_name = CASE WHEN c_custkey % 2 = 0 THEN (SELECT n_name FROM nation m WHERE m.n_nationkey = c_custkey % 25) ELSE 'none' END OR n_name = (SELECT n_name FROM nation m WHERE m.n_nationkey = c_nationkey)")
@@ -334,8 +334,11 @@ SELECT doc_id, round(rank, 6) AS rank FROM s WHERE terms = 2 ORDER BY round(rank
 def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the inverted index below the checkpoint folder, as a corpus' index would be once, and asks it."""
     out = f"{checkpoint_folder(spark)}/index_{uuid.uuid4().hex}"
-    search.write_index(table(spark, sf_dir, "documents"), out)
-    found = search.bm25_of_index(spark, out, "Licensed under", 10)
-    return checkpointed(found.select("doc_id", F.round("rank", 6).alias("rank")))
+    try:
+        search.write_index(table(spark, sf_dir, "documents"), out)
+        found = search.bm25_of_index(spark, out, "Licensed under", 10)
+        return checkpointed(found.select("doc_id", F.round("rank", 6).alias("rank")))
+    finally:
+        removed(spark, out)
 
 

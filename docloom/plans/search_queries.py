@@ -183,14 +183,20 @@ def _ranked(rows: DataFrame, order: list, n: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # n rows
 
 
+def _longest_good(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good and harmless documents first, the longest of them, so that the two lists share keys."""
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
+    return _ranked(d, [F.desc("quality"), F.col("toxic"), F.desc("n_chars"), F.col("doc_id")], 20).withColumn("score", F.col("quality") + (1 - F.col("toxic")) / F.lit(2.0))
+
+
 RANKED = """a AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank, n_chars * 1.0 AS score FROM documents QUALIFY rank <= 20),
-b AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id) AS rank, quality * 1.0 AS score FROM labels QUALIFY rank <= 20)"""
+b AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, toxic, n_chars DESC, doc_id) AS rank, quality + (1 - toxic) / 2.0 AS score FROM labels JOIN documents USING (doc_id) QUALIFY rank <= 20)"""
 
 
 @register(f"WITH {RANKED} SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS rrf_score, CASE WHEN bool_or(l = 0) THEN 'documents' ELSE 'labels' END AS won FROM (SELECT doc_id, rank, 0 AS l FROM a UNION ALL SELECT doc_id, rank, 1 FROM b) GROUP BY doc_id")
 def rrf_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _ranked(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 20)
-    b = _ranked(table(spark, sf_dir, "labels"), [F.desc("quality"), F.col("doc_id")], 20)
+    b = _longest_good(spark, sf_dir)
     both = fusion.fuse([a.withColumn("won", F.lit("documents")), b.withColumn("won", F.lit("labels"))], "doc_id", item="won")
     return both.select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), "won")
 
@@ -198,14 +204,14 @@ def rrf_two(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"WITH {RANKED}, u AS (SELECT doc_id FROM a UNION ALL SELECT doc_id FROM b) SELECT count(*) AS inputs, count(DISTINCT doc_id) AS merged, 1 - count(DISTINCT doc_id) / count(*) AS overlap_ratio FROM u")
 def rrf_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _ranked(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 20)
-    b = _ranked(table(spark, sf_dir, "labels"), [F.desc("quality"), F.col("doc_id")], 20)
+    b = _longest_good(spark, sf_dir)
     return fusion.fusion_metrics([a, b], "doc_id")
 
 
 @register(f"WITH {RANKED}, u AS (SELECT doc_id, rank, score, 3.0 AS w, 'vector' AS s FROM a UNION ALL SELECT doc_id, rank, score, 2.0, 'keyword' FROM b) SELECT doc_id, round(sum(w / (60 + rank)), 9) AS rrf_score, CAST(max(CASE WHEN s = 'vector' THEN score END) AS DOUBLE) AS vector_score, CAST(max(CASE WHEN s = 'keyword' THEN score END) AS DOUBLE) AS keyword_score FROM u GROUP BY doc_id ORDER BY round(sum(w / (60 + rank)), 12) DESC, doc_id LIMIT 20")
 def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _ranked(table(spark, sf_dir, "documents"), [F.desc("n_chars"), F.col("doc_id")], 20).select(F.lit("vector").alias("signal"), "doc_id", "rank", F.col("n_chars").cast("double").alias("score"))
-    b = _ranked(table(spark, sf_dir, "labels"), [F.desc("quality"), F.col("doc_id")], 20).select(F.lit("keyword").alias("signal"), "doc_id", "rank", F.col("quality").cast("double").alias("score"))
+    b = _longest_good(spark, sf_dir).select(F.lit("keyword").alias("signal"), "doc_id", "rank", "score")
     return fusion.fuse_weighted(a.unionByName(b), "doc_id").select("doc_id", F.round("rrf_score", 9).alias("rrf_score"), "vector_score", "keyword_score")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import assess, conversation, tabular
+from docloom.operators.ordering import checkpoint_folder, checkpointed, removed
 from docloom.sources.tables import table
-from docloom.streaming import incremental
+from docloom.streaming import incremental, session_state
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -174,17 +177,36 @@ def stuck_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.stuck(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")
 
 
+@register("""
+WITH a AS (SELECT user_id, event_id, event_type, CAST(row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) = 1 AS INT) AS gain,
+CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS st, list(event_type) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW) AS l,
+sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) = 3 AS empty_run FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+b AS (SELECT *, sum(st) OVER o AS run, count(*) OVER r = 5 AND sum(gain) OVER r = 0 AS saturated FROM a WINDOW o AS (PARTITION BY user_id ORDER BY event_id), r AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY event_id) AS run_length, len(list_filter(l, lambda x: x = event_type)) AS in_recent FROM b)
+SELECT user_id, event_id AS step, gain, saturated, CAST(run_length AS INT) AS run_length, CAST(in_recent AS INT) AS in_recent, run_length >= 5 OR in_recent >= 5 AS is_stuck, empty_run FROM c""")
+def session_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same state kept on a stream that runs through the table once."""
+    folder = f"{checkpoint_folder(spark)}/session_stream_{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    try:
+        # as a pattern, so that the table may be a file or a folder of files
+        steps = session_state.steps_of_table(spark, f"{sf_dir}/events.parque[t]", e.schema, folder, files=1_000_000, session="user_id", step="event_id", tool="event_type", item="event_type", empty=F.col("value") < 20, idle_ms=366 * 86_400_000)
+        return checkpointed(steps)
+    finally:
+        removed(spark, folder)
+
+
 @register("SELECT user_id, event_id FROM (SELECT user_id, event_id, sum(CASE WHEN value < 20 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS s FROM events) WHERE s = 3")
 def empty_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation.empty_streaks(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("value") < 20)
 
 
 @register("""
-WITH n AS (SELECT source AS kb_id, lang AS memory_type, md5(text) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL),
-m AS (SELECT source AS kb_id, lang AS memory_type, md5(text) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
+WITH n AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL),
+m AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
 SELECT kb_id, memory_type, content, len(list_distinct(list_concat(coalesce(m.s, []), coalesce(n.s, [])))) AS sessions, CAST(CASE WHEN m.s IS NOT NULL AND n.s IS NOT NULL THEN 0.8 ELSE 0.7 END AS DOUBLE) AS score FROM m FULL JOIN n USING (kb_id, memory_type, content)""")
 def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), F.col("lang").alias("memory_type"), F.md5("text").alias("content"), F.lit(0.7).alias("score"), F.col("doc_id").cast("string").alias("session"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), F.col("lang").alias("memory_type"), F.md5(F.concat(F.lit("length "), F.expr("n_chars DIV 500").cast("string"))).alias("content"), F.lit(0.7).alias("score"), F.col("doc_id").cast("string").alias("session"))
     old = d.where("doc_id % 2 = 0").groupBy("kb_id", "memory_type", "content").agg(F.collect_set("session").alias("sessions"), F.max("score").alias("score"))  # every row is in one of the two
     out = conversation.upsert_memory(old, d.where("doc_id % 2 = 1"))
     return out.select("kb_id", "memory_type", "content", F.size("sessions").cast("long").alias("sessions"), F.round("score", 6).alias("score"))
