@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import assess, chunking, conversation, entities, fusion, graph, linking, search, vectors, wiki
+from docloom.operators import assess, chunking, conversation, entities, fusion, graph, linking, search, search_index, vectors, wiki
 from docloom.operators.ordering import checkpoint_folder, checkpointed, removed
 from docloom.plans.case_queries import NOTE, NOTES, PEOPLE, A, B, words
 from docloom.plans.graph_queries import CHAIN, _chain
@@ -342,3 +342,18 @@ def index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         removed(spark, out)
 
 
+@register(ORACLES["index_search"].replace("FROM documents", "FROM (SELECT * FROM documents WHERE lang IS DISTINCT FROM 'de')"))
+def segment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index kept up by three batches: half of the documents come with their source as text, then with their own, then
+    those of one language go."""
+    out = f"{checkpoint_folder(spark)}/segments_{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents")
+    late = F.col("doc_id") % 2 == 1
+    try:
+        index = search_index.SegmentIndex(spark, out)
+        index.update(0, d.select("doc_id", F.when(late, F.col("source")).otherwise(F.col("text")).alias("text")))
+        index.update(1, d.where(late).select("doc_id", "text"))
+        index.update(2, gone=d.where("lang = 'de'").select("doc_id"))
+        return checkpointed(index.search("Licensed under", 10).select("doc_id", F.round("rank", 6).alias("rank")))
+    finally:
+        removed(spark, out)
