@@ -81,8 +81,10 @@ def agrees_on(spark):
             turns, pages = turns.withColumn(c, F.lit(1)), pages.withColumn(c, F.lit("clash"))
         turns.withColumn("cid", F.lit(5)).repartition(3).write.parquet(f"{folder}/conversations.parquet")
         pages.withColumn("node", F.lit(5)).repartition(2).write.parquet(f"{folder}/pages.parquet")
+        labels = [(4, 1, 0), (5, 0, 1), (5, 1, 0), (None, 1, 1), (7, None, None), (10, 1, 1)]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("mask", F.lit(5)).repartition(2).write.parquet(f"{folder}/labels.parquet")
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations", "pages"):
+        for t in ("documents", "benchmark", "conversations", "pages", "labels"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
         df = query(spark, str(folder))
         columns = sorted(df.columns)
