@@ -202,13 +202,13 @@ def empty_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-WITH n AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 1 GROUP BY ALL),
-m AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL)
+WITH n AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id // 20 % 2 = 1 GROUP BY ALL),
+m AS (SELECT source AS kb_id, lang AS memory_type, md5('length ' || CAST(n_chars // 500 AS VARCHAR)) AS content, list_sort(list(DISTINCT CAST(doc_id AS VARCHAR))) AS s FROM documents WHERE doc_id // 20 % 2 = 0 GROUP BY ALL)
 SELECT kb_id, memory_type, content, len(list_distinct(list_concat(coalesce(m.s, []), coalesce(n.s, [])))) AS sessions, CAST(CASE WHEN m.s IS NOT NULL AND n.s IS NOT NULL THEN 0.8 ELSE 0.7 END AS DOUBLE) AS score FROM m FULL JOIN n USING (kb_id, memory_type, content)""")
 def memory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("kb_id"), F.col("lang").alias("memory_type"), F.md5(F.concat(F.lit("length "), F.expr("n_chars DIV 500").cast("string"))).alias("content"), F.lit(0.7).alias("score"), F.col("doc_id").cast("string").alias("session"))
-    old = d.where("doc_id % 2 = 0").groupBy("kb_id", "memory_type", "content").agg(F.collect_set("session").alias("sessions"), F.max("score").alias("score"))  # every row is in one of the two
-    out = conversation.upsert_memory(old, d.where("doc_id % 2 = 1"))
+    old = d.where("doc_id DIV 20 % 2 = 0").groupBy("kb_id", "memory_type", "content").agg(F.collect_set("session").alias("sessions"), F.max("score").alias("score"))  # every row is in one of the two
+    out = conversation.upsert_memory(old, d.where("doc_id DIV 20 % 2 = 1"))
     return out.select("kb_id", "memory_type", "content", F.size("sessions").cast("long").alias("sessions"), F.round("score", 6).alias("score"))
 
 

@@ -17,14 +17,16 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 def compile_incrementally(spark: SparkSession, source: str, schema, step: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str) -> StreamingQuery:
     """Files that appear under ``source`` go through ``step`` once; keys already in ``out`` are skipped, and of rows with one
-    key in a batch any one stays.
+    key in a batch the largest stays, column by column (columns that have no order, maps, are not compared).
 
     Each batch is written under its number, so a batch that is run again after a failure replaces itself. Of what is in
     ``out`` only the keys are read.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        batch = batch.dropDuplicates([key])
+        order = F.struct(*[F.col(c) for c in batch.columns if not batch.schema[c].dataType.simpleString().startswith(("map", "variant"))])
+        one = batch.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*batch.columns), order).alias("_row"))
+        batch = one.select("_row.*")
         if _exists(spark, out):
             done = spark.read.parquet(out).where(F.col("batch") != number).select(key).distinct()
             batch = batch.join(done, key, "left_anti")
