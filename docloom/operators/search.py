@@ -125,6 +125,14 @@ def grep_with_lines(docs: DataFrame, pattern: str, lines_around: int, doc: str =
     return d.select(doc, (F.col("i") + 1).alias("line_no"), F.substring("line", 1, 300).alias("line"), short(F.slice("lines", low + 1, F.col("i") - low)).alias("before"), short(F.slice("lines", F.col("i") + 2, F.lit(lines_around))).alias("after"))
 
 
+def grep_page(docs: DataFrame, pattern: str, lines_around: int, offset: int, limit: int, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """A page of ``grep_with_lines`` by document and line, each row with ``total``, the number of matching lines of all
+    documents. Texts are searched once: what is counted, sorted and paged are the short rows of the matches. A page beyond
+    the last row is empty."""
+    hits = checkpointed(grep_with_lines(docs, pattern, lines_around, doc, text))
+    return page_rows(hits, [F.col(doc), F.col("line_no"), F.col("line")], offset, limit)
+
+
 def files_with_matches(docs: DataFrame, pattern: str, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """Documents in which a line matches, once each."""
     lines = F.split(text, "\n")

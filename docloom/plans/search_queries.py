@@ -87,6 +87,14 @@ def grep_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.grep_with_lines(table(spark, sf_dir, "documents"), "reserved", 1)
 
 
+@register(rf"""
+WITH {LINES}, w AS (SELECT doc_id, line_no, line, lag(line[:200]) OVER o AS p, lead(line[:200]) OVER o AS n FROM lines WINDOW o AS (PARTITION BY doc_id ORDER BY line_no)),
+h AS (SELECT doc_id, CAST(line_no AS INT) AS line_no, line[:300] AS line, coalesce(p, '') AS before, coalesce(n, '') AS after FROM w WHERE regexp_matches(line, '(?i)reserved|licen[sc]e'))
+SELECT *, (SELECT count(*) FROM h) AS total FROM h ORDER BY doc_id, line_no OFFSET 5 LIMIT 20""")
+def grep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.grep_page(table(spark, sf_dir, "documents"), "reserved|licen[sc]e", 1, 5, 20)
+
+
 @register(rf"WITH {LINES} SELECT DISTINCT doc_id FROM lines WHERE regexp_matches(line, '(?i)version [0-9]')")
 def grep_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.files_with_matches(table(spark, sf_dir, "documents"), "version [0-9]")

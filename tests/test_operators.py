@@ -92,6 +92,12 @@ def test_tree_of_any_depth(spark):
     assert got == {str(i): i for i in range(25)}
 
 
+def test_pages_of_matching_lines(spark):
+    d = spark.createDataFrame([(1, "a hit\nb\nHIT again"), (2, None), (3, "hit"), (4, "")], "doc_id long, text string")
+    pages = [[(r.doc_id, r.line_no, r.before, r.total) for r in search.grep_page(d, "hit", 1, o, 2).collect()] for o in (0, 2, 4)]
+    assert pages == [[(1, 1, "", 3), (1, 3, "b", 3)], [(3, 1, "", 3)], []]
+
+
 def test_tree_with_cycles(spark):
     d = spark.createDataFrame([(1, None, "a"), (2, 1, "b"), (1, 2, "again"), (3, 2, "c"), (5, 6, "x"), (6, 5, "y"), (7, 7, "self")], "id long, parent_id long, title string")
     found = sorted((r.id, r.depth, r.path, r.is_leaf) for r in graph.tree(d, F.col("parent_id").isNull()).collect())
