@@ -231,9 +231,9 @@ def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wiki.orphans(pages, links, "page", "source", "target")
 
 
-@register("SELECT p_size, count(*) AS n FROM part WHERE p_partkey <= 100 GROUP BY 1 HAVING count(*) < 3")
+@register("SELECT concat_ws(' ', p_brand, p_size) AS kind, count(*) AS n FROM part GROUP BY 1 HAVING count(*) < 3")
 def sparse_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return wiki.sparse_types(table(spark, sf_dir, "part").where("p_partkey <= 100"), "p_size")
+    return wiki.sparse_types(table(spark, sf_dir, "part").withColumn("kind", F.concat_ws(" ", "p_brand", "p_size")), "kind")
 
 
 @register(f"""WITH {PART_LINKS}, o AS (SELECT count(*) AS n FROM ppages WHERE page NOT IN (SELECT source FROM plinks) AND page NOT IN (SELECT target FROM plinks) AND CAST(page AS INT) % 50 = 0),

@@ -114,12 +114,12 @@ def layer_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""WITH {NAMES}, k AS (SELECT * FROM ents WHERE confidence >= 0.3), i AS (SELECT lower(name) AS low, arg_max(id, seq) AS id FROM k GROUP BY 1),
-q AS (SELECT DISTINCT unnest(['S' || o_custkey % 50, 'the S' || o_orderkey % 45]) AS q FROM orders WHERE o_orderkey % 10 = 0),
+q AS (SELECT DISTINCT unnest(['S' || o_custkey % 50, 'the S' || o_orderkey % 45]) AS q FROM orders),
 f AS (SELECT q, arg_min(low, (p, seq)) AS low FROM (SELECT q, lower(k.name) AS low, k.seq, CASE WHEN lower(q) = lower(k.name) THEN 0 ELSE 1 END AS p FROM q JOIN k ON contains(lower(q), lower(k.name)) OR contains(lower(k.name), lower(q))) GROUP BY q),
-r AS (SELECT a.id AS source_id, b.id AS target_id, o_orderpriority AS relation_type FROM orders JOIN f x ON x.q = 'S' || o_custkey % 50 JOIN i a ON a.low = x.low JOIN f y ON y.q = 'the S' || o_orderkey % 45 JOIN i b ON b.low = y.low WHERE o_orderkey % 10 = 0)
+r AS (SELECT a.id AS source_id, b.id AS target_id, o_orderpriority AS relation_type FROM orders JOIN f x ON x.q = 'S' || o_custkey % 50 JOIN i a ON a.low = x.low JOIN f y ON y.q = 'the S' || o_orderkey % 45 JOIN i b ON b.low = y.low)
 SELECT entity_id, relation_type, count(*) AS n FROM (SELECT source_id AS entity_id, relation_type FROM r UNION ALL SELECT target_id, relation_type FROM r WHERE target_id <> source_id) GROUP BY ALL""")
 def report_relations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0")
+    o = table(spark, sf_dir, "orders")
     r = o.select(F.concat(F.lit("S"), (F.col("o_custkey") % 50).cast("string")).alias("source"), F.concat(F.lit("the S"), (F.col("o_orderkey") % 45).cast("string")).alias("target"), F.col("o_orderpriority").alias("relation_type"), F.lit(None).cast("double").alias("confidence"))
     return entities.reported(_entities(spark, sf_dir), r)[1].groupBy("entity_id", "relation_type").agg(F.count("*").alias("n"))
 
