@@ -19,89 +19,68 @@ def _grams(words: Column, k: int) -> Column:
     return F.when(F.size(words) >= k, runs).otherwise(F.array().cast("array<long>"))
 
 
-def _is_kept(gram: Column, span: int) -> Column:
-    """Whether ``gram``, the one at ``pos`` of ``grams``, is least in some window of ``span`` neighbours."""
-    n = F.size("grams")
-    least = []
-    for back in range(span):
-        start = F.col("pos") - back
-        around = [F.get("grams", start + j) for j in range(span)]
-        smallest = F.least(*around) if span > 1 else around[0]
-        least.append((start >= 0) & (start + span <= n) & (smallest == gram))
-    return reduce(Column.__or__, least)
+def _least(grams: Column, span: int) -> Column:
+    """The least gram of each window of ``span`` neighbours, by where the window starts."""
+    return F.when(F.size(grams) >= span, F.transform(F.sequence(F.lit(0), F.size(grams) - span), lambda i: F.least(*[F.get(grams, i + j) for j in range(span)], F.lit(2**63 - 1)))).otherwise(F.array().cast("array<long>"))
 
 
-def _winnowed(df: DataFrame, keep: list[str], k: int, span: int) -> DataFrame:
-    """``keep``, pos, gram: the k-grams that are least in some window of ``span`` neighbouring k-grams.
+def _placed(df: DataFrame, keep: list[str], k: int, span: int) -> DataFrame:
+    """``keep``, pos, w, gram: each word and the k-gram that starts with it, null unless it is least in some window of
+    ``span`` neighbouring k-grams. Rows are narrow: no array of a text leaves the step that takes it apart.
 
     Equal least k-grams are all kept. A run of k + span - 1 words that two texts share holds a whole window, and so a
     k-gram that is kept in both at the same place.
     """
-    d = df.withColumn("grams", _grams(F.col("words"), k)).select(*keep, "words", "grams", F.posexplode_outer("grams").alias("pos", "gram"))  # outer: no filter that computes the grams twice
-    return d.where(F.col("pos").isNotNull() & _is_kept(F.col("gram"), span)).select(*keep, "words", "pos", "gram")
+    d = df.withColumn("grams", _grams(F.col("words"), k)).withColumn("least", _least(F.col("grams"), span))
+    d = d.select(*keep, "grams", "least", F.posexplode_outer("words").alias("pos", "w"))  # outer: no filter that computes the words twice
+    gram = F.get("grams", F.col("pos"))
+    kept = reduce(Column.__or__, [F.get("least", F.col("pos") - back) == gram for back in range(span)])
+    return d.select(*keep, "pos", "w", F.when(kept, gram).alias("gram"))
 
 
-def _long_runs(df: DataFrame, keep: list[str], length: int, around: int) -> DataFrame:
-    """``keep``, s, length, run: the ``length``-word runs that start at most ``around`` words before ``pos``, up to it."""
-    low = F.greatest(F.lit(0), F.col("pos") - around)
-    high = F.least(F.col("pos"), F.size("words") - length)
-    starts = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
-    d = df.select(*keep, "words", F.explode_outer(starts).alias("s")).where("s IS NOT NULL")
-    return d.select(*keep, "s", F.lit(length).alias("length"), F.array_join(F.slice("words", F.col("s") + 1, F.lit(length)), " ").alias("run"))
-
-
-def _short_runs(df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep``, s, length, run: the runs from ``pos`` on of each of the row's ``lengths``."""
-    d = df.select(*keep, "words", F.col("pos").alias("s"), F.explode_outer("lengths").alias("length")).where(F.col("s") + F.col("length") <= F.size("words"))
-    return d.select(*keep, "s", "length", F.array_join(F.slice("words", F.col("s") + 1, F.col("length")), " ").alias("run"))
-
-
-def _reopened(docs: DataFrame, places: DataFrame, values: list[str]) -> DataFrame:
-    """The rows of ``docs`` (key, words) once for each of their ``places`` (key, then ``values``)."""
-    own = places.groupBy(F.col("_id").alias("p_id"), F.col("_hash").alias("p_hash")).agg(F.collect_set(F.struct(*values)).alias("places"))
-    same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_hash") == F.col("p_hash"))
-    d = docs.join(own, same).select("_id", "_hash", "words", F.explode("places").alias("p"))
-    return d.select("_id", "_hash", "words", *[F.col(f"p.{v}").alias(v) for v in values])
+def _candidates(docs: DataFrame, prints: DataFrame, begins: DataFrame, window: int, k: int, most_broadcast: int) -> DataFrame:
+    """_id, _hash, s, length: where a run of an item may stand in a document, by its k-grams and by first words of short items."""
+    key = ["_id", "_hash"]
+    places = _placed(docs, key, k, window - k + 1)
+    around = F.transform(F.sequence(F.greatest(F.lit(0), F.col("pos") - (window - k)), F.col("pos")), lambda s: F.struct(s.alias("s"), F.lit(window).alias("length")))
+    short = F.transform("lengths", lambda n: F.struct(F.col("pos").alias("s"), n.alias("length")))
+    none = F.array().cast("array<struct<s:int,length:int>>")
+    if is_small(prints, most_broadcast) and is_small(begins, most_broadcast):
+        d = places.join(F.broadcast(prints.withColumn("printed", F.lit(True))), "gram", "left").join(F.broadcast(begins), F.col("w") == F.col("first"), "left")
+        d = d.where("printed OR first IS NOT NULL")
+        at = [d.select(*key, F.concat(F.when(F.col("printed"), around).otherwise(none), F.coalesce(short, none)).alias("at"))]
+    else:
+        at = [places.where("gram IS NOT NULL").select(*key, "pos", "gram").join(prints, "gram").select(*key, around.alias("at"))]
+        at.append(places.select(*key, "pos", "w").join(begins, F.col("w") == F.col("first")).select(*key, short.alias("at")))
+    return reduce(DataFrame.union, at).select(*key, F.explode("at").alias("x")).select(*key, "x.s", "x.length")
 
 
 def _matches(docs: DataFrame, items: DataFrame, runs: DataFrame, window: int, k: int, most_broadcast: int) -> DataFrame:
     """_id, _hash, s, length, wid: where documents hold runs of the items.
 
-    Documents are taken apart once. A place counts if its k-gram was kept and is one of the items', or if its word begins
-    an item of fewer than ``window`` words; only there are runs put together and looked up.
+    Documents are taken apart into narrow rows. A place counts if its k-gram was kept and is one of the items', or if its
+    word begins an item of fewer than ``window`` words. Only texts with such places are opened again, and only there are
+    runs put together, inside the text's row, and looked up.
     """
     key = ["_id", "_hash"]
-    span = window - k + 1
-    prints = checkpointed(_winnowed(items.where(F.col("length") == window), [], k, span).select("gram").distinct())
+    full = items.where(F.col("length") == window)
+    prints = checkpointed(_placed(full, [], k, window - k + 1).where("gram IS NOT NULL").select("gram").distinct())
     short = runs.where(F.col("length") < window)
     begins = checkpointed(short.groupBy(F.substring_index("run", " ", 1).alias("first")).agg(F.collect_set("length").alias("lengths")))
-    looked = small_or_shuffled(runs.select("run", "length", "wid"), most_broadcast)
-    found = []
-    if begins.isEmpty():
-        kept = _winnowed(docs, key, k, span)
-        if is_small(prints, most_broadcast):
-            hit = kept.join(F.broadcast(prints), "gram")
-        else:  # shuffle narrow rows, then open only the texts that were hit
-            hit = _reopened(docs, kept.select(*key, "pos", "gram").join(prints, "gram"), ["pos"])
-        found.append(_long_runs(hit, key, window, window - k))
-    else:
-        d = docs.withColumn("grams", _grams(F.col("words"), k)).select(*key, "words", "grams", F.posexplode_outer("words").alias("pos", "w"))
-        d = d.withColumn("gram", F.when(_is_kept(F.get("grams", F.col("pos")), span), F.get("grams", F.col("pos"))))
-        if is_small(prints, most_broadcast) and is_small(begins, most_broadcast):
-            d = d.join(F.broadcast(prints.withColumn("printed", F.lit(True))), "gram", "left").join(F.broadcast(begins), F.col("w") == F.col("first"), "left")
-            d = d.where(F.col("printed") | F.col("first").isNotNull())
-            d = d.select(*key, "words", "pos", F.explode(F.array(F.struct("printed", F.lit(None).cast("array<int>").alias("lengths")), F.struct(F.lit(None).cast("boolean").alias("printed"), "lengths"))).alias("x"))
-            starts = F.when(F.col("x.printed"), F.sequence(F.greatest(F.lit(0), F.col("pos") - (window - k)), F.col("pos")))
-            ends = F.coalesce(F.col("x.lengths"), F.array(F.lit(window)))
-            d = d.select(*key, "words", F.explode(F.when(F.col("x.printed") | F.col("x.lengths").isNotNull(), F.coalesce(starts, F.array("pos")))).alias("s"), ends.alias("lengths"))
-            d = d.select(*key, "words", "s", F.explode("lengths").alias("length")).where(F.col("s") + F.col("length") <= F.size("words"))
-            found.append(d.select(*key, "s", "length", F.array_join(F.slice("words", F.col("s") + 1, F.col("length")), " ").alias("run")))
-        else:
-            places = d.select(*key, "pos", "w", "gram")
-            long = _reopened(docs, places.where("gram IS NOT NULL").join(prints, "gram"), ["pos"])
-            at = _reopened(docs, places.join(begins, F.col("w") == F.col("first")), ["pos", "lengths"])
-            found += [_long_runs(long, key, window, window - k), _short_runs(at, key)]
-    return reduce(DataFrame.union, found).join(looked, ["run", "length"]).select(*key, "s", "length", "wid")
+    words = words_of(ascii_lower(F.col("text"))).alias("words")
+    places = _candidates(docs.select(*key, words), prints, begins, window, k, most_broadcast)
+    places = checkpointed(places.groupBy(F.col("_id").alias("p_id"), F.col("_hash").alias("p_hash")).agg(F.collect_set(F.struct("s", "length")).alias("at")))
+    same = F.col("_id").eqNullSafe(F.col("p_id")) & (F.col("_hash") == F.col("p_hash"))
+    hit = places.select("p_id", "p_hash")
+    if (places.agg(F.sum(F.size("at"))).first()[0] or 0) <= most_broadcast:
+        places = F.broadcast(places)
+    elif is_small(hit, most_broadcast):  # only texts that may hold a run are shuffled
+        docs = docs.join(F.broadcast(hit), same, "left_semi")
+    d = docs.join(places, same).select(*key, words, "at")
+    inside = F.filter("at", lambda x: x["s"] + x["length"] <= F.size("words"))
+    found = F.transform(inside, lambda x: F.struct(x["s"].alias("s"), x["length"].alias("length"), F.array_join(F.slice("words", x["s"] + 1, x["length"]), " ").alias("run")))
+    found = d.select(*key, F.explode_outer(found).alias("x")).where("x IS NOT NULL").select(*key, "x.s", "x.length", "x.run")
+    return found.join(small_or_shuffled(runs.select("run", "length", "wid"), most_broadcast), ["run", "length"]).select(*key, "s", "length", "wid")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, most_broadcast: int = BROADCAST_ROWS) -> DataFrame:
@@ -125,13 +104,12 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     runs = checkpointed(runs.withColumn("wid", F.monotonically_increasing_id()))
     of_items = checkpointed(parts.where("item_id IS NOT NULL").join(runs, ["length", "run"]).select("wid", "item_id").distinct())
 
-    tokenised = docs.select(*row_key(), words_of(ascii_lower(F.col("text"))).alias("words"))
     key = ["_id", "_hash"]
     counted = docs.select(*row_key(), "doc_id", count_words(F.col("text"), SEPARATORS).alias("n_words"))
     nothing = F.sha2(F.lit(""), 256)
     if runs.isEmpty():
         return counted.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), nothing.alias("items_sha256"), F.lit(False).alias("contaminated"), "_id", "_hash")
-    hits = checkpointed(_matches(tokenised, items, runs, window, k, most_broadcast).distinct())
+    hits = checkpointed(_matches(docs.select(*row_key(), "text"), items, runs, window, k, most_broadcast).distinct())
     end = F.col("s") + F.col("length")
     before = F.max(end).over(Window.partitionBy(*key).orderBy("s", "length").rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), end - F.greatest(F.col("s"), F.coalesce(before, F.lit(0))))
