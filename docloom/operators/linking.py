@@ -1,31 +1,77 @@
-"""Names in texts, names in names, and prefixes: substring joins as equi-joins on the lengths that names have."""
+"""Names in texts by an automaton or, for large tables of names, by substrings; names in names; prefixes."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 from docloom.operators.ordering import checkpointed, small_or_shuffled
 
 #: Long texts are cut into blocks of so many characters, which overlap by the longest name.
 BLOCK_CHARS = 512
 
+#: Names are sent to the workers as an automaton up to so many characters of all names together, some 100 bytes each there.
+AUTOMATON_CHARS = 1_000_000
+#: Rows of hits that a worker gathers before it hands them on.
+HIT_ROWS = 10_000
+
 
 def _lengths(names: DataFrame, name: str) -> list[int]:
     """The different lengths of names, shortest first: as many numbers as the longest name has characters at most."""
     return sorted(r[0] for r in names.select(F.length(name)).distinct().collect())
 
 
-def named_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name") -> DataFrame:
-    """(key, name, at): names that stand anywhere in a text, with the 0-based place of the first occurrence.
-
-    Texts are cut into substrings of the lengths that names have, which meet the names in an equi-join. Null and empty texts and names never match; letters keep their case.
-    """
-    names = checkpointed(names.select(F.col(name).alias("name")).where("name != ''").distinct())
-    lengths = _lengths(names, "name")
-    if not lengths:
-        return texts.select(F.col(key), F.lit("").alias("name"), F.lit(0).alias("at")).limit(0)
-    d = texts.where(F.length(text) >= lengths[0]).select(F.col(key).alias("_k"), F.col(text).alias("_t"))
+@lru_cache(maxsize=1)
+def _automaton(names: Broadcast) -> ahocorasick.Automaton:
+    """The automaton of the names sent to a worker, built once there."""
+    found = ahocorasick.Automaton()
+    for name in names.value:
+        found.add_word(name, name)
+    found.make_automaton()
+    return found
+
+
+def _by_automaton(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """(_k, name, at) for each text (_k, _t), read once from left to right whatever the number of names."""
+    spark = texts.sparkSession
+    sent = spark.sparkContext.broadcast([r[0] for r in names.collect()])  # the caller has measured them
+    kind = texts.schema["_k"]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = _automaton(sent)
+        for batch in batches:
+            rows, found, at = [], [], []
+
+            def hits() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.string()), pa.array(at, pa.int32())], ["_k", "name", "at"])
+
+            for i, text in enumerate(batch.column(1)):
+                first: dict[str, int] = {}
+                for end, name in automaton.iter(text.as_py()):
+                    first.setdefault(name, end - len(name) + 1)
+                rows += [i] * len(first)
+                found += first.keys()
+                at += first.values()
+                if len(rows) >= HIT_ROWS:
+                    yield hits()
+                    rows, found, at = [], [], []
+            if rows:
+                yield hits()
+
+    schema = StructType().add(kind).add("name", StringType()).add("at", IntegerType())
+    return texts.mapInArrow(find, schema)
+
+
+def _by_substrings(texts: DataFrame, names: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_k, name, at): texts are cut into substrings of the lengths that names have, which meet the names in an equi-join."""
+    d = texts.where(F.length("_t") >= lengths[0])
     d = d.select("_k", "_t", F.explode(F.sequence(F.lit(0), F.length("_t") - 1, F.lit(BLOCK_CHARS))).alias("_b"))
     d = d.select("_k", "_b", F.substring(F.col("_t"), F.col("_b") + 1, F.lit(BLOCK_CHARS + lengths[-1] - 1)).alias("_t"))
     starts = F.sequence(F.lit(0), F.least(F.lit(BLOCK_CHARS), F.length("_t")) - 1)
@@ -34,7 +80,24 @@ def named_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     d = d.join(small_or_shuffled(names.select(F.substring("name", 1, lengths[0]).alias("_p")).distinct()), "_p", "left_semi")
     cuts = F.filter(F.array(*[F.when(F.length("_t") >= F.col("_s") + n, F.substring(F.col("_t"), F.col("_s") + 1, F.lit(n))) for n in lengths]), lambda x: x.isNotNull())
     d = d.select("_k", (F.col("_b") + F.col("_s")).alias("at"), F.explode(cuts).alias("name"))
-    found = d.join(small_or_shuffled(names), "name")
+    return d.join(small_or_shuffled(names), "name").select("_k", "name", "at")
+
+
+def named_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most_chars: int = AUTOMATON_CHARS) -> DataFrame:
+    """(key, name, at): names that stand anywhere in a text, with the 0-based place of the first occurrence.
+
+    Names of at most ``most_chars`` characters together go to the workers as an automaton (Aho and Corasick, 1975), and a
+    text makes a row for each name it holds; more names are joined with the texts' substrings, which gives the same rows.
+    Null and empty texts and names never match; letters keep their case; texts of one key count as one, the least place
+    of a name in any of them.
+    """
+    names = checkpointed(names.select(F.col(name).alias("name")).where("name != ''").distinct())
+    lengths = _lengths(names, "name")
+    if not lengths:
+        return texts.select(F.col(key), F.lit("").alias("name"), F.lit(0).alias("at")).limit(0)
+    d = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t != ''")
+    few = names.agg(F.sum(F.length("name"))).first()[0] <= most_chars
+    found = _by_automaton(d, names) if few else _by_substrings(d, names, lengths)
     return found.groupBy(F.col("_k").alias(key), "name").agg(F.min("at").alias("at"))
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators.quantiles import exact_quantiles
+
 # ---- fixed values: words that make a boolean column, formats of a date column, words that ask for counts, and what
 # column names may stand for words of a question
 BOOLEANS = ["true", "false", "是", "否", "对", "错", "1", "0"]
@@ -76,10 +78,12 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def numeric_distribution(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Mean, median, sample deviation (0 for a single value), least and greatest of each column's numbers, two places."""
+    """Mean, exact median, sample deviation (0 for a single value), least and greatest of each column's numbers, two places."""
     d = cells(rows, columns).select("column", number(F.col("value")).alias("x")).where("x IS NOT NULL")
     r = lambda c, name: F.round(c, 2).alias(name)
-    return d.groupBy("column").agg(r(F.avg("x"), "mean"), r(F.median("x"), "median"), r(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), "std"), r(F.min("x"), "min"), r(F.max("x"), "max"))
+    rest = d.groupBy("column").agg(r(F.avg("x"), "mean"), r(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), "std"), r(F.min("x"), "min"), r(F.max("x"), "max"))
+    medians = exact_quantiles(d, "column", "x", [0.5]).select("column", r(F.col("value"), "median"))
+    return rest.join(F.broadcast(medians), "column").select("column", "mean", "median", "std", "min", "max")
 
 
 def string_distribution(rows: DataFrame, columns: list[str], top: int = 15) -> DataFrame:

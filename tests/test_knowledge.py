@@ -143,3 +143,19 @@ def test_scalar_checks(spark):
         assess.interaction_state(F.lit(0.2), F.lit(3)).alias("i"),
     ).first()
     assert (r.a, r.b, r.c, r.d, r.e, r.f, r.g, r.h, r.i) == ([3.0, 5.0], [1.0, 2.5], None, "evidence", "method", "default", "2024-01-01", "$1,234.50", "low_relevance")
+
+
+def test_named_in_both_ways(spark):
+    """Automaton and substrings against a plain search: names in names, characters beyond 16 bits, keys that repeat."""
+    r = random.Random(3)
+    alphabet = "ab张😀 "
+    names = sorted({"".join(r.choice(alphabet) for _ in range(r.randint(1, 4))) for _ in range(60)})
+    rows = [(r.choice([1, 2, 3, None, *range(10, 60)]), "".join(r.choice(alphabet) for _ in range(r.choice([0, 1, 7, 600])))) for _ in range(80)] + [(9, None)]
+    want = {}
+    for key, text in rows:
+        for name in names:
+            if text and name in text:
+                want[key, name] = min(want.get((key, name), 10**9), text.index(name))
+    d, n = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([(x,) for x in names], "name string")
+    for most in (10**6, 0):
+        assert {(x.id, x.name): x["at"] for x in linking.named_in(d, "id", "t", n, most_chars=most).collect()} == want
