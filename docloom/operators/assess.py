@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from graphlib import CycleError, TopologicalSorter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import contains_any
+from docloom.operators.ordering import checkpointed, small_or_shuffled
 
 # ---- fixed values: words that choose a page's template, tried in this order; the first group only in technical domains.
 TECHNICAL_TEMPLATES = [
@@ -214,11 +218,52 @@ def cached_documents(documents: DataFrame, digest: str, cache: DataFrame) -> Dat
     return documents.join(known, F.col(digest) == F.col("_h"), "left").drop("_h")
 
 
+def cascaded(tables: dict[str, DataFrame], references: list[tuple[str, str, str, str]], gone: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables without the rows of ``gone`` and all that hangs on them, at any depth.
+
+    ``references`` are (child, column, parent, column): a child's row goes if its column holds a value that the parent's
+    column has in a row that goes. ``gone`` maps tables to (column of the same name as in the table) keys to start from.
+    A null refers to nothing; a table may have several parents; repeated rows go or stay together; tables that nothing
+    leads to come back as they are. References that form a cycle, a table that refers to itself among them, and tables
+    that are not there raise ValueError. Parents come before their children; only the keys of rows that go move on, in
+    distinct form.
+    """
+    parents: dict[str, set[str]] = {t: set() for t in tables}
+    for child, _, parent, _ in references:
+        if child not in tables or parent not in tables:
+            raise ValueError(f"no table {child if child not in tables else parent}")
+        parents[child].add(parent)
+    if any(t not in tables for t in gone):
+        raise ValueError("gone must name tables")
+    try:
+        order = list(TopologicalSorter(parents).static_order())
+    except CycleError as e:
+        raise ValueError(f"references form a cycle: {' -> '.join(e.args[1])}") from e
+    left, dead = dict(tables), {}  # dead: values of (table, column) in rows that go
+    for name in order:
+        t = tables[name]
+        causes = [(c, gone[name].select(F.col(c).alias("_gone")).distinct()) for c in gone[name].columns] if name in gone else []
+        causes += [(column, dead[parent, key]) for child, column, parent, key in references if child == name and (parent, key) in dead]
+        if not causes:
+            continue
+        causes = [(c, small_or_shuffled(checkpointed(values.where("_gone IS NOT NULL")))) for c, values in causes]
+        for column, values in causes:
+            left[name] = left[name].join(values, left[name][column] == values["_gone"], "left_anti")
+        for key in sorted({key for _, _, parent, key in references if parent == name}):
+            lost = [t.join(values, t[column] == values["_gone"], "left_semi").select(F.col(key).alias("_gone")) for column, values in causes]
+            dead[name, key] = reduce(DataFrame.union, lost).distinct()
+    return left
+
+
 def without_kb(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
-    """The tables without the knowledge bases in ``gone`` (kb_id); tables keyed by doc_id follow ``documents``."""
-    gone = gone.select("kb_id").distinct()
-    docs = tables["documents"].join(gone, "kb_id", "left_semi").select("doc_id").distinct()
-    return {n: t.join(gone, "kb_id", "left_anti") if "kb_id" in t.columns else t.join(docs, "doc_id", "left_anti") for n, t in tables.items()}
+    """The tables without the knowledge bases in ``gone`` (kb_id); tables keyed by doc_id follow ``documents``, tables keyed
+    by session_id follow ``sessions``."""
+    references = []
+    for name, t in tables.items():
+        for key, parent in (("doc_id", "documents"), ("session_id", "sessions")):
+            if "kb_id" not in t.columns and key in t.columns and parent in tables and name != parent:
+                references.append((name, key, parent, key))
+    return cascaded(tables, references, {n: gone.select("kb_id") for n, t in tables.items() if "kb_id" in t.columns})
 
 
 def banner_rows(cells: DataFrame, merges: DataFrame, first_rows: int = 5) -> DataFrame:

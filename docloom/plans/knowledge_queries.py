@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,6 +159,25 @@ def cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left["labels"].select("doc_id", "quality")
 
 
+@register("""WITH n AS (SELECT n_nationkey FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name NOT LIKE 'A%' AND n_nationkey <> 7),
+c AS (SELECT c_custkey FROM customer JOIN n ON c_nationkey = n_nationkey), s AS (SELECT s_suppkey FROM supplier JOIN n ON s_nationkey = n_nationkey),
+o AS (SELECT o_orderkey FROM orders JOIN c ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')
+SELECT 'region' AS "table", CAST(r_regionkey AS VARCHAR) AS key FROM region WHERE r_name NOT LIKE 'A%'
+UNION ALL SELECT 'nation', CAST(n_nationkey AS VARCHAR) FROM n UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM c UNION ALL SELECT 'supplier', CAST(s_suppkey AS VARCHAR) FROM s
+UNION ALL SELECT 'orders', CAST(o_orderkey AS VARCHAR) FROM o UNION ALL SELECT 'lineitem', l_orderkey || ':' || l_linenumber FROM lineitem JOIN o ON l_orderkey = o_orderkey JOIN s ON l_suppkey = s_suppkey
+UNION ALL SELECT 'part', CAST(p_partkey AS VARCHAR) FROM part""")
+def cascade_delete_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "orders": "o_orderkey", "part": "p_partkey"}
+    t = {n: table(spark, sf_dir, n) for n in (*keys, "lineitem")}
+    references = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey")]
+    references += [("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    gone = {"region": t["region"].where("r_name LIKE 'A%'").select("r_regionkey"), "nation": t["nation"].where("n_nationkey = 7").select("n_nationkey"), "orders": t["orders"].where("o_orderstatus = 'P'").select("o_orderkey")}
+    left = assess.cascaded(t, references, gone)
+    rows = [left[n].select(F.lit(n).alias("table"), F.col(k).cast("string").alias("key")) for n, k in keys.items()]
+    rows.append(left["lineitem"].select(F.lit("lineitem").alias("table"), F.concat("l_orderkey", F.lit(":"), "l_linenumber").alias("key")))
+    return reduce(DataFrame.union, rows)
+
+
 @register("""SELECT p_partkey, strftime(DATE '1899-12-30' + CAST(p_partkey AS INT), '%Y-%m-%d') AS date, printf('%.1f', p_size / 64.0 * 100) || '%' AS share, '¥' || format('{:,.2f}', p_partkey * 0.25) AS price, CAST(p_size AS VARCHAR) AS plain FROM part""")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = assess.formatted_number

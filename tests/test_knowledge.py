@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.operators import assess, entities, linking
@@ -159,3 +160,35 @@ def test_named_in_both_ways(spark):
     d, n = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([(x,) for x in names], "name string")
     for most in (10**6, 0):
         assert {(x.id, x.name): x["at"] for x in linking.named_in(d, "id", "t", n, most_chars=most).collect()} == want
+
+
+def test_cascade_of_any_depth(spark):
+    """All tables of a knowledge base, child first; two parents of one table, nulls, repeated rows, cycles refused."""
+    def t(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = {
+        "documents": t([("d1", "a"), ("d2", "b"), ("d3", None), ("d2", "b")], "doc_id string, kb_id string"),
+        "parts": t([("d1", 1), ("d2", 2), (None, 3), ("d9", 4)], "doc_id string, n long"),
+        "sessions": t([("s1", "a"), ("s2", "b")], "session_id string, kb_id string"),
+        "messages": t([("s1", "x"), ("s2", "y"), ("s2", "z")], "session_id string, text string"),
+        "entities": t([("e1", "a"), ("e2", "b")], "name string, kb_id string"),
+        "empty": t([], "name string, kb_id string"),
+    }
+    left = assess.without_kb(tables, t([("a",), ("a",), (None,)], "kb_id string"))
+    got = {n: sorted(tuple(str(v) for v in r) for r in d.collect()) for n, d in left.items()}
+    assert got == {
+        "documents": [("d2", "b"), ("d2", "b"), ("d3", "None")],
+        "parts": [("None", "3"), ("d2", "2"), ("d9", "4")],
+        "sessions": [("s2", "b")],
+        "messages": [("s2", "y"), ("s2", "z")],
+        "entities": [("e2", "b")],
+        "empty": [],
+    }
+    chain = {n: t([(i, i - 1 if i else None) for i in range(4)], "id long, up long") for n in "wxyz"}
+    links = [("x", "up", "w", "id"), ("y", "up", "x", "id"), ("z", "up", "y", "id"), ("z", "id", "w", "id")]
+    left = assess.cascaded(chain, links, {"w": t([(0,)], "id long")})
+    assert {n: sorted(r.id for r in d.collect()) for n, d in left.items()} == {"w": [1, 2, 3], "x": [0, 2, 3], "y": [0, 1, 3], "z": [1, 2]}
+    for bad in ([*links, ("w", "up", "z", "id")], [("w", "up", "w", "id")], [("w", "up", "v", "id")]):
+        with pytest.raises(ValueError):
+            assess.cascaded(chain, bad, {})
