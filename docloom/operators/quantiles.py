@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docloom.operators.ordering import checkpointed
 
 #: A range of at most so many rows is sorted by one task.
-RANGE_ROWS = 10_000
+RANGE_ROWS = 200_000
 #: A sketch gives the values at so many equal steps; its ranks are off by a tenth of a step at most.
 STEPS = 1000
 
