@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import ahocorasick
 import pyarrow as pa
@@ -17,8 +17,10 @@ from docloom.operators.ordering import checkpointed, small_or_shuffled
 #: Long texts are cut into blocks of so many characters, which overlap by the longest name.
 BLOCK_CHARS = 512
 
-#: Names are sent to the workers as an automaton up to so many characters of all names together, some 100 bytes each there.
+#: An automaton holds names of about so many characters together, some 100 bytes each.
 AUTOMATON_CHARS = 1_000_000
+#: Texts are read by so many automata at most, one after another; cutting them into substrings costs as much as some twenty.
+AUTOMATA = 16
 #: Rows of hits that a worker gathers before it hands them on.
 HIT_ROWS = 10_000
 
@@ -45,6 +47,8 @@ def _by_automaton(texts: DataFrame, names: DataFrame) -> DataFrame:
     kind = texts.schema["_k"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sent.value:
+            return
         automaton = _automaton(sent)
         for batch in batches:
             rows, found, at = [], [], []
@@ -86,8 +90,9 @@ def _by_substrings(texts: DataFrame, names: DataFrame, lengths: list[int]) -> Da
 def named_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str = "name", most_chars: int = AUTOMATON_CHARS) -> DataFrame:
     """(key, name, at): names that stand anywhere in a text, with the 0-based place of the first occurrence.
 
-    Names of at most ``most_chars`` characters together go to the workers as an automaton (Aho and Corasick, 1975), and a
-    text makes a row for each name it holds; more names are joined with the texts' substrings, which gives the same rows.
+    Names go to the workers as automata (Aho and Corasick, 1975) of about ``most_chars`` characters each, and a text makes
+    a row for each name it holds; where more than ``AUTOMATA`` would be needed, names are joined with the texts'
+    substrings, which gives the same rows.
     Null and empty texts and names never match; letters keep their case; texts of one key count as one, the least place
     of a name in any of them.
     """
@@ -96,8 +101,11 @@ def named_in(texts: DataFrame, key: str, text: str, names: DataFrame, name: str
     if not lengths:
         return texts.select(F.col(key), F.lit("").alias("name"), F.lit(0).alias("at")).limit(0)
     d = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t")).where("_t != ''")
-    few = names.agg(F.sum(F.length("name"))).first()[0] <= most_chars
-    found = _by_automaton(d, names) if few else _by_substrings(d, names, lengths)
+    parts = -(-names.agg(F.sum(F.length("name"))).first()[0] // max(1, most_chars))
+    if parts <= AUTOMATA:
+        found = reduce(DataFrame.union, [_by_automaton(d, names.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == i)) for i in range(parts)])
+    else:
+        found = _by_substrings(d, names, lengths)
     return found.groupBy(F.col("_k").alias(key), "name").agg(F.min("at").alias("at"))
 
 

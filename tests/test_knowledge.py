@@ -158,7 +158,7 @@ def test_named_in_both_ways(spark):
             if text and name in text:
                 want[key, name] = min(want.get((key, name), 10**9), text.index(name))
     d, n = spark.createDataFrame(rows, "id long, t string"), spark.createDataFrame([(x,) for x in names], "name string")
-    for most in (10**6, 0):
+    for most in (10**6, 40, 0):  # one automaton, several, substrings
         assert {(x.id, x.name): x["at"] for x in linking.named_in(d, "id", "t", n, most_chars=most).collect()} == want
 
 
