@@ -65,7 +65,7 @@ def build(chunks: DataFrame, entities: DataFrame, summaries: DataFrame) -> DataF
     at .2 less confidence, .5 at least. Bases are the dates as found, not as moved. Events of one date and first 50
     characters become one, with all their participants and documents and the largest confidence.
 
-    Names meet contexts by an equi-join on substrings; order comes from range partitions, so a knowledge base that holds
+    Names are found in contexts by ``named_in``; order comes from range partitions, so a knowledge base that holds
     a third of all rows never meets in one task.
     """
     none = F.array().cast("array<string>")
