@@ -177,11 +177,24 @@ def guarded_relations(relations: DataFrame, records: DataFrame, record: str, ite
     return paired(records, record, item).select(F.col("src").alias("subject"), F.lit("共现").alias("predicate"), F.col("dst").alias("object")).distinct()
 
 
+def scored(pairs: DataFrame, *others: str) -> DataFrame:
+    """(src, dst, adamic_adar, shared, affinity) of pairs with ``weight``, ``adamic_adar`` and ``shared``, each null where
+    there is none, and ``others``. What is missing counts as nothing: it is replaced before the limits, as ``least`` skips nulls."""
+    common, shared = F.coalesce("adamic_adar", F.lit(0.0)), F.coalesce("shared", F.lit(0.0))
+    by_weight = F.when(F.col("weight").isNull(), 0.0).otherwise(F.least(0.3 + 0.1 * F.col("weight"), F.lit(0.8)))
+    by_common = F.least(common / 5, F.lit(0.6))
+    affinity = F.least(F.lit(1.0), F.greatest(by_weight, by_common, 0.7 * shared))
+    return pairs.select("src", "dst", common.alias("adamic_adar"), shared.alias("shared"), affinity.alias("affinity"), *others)
+
+
 def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """(src, dst, adamic_adar, shared, affinity) of pairs with an edge (weight), a common neighbour or a common document.
 
     Co-occurrence gives min(.3 + .1 w, .8); the sum of 1 / ln(degree) over common neighbours gives min(a / 5, .6); the
     documents (name, doc) that mention both, as a share of the smaller set, give .7 times that. The largest counts.
+
+    The result holds all such pairs, so it grows with the square of a hub's neighbours: ``partners.affinity_of`` scores the
+    pairs that are asked for, ``partners.best_partners`` finds the best of every entity, neither by way of all pairs.
     """
     e = checkpointed(both_ways(edges))
     degree = checkpointed(e.groupBy(F.col("src").alias("via")).agg(F.count("*").alias("degree")).where("degree > 1"))
@@ -191,16 +204,13 @@ def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     if documents is None:
         d = d.withColumn("shared", F.lit(0.0))
     else:
-        m = documents.select("name", "doc").distinct()
+        m = documents.select("name", "doc").where("name IS NOT NULL AND doc IS NOT NULL").distinct()
         sizes = m.groupBy("name").agg(F.count("*").alias("n"))
         both = paired(m, "doc", "name").groupBy("src", "dst").agg(F.count("*").alias("both"))
         for end in ("src", "dst"):
             both = both.join(sizes.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), end)
         d = d.join(both.select("src", "dst", (F.col("both") / F.least("n_src", "n_dst")).alias("shared")), ["src", "dst"], "full_outer")
-    by_weight = F.coalesce(F.least(0.3 + 0.1 * F.col("weight"), F.lit(0.8)), F.lit(0.0))
-    by_common = F.coalesce(F.least(F.col("adamic_adar") / 5, F.lit(0.6)), F.lit(0.0))
-    by_documents = 0.7 * F.coalesce("shared", F.lit(0.0))
-    return d.select("src", "dst", F.coalesce("adamic_adar", F.lit(0.0)).alias("adamic_adar"), F.coalesce("shared", F.lit(0.0)).alias("shared"), F.least(F.lit(1.0), F.greatest(by_weight, by_common, by_documents)).alias("affinity"))
+    return scored(d)
 
 
 def set_overlap(a: Column, b: Column) -> Column:

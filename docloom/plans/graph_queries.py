@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators import communities, entities, graph, timeline, wiki
+from docloom.operators import communities, entities, graph, partners, timeline, wiki
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -89,7 +89,7 @@ cm AS (SELECT a.dst AS src, b.dst AS dst, sum(1 / ln(d)) AS aa FROM both_ways a
 dr AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(count(*) AS DOUBLE) AS w FROM chain WHERE src <> dst GROUP BY ALL)
 ,m AS (SELECT DISTINCT user_id AS name, strftime(ts, '%Y-%m-%d') AS doc FROM events WHERE event_type = 'error'), z AS (SELECT name, count(*) AS n FROM m GROUP BY name),
 sh AS (SELECT x.name AS src, y.name AS dst, count(*) / least(any_value(a.n), any_value(b.n)) AS shared FROM m x JOIN m y ON x.doc = y.doc AND x.name < y.name JOIN z a ON a.name = x.name JOIN z b ON b.name = y.name GROUP BY ALL)
-SELECT src, dst, round(coalesce(aa, 0), 6) AS adamic_adar, round(coalesce(shared, 0), 6) AS shared, round(CAST(least(1.0, greatest(coalesce(least(0.3 + 0.1 * w, 0.8), 0.0), coalesce(least(aa / 5, 0.6), 0.0), 0.7 * coalesce(shared, 0))) AS DOUBLE), 6) AS affinity FROM dr FULL JOIN cm USING (src, dst) FULL JOIN sh USING (src, dst)""")
+SELECT src, dst, round(coalesce(aa, 0), 6) AS adamic_adar, round(coalesce(shared, 0), 6) AS shared, round(CAST(least(1.0, greatest(CASE WHEN w IS NULL THEN 0.0 ELSE least(0.3 + 0.1 * w, 0.8) END, least(coalesce(aa, 0) / 5, 0.6), 0.7 * coalesce(shared, 0))) AS DOUBLE), 6) AS affinity FROM dr FULL JOIN cm USING (src, dst) FULL JOIN sh USING (src, dst)""")
 def affinity(spark: SparkSession, sf_dir: str) -> DataFrame:
     days = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("user_id").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("doc"))
     d = graph.affinity(_chain(spark, sf_dir).withColumn("weight", F.lit(1.0)), days)
@@ -259,3 +259,36 @@ def wiki_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.array("c_mktsegment").alias("aliases"), F.create_map(F.lit("segment"), F.col("c_mktsegment")).alias("attributes"))
     c = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("title"), F.lit(None).cast("string").alias("description"))
     return wiki.search(e, c, "12", 20)
+
+
+FOLLOWS = """follows AS (SELECT least(a.user_id, b.user_id) AS src, greatest(a.user_id, b.user_id) AS dst, CAST(count(*) AS DOUBLE) AS w FROM events a JOIN events b ON b.event_id = a.event_id + 1 WHERE a.user_id <> b.user_id GROUP BY ALL),
+f2 AS (SELECT src, dst, w FROM follows UNION ALL SELECT dst, src, w FROM follows), fd AS (SELECT src AS via, count(*) AS d FROM f2 GROUP BY src HAVING count(*) > 1),
+fc AS (SELECT a.dst AS src, b.dst AS dst, sum(1 / ln(d)) AS aa FROM f2 a JOIN f2 b ON a.src = b.src AND a.dst <> b.dst JOIN fd ON via = a.src GROUP BY ALL)"""
+
+
+def _follows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users whose events follow each other, weighted by how often."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("src"))
+    n = e.select((F.col("event_id") - 1).alias("event_id"), F.col("src").alias("dst"))
+    return e.join(n, "event_id").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+@register(f"""WITH {FOLLOWS}, s AS (SELECT src, dst, coalesce(aa, 0) AS aa, greatest(CASE WHEN w IS NULL THEN 0.0 ELSE least(0.3 + 0.1 * w, 0.8) END, least(coalesce(aa, 0) / 5, 0.6)) AS a FROM f2 FULL JOIN fc USING (src, dst))
+SELECT src AS name, dst AS partner, round(aa, 6) AS adamic_adar, round(CAST(a AS DOUBLE), 6) AS affinity, CAST(row_number() OVER (PARTITION BY src ORDER BY round(CAST(a AS DOUBLE), 9) DESC, dst) AS INT) AS position FROM s QUALIFY position <= 5""")
+def best_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = partners.best_partners(_follows(spark, sf_dir), 5)
+    return d.select("name", "partner", F.round("adamic_adar", 6).alias("adamic_adar"), F.round("affinity", 6).alias("affinity"), "position")
+
+
+@register(f"""WITH {FOLLOWS}, p AS (SELECT DISTINCT least(user_id, user_id * 7 % 100 + 1) AS src, greatest(user_id, user_id * 7 % 100 + 1) AS dst FROM events WHERE user_id <> user_id * 7 % 100 + 1),
+m AS (SELECT DISTINCT user_id AS name, strftime(ts, '%Y-%m-%d') AS doc FROM events), z AS (SELECT name, count(*) AS n FROM m GROUP BY name),
+b AS (SELECT p.src, p.dst, count(*) AS n_both FROM p JOIN m x ON x.name = p.src JOIN m y ON y.name = p.dst AND x.doc = y.doc GROUP BY ALL),
+s AS (SELECT p.src, p.dst, w, coalesce(aa, 0) AS aa, coalesce(n_both / least(zx.n, zy.n), 0) AS shared FROM p LEFT JOIN follows USING (src, dst) LEFT JOIN fc USING (src, dst) LEFT JOIN b USING (src, dst) LEFT JOIN z zx ON zx.name = p.src LEFT JOIN z zy ON zy.name = p.dst)
+SELECT src, dst, round(aa, 6) AS adamic_adar, round(shared, 6) AS shared, round(CAST(least(1.0, greatest(CASE WHEN w IS NULL THEN 0.0 ELSE least(0.3 + 0.1 * w, 0.8) END, least(aa / 5, 0.6), 0.7 * shared)) AS DOUBLE), 6) AS affinity FROM s""")
+def affinity_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user with one of a hundred others, scored by edges, common neighbours and common days."""
+    e = table(spark, sf_dir, "events")
+    asked = e.select(F.col("user_id").alias("src"), (F.col("user_id") * 7 % 100 + 1).alias("dst"))
+    days = e.select(F.col("user_id").alias("name"), F.date_format("ts", "yyyy-MM-dd").alias("doc"))
+    d = partners.affinity_of(asked, _follows(spark, sf_dir), days)
+    return d.select("src", "dst", *[F.round(c, 6).alias(c) for c in ("adamic_adar", "shared", "affinity")])

@@ -195,7 +195,7 @@ def summary_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(f"""WITH {CHAIN}, deg AS (SELECT src AS via, count(*) AS d FROM both_ways GROUP BY src HAVING count(*) > 1),
 cm AS (SELECT a.dst AS src, b.dst AS dst, sum(1 / ln(d)) AS aa FROM both_ways a JOIN both_ways b ON a.src = b.src AND a.dst <> b.dst JOIN deg ON deg.via = a.src WHERE a.dst = 5 GROUP BY ALL),
 dr AS (SELECT 5::BIGINT AS src, CASE WHEN src = 5 THEN dst ELSE src END AS dst, CAST(count(*) AS DOUBLE) AS w FROM chain WHERE src <> dst AND (src = 5 OR dst = 5) GROUP BY ALL),
-f AS (SELECT dst, greatest(coalesce(least(0.3 + 0.1 * w, 0.8), 0.0), coalesce(least(aa / 5, 0.6), 0.0)) AS a FROM dr FULL JOIN cm USING (src, dst))
+f AS (SELECT dst, greatest(CASE WHEN w IS NULL THEN 0.0 ELSE least(0.3 + 0.1 * w, 0.8) END, least(coalesce(aa, 0) / 5, 0.6)) AS a FROM dr FULL JOIN cm USING (src, dst))
 SELECT user_id, round(CAST(s * (1 + 0.3 * coalesce(a, 0)) AS DOUBLE), 6) AS boosted_score FROM (SELECT user_id, CAST(count(*) AS DOUBLE) AS s FROM events GROUP BY 1) LEFT JOIN f ON dst = user_id""")
 def affinity_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("s"))
