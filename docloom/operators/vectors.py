@@ -29,11 +29,16 @@ def unit(v: Column) -> Column:
     return F.when(length > 0, F.transform(d, lambda x: x / length)).otherwise(d)
 
 
-def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """The k rows with the largest cosine to the query, ties by key.
+def matrix(column: pa.Array, width: int) -> np.ndarray:
+    """A batch's vectors, which all have ``width`` numbers, as rows of a matrix."""
+    return np.asarray(column.flatten(), np.float64).reshape(-1, width)
+
+
+def best_of_batches(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """(key, score) of the k rows with the largest cosine to the query, ties by key.
 
     One product of Arrow batches with the query in each task, where all rows of a batch are scored at once and k of them
-    are kept, so what leaves a batch is bounded; the k best of those are looked up in ``vectors``.
+    are kept, so what leaves a batch is bounded.
     """
     q = np.asarray(query, np.float64)
     q = q / max(np.linalg.norm(q), 1e-300)
@@ -41,19 +46,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id",
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v = _matrix(batch.column(1), len(q))
+            v = matrix(batch.column(1), len(q))
             s = v @ q / np.maximum(np.linalg.norm(v, axis=1), 1e-300)
             order = np.lexsort((np.asarray(batch.column(0).to_pylist()), -s.round(9)))[:k]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(order)), pa.array(s[order])], [key, "score"])
 
     top = vectors.select(key, embedding).where(F.col(embedding).isNotNull()).mapInArrow(best, f"{key} {kind}, score double")
-    top = top.orderBy(F.desc(F.round("score", 9)), key).limit(k)
-    return vectors.join(F.broadcast(top), key).orderBy(F.desc(F.round("score", 9)), key)  # k rows
+    return top.orderBy(F.desc(F.round("score", 9)), key).limit(k)
 
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    """A batch's vectors, which all have ``width`` numbers, as rows of a matrix."""
-    return np.asarray(column.flatten(), np.float64).reshape(-1, width)
+def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """The k rows with the largest cosine to the query, ties by key, looked up in ``vectors`` with a ``score``."""
+    top = best_of_batches(vectors, query, k, key, embedding)
+    return vectors.join(F.broadcast(top), key).orderBy(F.desc(F.round("score", 9)), key)  # k rows
 
 
 def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", embedding: str = "embedding", block: int = 512) -> DataFrame:
@@ -84,7 +89,7 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
                 ids = np.array(batch.column(0).to_pylist())
                 if not len(ids):
                     continue
-                v = _matrix(batch.column(1), q.shape[1])
+                v = matrix(batch.column(1), q.shape[1])
                 v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
                 s = v @ q.T
                 for j, name in enumerate(names):

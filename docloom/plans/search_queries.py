@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
 from docloom.operators import chunking, fusion, search, vectors
-from docloom.operators.ordering import numbered
+from docloom.operators import vector_blocks as vector_index
+from docloom.operators.ordering import checkpoint_folder, checkpointed, numbered, removed
 from docloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -179,6 +182,20 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.nearest(v, query, 10).select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@register(f"SELECT v.vec_id, round({COSINE}, 6) AS score, CAST(row_number() OVER (ORDER BY round({COSINE}, 9) DESC, v.vec_id) AS INT) AS position FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 7) q QUALIFY position <= 20")
+def vector_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors written in blocks, of which a search reads those that may hold one of the best."""
+    v = table(spark, sf_dir, "embeddings")
+    folder = f"{checkpoint_folder(spark)}/blocks_{uuid.uuid4().hex}"
+    try:
+        vector_index.write_blocks(v, folder)
+        found, _ = vector_index.nearest_in_blocks(spark, folder, v.where("vec_id = 7").select("embedding").first()[0], 20)
+        found = checkpointed(found)
+    finally:
+        removed(spark, folder)
+    return found.select("vec_id", F.round("score", 6).alias("score"), F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "vec_id")).alias("position"))  # 20 rows
+
+
 @register(f"WITH s AS (SELECT q.vec_id AS query, v.vec_id, {COSINE} AS s FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(s, 9) DESC, vec_id) AS position FROM s) SELECT query, vec_id, round(s, 6) AS score, CAST(position AS INT) AS position FROM r WHERE position <= 5")
 def vector_search_many(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
