@@ -207,18 +207,63 @@ def table_question(rows: DataFrame, query: str, columns: list[str]) -> DataFrame
     taken, or the first two columns where none matches. A sample value of the measure that holds a term of the question
     becomes a filter. One job profiles all columns.
     """
-    info = {r["column"]: r for r in described(rows, columns).collect()}  # a row for each column
-    matched = [c for c, _ in match_columns([info[c].asDict() for c in columns], query)] or columns[:2]
+    info = {r["column"]: r.asDict() for r in described(rows, columns).collect()}  # a row for each column
+    return _planned(rows, query, columns, info)[1]
+
+
+def _planned(rows: DataFrame, query: str, columns: list[str], info: dict[str, dict]) -> tuple[str, DataFrame]:
+    """The column that ``table_question`` groups by, and its rows."""
+    matched = [c for c, _ in match_columns([info[c] for c in columns], query)] or columns[:2]
     dimensions = [c for c in matched if info[c]["unique_count"] > 20]
     measures = [c for c in matched if info[c]["unique_count"] <= 20]
     group = (dimensions or measures)[0]
     measure = next((c for c in measures if c != group), None)
     if measure is None:
-        return group_counts(rows, group)
+        return group, group_counts(rows, group)
     named = next((x for t in question_terms(query) for x in info[measure]["samples"] if t.lower() in x.lower()), None)
     if named is not None:
-        return group_counts(rows, group, where=F.trim(F.col(measure).cast("string")) == named)
-    return breakdown(rows, group, measure).select(F.col("group").alias("value"), F.col("total").alias("n")).distinct()
+        return group, group_counts(rows, group, where=F.trim(F.col(measure).cast("string")) == named)
+    return group, breakdown(rows, group, measure).select(F.col("group").alias("value"), F.col("total").alias("n")).distinct()
+
+
+def search_sheet(rows: DataFrame, query: str, columns: list[str], operation: str = "describe", most: int = 8, sampled: int = 5) -> DataFrame:
+    """(section, position, column, value, n): all that a question finds in a sheet.
+
+    ``column``: the columns that match the question, the best first (all, where none does), ``most`` at most, with their type
+    and number of values. ``top``: the five commonest values of each column that matches and holds text. ``finding``: what is
+    odd in any column. ``group``: a grouped count as ``table_question`` plans it, if ``operation`` is "aggregate" or the
+    question asks for counts. ``sample``, only for the operation "sample": the cells of the first ``sampled`` rows, ordered by
+    the listed columns from left to right (null first, numbers as numbers), with the row's number in ``n``.
+
+    One job profiles all columns; the driver sees a row for each. Blank cells are neither values nor samples' text: a null
+    stays null. An empty sheet has columns of the type empty and nothing else.
+    """
+    if operation not in ("describe", "aggregate", "sample"):
+        raise ValueError(f"unknown operation {operation!r}")
+    spark, profiles = rows.sparkSession, described(rows, columns)
+    info = {r["column"]: r.asDict() for r in profiles.collect()}  # a row for each column
+    blank = {"data_type": "empty", "unique_count": 0, "n_rows": 0, "null_count": 0, "samples": []}
+    info = {c: info.get(c, {"column": c} | blank) for c in columns}
+    matched = [c for c, _ in match_columns([info[c] for c in columns], query)]
+    listed = (matched or columns)[:most]
+    kind = "section string, position int, column string, value string, n long"
+    out = spark.createDataFrame([("column", i, c, info[c]["data_type"], info[c]["unique_count"]) for i, c in enumerate(listed, 1)], kind)
+    text = [c for c in matched if info[c]["data_type"] == "string"]
+    if text:
+        out = out.unionByName(string_distribution(rows, text, 5).select(F.lit("top").alias("section"), "position", "column", "value", "n"))
+    facts = spark.createDataFrame([(c, x["n_rows"], x["null_count"], x["unique_count"]) for c, x in info.items()], "column string, n_rows long, null_count long, unique_count long")
+    odd = findings(facts).select(F.lit("finding").alias("section"), F.row_number().over(Window.orderBy("column", "finding")).alias("position"), "column", F.col("finding").alias("value"), F.lit(None).cast("long").alias("n"))
+    out = out.unionByName(odd)  # a few rows a column
+    if (operation == "aggregate" or asks_for_counts(query)) and any(x["n_rows"] for x in info.values()):
+        group, counts = _planned(rows, query, columns, info)
+        place = F.row_number().over(Window.orderBy(F.desc("n"), F.col("value").cast("string"))).alias("position")  # 75 rows at most
+        out = out.unionByName(counts.select(F.lit("group").alias("section"), place, F.lit(group).alias("column"), F.col("value").cast("string").alias("value"), "n"))
+    if operation == "sample":
+        first = rows.select(*listed).orderBy(*listed).limit(sampled)
+        first = first.withColumn("_n", F.row_number().over(Window.orderBy(*listed)))  # those few rows
+        cell = F.posexplode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in listed])).alias("at", "c")
+        out = out.unionByName(first.select(F.col("_n").cast("long").alias("n"), cell).select(F.lit("sample").alias("section"), (F.col("at") + 1).alias("position"), "c.column", "c.value", "n"))
+    return out
 
 
 def analysis_report(rows: DataFrame, columns: list[str], sheet: str) -> DataFrame:

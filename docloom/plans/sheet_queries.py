@@ -107,3 +107,23 @@ def sheet_banners(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = n.select(F.col("n_regionkey").alias("sheet"), (F.col("n_nationkey") % 3 + 1).alias("row"), (F.col("n_nationkey") % 5).alias("col"), F.col("n_name").alias("value"))
     merges = sheets.where("sheet % 2 = 0").select("sheet", F.lit(0).alias("row"), F.lit(5).alias("col_span"))
     return assess.banner_rows(title.unionByName(body), merges)
+
+
+BUYERS = "p AS (SELECT c_mktsegment AS segment, c_nationkey AS nation FROM customer)"
+
+
+@register(f"""WITH {BUYERS}, listed AS (SELECT * FROM (VALUES ('count', 1, 'segment', 'string'), ('count', 2, 'nation', 'integer'), ('show', 1, 'nation', 'integer'), ('sample', 1, 'segment', 'string'), ('sample', 2, 'nation', 'integer')) AS t(question, position, "column", value)),
+u AS (SELECT 'segment' AS "column", count(DISTINCT segment) AS n FROM p UNION ALL SELECT 'nation', count(DISTINCT nation) FROM p),
+top AS (SELECT segment AS value, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, segment) AS position FROM p GROUP BY 1 QUALIFY position <= 5),
+g AS (SELECT nation, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, nation) AS position FROM p WHERE segment = 'BUILDING' GROUP BY 1 QUALIFY position <= 15),
+s AS (SELECT segment, nation, row_number() OVER (ORDER BY segment, nation) AS n FROM p QUALIFY n <= 5)
+SELECT question, 'column' AS section, CAST(position AS INT) AS position, "column", value, n FROM listed JOIN u USING ("column")
+UNION ALL SELECT q, 'top', CAST(position AS INT), 'segment', value, n FROM top, (VALUES ('count'), ('sample')) AS t(q)
+UNION ALL SELECT 'count', 'group', CAST(row_number() OVER (ORDER BY n DESC, CAST(nation AS VARCHAR)) AS INT), 'nation', CAST(nation AS VARCHAR), n FROM g
+UNION ALL SELECT 'sample', 'sample', 1, 'segment', segment, n FROM s UNION ALL SELECT 'sample', 'sample', 2, 'nation', CAST(nation AS VARCHAR), n FROM s""")
+def sheet_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three questions about customers: one asks for counts where a value is named, one shows a column, one asks for samples."""
+    p = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").alias("nation"))
+    asked = [("count", "count the nation where segment = BUILDING", "describe"), ("show", "show nation", "describe"), ("sample", "segment, nation", "sample")]
+    found = [tabular.search_sheet(p, question, ["segment", "nation"], how).withColumn("question", F.lit(name)) for name, question, how in asked]
+    return found[0].unionByName(found[1]).unionByName(found[2])
