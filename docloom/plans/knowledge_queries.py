@@ -49,10 +49,10 @@ def cited_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linking.by_prefix(p.withColumn("t", F.concat("p_brand", F.lit("-"), "p_name")), "p_partkey", "t", p, "p_brand")
 
 
-@register("WITH d AS (SELECT DISTINCT lower(p_brand) AS d FROM part WHERE p_size = 1), c AS (SELECT p_partkey, p_name || ' ' || p_brand AS reference FROM part) SELECT p_partkey, reference, EXISTS (SELECT 1 FROM d WHERE contains(lower(reference), d)) AS verified FROM c")
+@register("WITH d AS (SELECT DISTINCT lower(p_brand) AS d FROM part), c AS (SELECT p_partkey, p_name || ' ' || p_brand AS reference FROM part) SELECT p_partkey, reference, EXISTS (SELECT 1 FROM d WHERE contains(lower(reference), d)) AS verified FROM c")
 def verified_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", "p_size")
-    return linking.verified_references(p.withColumn("t", F.concat("p_name", F.lit(" "), "p_brand")), "p_partkey", "t", p.where("p_size = 1"), "p_brand")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name")
+    return linking.verified_references(p.withColumn("t", F.concat("p_name", F.lit(" "), "p_brand")), "p_partkey", "t", p, "p_brand")
 
 
 @register("""WITH r AS (SELECT o_custkey AS s, o_orderstatus AS p, l_suppkey AS o FROM orders JOIN lineitem ON l_orderkey = o_orderkey), e AS (SELECT s_suppkey AS name FROM supplier WHERE s_acctbal < 0)

@@ -199,3 +199,13 @@ def test_expanded_keeps_summaries_that_are_alike(spark):
     r = spark.createDataFrame(records, "doc_id string, chunk_ids array<string>, summary string, names array<string>")
     got = entities.expanded(spark.createDataFrame([("Ann",), ("Ann",)], "name string"), r).collect()
     assert sorted((x.name, x.doc_id, x.chunk_id or "") for x in got) == [("Ann", "d", "c1")] * 2 + [("Ann", "d", "c2")] * 2 + [("Ann", "e", "")]
+
+
+def test_references_are_checked_against_every_brand(spark):
+    from conftest import SMALL
+    from docloom.plans.knowledge_queries import verified_references
+
+    parts = spark.read.parquet(f"{SMALL}/part.parquet").collect()
+    brands = {p.p_brand.lower() for p in parts}
+    want = {p.p_partkey: any(b in f"{p.p_name} {p.p_brand}".lower() for b in brands) for p in parts}
+    assert {r.p_partkey: r.verified for r in verified_references(spark, SMALL).collect()} == want
