@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import cells
 from docloom.operators.ordering import checkpointed, small_or_shuffled
 
 #: Colours of node types.
@@ -195,22 +196,32 @@ def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
 
     The result holds all such pairs, so it grows with the square of a hub's neighbours: ``partners.affinity_of`` scores the
     pairs that are asked for, ``partners.best_partners`` finds the best of every entity, neither by way of all pairs.
+    Pairs are summed up in cells of two blocks of names, and are neither shuffled nor joined.
     """
     e = checkpointed(both_ways(edges))
-    degree = checkpointed(e.groupBy(F.col("src").alias("via")).agg(F.count("*").alias("degree")).where("degree > 1"))
-    common = paired(e, "src", "dst").join(small_or_shuffled(degree), F.col("r") == F.col("via")).groupBy("src", "dst").agg(F.sum(1 / F.ln("degree")).alias("adamic_adar"))
+    degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).where("degree > 1")
+    none = F.lit(None).cast("double")
+
+    def side(rows: DataFrame, kind: str, via: str, name: str, worth: Column, n: Column = none) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.col(via).cast("string").alias("id"), F.col(name).alias("name"), worth.cast("double").alias("worth"), n.cast("double").alias("n"))
+
+    # what two names may meet in: a neighbour, a document, and for an edge its smaller end, which the larger one looks up
     direct = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    d = direct.join(common, ["src", "dst"], "full_outer")
-    if documents is None:
-        d = d.withColumn("shared", F.lit(0.0))
-    else:
-        m = documents.select("name", "doc").where("name IS NOT NULL AND doc IS NOT NULL").distinct()
-        sizes = m.groupBy("name").agg(F.count("*").alias("n"))
-        both = paired(m, "doc", "name").groupBy("src", "dst").agg(F.count("*").alias("both"))
-        for end in ("src", "dst"):
-            both = both.join(sizes.select(F.col("name").alias(end), F.col("n").alias(f"n_{end}")), end)
-        d = d.join(both.select("src", "dst", (F.col("both") / F.least("n_src", "n_dst")).alias("shared")), ["src", "dst"], "full_outer")
-    return scored(d)
+    both = side(e.join(degree, e["src"] == degree["id"]).select("src", "dst", "degree"), "neighbour", "src", "dst", 1 / F.ln("degree"))
+    if documents is not None:
+        m = checkpointed(documents.select("name", "doc").where("name IS NOT NULL AND doc IS NOT NULL").distinct())
+        both = both.unionByName(side(m.join(m.groupBy("name").agg(F.count("*").alias("n")), "name"), "document", "doc", "name", F.lit(1.0), F.col("n")))
+    both = checkpointed(both)
+    left = both.unionByName(side(direct.select("src").distinct(), "edge", "src", "src", F.lit(1.0)))
+    right = both.unionByName(side(direct, "edge", "src", "dst", F.col("weight")))
+    block = cells.blocks(left.select("name").union(right.select("name")), "name")
+    left, right = left.join(block.withColumnRenamed("block", "a"), "name"), right.join(block.withColumnRenamed("block", "b"), "name")
+    pairs = cells.met(left, right, ["kind", "id"], ["name", "n"], ["name", "n", "worth"], upward=True).where("x.name < y.name")
+    worth = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("y.worth")))
+    d = pairs.groupBy("a", "b", F.col("x.name").alias("src"), F.col("y.name").alias("dst")).agg(
+        worth("edge").alias("weight"), worth("neighbour").alias("adamic_adar"), worth("document").alias("both"), F.max(F.least("x.n", "y.n")).alias("fewest")
+    )
+    return scored(d.withColumn("shared", F.col("both") / F.col("fewest")))
 
 
 def set_overlap(a: Column, b: Column) -> Column:

@@ -86,3 +86,16 @@ def test_star_makes_rows_in_proportion(spark):
     star = spark.range(1, size).selectExpr("0L AS src", "id AS dst", "1.0D AS weight")
     rows = partners.best_partners(star, 2).where("name != 0")
     assert rows.count() == 2 * (size - 1)
+
+
+def test_affinity_shuffles_no_pairs(spark):
+    """Pairs are made (Generate) below all that sums them up, and no exchange lies between; they agree with plain Python across blocks."""
+    rng = random.Random(11)
+    edges = [(rng.randrange(700), rng.randrange(700), 1.0) for _ in range(900)]
+    documents = [(rng.randrange(700), rng.randrange(9)) for _ in range(900)]
+    e, m = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(documents, "name long, doc long")
+    d = graph.affinity(e, m)
+    above = d._jdf.queryExecution().executedPlan().toString().split("Generate")[0]
+    assert "Exchange" not in above and "Join" not in above
+    got = {(r.src, r.dst): r.affinity for r in d.collect()}
+    assert got == pytest.approx({p: v[2] for p, v in plain(edges, documents).items() if v[2] > 0})
