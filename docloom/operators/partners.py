@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.operators import cells
 from docloom.operators.fusion import top_of_each
 from docloom.operators.graph import both_ways, scored
 from docloom.operators.ordering import checkpointed
@@ -56,6 +57,17 @@ def affinity_of(pairs: DataFrame, edges: DataFrame, documents: DataFrame | None
     return scored(d.join(both, ["src", "dst"], "left"))
 
 
+def _undecided(pairs: DataFrame, group: list[str], n: int) -> DataFrame:
+    """Of ``pairs`` (name, partner, low, high) those that may be among the n best of their group: no n others surely come
+    before them, by a larger ``low`` or by an equal one and a smaller name."""
+    best = Window.partitionBy(*group).orderBy(F.desc("_low"), "partner")
+    d = pairs.withColumn("_low", F.round("low", DIGITS))
+    d = d.withColumn("_place", F.row_number().over(best))
+    d = d.withColumn("_nth", F.max(F.when(F.col("_place") == n, F.struct("_low", "partner"))).over(Window.partitionBy(*group)))
+    after = (F.col("high") < F.col("_nth._low") - MARGIN) | ((F.round("high", DIGITS) == F.col("_nth._low")) & (F.col("partner") > F.col("_nth.partner")))
+    return d.where(~F.coalesce(after, F.lit(False))).drop("_low", "_place", "_nth")
+
+
 def best_partners(edges: DataFrame, n: int) -> DataFrame:
     """(name, partner, adamic_adar, affinity, position): for every entity the n with the largest affinity by edges and common
     neighbours, ties by name; exact, and with all partners of those that have fewer. Null names have no edges.
@@ -92,12 +104,25 @@ def best_partners(edges: DataFrame, n: int) -> DataFrame:
     rule = top.join(by_class, "name", "left").join(bound, "name")
     rule = checkpointed(rule.select("name", "bound", "from_class", F.when(F.col("from_class").isNull(), F.col("largest")).alias("largest"), F.coalesce("skipped", "largest_w").alias("skipped")))
 
-    kept = links.join(rule, "name").where(F.coalesce(F.col("class") < F.col("from_class"), F.col("of") != F.col("largest"))).select("name", "of", "w")
-    wedges = kept.join(e.select(F.col("name").alias("partner"), "of"), "of").where("name != partner").groupBy("name", "partner").agg(F.sum("w").alias("through"))
-    found = known.select("name", "partner", "weight").join(wedges, ["name", "partner"], "full_outer").join(rule.select("name", "bound", "skipped"), "name", "left")
-    # a name without a rule has no wedges at all
-    most = scored(found.select(*as_pair, "weight", (F.coalesce("through", F.lit(0.0)) + F.coalesce("skipped", F.lit(0.0))).alias("adamic_adar"), F.lit(0.0).alias("shared"), "bound"), "bound")
-    left = checkpointed(most.where(F.col("affinity") >= F.coalesce("bound", F.lit(0.0)) - MARGIN).select("src", "dst"))
+    kept = links.join(rule, "name").where(F.coalesce(F.col("class") < F.col("from_class"), F.col("of") != F.col("largest")))
+    # partners meet a name in a kept neighbour, or are already known to it; what belongs to the name lies on the left
+    block = cells.blocks(e, "name")
+    a, b = block.withColumnRenamed("block", "a"), block.withColumnRenamed("block", "b")
+    limits = known.select("name").distinct().join(rule.select("name", "bound", "skipped"), "name", "left").fillna(0.0)  # a name without a rule has no wedges at all
+    mine = kept.select(F.lit("through").alias("kind"), "of", "name", "w", "bound", "skipped").unionByName(limits.select(F.lit("known").alias("kind"), F.col("name").alias("of"), "name", F.lit(0.0).alias("w"), "bound", "skipped"))
+    theirs = e.select(F.lit("through").alias("kind"), "of", F.col("name").alias("partner"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("seen"))
+    theirs = theirs.unionByName(known.select(F.lit("known").alias("kind"), F.col("name").alias("of"), "partner", "weight", F.col("adamic_adar").alias("seen")))
+    met = cells.met(mine.join(a, "name"), theirs.join(b.withColumnRenamed("name", "partner"), "partner"), ["kind", "of"], ["name", "w", "bound", "skipped"], ["partner", "weight", "seen"])
+    found = met.where("x.name != y.partner").groupBy("a", "b", F.col("x.name").alias("name"), F.col("y.partner").alias("partner")).agg(
+        F.max("y.weight").alias("weight"), F.sum("x.w").alias("through"), F.max(F.coalesce("y.seen", F.lit(0.0))).alias("seen"), F.max("x.bound").alias("bound"), F.max("x.skipped").alias("skipped")
+    )
+    # the score lies between what is found and that with all that was skipped
+    zero = F.lit(0.0).alias("shared")
+    low = scored(found.select(*as_pair, "weight", F.greatest("through", "seen").alias("adamic_adar"), zero, "a", "b", "name", "partner", "through", "bound", "skipped"), "a", "b", "name", "partner", "weight", "through", "bound", "skipped").withColumnRenamed("affinity", "low")
+    high = scored(low.select(*as_pair, "weight", (F.col("through") + F.col("skipped")).alias("adamic_adar"), zero, "a", "b", "low", "bound"), "a", "b", "low", "bound").withColumnRenamed("affinity", "high")
+    near = high.where(F.col("high") >= F.col("bound") - MARGIN).select("a", "b", F.col("src").alias("name"), F.col("dst").alias("partner"), "low", "high")
+    left = _undecided(_undecided(near, ["a", "b", "name"], n), ["name"], n)  # first inside a cell, where pairs lie already
+    left = checkpointed(left.select(F.col("name").alias("src"), F.col("partner").alias("dst")))
     scores = checkpointed(affinity_of(left, edges))
     low, high = F.least("src", "dst"), F.greatest("src", "dst")
     asked = left.select(F.col("src").alias("name"), F.col("dst").alias("partner"), low.alias("src"), high.alias("dst"))

@@ -99,3 +99,22 @@ def test_affinity_shuffles_no_pairs(spark):
     assert "Exchange" not in above and "Join" not in above
     got = {(r.src, r.dst): r.affinity for r in d.collect()}
     assert got == pytest.approx({p: v[2] for p, v in plain(edges, documents).items() if v[2] > 0})
+
+
+def test_partners_that_tie_at_a_limit(spark):
+    """An edge of weight 3 and many common neighbours both give 0.6; as numbers they differ in the last bit, and names decide."""
+    edges = [(h, i, 1.0) for h in range(100, 108) for i in range(3)] + [(0, 9, 3.0)]
+    got = {(r.name, r.partner, r.position): round(r.affinity, 6) for r in partners.best_partners(spark.createDataFrame(edges, "src long, dst long, weight double"), 2).collect()}
+    assert got == best(edges, 2)
+    assert {(0, 1, 1), (0, 2, 2)} <= set(got)
+
+
+def test_partners_leave_few_pairs_to_score(spark, monkeypatch):
+    """In a dense graph whose scores are alike, what is scored once more is less than half of all pairs."""
+    rng = random.Random(2)
+    edges = [(rng.randrange(120), rng.randrange(120), 1.0) for _ in range(2_000)]
+    asked, score = [], partners.affinity_of
+    monkeypatch.setattr(partners, "affinity_of", lambda pairs, *a: asked.append(pairs.count()) or score(pairs, *a))
+    got = {(r.name, r.partner, r.position): round(r.affinity, 6) for r in partners.best_partners(spark.createDataFrame(edges, "src long, dst long, weight double"), 3).collect()}
+    assert got == best(edges, 3)
+    assert asked[0] <= 120 * 119 // 2
