@@ -213,7 +213,7 @@ def hits(text: Column, words: list[str]) -> Column:
 
 def tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits; a run of CJK characters is one token."""
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
 def token_estimate(text: Column) -> Column:

@@ -9,7 +9,10 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import tokens
-from docloom.operators.ordering import checkpointed
+from docloom.operators.ordering import checkpointed, removed, small_or_shuffled
+
+#: Postings that a task sorts, about.
+TASK_POSTINGS = 1_000_000
 
 
 def postings(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -23,6 +26,45 @@ def document_lengths(chunks: DataFrame, doc: str = "doc_id", text: str = "text")
     return chunks.select(F.col(doc), F.coalesce(F.size(tokens(F.col(text))), F.lit(0)).alias("n_tokens"))
 
 
+def once(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, text): each document once, of rows with one id the one with the largest text. Ids alone are shuffled, and
+    texts only where their id comes twice."""
+    rows, again = chunks.select(doc, text), F.col(doc).eqNullSafe(F.col("_twice"))
+    twice = checkpointed(rows.groupBy(F.col(doc).alias("_twice")).agg(F.count("*").alias("_n")).where("_n > 1").select("_twice"))
+    if twice.isEmpty():
+        return rows
+    twice = small_or_shuffled(twice)
+    largest = rows.join(twice, again, "left_semi").groupBy(doc).agg(F.max(text).alias(text))
+    return rows.join(twice, again, "left_anti").unionByName(largest)
+
+
+def counted_terms(chunks: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc, n_tokens, terms: array of (term, tf) by term) of each row, all within the row: its tokens are sorted, and a
+    term's count is the distance to where the next one begins. No task holds more than a row's tokens."""
+    d = chunks.select(F.col(doc), F.sort_array(F.coalesce(tokens(F.col(text)), F.array().cast("array<string>"))).alias("_w"))
+    n = F.size("_w")
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    d = d.select(doc, "_w", F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))).alias("_at"))
+    tf = lambda i, k: F.coalesce(F.get("_at", k + 1), F.size("_w")) - i
+    terms = F.transform("_at", lambda i, k: F.struct(F.get("_w", i).alias("term"), tf(i, k).cast("long").alias("tf")))
+    return d.select(doc, F.size("_w").alias("n_tokens"), terms.alias("terms"))
+
+
+def postings_of(counted: DataFrame, doc: str = "doc_id") -> DataFrame:
+    """(term, doc, tf) of what ``counted_terms`` gives."""
+    return counted.select(doc, F.explode("terms").alias("_t")).select("_t.term", doc, "_t.tf")
+
+
+def n_postings(counted: DataFrame) -> int:
+    return counted.agg(F.sum(F.size("terms"))).first()[0] or 0
+
+
+def write_sorted(rows: DataFrame, most: int, out: str, doc: str = "doc_id") -> None:
+    """Postings, ``most`` or fewer, sorted by term and document. A task sorts about ``TASK_POSTINGS`` of them, however many there are."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // TASK_POSTINGS))
+    rows.repartitionByRange(parts, "term", doc).sortWithinPartitions("term", doc).write.mode("overwrite").parquet(out)
+
+
 def query_terms(spark: SparkSession, query: str) -> list[str]:
     """The different tokens of a query, sorted."""
     return sorted({r[0] for r in spark.range(1).select(F.explode(tokens(F.lit(query)))).collect()})
@@ -61,10 +103,14 @@ def bm25(chunks: DataFrame, query: str, k: int, doc: str = "doc_id", text: str =
 
 def write_index(chunks: DataFrame, out: str, doc: str = "doc_id", text: str = "text") -> None:
     """The inverted index as two tables below ``out``: postings sorted by term, so that a search reads few row groups, and
-    lengths. Written anew each time, so chunks that come twice are in it once."""
-    once = chunks.dropDuplicates([doc])
-    postings(once, doc, text).repartitionByRange("term", doc).sortWithinPartitions("term", doc).write.mode("overwrite").parquet(f"{out}/postings")
-    document_lengths(once, doc, text).write.mode("overwrite").parquet(f"{out}/lengths")
+    lengths. Written anew each time, so chunks that come twice are in it once. Texts are taken apart once, into a table
+    that is there until both are written."""
+    spark = chunks.sparkSession
+    counted_terms(once(chunks, doc, text), doc, text).write.mode("overwrite").parquet(f"{out}/counted")
+    counted = spark.read.parquet(f"{out}/counted")
+    write_sorted(postings_of(counted, doc), n_postings(counted), f"{out}/postings", doc)
+    counted.select(doc, "n_tokens").write.mode("overwrite").parquet(f"{out}/lengths")
+    removed(spark, f"{out}/counted")
 
 
 def bm25_of_index(spark: SparkSession, index: str, query: str, k: int, doc: str = "doc_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:

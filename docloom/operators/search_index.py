@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.ordering import checkpointed, removed, small_or_shuffled
-from docloom.operators.search import _ranked, document_lengths, postings, query_terms
+from docloom.operators.search import _ranked, counted_terms, n_postings, once, postings_of, query_terms, write_sorted
 
 #: Newest segments are merged as long as the next older one has at most so many times their rows together.
 MERGE_FACTOR = 1.0
@@ -50,10 +50,9 @@ class SegmentIndex:
     def _read(self, what: str, segments: list) -> DataFrame:
         return self.spark.read.parquet(*[f"{self.index}/{what}/{s['low']}_{s['high']}" for s in segments])
 
-    def _written(self, low: int, high: int, terms: DataFrame, documents: DataFrame) -> Row:
+    def _written(self, low: int, high: int, terms: DataFrame, most: int, documents: DataFrame) -> Row:
         stamp = F.lit(high).cast("long").alias("segment")
-        sorted_terms = terms.select("term", self.doc, "tf", stamp).repartitionByRange("term", self.doc).sortWithinPartitions("term", self.doc)
-        sorted_terms.write.mode("overwrite").parquet(f"{self.index}/postings/{low}_{high}")
+        write_sorted(terms.select("term", self.doc, "tf", stamp), most, f"{self.index}/postings/{low}_{high}", self.doc)
         documents.select(self.doc, "n_tokens", stamp).write.mode("overwrite").parquet(f"{self.index}/documents/{low}_{high}")
         n = self.spark.read.parquet(f"{self.index}/documents/{low}_{high}").count()
         return Row(low=low, high=high, n_rows=n, counts=True)
@@ -82,8 +81,9 @@ class SegmentIndex:
         counting = self._counting()
         kind = next(d.schema[self.doc].dataType.simpleString() for d in (put, gone) if d is not None)
         put = self.spark.createDataFrame([], f"`{self.doc}` {kind}, `{self.text}` string") if put is None else put
-        new = checkpointed(put.where(F.col(self.doc).isNotNull()).groupBy(self.doc).agg(F.max(self.text).alias(self.text)))
-        documents = document_lengths(new, self.doc, self.text).withColumn("n_tokens", F.col("n_tokens").cast("long"))
+        counted_terms(once(put.where(F.col(self.doc).isNotNull()), self.doc, self.text), self.doc, self.text).write.mode("overwrite").parquet(f"{self.index}/counted")
+        new = self.spark.read.parquet(f"{self.index}/counted")
+        documents = new.select(self.doc, F.col("n_tokens").cast("long").alias("n_tokens"))
         if gone is not None:
             out = gone.select(self.doc).where(F.col(self.doc).isNotNull()).distinct().join(new.select(self.doc), self.doc, "left_anti")
             documents = documents.unionByName(out.withColumn("n_tokens", F.lit(None).cast("long")))
@@ -93,7 +93,8 @@ class SegmentIndex:
             touched = self._read("documents", counting).join(small_or_shuffled(documents.select(self.doc)), self.doc, "left_semi")
             before = self._newest(touched).agg(F.count("n_tokens").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
         added = documents.agg(F.count("n_tokens").alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("t")).first()
-        segments = [*counting, self._written(batch, batch, postings(new, self.doc, self.text), documents)]
+        segments = [*counting, self._written(batch, batch, postings_of(new, self.doc), n_postings(new), documents)]
+        removed(self.spark, f"{self.index}/counted")
         segments = [*self._merged(segments)]
         self._commit(segments, self.totals["n_docs"] - before["n"] + added["n"], self.totals["n_tokens"] - before["t"] + added["t"])
         return True
@@ -111,7 +112,7 @@ class SegmentIndex:
         newest = checkpointed(self._newest(self._read("documents", old)))
         kept = newest if j else newest.where("n_tokens IS NOT NULL")  # marks are of use only to older segments
         terms = self._read("postings", old).join(newest.where("n_tokens IS NOT NULL").select(self.doc, "segment"), [self.doc, "segment"])
-        merged = self._written(old[0]["low"], old[-1]["high"], terms, kept)
+        merged = self._written(old[0]["low"], old[-1]["high"], terms, self._read("postings", old).count(), kept)
         return [*segments[:j], merged, *(Row(low=s["low"], high=s["high"], n_rows=s["n_rows"], counts=False) for s in old)]
 
     def search(self, query: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -47,3 +47,21 @@ def test_index_without_documents(spark, tmp_path):
     assert index.update(4, d) and rows_of(index.search("beta", 3)) == rows_of(search.bm25(spark.createDataFrame([(1, "alpha beta"), (2, "")], KIND), "beta", 3))
     assert index.update(5, gone=d.select("doc_id")) and index.search("alpha", 3).count() == 0 and index.totals["n_docs"] == 0
     assert not index.update(2, d)
+
+
+def test_terms_are_counted_within_rows_and_sorted_in_bounded_parts(spark, tmp_path, monkeypatch):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["Alpha", "beta", "ÄB", "x1", "法律"]) for _ in range(rng.randrange(0, 30)))) for i in range(50)] + [(50, None), (51, ""), (None, "beta"), (3, "zz beta"), (3, "alpha")]
+    d = spark.createDataFrame(rows, KIND)
+    kept = search.once(d)
+    assert sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect()) == list(range(52)) and kept.where("doc_id IS NULL").count() == 1
+    assert kept.where("doc_id = 3").first().text == max(t for i, t in rows if i == 3)
+    counted = search.counted_terms(kept)
+    assert sorted(map(tuple, search.postings_of(counted).collect()), key=str) == sorted(map(tuple, search.postings(kept).collect()), key=str)
+    assert sorted(map(tuple, counted.select("doc_id", "n_tokens").collect()), key=str) == sorted(map(tuple, search.document_lengths(kept).collect()), key=str)
+    single = search.counted_terms(d)._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in single and "Exchange" not in single  # no task gathers the terms of many documents
+    monkeypatch.setattr(search, "TASK_POSTINGS", 10)
+    search.write_index(d, str(tmp_path / "i"))
+    found = spark.read.parquet(str(tmp_path / "i" / "postings"))
+    assert found.count() == search.postings(kept).count() and len(found.inputFiles()) > 8  # many small sorts, not one for each shuffle partition
