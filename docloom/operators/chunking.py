@@ -121,11 +121,34 @@ def row_batches(rows: DataFrame, group: str, order: str, cells: list[str], size:
     return parts.select(group, "batch", "n_rows", F.concat(first, F.lit(header + "\n"), F.array_join("lines.line", "\n")).alias("content"))
 
 
-def overlap_length(before: Column, after: Column, least: int = 6, most: int = 500) -> Column:
-    """The longest end of one text that begins the other, between two bounds; 0 if there is none."""
+def overlap_length(before: Column, after: Column, least: int = 6, most: int = 500, tries: int = 3) -> Column:
+    """The longest end of one text that begins the other, between two bounds; 0 if there is none.
+
+    Such an end begins where the other text's first ``least`` characters stand. These places are looked at from the longest
+    end on; only where the first few do not do are all shorter ends compared.
+    """
     top = F.least(F.length(before), F.length(after), F.lit(most))
-    sizes = F.when(top >= least, F.sequence(F.lit(least), top)).otherwise(F.array().cast("array<int>"))
-    return F.coalesce(F.array_max(F.filter(sizes, lambda n: F.right(before, n) == F.substring(after, F.lit(1), n))), F.lit(0))
+    head = F.substring(after, 1, least)
+
+    def shorter(p: Column) -> Column:
+        sizes = F.when(F.length(before) - p >= least, F.sequence(F.lit(least), F.length(before) - p)).otherwise(F.array().cast("array<int>"))
+        return F.array_max(F.filter(sizes, lambda n: F.startswith(after, F.right(before, n))))
+
+    def end_at(p: Column, left: int) -> Column:
+        rest = end_at(F.call_function("locate", head, before, p + 1), left - 1) if left else shorter(p)
+        return F.when(p > 0, F.when(F.startswith(after, F.substring(before, p, F.length(before))), F.length(before) - p + 1).otherwise(rest))
+
+    first = F.call_function("locate", head, before, F.length(before) - top + 1)
+    return F.coalesce(F.when(top >= least, end_at(first, tries - 1)), F.lit(0))
+
+
+def pieces(docs: DataFrame, doc: str, text: str, step: int, size: int) -> DataFrame:
+    """(doc, piece, body): a text's characters from ``piece`` on, counted from 1, ``size`` of them every ``step``, of which
+    ``size`` is at most twice as many. A text is read once from left to right; null and empty ones have no pieces."""
+    d = docs.select(F.col(doc), F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{step}}}"), 0).alias("_p"))
+    bodies = F.transform("_p", lambda x, i: F.concat(x, F.substring(F.coalesce(F.get("_p", i + 1), F.lit("")), 1, size - step)))
+    d = d.select(doc, F.posexplode(bodies).alias("_i", "body"))
+    return d.select(doc, (F.col("_i") * step + 1).alias("piece"), "body")
 
 
 def merged(chunks: DataFrame, doc: str, order: str, text: str) -> DataFrame:

@@ -295,8 +295,8 @@ WITH c AS (SELECT doc_id, unnest(range(1, length(text) + 1, 60)) AS p, text FROM
 d AS (SELECT doc_id, p, text[p:p + 99] AS body, lag(text[p:p + 99]) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM c)
 SELECT doc_id, CAST(p AS INT) AS piece, CAST(coalesce(list_max(list_filter(range(6, least(length(body), length(prev), 500) + 1), lambda n: right(prev, n) = left(body, n))), 0) AS INT) AS overlap FROM d""")
 def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.length("text"), F.lit(60))).alias("piece"))
-    return chunking.merged(d.select("doc_id", "piece", F.substring("text", F.col("piece"), F.lit(100)).alias("body")), "doc_id", "piece", "body").select("doc_id", "piece", F.col("overlap").cast("int").alias("overlap"))
+    d = chunking.pieces(table(spark, sf_dir, "documents"), "doc_id", "text", 60, 100)
+    return chunking.merged(d, "doc_id", "piece", "body").select("doc_id", "piece", F.col("overlap").cast("int").alias("overlap"))
 
 
 @register("""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents),
