@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -106,33 +107,72 @@ def nearest_to_many(vectors: DataFrame, queries: DataFrame, k: int, key: str = "
     return out
 
 
-#: Grams whose places a worker keeps; beyond it they are computed anew. Bounds memory, not results.
-MEMO_GRAMS = 200_000
-_places: dict[tuple[str, int], tuple[int, int]] = {}
+#: Grams, and words, whose places a worker keeps; others are computed anew. Bounds memory, not results.
+MEMO_GRAMS = 1 << 21
+#: Characters of a text that are looked up at once.
+GRAM_BLOCK = 1 << 16
+_words: dict[tuple[str, int], tuple[int, int]] = {}
+
+
+def _hashed(gram: str, dimension: int) -> tuple[int, int]:
+    h = hashlib.md5(gram.encode()).digest()
+    return int.from_bytes(h[:4], "little") % dimension, int.from_bytes(h[4:8], "little") % dimension
 
 
 def _place(gram: str, dimension: int) -> tuple[int, int]:
-    found = _places.get((gram, dimension))
+    found = _words.get((gram, dimension))
     if found is None:
-        h = hashlib.md5(gram.encode()).digest()
-        found = int.from_bytes(h[:4], "little") % dimension, int.from_bytes(h[4:8], "little") % dimension
-        if len(_places) >= MEMO_GRAMS:
-            _places.clear()
-        _places[gram, dimension] = found
+        found = _hashed(gram, dimension)
+        if len(_words) >= MEMO_GRAMS // 10:
+            _words.clear()
+        _words[gram, dimension] = found
+    return found
+
+
+@lru_cache(maxsize=1)
+def _memo(slots: int, dimension: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each slot the gram that it holds, as its first three characters and its fourth, and the gram's two places as one number."""
+    return np.zeros(slots, np.uint64), np.zeros(slots, np.uint32), np.zeros(slots, np.int64)
+
+
+def _places(text: str, n: int, dimension: int) -> np.ndarray:
+    """The two places of each of the text's n-grams, of 2 to 4 characters, as first times dimension plus second; a gram that
+    is not in its slot takes the slot."""
+    first, fourth, places = _memo(MEMO_GRAMS, dimension)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64) + 1  # 21 bits, 0 where a gram has no character
+    size = len(text) - n + 1
+    low = codes[:size].copy()
+    for j in range(1, min(n, 3)):
+        low |= codes[j : size + j] << np.uint64(21 * j)
+    high = codes[3 : size + 3].astype(np.uint32) if n == 4 else np.zeros(size, np.uint32)
+    mixed = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    slot = ((mixed >> np.uint64(32)) % np.uint64(len(first))).astype(np.int64)
+    found = places[slot]
+    missing = np.flatnonzero((first[slot] != low) | (fourth[slot] != high))
+    if len(missing):
+        grams = [text[i : i + n] for i in missing.tolist()]
+        own = {g: plus * dimension + minus for g in set(grams) for plus, minus in [_hashed(g, dimension)]}
+        found[missing] = [own[g] for g in grams]
+        taken = missing[np.unique(slot[missing], return_index=True)[1]]
+        first[slot[taken]], fourth[slot[taken]], places[slot[taken]] = low[taken], high[taken], found[taken]
     return found
 
 
 def hash_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
     """Character 2-, 3- and 4-grams add 1 and take 0.5, words add 2, each at a place given by MD5; unit length.
 
-    Different grams are counted first, so each is hashed once in a text, and a worker keeps the places of common ones.
+    A worker keeps the places of grams in a table, where all grams of a block of the text are looked up at once.
     """
     v = np.zeros(dimension)
     for n in (2, 3, 4):
-        grams = Counter(text[i : i + n] for i in range(max(1, len(text) - n + 1)))
-        places = np.array([_place(g, dimension) for g in grams]).reshape(-1, 2)
-        times = np.fromiter(grams.values(), float, len(grams))
-        v += np.bincount(places[:, 0], times, dimension) - 0.5 * np.bincount(places[:, 1], times, dimension)
+        if len(text) < n:
+            plus, minus = _place(text, dimension)
+            v[plus] += 1.0
+            v[minus] -= 0.5
+        for i in range(0, len(text) - n + 1, GRAM_BLOCK):
+            places = _places(text[i : i + GRAM_BLOCK + n - 1], n, dimension)
+            v += np.bincount(places // dimension, minlength=dimension) - 0.5 * np.bincount(places % dimension, minlength=dimension)
     for word, n in Counter(text.lower().split() if text.isascii() else [w.lower() for w in text.split()]).items():
         v[_place(word, dimension)[0]] += 2.0 * n
     norm = np.linalg.norm(v)
@@ -140,15 +180,19 @@ def hash_vector(text: str, dimension: int = DIMENSION) -> np.ndarray:
 
 
 def hash_embedding(docs: DataFrame, key: str, text: str, dimension: int = DIMENSION) -> DataFrame:
-    """(key, embedding) by ``hash_vector``, in Arrow batches."""
+    """(key, embedding) by ``hash_vector``, in Arrow batches. Rows are dealt out first, as a file's row groups, which are read
+    whole, may be fewer than there are cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [hash_vector(t or "", dimension).astype(np.float32).tolist() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.list_(pa.float32()))], [key, "embedding"])
+            v = np.zeros((batch.num_rows, dimension), np.float32)
+            for i, t in enumerate(batch.column(1)):
+                v[i] = hash_vector(t.as_py() or "", dimension)
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * dimension, pa.int32()), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows], [key, "embedding"])
 
     kind = dict(docs.dtypes)[key]
-    return docs.select(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
+    return docs.select(key, text).repartition(key, text).mapInArrow(run, f"{key} {kind}, embedding array<float>")
 
 
 def append_vectors(index: DataFrame, new: DataFrame, key: str, embedding: str = "embedding") -> DataFrame:
