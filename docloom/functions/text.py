@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -237,17 +238,26 @@ def last_tokens(text: Column, n: int) -> Column:
     return F.array_join(F.slice(words, -F.least(k, F.greatest(F.size(words), F.lit(1))), k), " ")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once: inside a lambda, what stands in an expression twice is computed twice."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def match_positions(text: Column, pattern: str) -> Column:
     """array<struct<start, value>> of all matches; start counts characters from 0."""
-    between = F.split(text, pattern)
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
 
-    def start(value: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(between, 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
-        own = F.aggregate(F.slice(found, 1, i), F.lit(0), lambda a, x: a + F.length(x))
-        return F.struct((before + own).alias("start"), value.alias("value"))
+    def placed(b: Column) -> Column:
+        def start(value: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(b["between"], 1, i + 1), F.lit(0), lambda a, x: a + F.length(x))
+            own = F.aggregate(F.slice(b["found"], 1, i), F.lit(0), lambda a, x: a + F.length(x))
+            return F.struct((before + own).alias("start"), value.alias("value"))
+
+        return F.transform(b["found"], start)
 
-    return F.transform(found, start)
+    def split(found: Column) -> Column:
+        return bound(F.struct(found.alias("found"), F.when(F.size(found) > 0, F.split(text, pattern)).alias("between")), placed)
+
+    return bound(F.regexp_extract_all(text, F.lit(pattern), 0), split)
 
 
 def normalise_name(name: Column) -> Column:
@@ -346,28 +356,40 @@ def timeline_dates(text: Column) -> Column:
 def _dater(pattern: str):
     # a value alone may not match a pattern that looks ahead, so its numbers are taken plainly
     def date(m: Column) -> Column:
-        numbers = F.regexp_extract_all(m["value"], F.lit(r"(\d+)"), 1)
-        y, mo, d = (F.get(numbers, F.lit(i)).cast("int") for i in range(3))
+        numbers = F.transform(F.slice(F.regexp_extract_all(m["value"], F.lit(r"(\d+)"), 1), 1, 3), lambda n: n.cast("int"))
+        return F.struct(m["start"].alias("start"), bound(numbers, checked).alias("date"))
+
+    def checked(numbers: Column) -> Column:
+        y, mo, d = (F.get(numbers, F.lit(i)) for i in range(3))
         ok = y.between(1900, 2100) & mo.between(1, 12)
         if pattern.count("(\\d{1,2})") == 2:
             ok = ok & d.between(1, 31)
             text = F.format_string("%d-%02d-%02d", y, mo, d)
         else:
             text = F.format_string("%d-%02d", y, mo)
-        return F.struct(m["start"].alias("start"), F.when(ok, text).alias("date"))
+        return F.when(ok, text)
 
     return date
 
 
+def relative_days(text: Column) -> Column:
+    """The days by which the first relative expression in ``text`` moves a date; null if there is none."""
+    out = None
+    for pattern, days in RELATIVE_DATES:
+        n = F.try_multiply(F.regexp_extract(text, pattern, 1).try_cast("int"), F.lit(days))
+        moved = F.when(F.regexp_extract(text, pattern, 0).contains("后"), n).otherwise(-n)
+        out = (F if out is None else out).when(text.rlike(pattern), moved)
+    out = out.when(text.rlike("[次翌]日"), 1).when(text.rlike("当[天日]"), 0)
+    return F.when(text.rlike("[后前]|[次翌]日|当[天日]"), out)
+
+
+def full_day(date: Column) -> Column:
+    return F.try_to_timestamp(F.substring(date, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
+
+
 def relative_date(base: Column, text: Column) -> Column:
     """``base`` (a full date as text) moved by the first relative expression in ``text``; null if there is none."""
-    day = F.try_to_timestamp(F.substring(base, 1, 10), F.lit("yyyy-MM-dd")).cast("date")
-    out = F.when(day.isNull(), F.lit(None).cast("date"))
-    for pattern, days in RELATIVE_DATES:
-        n = F.regexp_extract(text, pattern, 1).try_cast("int") * days
-        out = out.when(text.rlike(pattern), F.date_add(day, F.when(F.regexp_extract(text, pattern, 0).contains("后"), n).otherwise(-n)))
-    out = out.when(text.rlike("[次翌]日"), F.date_add(day, 1)).when(text.rlike("当[天日]"), day)
-    return F.date_format(out, "yyyy-MM-dd")
+    return F.date_format(F.date_add(full_day(base), relative_days(text)), "yyyy-MM-dd")
 
 
 def question_complexity(query: Column) -> Column:

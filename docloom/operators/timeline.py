@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.text import TITLE_ARTIFACTS, TITLE_PATTERNS, relative_date, timeline_dates
+from docloom.functions.text import TITLE_ARTIFACTS, TITLE_PATTERNS, bound, full_day, relative_date, relative_days, timeline_dates
 from docloom.operators.linking import named_in
 from docloom.operators.ordering import checkpointed, numbered, with_previous
 
@@ -23,8 +26,9 @@ def event_title(text: Column, chars: int = 50) -> Column:
     def titled(clean: Column) -> Column:
         tried = []
         for p in TITLE_PATTERNS:
-            t = F.trim(F.regexp_replace(F.regexp_extract(clean, p, 1), r"\*{1,3}|\bToken\s*Count\b|Is\s*Overlap", ""))
-            tried.append(F.when((F.length(t) >= 5) & (F.length(t) <= chars), t))
+            words = [clean.rlike(w) for w in re.findall(r"\(\?:([^)]*)\)", p)]  # a match holds one of each of these; without them the search is square
+            found = F.trim(F.regexp_replace(F.regexp_extract(clean, p, 1), r"\*{1,3}|\bToken\s*Count\b|Is\s*Overlap", ""))
+            tried.append(F.when(reduce(Column.__and__, words), bound(found, lambda t: F.when((F.length(t) >= 5) & (F.length(t) <= chars), t))))
         return F.coalesce(*tried, shortened(clean))
 
     def shortened(clean: Column) -> Column:
@@ -34,7 +38,7 @@ def event_title(text: Column, chars: int = 50) -> Column:
         return F.when(F.length(flat) <= chars, flat).otherwise(F.concat(F.when(F.instr(head, " ") > 0, F.regexp_replace(head, r" [^ ]*$", "")).otherwise(head), F.lit("...")))
 
     clean = F.aggregate(F.lit(TITLE_ARTIFACTS), text, without_header)
-    title = F.get(F.transform(F.array(clean), titled), F.lit(0))  # binds the cleaned text once
+    title = bound(clean, titled)
     return F.when(F.coalesce(text, F.lit("")) == "", "未知事件").otherwise(title)
 
 
@@ -87,9 +91,12 @@ def build(chunks: DataFrame, entities: DataFrame, summaries: DataFrame) -> DataF
 
     ordered = numbered(events, ["kb_id"], ["date", "seq"], "n")
     ordered = with_previous(ordered, ["kb_id"], "n", ["date"], 3)
-    moved = [relative_date(F.col(f"date_{k}"), F.col("description")) for k in (3, 2, 1)]
-    base = F.coalesce(*[F.when(m.isNotNull(), F.col(f"date_{k}")) for m, k in zip(moved, (3, 2, 1), strict=True)])
-    ordered = ordered.select("*", F.coalesce(*moved).alias("resolved"), base.alias("inferred_from"))
+    ordered = ordered.withColumn("_days", relative_days(F.col("description")))
+    days = [F.when(F.col("_days").isNotNull(), full_day(F.col(f"date_{k}"))).alias(f"_day_{k}") for k in (3, 2, 1)]  # most events have no relative date
+    ordered = ordered.select("*", *days)
+    base = F.coalesce(*[F.when(F.col(f"_day_{k}").isNotNull(), F.col(f"date_{k}")) for k in (3, 2, 1)])
+    moved = F.date_format(F.date_add(F.coalesce("_day_3", "_day_2", "_day_1"), F.col("_days")), "yyyy-MM-dd")
+    ordered = ordered.select("*", moved.alias("resolved"), base.alias("inferred_from"))
     ordered = ordered.withColumn("confidence", F.when(F.col("resolved").isNotNull(), F.greatest(F.lit(0.5), F.round(F.col("confidence") - 0.2, 9))).otherwise(F.col("confidence"))).withColumn("date", F.coalesce("resolved", "date"))
     merged = ordered.groupBy("kb_id", "date", F.substring("description", 1, 50).alias("_head")).agg(
         F.min(F.struct("n", "context", "description", "source_chunks", "inferred_from")).alias("e"),
