@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.operators.ordering import checkpoint_folder, checkpointed, removed
+from docloom.operators.ordering import BROADCAST_ROWS, checkpoint_folder, checkpointed, removed
 
 #: A gain in modularity below this is none: it is left to rounding.
 LEAST_GAIN = 1e-9
@@ -47,36 +47,50 @@ class _Folder:
 
 
 class _Level:
-    """One level's graph: edges from both ends without loops, and what each node weighs."""
+    """One level's graph: edges from both ends without loops, and what each node weighs.
+
+    Edges lie in order of their first end, so that what a node has in a community is summed up before it is shuffled, and
+    are read twice a round. Nothing of their number is written: what a round keeps has a row for each node or community.
+    """
 
     def __init__(self, edges: DataFrame, resolution: float, folder: _Folder):
         self.folder = folder
-        e = folder.written(edges)
+        e = folder.written(edges.repartitionByRange("src", "dst").sortWithinPartitions("src", "dst"))
         self.edges = e.where("src <> dst")
         sums = e.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("degree"), F.sum(F.when(F.col("src") == F.col("dst"), F.col("weight")).otherwise(0.0)).alias("loop"))
-        self.labels = folder.written(sums.select("node", "degree", "loop", F.col("node").alias("community")))
-        self.all = self.labels.agg(F.sum("degree")).first()[0] or 0.0
+        labels = folder.written(sums.select("node", "degree", "loop", F.col("node").alias("community")))
+        found = labels.agg(F.sum("degree").alias("all"), F.count("*").alias("nodes")).first()
+        self.all, self.few = found["all"] or 0.0, found["nodes"] <= BROADCAST_ROWS
         self.resolution = resolution
-        self.look(self.labels)
+        self.look(labels)
+
+    def near(self, df: DataFrame) -> DataFrame:
+        """``df``, of a row for each node or community, to be broadcast where they are few."""
+        return F.broadcast(df) if self.few else df
 
     def look(self, labels: DataFrame) -> None:
-        """Takes ``labels`` as the state: how much each node has in each community around it, and the modularity."""
-        self.labels = labels
-        around = self.edges.join(labels.select(F.col("node").alias("dst"), "community"), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
-        self.around = self.folder.written(around)
-        self.degrees = labels.groupBy("community").agg(F.sum("degree").alias("degrees"), F.sum("loop").alias("inside"), F.count("*").alias("nodes"))
-        own = self.around.join(labels.select("node", F.col("community").alias("own")), "node").where("community = own").groupBy("community").agg(F.sum("w").alias("w"))
-        d = self.degrees.join(own, "community", "left")
+        """Takes ``labels`` as the state: how much each node has in its own community, and the modularity."""
+        ends = [self.near(labels.select(F.col("node").alias(end), F.col("community").alias(f"c_{end}"))) for end in ("src", "dst")]
+        own = self.edges.join(ends[0], "src").join(ends[1], "dst").where("c_src = c_dst").groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("w"))
+        self.labels = self.folder.written(labels.select("node", "degree", "loop", "community").join(own, "node", "left"))
+        sums = self.labels.groupBy("community").agg(F.sum("degree").alias("degrees"), F.sum("loop").alias("inside"), F.sum("w").alias("w"), F.count("*").alias("nodes"))
+        self.degrees = self.folder.written(sums)
         share = (F.col("inside") + F.coalesce("w", F.lit(0.0))) / self.all - self.resolution * F.col("degrees") * F.col("degrees") / self.all / self.all
-        self.modularity = d.agg(F.sum(share)).first()[0] or 0.0
+        self.modularity = self.degrees.agg(F.sum(share)).first()[0] or 0.0
+
+    def state(self) -> tuple[DataFrame, DataFrame, float]:
+        return self.labels, self.degrees, self.modularity
+
+    def back_to(self, state: tuple[DataFrame, DataFrame, float]) -> None:
+        self.labels, self.degrees, self.modularity = state
 
     def moves(self) -> DataFrame:
         """(node, community, target, gain): for each node the community that gains most, if any does; the smallest of equals."""
         d, lone = self.degrees.select("community", "degrees", "nodes"), self.resolution / self.all
-        own = self.labels.join(d, "community").join(self.around.select("node", "community", "w"), ["node", "community"], "left")
         stay = F.coalesce("w", F.lit(0.0)) - lone * F.col("degree") * (F.col("degrees") - F.col("degree"))
-        own = own.select("node", "degree", F.col("community").alias("own"), F.col("nodes").alias("own_nodes"), stay.alias("stay"))
-        there = self.around.join(d, "community").join(own, "node").where("community <> own")
+        own = self.labels.join(self.near(d), "community").select("node", "degree", F.col("community").alias("own"), F.col("nodes").alias("own_nodes"), stay.alias("stay"))
+        around = self.edges.join(self.near(self.labels.select(F.col("node").alias("dst"), "community")), "dst").groupBy(F.col("src").alias("node"), "community").agg(F.sum("weight").alias("w"))
+        there = around.join(self.near(d), "community").join(self.near(own), "node").where("community <> own")
         # of two nodes on their own only the larger moves to the smaller
         there = there.where("nodes > 1 OR own_nodes > 1 OR community < own")
         gain = F.round(2 * (F.col("w") - lone * F.col("degree") * F.col("degrees") - F.col("stay")) / self.all, 15)
@@ -126,11 +140,11 @@ def _louvain(edges: DataFrame, nodes: DataFrame | None, resolution: float, least
             moves = folder.written(level.moves())
             if moves.isEmpty():
                 break
-            labels = level.labels
+            state = level.state()
             half = moves.where(F.pmod(F.xxhash64(F.col("node"), F.lit(r)), F.lit(2)) == 0)
             level.look(level.moved(half))
             if level.modularity <= before + LEAST_GAIN:
-                level.look(labels)
+                level.back_to(state)
                 level.look(level.moved(_apart(moves)))
             quiet = quiet + 1 if level.modularity < before + least_gain else 0
             if quiet == 2:  # both halves had a turn
