@@ -18,6 +18,8 @@ TYPE_COLORS = {
 }
 #: Members of a record or hub are paired in parts of so many, so that no task holds all pairs of a large one.
 PART = 64
+#: Rows of records that a task pairs, about.
+TASK_ROWS = 500_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -150,19 +152,25 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def paired(records: DataFrame, record: str, item: str) -> DataFrame:
     """(r, src, dst): unordered pairs of different items of each record, each once a record; null records pair nothing.
 
-    Items of a record fall into parts by a hash, about PART in each, and parts meet in pairs of parts, so the pairs of a
-    large record are spread over many tasks.
+    A record of PART items or fewer is paired within its row, in partitions of about TASK_ROWS rows. Items of a larger one
+    fall into parts by a hash, about PART in each, and parts meet in pairs of parts, so its pairs are spread over many tasks.
     """
-    d = records.select(F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL").distinct()
-    sizes = checkpointed(d.groupBy(F.col("r").alias("_r")).agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
-    d = d.join(small_or_shuffled(sizes), F.col("r") == F.col("_r"), "left").select("r", "i", F.coalesce("parts", F.lit(1)).alias("parts"))
-    d = d.withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+    d = records.select(F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL")
+    tasks = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // TASK_ROWS)
+    # counted first, so that no list of a large record is ever made; only records of many rows may have many items
+    rows = d.groupBy(F.col("r").alias("_r")).agg(F.count("*").alias("n")).where(F.col("n") > PART).select("_r")
+    long = d.join(small_or_shuffled(checkpointed(rows)), F.col("r") == F.col("_r"), "left_semi").distinct()
+    sizes = checkpointed(long.groupBy(F.col("r").alias("_r")).agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
+    known = small_or_shuffled(sizes)
+    few = d.join(known, F.col("r") == F.col("_r"), "left_anti").repartition(tasks, "r").groupBy("r").agg(F.sort_array(F.collect_set("i")).alias("of"))
+    few = few.where(F.size("of") > 1).select("r", "of", F.posexplode("of").alias("at", "src")).select("r", "src", F.explode(F.slice("of", F.col("at") + 2, PART)).alias("dst"))
+    d = long.join(known, F.col("r") == F.col("_r")).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
     # every unordered pair of parts is a cell; a part belongs to as many cells as there are parts
     cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("a"), F.greatest("part", o).alias("b")))
     c = d.select("r", "i", "part", F.explode(cells).alias("cell"))
     left, right = c.select("r", "cell", F.col("i").alias("x"), F.col("part").alias("px")), c.select("r", "cell", F.col("i").alias("y"), F.col("part").alias("py"))
     both = left.join(right, ["r", "cell"]).where((F.col("px") == F.col("cell.a")) & (F.col("py") == F.col("cell.b")) & ((F.col("px") != F.col("py")) | (F.col("x") < F.col("y"))))
-    return both.select("r", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+    return few.unionByName(both.select("r", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))
 
 
 def cooccurrence(records: DataFrame, record: str, item: str) -> DataFrame:
