@@ -34,3 +34,12 @@ def test_small_records_are_not_joined(spark, monkeypatch):
     assert d.where("src >= dst").isEmpty()
     used = d.selectExpr("spark_partition_id() AS p").distinct().count()
     assert used >= 15 and d.count() == sum(len(p) for p in plain([(k // 4, k % 7) for k in range(2000)]).values())
+
+
+def test_guarded_relations_of_small_and_large_records(spark):
+    rows = [(1, i) for i in range(graph.PART + 9)] + [(2, 3), (2, 4), (2, 4), (3, 4), (3, 3), (4, 900), (4, 3), (None, 1)]
+    records = spark.createDataFrame(rows, "r long, i long")
+    none = spark.createDataFrame([], "subject long, predicate string, object long")
+    found = graph.guarded_relations(none, records, "r", "i").collect()
+    assert sorted((r.subject, r.object) for r in found) == sorted(set().union(*plain(rows).values()))
+    assert graph.guarded_relations(spark.createDataFrame([(7, "in", 8)], none.schema), records, "r", "i").collect() == [(7, "in", 8)]
