@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import cells
@@ -18,8 +18,10 @@ TYPE_COLORS = {
 }
 #: Members of a record or hub are paired in parts of so many, so that no task holds all pairs of a large one.
 PART = 64
-#: Rows of records that a task pairs, about.
-TASK_ROWS = 500_000
+#: Rows of records that a task pairs, and pairs that a task groups, about.
+TASK_ROWS, TASK_PAIRS = 500_000, 1_000_000
+#: Hashes by which rows of records are counted, and rows from which one is dense, as it may have a large record.
+HASHES, DENSE = 65_536, 1_000
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -149,33 +151,75 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
+def _tasks(spark: SparkSession, n: int, each: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(cells.MOST_TASKS, n // each))
+
+
+def _few_and_many(records: DataFrame, record: str, item: str) -> tuple[DataFrame, DataFrame, int]:
+    """Pairs of records of up to PART items (b, r, src, dst), lying by ``b``, a hash of the record; those of larger records
+    (r, src, dst); and how many there are in all, or more where small records repeat items.
+
+    No step holds more than a task's share of rows or pairs: there are as many partitions as those take.
+    """
+    spark, n, pairs = records.sparkSession, F.count("*").alias("n"), F.col("n") * (F.col("n") - 1) / 2
+    d = records.select(F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL").withColumn("b", F.pmod(F.xxhash64("r"), F.lit(HASHES)))
+    # counted first, so that no list of a large record is ever made: by hashes, whose number is fixed, and then by records;
+    # only those of a hash of many rows are counted before rows are sent, as one of them may be large
+    hashes = checkpointed(d.groupBy("b").agg(n))
+    rows = hashes.agg(F.sum("n")).first()[0] or 0
+    tasks = _tasks(spark, rows, TASK_ROWS)
+    dense = F.broadcast(hashes.where(F.col("n") > max(DENSE, 4 * rows // HASHES)).select("b"))
+    counted = d.join(dense, "b", "left_anti").repartition(tasks, "b").groupBy("b", "r").agg(n).unionByName(d.join(dense, "b", "left_semi").groupBy("b", "r").agg(n))
+    # a row for each number of rows up to PART, and one for each record of more: only those may have more items than PART
+    counted = checkpointed(counted.groupBy(F.when(F.col("n") > PART, F.col("r")).alias("_r"), "n").agg(F.count("*").alias("records")))
+    made, long = counted.agg(F.sum(F.when(F.col("_r").isNull(), pairs * F.col("records"))), F.count("_r")).first()
+    few_pairs, many_pairs, many = int(made or 0), 0, d.select("r", F.col("i").alias("src"), F.col("i").alias("dst")).limit(0)
+    if long:
+        of_long = F.col("r") == F.col("_r")
+        known = small_or_shuffled(counted.select("_r").where("_r IS NOT NULL"))
+        items = d.join(known, of_long, "left_semi").repartition(tasks, "r", "i").distinct()
+        sizes = checkpointed(items.groupBy(F.col("r").alias("_r")).agg(n))
+        of_few, of_many = sizes.agg(F.sum(F.when(F.col("n") <= PART, pairs)), F.sum(F.when(F.col("n") > PART, pairs))).first()
+        large = small_or_shuffled(sizes.where(F.col("n") > PART).select("_r", F.ceil(F.col("n") / PART).alias("parts")))
+        few_pairs, many_pairs = few_pairs + int(of_few or 0), int(of_many or 0)
+        d = d.join(known, of_long, "left_anti").unionByName(items.join(large, of_long, "left_anti"))
+        many = _in_cells(items.join(large, of_long), _tasks(spark, many_pairs, TASK_PAIRS))
+    few = d.repartition(max(tasks, _tasks(spark, few_pairs, TASK_PAIRS)), "b").groupBy("b", "r").agg(F.sort_array(F.collect_set("i")).alias("of"))
+    few = few.where(F.size("of") > 1).select("b", "r", "of", F.posexplode("of").alias("at", "src")).select("b", "r", "src", F.explode(F.slice("of", F.col("at") + 2, PART)).alias("dst"))
+    return few, many, few_pairs + many_pairs
+
+
+def _in_cells(items: DataFrame, tasks: int) -> DataFrame:
+    """(r, src, dst): pairs of the different ``items`` (r, i, parts) of records that are cut into ``parts`` by a hash."""
+    d = items.withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
+    # every unordered pair of parts is a cell; a part belongs to as many cells as there are parts
+    cell = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("x"), F.greatest("part", o).alias("y")))
+    d = d.select("r", "i", "part", F.explode(cell).alias("cell")).repartition(tasks, "r", "cell")
+    side = lambda part: F.collect_list(F.when(F.col("part") == F.col(part), F.col("i")))
+    d = d.groupBy("r", "cell").agg(side("cell.x").alias("xs"), side("cell.y").alias("ys"))
+    d = d.select("r", "cell", "ys", F.explode("xs").alias("x")).select("r", "cell", "x", F.explode("ys").alias("y")).where("cell.x < cell.y OR x < y")
+    return d.select("r", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst"))
+
+
 def paired(records: DataFrame, record: str, item: str) -> DataFrame:
     """(r, src, dst): unordered pairs of different items of each record, each once a record; null records pair nothing.
 
     A record of PART items or fewer is paired within its row, in partitions of about TASK_ROWS rows. Items of a larger one
     fall into parts by a hash, about PART in each, and parts meet in pairs of parts, so its pairs are spread over many tasks.
     """
-    d = records.select(F.col(record).alias("r"), F.col(item).alias("i")).where("r IS NOT NULL AND i IS NOT NULL")
-    tasks = max(int(d.sparkSession.conf.get("spark.sql.shuffle.partitions")), d.count() // TASK_ROWS)
-    # counted first, so that no list of a large record is ever made; only records of many rows may have many items
-    rows = d.groupBy(F.col("r").alias("_r")).agg(F.count("*").alias("n")).where(F.col("n") > PART).select("_r")
-    long = d.join(small_or_shuffled(checkpointed(rows)), F.col("r") == F.col("_r"), "left_semi").distinct()
-    sizes = checkpointed(long.groupBy(F.col("r").alias("_r")).agg(F.ceil(F.count("*") / PART).alias("parts")).where("parts > 1"))
-    known = small_or_shuffled(sizes)
-    few = d.join(known, F.col("r") == F.col("_r"), "left_anti").repartition(tasks, "r").groupBy("r").agg(F.sort_array(F.collect_set("i")).alias("of"))
-    few = few.where(F.size("of") > 1).select("r", "of", F.posexplode("of").alias("at", "src")).select("r", "src", F.explode(F.slice("of", F.col("at") + 2, PART)).alias("dst"))
-    d = long.join(known, F.col("r") == F.col("_r")).withColumn("part", F.pmod(F.xxhash64("i"), F.col("parts")))
-    # every unordered pair of parts is a cell; a part belongs to as many cells as there are parts
-    cells = F.transform(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), lambda o: F.struct(F.least("part", o).alias("a"), F.greatest("part", o).alias("b")))
-    c = d.select("r", "i", "part", F.explode(cells).alias("cell"))
-    left, right = c.select("r", "cell", F.col("i").alias("x"), F.col("part").alias("px")), c.select("r", "cell", F.col("i").alias("y"), F.col("part").alias("py"))
-    both = left.join(right, ["r", "cell"]).where((F.col("px") == F.col("cell.a")) & (F.col("py") == F.col("cell.b")) & ((F.col("px") != F.col("py")) | (F.col("x") < F.col("y"))))
-    return few.unionByName(both.select("r", F.least("x", "y").alias("src"), F.greatest("x", "y").alias("dst")))
+    few, many, _ = _few_and_many(records, record, item)
+    return few.drop("b").unionByName(many)
 
 
 def cooccurrence(records: DataFrame, record: str, item: str) -> DataFrame:
-    """(src, dst, weight): unordered pairs of different items and in how many records they stand together."""
-    return paired(records, record, item).groupBy("src", "dst").agg(F.count("*").alias("weight"))
+    """(src, dst, weight): unordered pairs of different items and in how many records they stand together.
+
+    Pairs are counted by the hashes of small records where they are made, so that a pair of very many records is sent as few
+    rows, and then in partitions of about TASK_PAIRS pairs.
+    """
+    few, many, n = _few_and_many(records, record, item)
+    made = few.groupBy("b", "src", "dst").agg(F.count("*").alias("weight")).drop("b").unionByName(many.select("src", "dst", F.lit(1).cast("long").alias("weight")))
+    return made.repartition(_tasks(records.sparkSession, n, TASK_PAIRS), "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def guarded_relations(relations: DataFrame, records: DataFrame, record: str, item: str) -> DataFrame:
@@ -183,7 +227,7 @@ def guarded_relations(relations: DataFrame, records: DataFrame, record: str, ite
     that stand in a record together."""
     if not relations.isEmpty():
         return relations.select("subject", "predicate", "object")
-    return paired(records, record, item).select(F.col("src").alias("subject"), F.lit("共现").alias("predicate"), F.col("dst").alias("object")).distinct()
+    return cooccurrence(records, record, item).select(F.col("src").alias("subject"), F.lit("共现").alias("predicate"), F.col("dst").alias("object"))
 
 
 def scored(pairs: DataFrame, *others: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from itertools import combinations
 
 from docloom.operators import graph
@@ -43,3 +44,32 @@ def test_guarded_relations_of_small_and_large_records(spark):
     found = graph.guarded_relations(none, records, "r", "i").collect()
     assert sorted((r.subject, r.object) for r in found) == sorted(set().union(*plain(rows).values()))
     assert graph.guarded_relations(spark.createDataFrame([(7, "in", 8)], none.schema), records, "r", "i").collect() == [(7, "in", 8)]
+
+
+def test_grouping_of_pairs_grows_with_them(spark, monkeypatch):
+    """Pairs are grouped in partitions of about TASK_PAIRS, whatever the session's number, and counted by hashes before."""
+    monkeypatch.setattr(graph, "TASK_PAIRS", 1000, raising=False)
+    rows = [(k // 8, (k * k + 7 * (k // 8)) % 1999) for k in range(8000)]
+    records = spark.createDataFrame(rows, "r long, i long")
+    pairs = [p for found in plain(rows).values() for p in found]
+    none = spark.createDataFrame([], "subject long, predicate string, object long")
+    for d, a, b in ((graph.cooccurrence(records, "r", "i"), "src", "dst"), (graph.guarded_relations(none, records, "r", "i"), "subject", "object")):
+        assert d.selectExpr("spark_partition_id() AS p").distinct().count() >= len(pairs) // 2000
+        assert sorted((r[a], r[b]) for r in d.collect()) == sorted(set(pairs))
+    assert {(r.src, r.dst): r.weight for r in graph.cooccurrence(records, "r", "i").collect()} == Counter(pairs)
+
+
+def test_pairs_of_dense_hashes(spark, monkeypatch):
+    """Records that share a hash with a large one, a large one of few items and records of other hashes are all paired."""
+    monkeypatch.setattr(graph, "HASHES", 3, raising=False)
+    monkeypatch.setattr(graph, "DENSE", 50, raising=False)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 500, raising=False)
+    rng = random.Random(9)
+    rows = [(r, rng.randrange(40)) for r in range(30) for _ in range(rng.randrange(9))] + [(50, k % 3) for k in range(4000)] + [(51, k) for k in range(5 * graph.PART)]
+    rows += [(52, k % (2 * graph.PART)) for k in range(900)]
+    rng.shuffle(rows)
+    records = spark.createDataFrame(rows, "r long, i long").repartition(6)
+    found = [(r.r, (r.src, r.dst)) for r in graph.paired(records, "r", "i").collect()]
+    expected = [(r, p) for r, pairs in plain(rows).items() for p in pairs]
+    assert sorted(found) == sorted(expected)
+    assert {(r.src, r.dst): r.weight for r in graph.cooccurrence(records, "r", "i").collect()} == Counter(p for _, p in expected)
