@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.operators.ordering import checkpointed, numbered
@@ -19,10 +19,14 @@ def blocks(names: DataFrame, name: str) -> DataFrame:
     return checkpointed(d.select("name", F.floor((F.col("n") - 1) / BLOCK).cast("int").alias("block")))
 
 
+def tasks(spark: SparkSession, n: int, each: int) -> int:
+    """As many as ``n`` takes, the session's number at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, int(n // each)))
+
+
 def _tasks(left: DataFrame, right: DataFrame, via: list[str]) -> int:
     pairs = left.groupBy(*via).agg(F.count("*").cast("double").alias("x")).join(right.groupBy(*via).agg(F.count("*").cast("double").alias("y")), via).agg(F.sum(F.col("x") * F.col("y"))).first()[0]
-    least = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(MOST_TASKS, int((pairs or 0) / TASK_PAIRS)))
+    return tasks(left.sparkSession, pairs or 0, TASK_PAIRS)
 
 
 def met(left: DataFrame, right: DataFrame, via: list[str], x: list[str], y: list[str], upward: bool = False) -> DataFrame:
@@ -35,11 +39,11 @@ def met(left: DataFrame, right: DataFrame, via: list[str], x: list[str], y: list
     """
     to = right.select(*via, "b").distinct()
     of = left.select(*via, "a").distinct()
-    tasks = _tasks(left, right, via)
+    n = _tasks(left, right, via)
     mine = left.join(to, via).select(*via, "a", "b", F.struct(*x).alias("x"))
     theirs = right.join(of, via).select(*via, "a", "b", F.struct(*y).alias("y"))
     none = [F.lit(None).cast(d.schema[c].dataType).alias(c) for d, c in ((theirs, "y"), (mine, "x"))]
     rows = mine.select("*", none[0]).unionByName(theirs.select("*", none[1]))
-    rows = (rows.where("a <= b") if upward else rows).repartition(tasks, "a", "b")
+    rows = (rows.where("a <= b") if upward else rows).repartition(n, "a", "b")
     both = rows.groupBy("a", "b", *via).agg(F.collect_list("x").alias("xs"), F.collect_list("y").alias("ys"))
     return both.select("a", "b", *via, "ys", F.explode("xs").alias("x")).select("a", "b", *via, "x", F.explode("ys").alias("y"))

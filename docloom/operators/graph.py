@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.operators import cells
@@ -151,10 +151,6 @@ def induced(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(nodes.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
 
 
-def _tasks(spark: SparkSession, n: int, each: int) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(cells.MOST_TASKS, n // each))
-
-
 def _few_and_many(records: DataFrame, record: str, item: str) -> tuple[DataFrame, DataFrame, int]:
     """Pairs of records of up to PART items (b, r, src, dst), lying by ``b``, a hash of the record; those of larger records
     (r, src, dst); and how many there are in all, or more where small records repeat items.
@@ -167,7 +163,7 @@ def _few_and_many(records: DataFrame, record: str, item: str) -> tuple[DataFrame
     # only those of a hash of many rows are counted before rows are sent, as one of them may be large
     hashes = checkpointed(d.groupBy("b").agg(n))
     rows = hashes.agg(F.sum("n")).first()[0] or 0
-    tasks = _tasks(spark, rows, TASK_ROWS)
+    tasks = cells.tasks(spark, rows, TASK_ROWS)
     dense = F.broadcast(hashes.where(F.col("n") > max(DENSE, 4 * rows // HASHES)).select("b"))
     counted = d.join(dense, "b", "left_anti").repartition(tasks, "b").groupBy("b", "r").agg(n).unionByName(d.join(dense, "b", "left_semi").groupBy("b", "r").agg(n))
     # a row for each number of rows up to PART, and one for each record of more: only those may have more items than PART
@@ -183,8 +179,8 @@ def _few_and_many(records: DataFrame, record: str, item: str) -> tuple[DataFrame
         large = small_or_shuffled(sizes.where(F.col("n") > PART).select("_r", F.ceil(F.col("n") / PART).alias("parts")))
         few_pairs, many_pairs = few_pairs + int(of_few or 0), int(of_many or 0)
         d = d.join(known, of_long, "left_anti").unionByName(items.join(large, of_long, "left_anti"))
-        many = _in_cells(items.join(large, of_long), _tasks(spark, many_pairs, TASK_PAIRS))
-    few = d.repartition(max(tasks, _tasks(spark, few_pairs, TASK_PAIRS)), "b").groupBy("b", "r").agg(F.sort_array(F.collect_set("i")).alias("of"))
+        many = _in_cells(items.join(large, of_long), cells.tasks(spark, many_pairs, TASK_PAIRS))
+    few = d.repartition(max(tasks, cells.tasks(spark, few_pairs, TASK_PAIRS)), "b").groupBy("b", "r").agg(F.sort_array(F.collect_set("i")).alias("of"))
     few = few.where(F.size("of") > 1).select("b", "r", "of", F.posexplode("of").alias("at", "src")).select("b", "r", "src", F.explode(F.slice("of", F.col("at") + 2, PART)).alias("dst"))
     return few, many, few_pairs + many_pairs
 
@@ -219,7 +215,7 @@ def cooccurrence(records: DataFrame, record: str, item: str) -> DataFrame:
     """
     few, many, n = _few_and_many(records, record, item)
     made = few.groupBy("b", "src", "dst").agg(F.count("*").alias("weight")).drop("b").unionByName(many.select("src", "dst", F.lit(1).cast("long").alias("weight")))
-    return made.repartition(_tasks(records.sparkSession, n, TASK_PAIRS), "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    return made.repartition(cells.tasks(records.sparkSession, n, TASK_PAIRS), "src", "dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def guarded_relations(relations: DataFrame, records: DataFrame, record: str, item: str) -> DataFrame:
@@ -230,13 +226,20 @@ def guarded_relations(relations: DataFrame, records: DataFrame, record: str, ite
     return cooccurrence(records, record, item).select(F.col("src").alias("subject"), F.lit("共现").alias("predicate"), F.col("dst").alias("object"))
 
 
+def by_weight(weight: Column) -> Column:
+    """What an edge gives; none, whose weight is null, gives nothing."""
+    return F.when(weight.isNull(), 0.0).otherwise(F.least(0.3 + 0.1 * weight, F.lit(0.8)))
+
+
+def by_common(adamic_adar: Column) -> Column:
+    return F.least(adamic_adar / 5, F.lit(0.6))
+
+
 def scored(pairs: DataFrame, *others: str) -> DataFrame:
     """(src, dst, adamic_adar, shared, affinity) of pairs with ``weight``, ``adamic_adar`` and ``shared``, each null where
     there is none, and ``others``. What is missing counts as nothing: it is replaced before the limits, as ``least`` skips nulls."""
     common, shared = F.coalesce("adamic_adar", F.lit(0.0)), F.coalesce("shared", F.lit(0.0))
-    by_weight = F.when(F.col("weight").isNull(), 0.0).otherwise(F.least(0.3 + 0.1 * F.col("weight"), F.lit(0.8)))
-    by_common = F.least(common / 5, F.lit(0.6))
-    affinity = F.least(F.lit(1.0), F.greatest(by_weight, by_common, 0.7 * shared))
+    affinity = F.least(F.lit(1.0), F.greatest(by_weight(F.col("weight")), by_common(common), 0.7 * shared))
     return pairs.select("src", "dst", common.alias("adamic_adar"), shared.alias("shared"), affinity.alias("affinity"), *others)
 
 

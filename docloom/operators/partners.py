@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.operators import cells
+from docloom.operators import cells, wedges
 from docloom.operators.fusion import top_of_each
-from docloom.operators.graph import both_ways, scored
-from docloom.operators.ordering import checkpointed
+from docloom.operators.graph import both_ways, by_common, by_weight, scored
+from docloom.operators.ordering import checkpoint_folder, checkpointed, numbered, removed, small_or_shuffled
 
 #: Scores are compared after this rounding, and bounds keep this distance from what they bound.
 DIGITS, MARGIN = 9, 1e-6
+#: Names of 2 ** HUB links or more are hubs; wedges that a block of names has, about.
+HUB, WEDGES = 10, 16_000_000
+#: Neighbours that a row lists, about; names in order whose rows are written together.
+LIST, NEAR = 65_536, 512
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
@@ -44,6 +50,8 @@ def affinity_of(pairs: DataFrame, edges: DataFrame, documents: DataFrame | None
     name with itself have no row. Work grows with the sum of the smaller ends' neighbours, never with pairs around a hub.
     """
     p = checkpointed(_ordered(pairs))
+    if p.isEmpty():
+        return scored(p.select("*", *[F.lit(None).cast("double").alias(c) for c in ("weight", "adamic_adar", "shared")]))
     e = checkpointed(both_ways(edges).select(F.col("src").alias("name"), F.col("dst").alias("of")))
     degree = checkpointed(e.groupBy("name").agg(F.count("*").alias("n")))
     weights = degree.where("n > 1").select(F.col("name").alias("of"), (1 / F.ln("n")).alias("w"))
@@ -72,59 +80,138 @@ def best_partners(edges: DataFrame, n: int) -> DataFrame:
     """(name, partner, adamic_adar, affinity, position): for every entity the n with the largest affinity by edges and common
     neighbours, ties by name; exact, and with all partners of those that have fewer. Null names have no edges.
 
-    Co-occurring pairs and, through each neighbour, its first n + 1 neighbours by name give n partners whose scores bound
-    the n-th best from below. An entity's largest neighbours, whose whole contributions stay below that bound, cannot lift
-    anyone over it who shares nothing else; a single largest neighbour never needs its pairs, as whoever shares it alone
-    scores as much as its first neighbours by name and comes after them. So wedges are enumerated through the smaller
-    neighbours only, by classes of degrees (powers of two). What the bounds leave is scored exactly.
+    Wedges through neighbours of fewer than 2 ** HUB links are summed up in arrays, by blocks of names: each name's list of
+    neighbours is sent once to every block that needs it, and of the pairs only each name's best leave the task.
+
+    Through hubs few wedges are made. Co-occurring pairs and, through each neighbour, its first n + 1 neighbours by name give
+    n partners whose scores bound the n-th best from below. An entity's largest hubs, whose whole contributions stay below
+    that bound, cannot lift anyone over it who shares nothing else; a single largest hub never needs its pairs, as whoever
+    shares it alone scores as much as its first neighbours by name and comes after them. Hubs are left out by classes of
+    degrees (powers of two). What the bounds leave is scored exactly.
 
     A star of any size makes n + 1 rows for each edge. Where entities share several hubs and nothing else, scores tie with
     the bound, and only the largest hub is left out.
     """
-    e = checkpointed(both_ways(edges).select(F.col("src").alias("name"), F.col("dst").alias("of")))
-    degree = checkpointed(e.groupBy("name").agg(F.count("*").alias("n")))
-    via = degree.where("n > 1").select(F.col("name").alias("of"), F.col("n").alias("degree"), (1 / F.ln("n")).alias("w"), F.floor(F.log2("n")).alias("class"))
-    links = checkpointed(e.join(via, "of"))  # (of, name, degree, w, class): neighbours through which wedges lead
-    heads = top_of_each(links.select("of", F.col("name").alias("partner")), ["of"], [F.col("partner")], n + 1).select("of", "partner")
-    half = _direct(edges)
-    direct = half.select(F.col("src").alias("name"), F.col("dst").alias("partner"), "weight").union(half.select("dst", "src", "weight"))
-    seeds = links.join(heads, "of").where("name != partner").groupBy("name", "partner").agg(F.sum("w").alias("adamic_adar"))
-    known = checkpointed(direct.join(seeds, ["name", "partner"], "full_outer"))
-    as_pair = [F.col("name").alias("src"), F.col("partner").alias("dst")]
-    least = scored(known.select(*as_pair, "weight", "adamic_adar", F.lit(0.0).alias("shared")))
-    least = top_of_each(least, ["src"], [F.desc("affinity")], n).groupBy(F.col("src").alias("name")).agg(F.count("*").alias("found"), F.min("affinity").alias("low"))
-    bound = checkpointed(least.select("name", F.when(F.col("found") == n, F.col("low")).otherwise(0.0).alias("bound")))
-
-    # an entity has at most 64 classes of neighbours; from the largest down, those whose contributions stay below the bound
-    classes = links.groupBy("name", "class").agg(F.sum("w").alias("w"))
-    falling = Window.partitionBy("name").orderBy(F.desc("class"))
-    classes = classes.withColumn("total", F.sum("w").over(falling)).join(bound, "name")
-    by_class = classes.where(F.col("total") <= 5 * F.col("bound") - MARGIN).groupBy("name").agg(F.min("class").alias("from_class"), F.max("total").alias("skipped"))
-    top = links.groupBy("name").agg(F.max(F.struct("degree", "of", "w")).alias("t")).select("name", F.col("t.of").alias("largest"), F.col("t.w").alias("largest_w"))
-    rule = top.join(by_class, "name", "left").join(bound, "name")
-    rule = checkpointed(rule.select("name", "bound", "from_class", F.when(F.col("from_class").isNull(), F.col("largest")).alias("largest"), F.coalesce("skipped", "largest_w").alias("skipped")))
-
-    kept = links.join(rule, "name").where(F.coalesce(F.col("class") < F.col("from_class"), F.col("of") != F.col("largest")))
-    # partners meet a name in a kept neighbour, or are already known to it; what belongs to the name lies on the left
-    block = cells.blocks(e, "name")
-    a, b = block.withColumnRenamed("block", "a"), block.withColumnRenamed("block", "b")
-    limits = known.select("name").distinct().join(rule.select("name", "bound", "skipped"), "name", "left").fillna(0.0)  # a name without a rule has no wedges at all
-    mine = kept.select(F.lit("through").alias("kind"), "of", "name", "w", "bound", "skipped").unionByName(limits.select(F.lit("known").alias("kind"), F.col("name").alias("of"), "name", F.lit(0.0).alias("w"), "bound", "skipped"))
-    theirs = e.select(F.lit("through").alias("kind"), "of", F.col("name").alias("partner"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("double").alias("seen"))
-    theirs = theirs.unionByName(known.select(F.lit("known").alias("kind"), F.col("name").alias("of"), "partner", "weight", F.col("adamic_adar").alias("seen")))
-    met = cells.met(mine.join(a, "name"), theirs.join(b.withColumnRenamed("name", "partner"), "partner"), ["kind", "of"], ["name", "w", "bound", "skipped"], ["partner", "weight", "seen"])
-    found = met.where("x.name != y.partner").groupBy("a", "b", F.col("x.name").alias("name"), F.col("y.partner").alias("partner")).agg(
-        F.max("y.weight").alias("weight"), F.sum("x.w").alias("through"), F.max(F.coalesce("y.seen", F.lit(0.0))).alias("seen"), F.max("x.bound").alias("bound"), F.max("x.skipped").alias("skipped")
-    )
-    # the score lies between what is found and that with all that was skipped
-    zero = F.lit(0.0).alias("shared")
-    low = scored(found.select(*as_pair, "weight", F.greatest("through", "seen").alias("adamic_adar"), zero, "a", "b", "name", "partner", "through", "bound", "skipped"), "a", "b", "name", "partner", "weight", "through", "bound", "skipped").withColumnRenamed("affinity", "low")
-    high = scored(low.select(*as_pair, "weight", (F.col("through") + F.col("skipped")).alias("adamic_adar"), zero, "a", "b", "low", "bound"), "a", "b", "low", "bound").withColumnRenamed("affinity", "high")
-    near = high.where(F.col("high") >= F.col("bound") - MARGIN).select("a", "b", F.col("src").alias("name"), F.col("dst").alias("partner"), "low", "high")
-    left = _undecided(_undecided(near, ["a", "b", "name"], n), ["name"], n)  # first inside a cell, where pairs lie already
-    left = checkpointed(left.select(F.col("name").alias("src"), F.col("partner").alias("dst")))
-    scores = checkpointed(affinity_of(left, edges))
-    low, high = F.least("src", "dst"), F.greatest("src", "dst")
-    asked = left.select(F.col("src").alias("name"), F.col("dst").alias("partner"), low.alias("src"), high.alias("dst"))
-    out = asked.join(scores, ["src", "dst"])
+    folder = f"{checkpoint_folder(edges.sparkSession)}/partners_{uuid.uuid4().hex}"
+    try:
+        return checkpointed(_best(edges, n, folder))
+    finally:
+        removed(edges.sparkSession, folder)
+
+
+def _written(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows``, from files that take less disk than a checkpoint."""
+    rows.write.parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)
+
+
+def _best(edges: DataFrame, n: int, folder: str) -> DataFrame:
+    spark = edges.sparkSession
+    half = _written(_direct(edges), f"{folder}/edges")
+    degree = half.select(F.col("src").alias("name")).union(half.select("dst")).groupBy("name").agg(F.count("*").alias("n"))
+    names = checkpointed(numbered(degree, [], ["name"], "id").select("name", F.col("id").cast("int").alias("id"), "n", F.floor(F.log2("n")).cast("int").alias("class")))
+    links, most = names.agg(F.sum("n"), F.max("class")).first()
+    # names by their numbers, and around each name its neighbours and what edges to them score; large ones in several rows
+    known = small_or_shuffled(names)
+    ends = half.select("src", "dst", by_weight(F.col("weight")).alias("direct"))
+    for end, i in (("src", "s"), ("dst", "t")):
+        ends = ends.join(known.select(F.col("name").alias(end), F.col("id").alias(i), F.col("n").alias(f"{i}_n"), F.col("class").alias(f"{i}_class")), end).drop(end)
+    there = ends.select(F.col("s").alias("id"), F.col("s_n").alias("n"), F.col("s_class").alias("class"), F.col("t").alias("of"), F.col("t_n").alias("of_n"), F.col("t_class").alias("of_class"), "direct")
+    d = there.union(ends.select("t", "t_n", "t_class", "s", "s_n", "s_class", "direct"))
+    small = F.when((F.col("of_n") > 1) & (F.col("of_class") < HUB), F.col("of_n")).otherwise(0)
+    d = d.select(F.floor(F.col("id") / NEAR).cast("int").alias("near"), "id", "n", "class", F.pmod("of", F.ceil(F.col("n") / LIST)).cast("int").alias("chunk"), "of", "direct", (small + 1).alias("cost"))
+    d = d.repartition(cells.tasks(spark, links or 0, LIST * 8), "near").groupBy("near", "id", "n", "class", "chunk")
+    d = d.agg(F.sort_array(F.collect_list(F.struct("of", "direct"))).alias("o"), F.sum("cost").alias("cost"))
+    nodes = _written(d.select("id", "n", "class", "chunk", F.col("o.of").alias("ids"), F.col("o.direct").alias("worth"), "cost"), f"{folder}/nodes")
+
+    hubs = (most or 0) >= HUB
+    rule, seeds = _left_out(nodes, names, n) if hubs else (None, None)
+    where = nodes.groupBy("id").agg(F.sum("cost").alias("cost"))
+    if hubs:
+        where = where.join(rule.select("id", "kept"), "id", "left").select("id", (F.col("cost") + F.coalesce("kept", F.lit(0))).alias("cost"))
+    where, blocks = _blocks(where)
+    of_block = small_or_shuffled(where)
+    key, none = ["block", "alone", "part"], F.lit(None).cast("double")
+    each_part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")
+    own = nodes.join(of_block, "id")
+    needed = own.select("block", "alone", "parts", "id", F.explode("ids").alias("of"))
+    if hubs:
+        own = own.join(small_or_shuffled(rule.drop("kept")), "id", "left")
+        needed = needed.join(small_or_shuffled(rule.select("id", "from_class", "largest")), "id", "left").join(small_or_shuffled(names.where(F.col("class") >= HUB).select(F.col("id").alias("of"), F.col("class").alias("of_class"))), "of", "left")
+        needed = needed.where(F.col("of_class").isNull() | F.coalesce(F.col("of_class") < F.col("from_class"), F.col("of") != F.col("largest")))
+    else:
+        own = own.select("*", none.alias("bound"), none.alias("skipped"), none.alias("from_class"), none.alias("largest"))
+    rules = [F.coalesce("bound", F.lit(0.0)).alias("bound"), F.coalesce("skipped", F.lit(0.0)).alias("skipped"), F.col("from_class").cast("double").alias("from_class"), F.col("largest").cast("double").alias("largest")]
+    rows = own.select("block", "alone", "parts", each_part, F.lit(0).alias("kind"), "id", none.alias("degree"), none.alias("class"), "ids", "worth", *rules)
+    of_part = F.when(F.col("parts") == 1, F.col("ids")).otherwise(F.filter("ids", lambda x: F.pmod(x, F.col("parts")) == F.col("part")))
+    shape = lambda d, kind, worth: d.select("block", "alone", "parts", "part", F.lit(kind).alias("kind"), "id", F.col("n").cast("double").alias("degree"), F.col("class").cast("double").alias("class"), of_part.alias("ids"), worth.alias("worth"), *[none.alias(c) for c in ("bound", "skipped", "from_class", "largest")])
+    shared = nodes.where("n > 1").select("id", "n", "class", "ids").join(needed.select("block", "alone", "parts", F.col("of").alias("id")).distinct(), "id")
+    rows = rows.unionByName(shape(shared.select("*", each_part), 1, F.lit(None).cast("array<double>")))
+    if hubs:
+        told = seeds.join(of_block, "id").select("*", each_part).where(F.pmod("partner", "parts") == F.col("part"))
+        told = told.groupBy("block", "alone", "parts", "part", "id").agg(F.collect_list(F.struct("partner", "seen")).alias("o"))
+        told = told.select("block", "alone", "parts", "part", "id", none.alias("n"), none.alias("class"), F.col("o.partner").alias("ids"), F.col("o.seen").alias("seen"))
+        rows = rows.unionByName(shape(told, 2, F.col("seen")))
+    found = rows.repartition(cells.tasks(spark, blocks, 1), *key).groupBy(*key).applyInArrow(wedges.best_of_block(n, DIGITS, MARGIN), wedges.SCHEMA)
+    found = checkpointed(found)
+
+    left = found.where("NOT exact").select(F.col("id").alias("name"), "partner", "low", "high")
+    asked = _named(_undecided(left, ["name"], n).select("name", "partner"), names, known).select(F.col("name").alias("src"), F.col("partner").alias("dst"))
+    asked = checkpointed(asked)
+    scores = affinity_of(asked, half)
+    out = asked.select(F.col("src").alias("name"), F.col("dst").alias("partner"), F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).join(scores, ["src", "dst"])
+    exact = found.where("exact").select(F.col("id").alias("name"), "partner", "adamic_adar", F.col("low").alias("affinity"))
+    out = _named(exact, names, known).unionByName(out.select("name", "partner", "adamic_adar", "affinity"))
     return top_of_each(out, ["name"], [F.desc(F.round("affinity", DIGITS)), F.col("partner")], n).select("name", "partner", "adamic_adar", "affinity", "position")
+
+
+def _named(pairs: DataFrame, names: DataFrame, known: DataFrame) -> DataFrame:
+    """``pairs`` of numbers (name, partner, ...) with the names instead."""
+    d = pairs
+    for end in ("name", "partner"):
+        d = d.withColumnRenamed(end, "id").join(known.select("id", F.col("name").alias(f"_{end}")), "id").drop("id")
+    return d.withColumnsRenamed({"_name": "name", "_partner": "partner"}).select(*pairs.columns)
+
+
+def _left_out(nodes: DataFrame, names: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Of names beside a hub (id, bound, from_class, largest, skipped, kept): their hubs of a class (power of two of its
+    degree) from ``from_class`` on, or where that is null their ``largest``, are left out; together they give ``skipped``, and
+    ``kept`` is what links the others have. And (id, partner, seen): partners whose common neighbours give ``seen`` or more.
+    """
+    sizes = small_or_shuffled(names.select(F.col("id").alias("of"), F.col("n").alias("degree"), F.col("class").alias("of_class")))
+    at_hub = nodes.where(F.col("class") >= HUB).select(F.explode("ids").alias("id"), F.col("id").alias("of"), F.col("n").alias("degree"), (1 / F.ln("n")).alias("w"), "class")
+    at_hub = checkpointed(at_hub)
+    beside = at_hub.select("id").distinct()
+    around = nodes.join(beside, "id", "left_semi").select("id", F.explode(F.arrays_zip("ids", "worth")).alias("o")).select("id", F.col("o.ids").alias("of"), F.col("o.worth").alias("direct"))
+    heads = top_of_each(nodes.where("n > 1").select(F.col("id").alias("of"), F.explode(F.slice("ids", 1, n + 1)).alias("partner")), ["of"], [F.col("partner")], n + 1).select("of", "partner")
+    seeds = around.join(sizes, "of").where("degree > 1").join(heads, "of").where("id != partner").groupBy("id", "partner").agg(F.sum(1 / F.ln("degree")).alias("seen"))
+    seeds = checkpointed(seeds)
+    told = around.select("id", F.col("of").alias("partner"), "direct").join(seeds, ["id", "partner"], "full_outer")
+    least = told.select("id", "partner", F.greatest(F.coalesce("direct", F.lit(0.0)), by_common(F.coalesce("seen", F.lit(0.0)))).alias("low"))
+    least = top_of_each(least, ["id"], [F.desc("low")], n).groupBy("id").agg(F.count("*").alias("found"), F.min("low").alias("low"))
+    bound = checkpointed(least.select("id", F.when(F.col("found") == n, F.col("low")).otherwise(0.0).alias("bound")))
+
+    # an entity has at most 64 classes of hubs; from the largest down, those whose contributions stay below the bound
+    classes = at_hub.groupBy("id", "class").agg(F.sum("w").alias("w"), F.sum("degree").alias("degree"))
+    falling = Window.partitionBy("id").orderBy(F.desc("class"))
+    total = classes.withColumn("total", F.sum("w").over(falling)).withColumn("degrees", F.sum("degree").over(falling)).join(bound, "id")
+    by_class = total.where(F.col("total") <= 5 * F.col("bound") - MARGIN).groupBy("id").agg(F.min("class").alias("from_class"), F.max("total").alias("total"), F.max("degrees").alias("degrees"))
+    top = at_hub.groupBy("id").agg(F.max(F.struct("degree", "of", "w")).alias("t"), F.sum("degree").alias("all"))
+    rule = top.join(by_class, "id", "left").join(bound, "id")
+    none_below = F.col("from_class").isNull()
+    rule = rule.select("id", "bound", "from_class", F.when(none_below, F.col("t.of")).alias("largest"), F.coalesce("total", "t.w").alias("skipped"), (F.col("all") - F.coalesce("degrees", "t.degree")).alias("kept"))
+    return checkpointed(rule), seeds
+
+
+def _blocks(costs: DataFrame) -> tuple[DataFrame, int]:
+    """(id, block, alone, parts) of names (id, cost), and about how many there are: blocks of names in order that cost about
+    WEDGES; a name that costs more has its own, ``alone``, in ``parts``."""
+    d = costs.withColumn("_g", F.floor(F.col("id") / 1024))
+    groups = checkpointed(d.groupBy("_g").agg(F.sum("cost").alias("c")))
+    before = Window.orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)  # a row for 1024 names
+    starts = groups.select("_g", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy("_g").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
+    d = d.join(starts, "_g").withColumn("_at", F.col("_start") + F.coalesce(F.sum("cost").over(within), F.lit(0)))
+    parts = F.ceil(F.col("cost") / WEDGES).cast("int")
+    d = d.select("id", F.floor(F.col("_at") / WEDGES).alias("block"), F.when(parts > 1, F.col("id")).otherwise(0).alias("alone"), parts.alias("parts"))
+    return checkpointed(d), int((groups.agg(F.sum("c")).first()[0] or 0) // WEDGES) + 1

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from docloom.operators import graph, partners
+from docloom.operators import graph, partners, wedges
 
 
 def plain(edges, documents=()):
@@ -118,3 +118,38 @@ def test_partners_leave_few_pairs_to_score(spark, monkeypatch):
     got = {(r.name, r.partner, r.position): round(r.affinity, 6) for r in partners.best_partners(spark.createDataFrame(edges, "src long, dst long, weight double"), 3).collect()}
     assert got == best(edges, 3)
     assert asked[0] <= 120 * 119 // 2
+
+
+@pytest.mark.parametrize("edges", [pytest.param(e, id=name) for name, e in graphs()])
+def test_best_partners_beside_hubs_in_parts(spark, monkeypatch, edges):
+    """With hubs from four links on, blocks of few wedges, names in several parts and lists in several rows, rows are the same."""
+    for name, value in (("HUB", 2), ("WEDGES", 40), ("LIST", 8)):
+        monkeypatch.setattr(partners, name, value)
+    monkeypatch.setattr(wedges, "BATCH", 25)
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    for n in (1, 3):
+        got = {(r.name, r.partner, r.position): round(r.affinity, 6) for r in partners.best_partners(df, n).collect()}
+        assert got == best(edges, n)
+
+
+def test_partners_of_names_without_weights(spark):
+    """Names are strings, edges without a weight still make neighbours, and sums are those of all common neighbours."""
+    edges = [("b", "a", None), ("c", "a", 2.0), ("c", "b", None), ("b", "c", 1.0), ("d", "a", 1.0), (None, "a", 1.0)]
+    got = {(r.name, r.partner): (r.adamic_adar, r.affinity, r.position) for r in partners.best_partners(spark.createDataFrame(edges, "src string, dst string, weight double"), 2).collect()}
+    assert got["b", "c"] == pytest.approx((1 / math.log(3), 0.4, 1)) and got["b", "a"] == pytest.approx((1 / math.log(2), 1 / math.log(2) / 5, 2))
+    assert got["a", "c"] == pytest.approx((1 / math.log(2), 0.5, 1)) and got["d", "b"] == pytest.approx((1 / math.log(3), 1 / math.log(3) / 5, 2))
+    assert len(got) == 8
+
+
+def test_partners_shuffle_lists_and_no_pairs(spark):
+    """In a dense graph of 9,000 edges, whose pairs and wedges are many more, few rows for each edge are shuffled in all."""
+    rng = random.Random(7)
+    edges = [(rng.randrange(300), rng.randrange(300), 1.0) for _ in range(9_000)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = {(s.stageId(), s.attemptId()) for s in map(stages().apply, range(stages().size()))}
+    assert partners.best_partners(df, 3).count() == 900
+    found = stages()
+    rows = sum(s.shuffleWriteRecords() for s in map(found.apply, range(found.size())) if (s.stageId(), s.attemptId()) not in before)
+    assert 9_000 < rows < 10 * 9_000
