@@ -235,12 +235,15 @@ def by_common(adamic_adar: Column) -> Column:
     return F.least(adamic_adar / 5, F.lit(0.6))
 
 
+def _largest(direct: Column, common: Column, shared: Column) -> Column:
+    return F.least(F.lit(1.0), F.greatest(direct, by_common(common), 0.7 * shared))
+
+
 def scored(pairs: DataFrame, *others: str) -> DataFrame:
     """(src, dst, adamic_adar, shared, affinity) of pairs with ``weight``, ``adamic_adar`` and ``shared``, each null where
     there is none, and ``others``. What is missing counts as nothing: it is replaced before the limits, as ``least`` skips nulls."""
     common, shared = F.coalesce("adamic_adar", F.lit(0.0)), F.coalesce("shared", F.lit(0.0))
-    affinity = F.least(F.lit(1.0), F.greatest(by_weight(F.col("weight")), by_common(common), 0.7 * shared))
-    return pairs.select("src", "dst", common.alias("adamic_adar"), shared.alias("shared"), affinity.alias("affinity"), *others)
+    return pairs.select("src", "dst", common.alias("adamic_adar"), shared.alias("shared"), _largest(by_weight(F.col("weight")), common, shared).alias("affinity"), *others)
 
 
 def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -255,28 +258,17 @@ def affinity(edges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
     """
     e = checkpointed(both_ways(edges))
     degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("degree")).where("degree > 1")
-    none = F.lit(None).cast("double")
-
-    def side(rows: DataFrame, kind: str, via: str, name: str, worth: Column, n: Column = none) -> DataFrame:
-        return rows.select(F.lit(kind).alias("kind"), F.col(via).cast("string").alias("id"), F.col(name).alias("name"), worth.cast("double").alias("worth"), n.cast("double").alias("n"))
-
-    # what two names may meet in: a neighbour, a document, and for an edge its smaller end, which the larger one looks up
-    direct = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    both = side(e.join(degree, e["src"] == degree["id"]).select("src", "dst", "degree"), "neighbour", "src", "dst", 1 / F.ln("degree"))
+    # what two names may meet in: a neighbour, a document; and edges
+    members = e.join(degree, e["src"] == degree["id"]).select(F.lit(2).alias("kind"), F.col("src").cast("string").alias("id"), F.col("dst").alias("name"), (1 / F.ln("degree")).alias("worth"))
+    sizes = e.select(F.col("src").alias("name"), F.lit(0).cast("long").alias("n")).limit(0)
     if documents is not None:
         m = checkpointed(documents.select("name", "doc").where("name IS NOT NULL AND doc IS NOT NULL").distinct())
-        both = both.unionByName(side(m.join(m.groupBy("name").agg(F.count("*").alias("n")), "name"), "document", "doc", "name", F.lit(1.0), F.col("n")))
-    both = checkpointed(both)
-    left = both.unionByName(side(direct.select("src").distinct(), "edge", "src", "src", F.lit(1.0)))
-    right = both.unionByName(side(direct, "edge", "src", "dst", F.col("weight")))
-    block = cells.blocks(left.select("name").union(right.select("name")), "name")
-    left, right = left.join(block.withColumnRenamed("block", "a"), "name"), right.join(block.withColumnRenamed("block", "b"), "name")
-    pairs = cells.met(left, right, ["kind", "id"], ["name", "n"], ["name", "n", "worth"], upward=True).where("x.name < y.name")
-    worth = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("y.worth")))
-    d = pairs.groupBy("a", "b", F.col("x.name").alias("src"), F.col("y.name").alias("dst")).agg(
-        worth("edge").alias("weight"), worth("neighbour").alias("adamic_adar"), worth("document").alias("both"), F.max(F.least("x.n", "y.n")).alias("fewest")
-    )
-    return scored(d.withColumn("shared", F.col("both") / F.col("fewest")))
+        members = members.unionByName(m.select(F.lit(3).alias("kind"), F.col("doc").cast("string").alias("id"), "name", F.lit(1.0).alias("worth")))
+        sizes = m.groupBy("name").agg(F.count("*").alias("n"))
+    direct = edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), "weight").where("src != dst").groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
+    edge = direct.select("src", "dst", F.greatest(by_weight(F.col("weight")), F.lit(0.0)).alias("direct"))
+    d = cells.summed(checkpointed(members), checkpointed(edge), sizes)
+    return d.select("src", "dst", F.col("common").alias("adamic_adar"), "shared", _largest(F.col("direct"), F.col("common"), F.col("shared")).alias("affinity"))
 
 
 def set_overlap(a: Column, b: Column) -> Column:

@@ -14,20 +14,20 @@ BATCH, DENSE = 1_000_000, 8
 SCHEMA = "id int, partner int, adamic_adar double, low double, high double, exact boolean"
 
 
-def _flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
+def flat(column: pa.ChunkedArray, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """(values, lengths) of a column of lists; a null list is empty."""
     lengths = np.array(pc.fill_null(pc.list_value_length(column), 0).to_numpy(), dtype=np.int64)
     return np.asarray(pc.list_flatten(column).to_numpy(), dtype=kind), lengths
 
 
-def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers from each start on, as many as its length, one range after the other."""
     return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
 
 
-def _sums(keys: np.ndarray, worth: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
-    """The different keys (below ``cells``) in order and the sum of what each is worth, above 0."""
-    if cells <= DENSE * len(keys):
+def sums(keys: np.ndarray, worth: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys (below ``cells``) in order and the sum of what each is worth."""
+    if cells <= DENSE * len(keys) and worth.min() > 0:
         found = np.bincount(keys, worth, cells)
         at = np.flatnonzero(found)
         return at, found[at]
@@ -62,8 +62,8 @@ def best_of_block(n: int, digits: int, margin: float) -> Callable[[pa.Table], pa
         part, parts = own["part"][0].as_py(), own["parts"][0].as_py()
 
         def spread(side: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            to, sizes = _flat(side["ids"], np.int64)
-            return np.repeat(side["id"].to_numpy().astype(np.int64), sizes), to, _flat(side["worth"], np.float64)[0]
+            to, sizes = flat(side["ids"], np.int64)
+            return np.repeat(side["id"].to_numpy().astype(np.int64), sizes), to, flat(side["worth"], np.float64)[0]
 
         # own neighbours and known partners in order of names
         name, of, direct = spread(own)
@@ -77,14 +77,14 @@ def best_of_block(n: int, digits: int, margin: float) -> Callable[[pa.Table], pa
 
         # partners are numbered densely, in order; lists lie one after the other, those of a large neighbour in several rows
         lists = lists.take(pa.array(np.argsort(lists["id"].to_numpy(), kind="stable")))
-        flat, lengths = _flat(lists["ids"], np.int64)
+        listed, lengths = flat(lists["ids"], np.int64)
         mine = of % parts == part
-        partners = np.unique(np.concatenate([flat, of[mine], known_to, names]))
-        flat, width = np.searchsorted(partners, flat), len(partners)
+        partners = np.unique(np.concatenate([listed, of[mine], known_to, names]))
+        listed, width = np.searchsorted(partners, listed), len(partners)
         list_of = lists["id"].to_numpy().astype(np.int64)
         vias, first = np.unique(list_of, return_index=True)
         starts = np.concatenate([[0], np.cumsum(lengths)])[first] if len(vias) else first
-        ends = np.append(starts[1:], len(flat))
+        ends = np.append(starts[1:], len(listed))
         worth, of_class = 1 / np.log(lists["degree"].to_numpy()[first]), lists["class"].to_numpy()[first]
 
         # links through which wedges lead; a rule leaves out the largest
@@ -103,24 +103,24 @@ def best_of_block(n: int, digits: int, margin: float) -> Callable[[pa.Table], pa
             links, edges, before = (slice(*np.searchsorted(x, [begin, end])) for x in (row, name, known_name))
             v = via[links]
             sizes = ends[v] - starts[v]
-            keys = np.repeat((row[links] - begin) * width, sizes) + flat[_ranges(starts[v], sizes)]
-            met, common = _sums(keys, np.repeat(worth[v], sizes), (end - begin) * width)
+            keys = np.repeat((row[links] - begin) * width, sizes) + listed[ranges(starts[v], sizes)]
+            met, common = sums(keys, np.repeat(worth[v], sizes), (end - begin) * width)
             edge = (name[edges] - begin) * width + np.searchsorted(partners, of[edges])
             told = (known_name[before] - begin) * width + np.searchsorted(partners, known_to[before])
             keys = np.unique(np.concatenate([met, edge, told]))
-            sums, seen, by_edge = (np.zeros(len(keys)) for _ in range(3))
-            sums[np.searchsorted(keys, met)] = common
+            total, seen, by_edge = (np.zeros(len(keys)) for _ in range(3))
+            total[np.searchsorted(keys, met)] = common
             seen[np.searchsorted(keys, told)] = known_sum[before]
             by_edge[np.searchsorted(keys, edge)] = direct[edges]
             of_name, to = keys // width + begin, partners[keys % width]
             other = to != names[of_name]
-            yield best(names, of_name[other], to[other], sums[other], seen[other], by_edge[other], bound, skipped)
+            yield best(names, of_name[other], to[other], total[other], seen[other], by_edge[other], bound, skipped)
             begin = end
 
-    def best(names, row, to, sums, seen, by_edge, bound, skipped) -> tuple[np.ndarray, ...]:
-        aa = np.maximum(sums, seen)
+    def best(names, row, to, total, seen, by_edge, bound, skipped) -> tuple[np.ndarray, ...]:
+        aa = np.maximum(total, seen)
         score = lambda x: np.minimum(1.0, np.maximum(by_edge, np.minimum(x / 5, 0.6)))
-        low, high = score(aa), score(np.where(skipped[row] > 0, sums + skipped[row], aa))
+        low, high = score(aa), score(np.where(skipped[row] > 0, total + skipped[row], aa))
         # rows are in order of name and partner, so a stable sort leaves equal scores in order of partners
         near = np.flatnonzero(high >= bound[row] - margin)
         if len(near):

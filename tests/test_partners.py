@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from docloom.operators import graph, partners, wedges
+from docloom.operators import cells, graph, partners, wedges
 
 
 def plain(edges, documents=()):
@@ -153,3 +153,34 @@ def test_partners_shuffle_lists_and_no_pairs(spark):
     found = stages()
     rows = sum(s.shuffleWriteRecords() for s in map(found.apply, range(found.size())) if (s.stageId(), s.attemptId()) not in before)
     assert 9_000 < rows < 10 * 9_000
+
+
+@pytest.mark.parametrize("value", [("DENSE", 0), ("DENSE", 10**9), ("PRODUCT", 0), ("AT_ONCE", 2), ("BATCH", 10)])
+def test_affinity_in_small_cells(spark, monkeypatch, value):
+    """Cells of few pairs and of many, by products or one by one, in small batches, give the same rows, edges of no worth too."""
+    monkeypatch.setattr(cells, "BLOCK", 16)
+    monkeypatch.setattr(cells, *value)
+    rng = random.Random(13)
+    edges = [(rng.randrange(90), rng.randrange(90), float(rng.randrange(1, 5))) for _ in range(120)] + [(90, 91, -9.0)]
+    documents = [(rng.randrange(99), rng.randrange(40) // 5) for _ in range(120)] + [(rng.randrange(99), 50 + i) for i in range(60)]
+    e, m = spark.createDataFrame(edges, "src long, dst long, weight double"), spark.createDataFrame(documents, "name long, doc long")
+    for docs in ((), documents):
+        rows = graph.affinity(e, m if docs else None).collect()
+        got = {(r.src, r.dst): (r.adamic_adar, r.shared, r.affinity) for r in rows}
+        want = {p: v for p, v in plain(edges, docs).items() if v[0] > 0 or v[1] > 0 or v[2] > 0 or p == (90, 91)}
+        want[90, 91] = (*want[90, 91][:2], max(want[90, 91][2], 0.0))
+        assert len(rows) == len(got) and set(got) == set(want)
+        for pair, values in got.items():
+            assert values == pytest.approx(want[pair])
+
+
+def test_affinity_of_a_document_of_all(spark):
+    """A document of all names is dealt out to cells as lists: a million pairs come from few rows."""
+    names = spark.range(1_500).selectExpr("id AS name", "explode(array('x', 'y')) AS doc")
+    d = graph.affinity(spark.createDataFrame([(1, 2, 1.0)], "src long, dst long, weight double"), names)
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+    before = {(s.stageId(), s.attemptId()) for s in map(stages().apply, range(stages().size()))}
+    assert d.where("shared = 1 AND affinity BETWEEN 0.69 AND 0.71").count() == 1_500 * 1_499 // 2
+    found = stages()
+    assert sum(s.shuffleWriteRecords() for s in map(found.apply, range(found.size())) if (s.stageId(), s.attemptId()) not in before) < 1_000
